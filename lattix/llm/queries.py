@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattix.llm import ngram_join
+from lattix.llm import language_mix, line_dedup, ngram_join, perplexity_rules, phrase_index, pii_boosting, subword_classifier, url_filter
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
 
 def query(f):
     QUERIES[f.__name__] = f
@@ -22,3 +25,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"), n=5, num=4, den=5)
+
+
+@query
+def op2_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_mix.held_out("doc_id", 5, 0)
+    model = language_mix.train(docs.where(~out))
+    return language_mix.language_proportions(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_boosting.digest(pii_boosting.find_personal_data(table(spark, sf_dir, "documents")))
