@@ -28,7 +28,7 @@ STRICT = {
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++)++",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@| ?\(at\) ?| ?\[at\] ?| at )[A-Za-z0-9-]++(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]++)++",
     "ip": r"(?<![A-Za-z0-9:.])(?:[0-9A-Fa-f]{1,4}:){7}+[0-9A-Fa-f]{1,4}",
     "number": r"(?<![A-Za-z0-9])\+?\(?[0-9](?:[ ().\-/]{0,2}+[0-9]){6,18}+",
 }
@@ -102,7 +102,7 @@ def features_sql(text: str, c: str) -> str:
         "groups": f"int({c}.what rlike '^(?:[0-9]{{4}}[ -]){{3}}[0-9]{{1,7}}$') + 2 * int({c}.what rlike '^[+]?[0-9]{{0,3}}[ .-]?[(]?[0-9]{{2,4}}[)]?[ .-][0-9]{{3,4}}[ .-]?[0-9]{{3,4}}$')",
         "touch_before": f"int({before} rlike '[a-z0-9_$#=/-]$')", "touch_after": f"int({after} rlike '^[A-Za-z0-9_%/=]|^[.,][0-9]')",
         "said_at": f"int(contains({c}.what, '@')) + 2 * int({c}.what rlike '[(]at[)]|at]')", "said_dot": f"int({c}.what rlike '[.][A-Za-z]{{2,6}}$') + 2 * int({c}.what rlike '[(]dot[)]|dot]| dot ')",
-        "first": f"coalesce(int(substr({_digits(f'{c}.what')}, 1, 1)), -1)",
+        "first": f"coalesce(try_cast(substr({_digits(f'{c}.what')}, 1, 1) as int), -1)",
     } | {name: f"int({before} rlike '(?:^|[^a-z])(?:{cue})')" for name, cue in CUES.items()}
     return "named_struct(" + ", ".join(f"'{k}', {values[k]}" for k in FEATURES) + ")"
 
@@ -139,6 +139,8 @@ def examples(n: int = EXAMPLES, seed: int = 17) -> list[tuple[str, int, int]]:
         (3, 0, lambda: f"{w()} {d(4)}-{d(4)} {d(2)}/{d(2)}"),
         (3, 0, lambda: f"{w()} {d(1)} {d(2)} {d(3)} {d(2)} {d(1)} {d(2)}"),
         (0, 0, lambda: f"{w()} {w()} at {w()}.{w()} {w()}"),
+        (0, 0, lambda: f"{w()} at {w()}{r.choice(['. ', '.', ' .'])}{w().capitalize()}"),
+        (0, 0, lambda: f"{w()} at {w()}. {w().capitalize()} {w()}"),
         (0, 0, lambda: f"{w()} at {w()} dot {w()} {w()}"),
         (1, 0, lambda: f"{w()}={':'.join('%02x' % r.randrange(256) for _ in range(8))}"),
     ]
