@@ -1,4 +1,687 @@
 """Queries over the test tables, and SQL that says the same."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lattix.functions import metrics, text
+from lattix.operators import compose, graph, ledger, links, rdf
+from lattix.plans.views import Tables, with_views
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+SELECTION = (1000, 1999)
+OPEN_WORDS = "the nation of then"
+#: Words of the rules of inference over the triples of the test tables.
+VOCABULARY = [("domain", "inNation", "Person"), ("range", "inRegion", "Area"), ("subPropertyOf", "inNation", "within"), ("subPropertyOf", "inRegion", "within"), ("transitive", "within", "within"), ("subClassOf", "Person", "Agent"), ("subClassOf", "Customer", "Agent"), ("inverseOf", "within", "contains")]
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLES[f.__name__] = with_views(sql)
+        return f
+
+    return put
+
+
+def long(c: str):
+    return F.col(c).cast("long").alias(c)
+
+
+# filters
+
+
+@query("SELECT slug, status, cluster FROM v_items WHERE status NOT IN ('draft', 'retired')")
+def published_items(t: Tables) -> DataFrame:
+    return t.v_items.where(~F.col("status").isin("draft", "retired")).select("slug", "status", "cluster")
+
+
+@query("SELECT slug, status, cluster FROM v_items WHERE status <> 'draft'")
+def page_items(t: Tables) -> DataFrame:
+    return t.v_items.where("status != 'draft'").select("slug", "status", "cluster")
+
+
+@query("SELECT slug, CAST(strftime(modified, '%Y-%m-%d') AS VARCHAR) AS day FROM v_tasks WHERE modified < TIMESTAMP '1996-01-01' AND state <> 'TASK_STATE_COMPLETED'")
+def stale_items(t: Tables) -> DataFrame:
+    return t.v_tasks.where("modified < timestamp '1996-01-01' and state != 'TASK_STATE_COMPLETED'").select("slug", F.date_format("modified", "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT source, key, target FROM v_links WHERE target IN (SELECT 'part-' || p_partkey FROM part WHERE p_size > 45)")
+def retired_links(t: Tables) -> DataFrame:
+    gone = t.part.where("p_size > 45").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("target"))
+    return t.v_links.join(gone, "target", "left_semi").select("source", "key", "target")
+
+
+@query("SELECT slug, concat_ws(',', CASE WHEN status = 'draft' THEN 'draft' END, CASE WHEN status = 'retired' THEN 'retired' END, CASE WHEN length(body) < 200 THEN 'short' END) AS reasons FROM v_items WHERE status <> 'stable' OR length(body) < 200")
+def q9_unhealthy(t: Tables) -> DataFrame:
+    reasons = F.array_compact(F.array(F.when(F.col("status") == "draft", "draft"), F.when(F.col("status") == "retired", "retired"), F.when(F.char_length("body") < 200, "short")))
+    return t.v_items.select("slug", F.array_join(reasons, ",").alias("reasons")).where("reasons != ''")
+
+
+# joins
+
+
+@query("""SELECT source, key, target, bool_and(computed) AS computed FROM (SELECT source, key, target, false AS computed FROM v_links
+    UNION ALL SELECT target, CASE key WHEN 'requires' THEN 'required-by' WHEN 'supersedes' THEN 'superseded-by' WHEN 'uses' THEN 'used-by' ELSE 'related' END, source, true FROM v_links) GROUP BY 1, 2, 3""")
+def resolve_links(t: Tables) -> DataFrame:
+    return links.resolve(t.v_links)
+
+
+@query("SELECT source, key, target FROM v_links WHERE target NOT IN (SELECT 'part-' || p_partkey FROM part)")
+def dangling_links(t: Tables) -> DataFrame:
+    return links.dangling(t.v_links, t.part.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("slug")))
+
+
+@query("SELECT cluster, CAST(count(*) AS BIGINT) AS members FROM v_items WHERE status <> 'draft' GROUP BY cluster")
+def cluster_members(t: Tables) -> DataFrame:
+    return t.v_items.where("status != 'draft'").groupBy("cluster").agg(F.count("*").alias("members"))
+
+
+@query("SELECT p.producer, p.port, CAST(count(c.consumer) AS BIGINT) AS n_consumers FROM v_produces p LEFT JOIN v_consumes c ON p.port = c.port GROUP BY 1, 2")
+def port_wiring(t: Tables) -> DataFrame:
+    return links.wiring(t.v_produces, t.v_consumes)
+
+
+@query("SELECT consumer, port FROM v_consumes WHERE port NOT IN (SELECT port FROM v_produces WHERE producer <= 2 AND port < 'Brand#4')")
+def q4_missing_ports(t: Tables) -> DataFrame:
+    return links.missing_ports(t.v_produces.where("producer <= 2 AND port < 'Brand#4'"), t.v_consumes)
+
+
+@query("SELECT l_partkey AS resource, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS n_items FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 1")
+def shared_sources(t: Tables) -> DataFrame:
+    return links.sharers(t.lineitem.select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("resource")))
+
+
+@query("SELECT a.i AS a, b.i AS b, CAST(count(*) AS BIGINT) AS n_shared FROM (SELECT DISTINCT l_suppkey AS i, l_partkey AS r FROM lineitem WHERE l_suppkey <= 50) a JOIN (SELECT DISTINCT l_suppkey AS i, l_partkey AS r FROM lineitem WHERE l_suppkey <= 50) b ON a.r = b.r AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= 2")
+def pairwise_shared_sources(t: Tables) -> DataFrame:
+    return links.sharing_pairs(t.lineitem.where("l_suppkey <= 50").select(F.col("l_suppkey").alias("item"), F.col("l_partkey").alias("resource")))
+
+
+@query("SELECT * FROM (SELECT a.source, a.target, a.key AS first, b.key AS second FROM (SELECT DISTINCT * FROM v_links) a JOIN (SELECT DISTINCT * FROM v_links) b ON a.source = b.source AND a.target = b.target WHERE (a.key = 'requires' AND b.key = 'uses') OR (a.key = 'supersedes' AND b.key = 'requires'))")
+def incompatible_pairs(t: Tables) -> DataFrame:
+    return links.incompatible(t.v_links, [("requires", "uses"), ("supersedes", "requires")])
+
+
+@query("SELECT n.n_name AS nation, CAST(count(o_orderkey) AS BIGINT) AS n_failed FROM nation n LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 400000 GROUP BY 1")
+def lanes_left_zero(t: Tables) -> DataFrame:
+    some = t.orders.where("o_orderstatus = 'P' and o_totalprice > 400000").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return t.nation.join(some, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.col("n_name").alias("nation"), F.coalesce("n", F.lit(0)).alias("n_failed"))
+
+
+@query("SELECT p.page_id, h.host FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS own FROM pages) p JOIN (SELECT 'example.com' AS host UNION ALL SELECT 'example.net') h ON p.own = h.host OR p.own LIKE '%.' || h.host")
+def peer_citations(t: Tables) -> DataFrame:
+    own = t.pages.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("own"))
+    # a host cites every peer that it ends in, so its suffixes are joined by equality
+    suffixes = own.withColumn("parts", F.split("own", r"\.")).select("page_id", F.explode(F.expr("transform(sequence(1, size(parts)), i -> array_join(slice(parts, i, size(parts)), '.'))")).alias("host"))
+    peers = t.spark.createDataFrame([("example.com",), ("example.net",)], "host string")
+    return suffixes.join(F.broadcast(peers), "host").select("page_id", "host")
+
+
+@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def phrase_containment(t: Tables) -> DataFrame:
+    """Items contained in documents: candidates share the item's first five words as neighbours, and containment is then checked."""
+    head = lambda words: F.array_join(words, " ")
+    words = lambda c: F.split(c, r"\s+")
+    many = F.size(words(F.col("text")))
+    items = t.benchmark.select("item_id", F.col("text").alias("phrase"), F.when(many >= 7, head(F.slice(words(F.col("text")), 2, 5))).alias("key"))
+    own = t.documents.select("doc_id", "text", words(F.col("text")).alias("w"))
+    keys = own.where("size(w) >= 5").select("doc_id", "text", F.explode(F.array_distinct(F.expr("transform(sequence(1, size(w) - 4), i -> array_join(slice(w, i, 5), ' '))"))).alias("key"))
+    found = keys.join(items.where("key is not null"), "key").where(F.contains("text", F.col("phrase"))).select("item_id", "doc_id")
+    short = own.join(F.broadcast(items.where("key is null").limit(1000)), F.contains("text", F.col("phrase"))).select("item_id", "doc_id")
+    return found.union(short).distinct()
+
+
+# aggregates
+
+
+@query("SELECT k.status, CAST(count(i.slug) AS BIGINT) AS n FROM (SELECT unnest(['draft', 'stable', 'retired', 'deprecated']) AS status) k LEFT JOIN v_items i ON i.status = k.status GROUP BY 1")
+def type_counts_zero_filled(t: Tables) -> DataFrame:
+    kinds = t.spark.createDataFrame([(x,) for x in ("draft", "stable", "retired", "deprecated")], "status string")
+    return kinds.join(t.v_items.groupBy("status").agg(F.count("*").alias("n")), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT strftime(started, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS n_episodes, CAST(round(sum(CAST(cost_usd AS DECIMAL(28, 6))), 2) AS DOUBLE) AS spent FROM v_episodes GROUP BY 1")
+def monthly_spend(t: Tables) -> DataFrame:
+    return ledger.spend(t.v_episodes, []).select("month", "n_episodes", F.round("spent", 2).cast("double").alias("spent"))
+
+
+@query("SELECT actor, strftime(started, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS n_episodes FROM v_episodes GROUP BY 1, 2 HAVING sum(CAST(cost_usd AS DECIMAL(28, 6))) >= 500")
+def budget_reached(t: Tables) -> DataFrame:
+    return ledger.spend(t.v_episodes, ["actor"]).where("spent >= 500").select("actor", "month", "n_episodes")
+
+
+@query("SELECT actor, CAST(count(*) AS BIGINT) AS runs, CAST(count(*) FILTER (outcome = 'success') AS BIGINT) AS successes, CAST(round(sum(CAST(cost_usd AS DECIMAL(28, 6))), 2) AS DOUBLE) AS spent FROM v_episodes GROUP BY 1")
+def per_agent_rollup(t: Tables) -> DataFrame:
+    return t.v_episodes.groupBy("actor").agg(F.count("*").alias("runs"), F.count_if(F.col("outcome") == "success").alias("successes"), F.round(F.sum(F.col("cost_usd").cast("decimal(28,6)")), 2).cast("double").alias("spent"))
+
+
+@query("SELECT cluster, CAST(count(*) AS BIGINT) AS n_tasks, CAST(count(*) FILTER (state <> 'TASK_STATE_COMPLETED') AS BIGINT) AS n_open, bool_and(state = 'TASK_STATE_COMPLETED') AS done FROM v_tasks GROUP BY 1")
+def board_rollup(t: Tables) -> DataFrame:
+    return ledger.board(t.v_tasks)
+
+
+@query("SELECT claimant, CAST(count(*) AS BIGINT) AS n_working FROM v_tasks WHERE state = 'TASK_STATE_WORKING' GROUP BY 1 HAVING count(*) > 2")
+def wip_limit(t: Tables) -> DataFrame:
+    return ledger.over_limit(t.v_tasks, 2)
+
+
+@query("SELECT lang AS tag, CAST(count(*) AS BIGINT) AS n_items, min(k) AS first_item FROM v_items GROUP BY 1")
+def tag_index(t: Tables) -> DataFrame:
+    return t.v_items.select(F.explode(F.array("lang")).alias("tag"), "k").groupBy("tag").agg(F.count("*").alias("n_items"), F.min("k").alias("first_item"))
+
+
+TOKENS = "SELECT DISTINCT slug, token FROM (SELECT slug, unnest(regexp_split_to_array(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\p{L}\\p{Nd}\\p{M}]+')) AS token FROM v_items) WHERE length(token) >= 2"
+
+
+@query(f"SELECT token, CAST(count(*) AS BIGINT) AS n_docs FROM ({TOKENS}) GROUP BY 1")
+def doc_frequency(t: Tables) -> DataFrame:
+    return text.postings(t.v_items, "slug", "body").groupBy("token").agg(F.count("*").alias("n_docs"))
+
+
+@query("SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages WHERE octet_length(encode(html)) > 10000")
+def html_size_budget(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.octet_length("html").cast("long").alias("bytes")).where("bytes > 10000")
+
+
+@query("SELECT event_type AS area, CAST(count(*) FILTER (value > 50) AS BIGINT) AS passed, CAST(count(*) FILTER (value <= 50) AS BIGINT) AS failed, CAST(count(*) FILTER (value IS NULL) AS BIGINT) AS skipped FROM events GROUP BY 1")
+def conformance_tally(t: Tables) -> DataFrame:
+    return t.events.groupBy(F.col("event_type").alias("area")).agg(F.count_if(F.col("value") > 50).alias("passed"), F.count_if(F.col("value") <= 50).alias("failed"), F.count_if(F.col("value").isNull()).alias("skipped"))
+
+
+# windows
+
+
+@query("SELECT slug, CAST((rank - 1) // 500 AS BIGINT) AS shard FROM (SELECT slug, row_number() OVER (ORDER BY slug) AS rank FROM v_items)")
+def shard_assignment(t: Tables) -> DataFrame:
+    """Rows are numbered in order by their partition's offset, so that no task holds all of them."""
+    ordered = t.v_items.select("slug").repartitionByRange("slug").withColumn("part", F.spark_partition_id())
+    ranked = ordered.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("slug")))
+    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))
+    base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each partition
+    return ranked.join(F.broadcast(base), "part").select("slug", F.expr("(base + rank - 1) div 500").alias("shard"))
+
+
+@query("SELECT k, base || CASE WHEN n = 1 THEN '' ELSE '-' || n END AS slug FROM (SELECT p_partkey AS k, trim(regexp_replace(translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '-') AS base, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM part)")
+def slug_dedupe(t: Tables) -> DataFrame:
+    return text.numbered_slugs(t.part.select(F.col("p_partkey").alias("k"), text.slugify(F.col("p_name")).alias("base")), "base", "k").select("k", "slug")
+
+
+@query("SELECT title, min(k) AS holder, CAST(count(*) AS BIGINT) AS n FROM v_items GROUP BY title HAVING count(*) > 1")
+def overlapping_labels(t: Tables) -> DataFrame:
+    return t.v_items.groupBy("title").agg(F.min("k").alias("holder"), F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT cluster, arg_max(claimant, struct_pack(m := modified, k := k)) AS claimant FROM v_tasks GROUP BY 1")
+def last_claimant(t: Tables) -> DataFrame:
+    return t.v_tasks.groupBy("cluster").agg(F.max_by("claimant", F.struct("modified", "k")).alias("claimant"))
+
+
+@query("SELECT k, before, state FROM (SELECT k, state, lag(state) OVER (PARTITION BY claimant ORDER BY modified, k) AS before FROM v_tasks) WHERE before IS NOT NULL AND before <> state")
+def status_transitions(t: Tables) -> DataFrame:
+    before = F.lag("state").over(Window.partitionBy("claimant").orderBy("modified", "k"))
+    return t.v_tasks.select("k", "state", before.alias("before")).where("before is not null and before != state").select("k", "before", "state")
+
+
+@query("SELECT event_id, CAST(event_id - last_value(tagged IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS distance FROM (SELECT event_id, user_id, CASE WHEN event_type = 'purchase' THEN event_id END AS tagged FROM events)")
+def nearest_tag(t: Tables) -> DataFrame:
+    tagged = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    last = F.last_value(tagged, F.lit(True)).over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
+    return t.events.select("event_id", (F.col("event_id") - last).alias("distance"))
+
+
+@query("""SELECT n_regionkey, n_nationkey, round(least(1.0, max(s) OVER (PARTITION BY n_regionkey ORDER BY p, n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS adjusted
+    FROM (SELECT n_regionkey, n_nationkey, p, (count(*) OVER (PARTITION BY n_regionkey) - row_number() OVER (PARTITION BY n_regionkey ORDER BY p, n_nationkey) + 1) * p AS s FROM (SELECT n_regionkey, n_nationkey, (n_nationkey * 7 % 25) / 250.0 AS p FROM nation))""")
+def holm_adjust(t: Tables) -> DataFrame:
+    p = t.nation.select("n_regionkey", "n_nationkey", (F.col("n_nationkey") * 7 % 25 / 250.0).alias("p"))
+    return metrics.holm(p, "p", ["n_regionkey"]).select("n_regionkey", "n_nationkey", F.round("adjusted", 6).alias("adjusted"))
+
+
+# sorts and limits
+
+
+SEARCH = f"SELECT slug, CAST(count(*) AS BIGINT) AS score FROM ({TOKENS}) WHERE token IN ('the', 'nation', 'of', 'then') GROUP BY 1"
+
+
+@query(f"SELECT slug, score FROM ({SEARCH}) ORDER BY score DESC, slug LIMIT 20")
+def search_topk(t: Tables) -> DataFrame:
+    return text.search(text.postings(t.v_items, "slug", "body"), OPEN_WORDS, 20)
+
+
+@query(f"SELECT h.slug, h.score, i.title FROM (SELECT slug, score FROM ({SEARCH}) ORDER BY score DESC, slug LIMIT 3) h JOIN v_items i ON i.slug = h.slug")
+def ask_top3(t: Tables) -> DataFrame:
+    hits = text.search(text.postings(t.v_items, "slug", "body"), OPEN_WORDS, 3)
+    return t.v_items.join(F.broadcast(hits), "slug").select("slug", "score", "title")
+
+
+@query(f"SELECT slug, CAST((SELECT count(*) FROM ({SEARCH})) AS BIGINT) AS total FROM (SELECT slug, score FROM ({SEARCH}) ORDER BY score DESC, slug LIMIT 100)")
+def bounded_hits_with_total(t: Tables) -> DataFrame:
+    hits = text.search(text.postings(t.v_items, "slug", "body"), OPEN_WORDS)
+    return hits.limit(100).crossJoin(F.broadcast(hits.agg(F.count("*").alias("total")))).select("slug", "total")
+
+
+# set operations
+
+
+@query("SELECT o FROM v_triples WHERE p = 'inNation' UNION SELECT s FROM v_triples WHERE p = 'inRegion'")
+def peer_union(t: Tables) -> DataFrame:
+    triples = t.v_triples
+    return triples.where("p = 'inNation'").select("o").union(triples.where("p = 'inRegion'").select(F.col("s").alias("o"))).distinct()
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def citation_intersect(t: Tables) -> DataFrame:
+    return t.customer.select(F.col("c_nationkey").alias("k")).intersect(t.supplier.select("s_nationkey"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS differing FROM ((SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem) UNION ALL (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders))")
+def answer_equality(t: Tables) -> DataFrame:
+    a, b = t.orders.select("o_orderkey"), t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"))
+    return a.subtract(b).union(b.subtract(a)).agg(F.count("*").alias("differing"))
+
+
+# graph
+
+
+def _plus(view: str, one: str = "") -> str:
+    return f"WITH RECURSIVE r AS (SELECT source, target FROM {view} UNION SELECT r.source, e.target FROM r JOIN {view} e ON e.source = r.target) SELECT source, target FROM r {one}"
+
+
+@query(_plus("v_requires"))
+def q1_must_take(t: Tables) -> DataFrame:
+    return graph.reach(t.v_requires).select("source", "target")
+
+
+@query("SELECT source, target FROM v_excludes UNION SELECT target, source FROM v_excludes")
+def q2_never_with(t: Tables) -> DataFrame:
+    return graph.symmetric(t.v_excludes)
+
+
+@query(_plus("v_supersedes").replace("SELECT source, target FROM r ", "SELECT target AS source, source AS target FROM r "))
+def q3_replaced_by(t: Tables) -> DataFrame:
+    return graph.inverse(graph.reach(t.v_supersedes))
+
+
+@query("SELECT source, target, 'out' AS direction FROM v_uses UNION SELECT target, source, 'in' FROM v_uses")
+def q5_verification(t: Tables) -> DataFrame:
+    return t.v_uses.select("source", "target", F.lit("out").alias("direction")).union(graph.inverse(t.v_uses).withColumn("direction", F.lit("in"))).distinct()
+
+
+@query(_plus("v_blocked"))
+def q6_blockers(t: Tables) -> DataFrame:
+    return graph.reach(t.v_blocked).select("source", "target")
+
+
+@query(_plus("v_derived"))
+def q7_lineage(t: Tables) -> DataFrame:
+    return graph.reach(t.v_derived).select("source", "target")
+
+
+@query(_plus("v_broader", "WHERE target = 'region-1'"))
+def q8_under_cluster(t: Tables) -> DataFrame:
+    down = graph.inverse(t.v_broader)
+    root = t.spark.createDataFrame([("region-1",)], "source string")
+    return graph.inverse(graph.reach(down, starts=root))
+
+
+@query("SELECT a.l_orderkey AS item, CAST(count(DISTINCT b.l_orderkey) AS BIGINT) AS n_sharers FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey <> b.l_orderkey WHERE a.l_orderkey % 500 = 1 GROUP BY 1")
+def q10_sources_sharers(t: Tables) -> DataFrame:
+    own = t.lineitem.where("l_orderkey % 500 = 1").select(F.col("l_orderkey").alias("item"), "l_partkey").distinct()
+    return own.join(t.lineitem.select("l_partkey", F.col("l_orderkey").alias("other")), "l_partkey").where("item != other").groupBy("item").agg(F.countDistinct("other").alias("n_sharers"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT source, target, [source, target] AS path FROM v_requires UNION ALL SELECT r.source, e.target, list_append(r.path, e.target) FROM r JOIN v_requires e ON e.source = r.target)
+    SELECT source, target, CAST(len(path) - 1 AS INTEGER) AS depth, array_to_string(path, '>') AS chain FROM r WHERE len(path) > 2""")
+def readings_transitive(t: Tables) -> DataFrame:
+    return graph.proofs(t.v_requires).select("source", "target", "depth", F.array_join("path", ">").alias("chain"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT source, target FROM v_uses UNION SELECT p_partkey, p_partkey // 3 + 1 FROM part WHERE p_size < 10), r AS (SELECT source, target FROM e UNION SELECT r.source, e.target FROM r JOIN e ON e.source = r.target)
+    SELECT DISTINCT source AS node FROM r WHERE source = target""")
+def cycle_nodes(t: Tables) -> DataFrame:
+    more = t.part.where("p_size < 10").select(F.col("p_partkey").alias("source"), F.expr("p_partkey div 3 + 1").alias("target"))
+    return graph.cycle_nodes(t.v_uses.union(more))
+
+
+@query("WITH RECURSIVE r AS (SELECT source, target, 1 AS d FROM v_requires UNION ALL SELECT r.source, e.target, d + 1 FROM r JOIN v_requires e ON e.source = r.target) SELECT source, CAST(max(d) AS INTEGER) AS depth FROM r GROUP BY 1 HAVING max(d) > 8")
+def cluster_depth(t: Tables) -> DataFrame:
+    return graph.depth_over(t.v_requires, 8)
+
+
+@query("SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT source FROM v_uses) AND p_partkey NOT IN (SELECT target FROM v_uses)")
+def orphans(t: Tables) -> DataFrame:
+    return graph.orphans(t.part.select(F.col("p_partkey").alias("node")), t.v_uses)
+
+
+@query("SELECT source, CAST(count(*) AS BIGINT) AS parents FROM (SELECT source, target FROM v_requires UNION SELECT source, target FROM v_uses) GROUP BY 1 HAVING count(*) > 1")
+def mono_parent(t: Tables) -> DataFrame:
+    return graph.several_parents(t.v_requires.union(t.v_uses))
+
+
+@query("SELECT source, key, target FROM v_links WHERE source = target")
+def self_links(t: Tables) -> DataFrame:
+    return links.self_links(t.v_links)
+
+
+@query("SELECT target AS neighbour, 'out' AS direction FROM v_links WHERE source = 'part-7' UNION SELECT source, 'in' FROM v_links WHERE target = 'part-7'")
+def neighbours(t: Tables) -> DataFrame:
+    return graph.neighbours(t.v_links, "part-7")
+
+
+@query("SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT source AS node, 1 AS o, 0 AS i FROM v_links UNION ALL SELECT target, 0, 1 FROM v_links) GROUP BY 1")
+def degree(t: Tables) -> DataFrame:
+    return graph.degrees(t.v_links)
+
+
+# composition
+
+
+CHOSEN = "c AS (SELECT p_partkey AS slug FROM part WHERE p_partkey BETWEEN 1000 AND 1999)"
+WHOLE = f"WITH RECURSIVE {CHOSEN}, r AS (SELECT slug FROM c UNION SELECT e.target FROM r JOIN v_requires e ON e.source = r.slug)"
+HIDDEN = f"{WHOLE}, h AS (SELECT target AS slug, min(source) AS hidden_by FROM v_supersedes WHERE source IN (SELECT slug FROM r) AND target IN (SELECT slug FROM r) GROUP BY 1), m AS (SELECT slug FROM r WHERE slug NOT IN (SELECT slug FROM h))"
+
+
+def _selection(t: Tables) -> DataFrame:
+    return t.part.where(F.col("p_partkey").between(*SELECTION)).select(F.col("p_partkey").alias("slug"))
+
+
+@query(f"{WHOLE} SELECT slug, slug NOT IN (SELECT slug FROM c) AS added FROM r")
+def compose_closure(t: Tables) -> DataFrame:
+    return compose.closure(_selection(t), t.v_requires)
+
+
+@query(f"{HIDDEN} SELECT slug, hidden_by FROM h")
+def compose_hidden(t: Tables) -> DataFrame:
+    return compose.hidden(compose.closure(_selection(t), t.v_requires), t.v_supersedes)
+
+
+@query(f"{WHOLE} SELECT source AS a, target AS b FROM v_excludes WHERE source IN (SELECT slug FROM r) AND target IN (SELECT slug FROM r)")
+def compose_mutex(t: Tables) -> DataFrame:
+    return compose.conflicts(compose.closure(_selection(t), t.v_requires), t.v_excludes)
+
+
+@query(f"{WHOLE} SELECT DISTINCT source AS slug, target AS missing FROM v_uses WHERE source IN (SELECT slug FROM r) AND target NOT IN (SELECT slug FROM r)")
+def compose_warnings(t: Tables) -> DataFrame:
+    return compose.warnings(compose.closure(_selection(t), t.v_requires), t.v_uses)
+
+
+@query(f"""{HIDDEN} SELECT CAST((SELECT count(*) FROM c) AS BIGINT) AS n_selected, CAST((SELECT count(*) FROM r WHERE slug NOT IN (SELECT slug FROM c)) AS BIGINT) AS n_added, CAST((SELECT count(*) FROM h) AS BIGINT) AS n_hidden,
+    CAST((SELECT count(*) FROM m) AS BIGINT) AS n_members, CAST((SELECT count(*) FROM v_excludes WHERE source IN (SELECT slug FROM m) AND target IN (SELECT slug FROM m)) AS BIGINT) AS n_conflicts,
+    CAST((SELECT count(*) FROM (SELECT DISTINCT source, target FROM v_uses WHERE source IN (SELECT slug FROM m) AND target NOT IN (SELECT slug FROM m))) AS BIGINT) AS n_warnings,
+    NOT EXISTS (SELECT 1 FROM v_excludes WHERE source IN (SELECT slug FROM m) AND target IN (SELECT slug FROM m)) AS valid""")
+def compose_verdict(t: Tables) -> DataFrame:
+    return compose.verdict(_selection(t), t.v_requires, t.v_supersedes, t.v_excludes, t.v_uses)
+
+
+@query("WITH RECURSIVE r AS (SELECT source, target, 1 AS d FROM v_requires UNION ALL SELECT r.source, e.target, d + 1 FROM r JOIN v_requires e ON e.source = r.target) SELECT p_partkey AS node, CAST(coalesce(max(d), 0) AS INTEGER) AS layer FROM part LEFT JOIN r ON source = p_partkey GROUP BY 1")
+def dependency_order(t: Tables) -> DataFrame:
+    return graph.layers(t.v_requires, t.part.select(F.col("p_partkey").alias("node")))
+
+
+# triples
+
+
+@query("SELECT a.s AS customer, c.o AS region FROM v_triples a JOIN v_triples b ON b.s = a.o AND b.p = 'inRegion' JOIN (SELECT s AS o FROM v_triples WHERE p = 'rdf:type' AND o = 'Region') c ON c.o = b.o WHERE a.p = 'inNation'")
+def bgp_join(t: Tables) -> DataFrame:
+    return rdf.match(t.v_triples, ("?customer", "inNation", "?nation"), ("?nation", "inRegion", "?region"), ("?region", "rdf:type", "Region")).select("customer", "region")
+
+
+@query("SELECT a.s AS thing, b.o AS label FROM v_triples a LEFT JOIN v_triples b ON b.s = a.s AND b.p = 'label' WHERE a.p = 'rdf:type' AND a.o <> 'Customer'")
+def optional_left(t: Tables) -> DataFrame:
+    kinds = rdf.match(t.v_triples, ("?thing", "rdf:type", "?kind")).where("kind != 'Customer'")
+    return rdf.optional(kinds, rdf.match(t.v_triples, ("?thing", "label", "?label"))).select("thing", "label")
+
+
+@query("SELECT s AS thing FROM v_triples WHERE p = 'rdf:type' AND s NOT IN (SELECT s FROM v_triples WHERE p = 'segment' AND o = 'BUILDING')")
+def union_minus(t: Tables) -> DataFrame:
+    return rdf.minus(rdf.match(t.v_triples, ("?thing", "rdf:type", "?kind")), rdf.match(t.v_triples, ("?thing", "segment", "BUILDING"))).select("thing")
+
+
+@query("SELECT n.s AS thing FROM v_triples n WHERE n.p = 'rdf:type' AND n.o <> 'Customer' AND NOT EXISTS (SELECT 1 FROM v_triples c WHERE c.s = n.s AND c.p = 'inRegion' AND c.o = 'region-2')")
+def not_exists(t: Tables) -> DataFrame:
+    met = rdf.match(t.v_triples, ("?thing", "inRegion", "region-2"))
+    return rdf.match(t.v_triples, ("?thing", "rdf:type", "?kind")).where("kind != 'Customer'").join(met, "thing", "left_anti").select("thing")
+
+
+@query(_plus("v_broader").replace("SELECT source, target FROM r ", "SELECT source AS s, target AS o FROM r "))
+def path_plus(t: Tables) -> DataFrame:
+    return rdf.path_plus(t.v_broader.select(F.col("source").alias("s"), F.lit("broader").alias("p"), F.col("target").alias("o")), "broader")
+
+
+@query("SELECT DISTINCT o AS s, 'hasCustomer' AS p, s AS o FROM v_triples WHERE p = 'inNation' UNION SELECT s, 'locatedIn', o FROM v_triples WHERE p = 'inNation'")
+def construct_triples(t: Tables) -> DataFrame:
+    return rdf.construct(rdf.match(t.v_triples, ("?c", "inNation", "?n")), [("?n", "hasCustomer", "?c"), ("?c", "locatedIn", "?n")])
+
+
+@query("SELECT EXISTS (SELECT 1 FROM v_triples WHERE p = 'label' AND o = 'FRANCE') AS answer")
+def ask_boolean(t: Tables) -> DataFrame:
+    return t.v_triples.where("p = 'label' and o = 'FRANCE'").limit(1).agg((F.count("*") > 0).alias("answer"))
+
+
+@query("SELECT o AS segment, CAST(count(*) AS BIGINT) AS n FROM v_triples WHERE p = 'segment' GROUP BY 1 HAVING count(*) > 10")
+def sparql_group_having(t: Tables) -> DataFrame:
+    return rdf.match(t.v_triples, ("?c", "segment", "?segment")).groupBy("segment").agg(F.count("*").alias("n")).where("n > 10")
+
+
+@query("SELECT s AS c, o AS segment FROM v_triples WHERE p = 'segment' AND o IN ('BUILDING', 'HOUSEHOLD')")
+def values_bind(t: Tables) -> DataFrame:
+    wanted = t.spark.createDataFrame([("BUILDING",), ("HOUSEHOLD",)], "segment string")
+    return rdf.match(t.v_triples, ("?c", "segment", "?segment")).join(F.broadcast(wanted), "segment").select("c", "segment")
+
+
+@query("""WITH b AS (SELECT s, p, o FROM v_triples UNION SELECT s, 'within', o FROM v_triples WHERE p IN ('inNation', 'inRegion')
+      UNION SELECT a.s, 'within', b.o FROM v_triples a JOIN v_triples b ON b.s = a.o AND b.p = 'inRegion' WHERE a.p = 'inNation'),
+    i AS (SELECT o AS s, 'contains' AS p, s AS o FROM b WHERE p = 'within'),
+    y AS (SELECT DISTINCT s, 'rdf:type' AS p, 'Person' AS o FROM v_triples WHERE p = 'inNation' UNION SELECT o, 'rdf:type', 'Area' FROM v_triples WHERE p = 'inRegion'
+      UNION SELECT s, 'rdf:type', 'Agent' FROM v_triples WHERE p = 'inNation' OR (p = 'rdf:type' AND o = 'Customer'))
+    SELECT s, p, o FROM b UNION SELECT s, p, o FROM i UNION SELECT s, p, o FROM y""")
+def rl_full(t: Tables) -> DataFrame:
+    return rdf.rule_closure(t.v_triples, t.spark.createDataFrame(VOCABULARY, "rule string, a string, b string"))
+
+
+def _focus(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return t.customer.select(F.col("c_custkey").alias("focus")), t.orders.select(F.col("o_custkey").alias("focus"), F.col("o_orderpriority").alias("value"))
+
+
+@query("SELECT 'minCount' AS component, c_custkey AS focus, CAST(count(o_orderkey) AS VARCHAR) AS value FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 2 HAVING count(o_orderkey) < 1")
+def shacl_mincount(t: Tables) -> DataFrame:
+    return rdf.violations(*_focus(t), "minCount", 1)
+
+
+@query("SELECT 'maxCount' AS component, c_custkey AS focus, CAST(count(o_orderkey) AS VARCHAR) AS value FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 2 HAVING count(o_orderkey) > 15")
+def shacl_maxcount(t: Tables) -> DataFrame:
+    return rdf.violations(*_focus(t), "maxCount", 15)
+
+
+@query("SELECT 'in' AS component, c_custkey AS focus, o_orderpriority AS value FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")
+def shacl_in(t: Tables) -> DataFrame:
+    return rdf.violations(*_focus(t), "in", ["1-URGENT", "2-HIGH"])
+
+
+@query("SELECT 'pattern' AS component, c_custkey AS focus, o_orderpriority AS value FROM customer JOIN orders ON o_custkey = c_custkey WHERE NOT regexp_matches(o_orderpriority, '^[1-3]')")
+def shacl_pattern(t: Tables) -> DataFrame:
+    return rdf.violations(*_focus(t), "pattern", "^[1-3]")
+
+
+@query("SELECT 'class' AS component, o_orderkey AS focus, o_custkey AS value FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def shacl_class(t: Tables) -> DataFrame:
+    values = t.orders.select(F.col("o_orderkey").alias("focus"), F.col("o_custkey").alias("value"))
+    return rdf.violations(values, values, "class", t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("value")))
+
+
+@query("SELECT DISTINCT '<urn:x:' || s || '> <urn:x:' || p || '> ' || CASE WHEN p IN ('label', 'segment') THEN '\"' || o || '\"' ELSE '<urn:x:' || o || '>' END || ' .' AS line FROM v_triples")
+def nquads_lines(t: Tables) -> DataFrame:
+    return rdf.lines(t.v_triples, "urn:x:", F.col("p").isin("label", "segment"))
+
+
+@query("SELECT substr(sha256(s), 1, 16) AS fragment, CAST(count(*) AS BIGINT) AS n FROM v_triples GROUP BY 1")
+def fragments(t: Tables) -> DataFrame:
+    return t.v_triples.groupBy(rdf.fragment("s").alias("fragment")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT target AS concept FROM v_broader WHERE target NOT IN (SELECT source FROM v_broader)")
+def skos_top_concepts(t: Tables) -> DataFrame:
+    edges = t.v_broader
+    return edges.select(F.col("target").alias("concept")).distinct().join(edges.select(F.col("source").alias("concept")), "concept", "left_anti")
+
+
+# text
+
+
+@query(f"SELECT slug, CAST(count(*) AS BIGINT) AS n_tokens FROM ({TOKENS}) GROUP BY 1")
+def tokenize(t: Tables) -> DataFrame:
+    return t.v_items.select("slug", F.size(F.array_distinct(text.tokens(F.col("body")))).cast("long").alias("n_tokens")).where("n_tokens > 0")
+
+
+@query("SELECT k, m AS email FROM (SELECT k, unnest(regexp_extract_all(body, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS m FROM v_items)")
+def pii_email(t: Tables) -> DataFrame:
+    return t.v_items.where(F.contains("body", F.lit("@"))).select("k", F.explode(text.emails(F.col("body"))).alias("email"))
+
+
+@query("SELECT k, m AS phone FROM (SELECT k, unnest(regexp_extract_all(body, '\\+[0-9]{1,3}[ .-]?\\(?[0-9]{2,4}\\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}')) AS m FROM v_items)")
+def pii_phone(t: Tables) -> DataFrame:
+    return t.v_items.where(F.contains("body", F.lit("+"))).select("k", F.explode(text.phones(F.col("body"))).alias("phone"))
+
+
+@query("SELECT k, regexp_extract(m, '([A-Za-z0-9/+_-]{8,})$', 1) AS secret FROM (SELECT k, unnest(regexp_extract_all(body, '(?i)(?:password|passwd|api_?key|secret|access_token)\\s*[=:]\\s*[\"'']?[A-Za-z0-9/+_-]{8,}')) AS m FROM v_items)")
+def secrets(t: Tables) -> DataFrame:
+    return t.v_items.select("k", F.explode(text.secrets(F.col("body"))).alias("secret"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'ignore previous instructions') OR contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'you are now') OR contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'system prompt')")
+def injection_phrases(t: Tables) -> DataFrame:
+    wanted = ["ignore previous instructions", "you are now", "system prompt"]
+    return t.conversations.where(F.arrays_overlap(text.injection_phrases(F.col("text")), F.array(*[F.lit(x) for x in wanted]))).select("conv_id", "turn")
+
+
+@query("SELECT page_id, CAST(count(*) AS BIGINT) AS n_links FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1)) AS u FROM pages) GROUP BY 1")
+def html_links(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.explode(text.links_of(F.col("html"))).alias("u")).groupBy("page_id").agg(F.count("*").alias("n_links"))
+
+
+@query("SELECT page_id, translate(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1), '/+$', '') AS url FROM pages")
+def url_normalise(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", text.url_normalised(F.col("url")).alias("url"))
+
+
+@query("SELECT p_partkey AS k, trim(regexp_replace(translate(p_type, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+def slugify(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("k"), text.slugify(F.col("p_type")).alias("slug"))
+
+
+def _marked_up(t: Tables) -> DataFrame:
+    """Every seventh line of a document is made a heading, so that it falls into sections."""
+    lines = F.transform(F.split("body", "\n"), lambda x, i: F.when(i % 7 == 3, F.concat(F.lit("## "), x)).otherwise(x))
+    return t.v_items.select("slug", F.array_join(lines, "\n").alias("body"))
+
+
+@query("SELECT slug, CAST(1 + count(*) FILTER (i % 7 = 4 AND trim(line) <> '') AS BIGINT) AS n_sections FROM (SELECT slug, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM v_items) GROUP BY 1")
+def section_split(t: Tables) -> DataFrame:
+    return text.sections(_marked_up(t), "slug", "body").groupBy("slug").agg(F.count("*").alias("n_sections"))
+
+
+@query()
+def chunk_export(t: Tables) -> DataFrame:
+    return text.chunks(text.sections(_marked_up(t), "slug", "body"), "urn:x:")
+
+
+# governance
+
+
+FOLD = "WITH RECURSIVE o AS (SELECT o_custkey AS c, o_orderkey || ':' || o_orderstatus AS body, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS seq FROM orders), f AS (SELECT c, seq, body, repeat('0', 64) AS prev, sha256(repeat('0', 64) || body) AS hash FROM o WHERE seq = 0 UNION ALL SELECT o.c, o.seq, o.body, f.hash, sha256(f.hash || o.body) FROM f JOIN o ON o.c = f.c AND o.seq = f.seq + 1)"
+
+
+def _chain(t: Tables) -> DataFrame:
+    return ledger.chain(t.orders.select("o_custkey", "o_orderdate", "o_orderkey", F.concat_ws(":", "o_orderkey", "o_orderstatus").alias("body")), "o_custkey", ["o_orderdate", "o_orderkey"], "body")
+
+
+@query(f"{FOLD} SELECT c AS o_custkey, CAST(seq AS INTEGER) AS seq, hash FROM f")
+def ledger_hashes(t: Tables) -> DataFrame:
+    return _chain(t).select("o_custkey", "seq", "hash")
+
+
+@query(f"{FOLD} SELECT c AS o_custkey, CAST(seq AS INTEGER) AS seq, 'hash' AS reason FROM f WHERE seq = 2")
+def ledger_verify(t: Tables) -> DataFrame:
+    """Every ledger's third entry has its body changed and is found."""
+    return ledger.verify(_chain(t).withColumn("body", F.when(F.col("seq") == 2, F.concat("body", F.lit("!"))).otherwise(F.col("body"))), "o_custkey")
+
+
+@query("SELECT slug, claimant FROM v_tasks WHERE state = 'TASK_STATE_WORKING'")
+def waiting_for_person(t: Tables) -> DataFrame:
+    return t.v_tasks.where("state = 'TASK_STATE_WORKING'").select("slug", "claimant")
+
+
+@query("SELECT 'tasks' AS what, CAST(count(*) AS BIGINT) AS n FROM v_tasks UNION ALL SELECT 'open', count(*) FROM v_tasks WHERE state <> 'TASK_STATE_COMPLETED' UNION ALL SELECT 'episodes', count(*) FROM v_episodes UNION ALL SELECT 'published', count(*) FROM v_items WHERE status = 'stable'")
+def now_state(t: Tables) -> DataFrame:
+    tasks = t.v_tasks
+    rows = [(tasks, "tasks"), (tasks.where("state != 'TASK_STATE_COMPLETED'"), "open"), (t.v_episodes, "episodes"), (t.v_items.where("status = 'stable'"), "published")]
+    out = None
+    for df, name in rows:
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+# metrics
+
+
+def _runs(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Orders of a priority as answers to it, best price first; those that are done are gold."""
+    some = t.orders.where("o_orderkey <= 3000")
+    rank = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    ranked = some.select(F.col("o_orderpriority").alias("qid"), rank.alias("rank"), F.col("o_orderkey").alias("id"))
+    return ranked, some.where("o_orderstatus = 'F'").select(F.col("o_orderpriority").alias("qid"), F.col("o_orderkey").alias("id"))
+
+
+RANKED = """s AS (SELECT * FROM orders WHERE o_orderkey <= 3000), r AS (SELECT o_orderpriority AS qid, o_orderkey AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM s),
+    g AS (SELECT o_orderpriority AS qid, o_orderkey AS id FROM s WHERE o_orderstatus = 'F'), n AS (SELECT qid, count(*) AS n_gold FROM g GROUP BY 1),
+    h AS (SELECT r.qid, r.rank, row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS nth FROM r JOIN g ON g.qid = r.qid AND g.id = r.id WHERE r.rank <= 10)"""
+
+
+@query(f"WITH {RANKED} SELECT n.qid, round(count(h.rank) / 10.0, 6) AS precision, round(count(h.rank) / n_gold, 6) AS recall FROM n LEFT JOIN h ON h.qid = n.qid GROUP BY n.qid, n_gold")
+def precision_recall_at_k(t: Tables) -> DataFrame:
+    return metrics.ranking(*_runs(t), 10).select("qid", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"WITH {RANKED} SELECT n.qid, round(coalesce(sum(1 / log2(rank + 1)), 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) x(i) WHERE i <= n_gold), 6) AS ndcg FROM n LEFT JOIN h ON h.qid = n.qid GROUP BY n.qid, n_gold")
+def ndcg_at_k(t: Tables) -> DataFrame:
+    return metrics.ranking(*_runs(t), 10).select("qid", F.round("ndcg", 6).alias("ndcg"))
+
+
+@query(f"WITH {RANKED} SELECT round(avg(rr), 4) AS mrr, round(avg(ap), 4) AS map FROM (SELECT n.qid, coalesce(1.0 / min(rank), 0) AS rr, coalesce(sum(nth / rank), 0) / n_gold AS ap FROM n LEFT JOIN h ON h.qid = n.qid GROUP BY n.qid, n_gold)")
+def mrr_map(t: Tables) -> DataFrame:
+    return metrics.ranking(*_runs(t), 10).agg(F.round(F.avg("rr"), 4).alias("mrr"), F.round(F.avg("ap"), 4).alias("map"))
+
+
+@query("""SELECT tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(tp + fn, 0), 4) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 4) AS f1 FROM (SELECT CAST(count(*) FILTER (said AND toxic = 1) AS BIGINT) AS tp,
+    CAST(count(*) FILTER (said AND toxic = 0) AS BIGINT) AS fp, CAST(count(*) FILTER (NOT said AND toxic = 1) AS BIGINT) AS fn, CAST(count(*) FILTER (NOT said AND toxic = 0) AS BIGINT) AS tn
+    FROM (SELECT toxic, contains(text, 'stupid') OR contains(text, 'worthless') OR contains(text, 'pathetic') AS said FROM documents d JOIN labels l ON l.doc_id = d.doc_id))""")
+def detector_confusion(t: Tables) -> DataFrame:
+    joined = t.documents.join(t.labels, "doc_id")
+    said = F.contains("text", F.lit("stupid")) | F.contains("text", F.lit("worthless")) | F.contains("text", F.lit("pathetic"))
+    return metrics.confusion(joined, said, F.col("toxic") == 1)
+
+
+@query("SELECT o_orderpriority AS priority, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY 1")
+def median_quantile(t: Tables) -> DataFrame:
+    return t.orders.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.round(F.percentile("o_totalprice", F.lit(0.5)), 4).alias("median"), F.round(F.percentile("o_totalprice", F.lit(0.9)), 4).alias("p90"))
+
+
+@query("SELECT round(avg(sign(a.c_acctbal - b.c_acctbal)), 4) AS delta FROM (SELECT c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING') a CROSS JOIN (SELECT c_acctbal FROM customer WHERE c_mktsegment = 'MACHINERY') b")
+def cliffs_delta(t: Tables) -> DataFrame:
+    return metrics.cliffs_delta(t.customer.where("c_mktsegment = 'BUILDING'"), t.customer.where("c_mktsegment = 'MACHINERY'"), "c_acctbal")
+
+
+@query("""WITH d AS (SELECT n_nationkey - n_regionkey * 4.0 AS d, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation WHERE n_nationkey < 12), o AS (SELECT abs(sum(d)) AS s FROM d),
+    f AS (SELECT b, abs(sum(CASE WHEN (b >> i) & 1 = 1 THEN -d ELSE d END)) AS s FROM d, range(4096) x(b) GROUP BY b) SELECT round(avg(CASE WHEN f.s >= o.s - 1e-12 THEN 1.0 ELSE 0.0 END), 4) AS p FROM f, o""")
+def permutation_exact(t: Tables) -> DataFrame:
+    return metrics.permutation_exact(t.nation.where("n_nationkey < 12").select((F.col("n_nationkey") - F.col("n_regionkey") * 4.0).alias("d")), "d")
+
+
+@query()
+def bootstrap_ci(t: Tables) -> DataFrame:
+    return metrics.bootstrap(t.customer, "c_acctbal")
