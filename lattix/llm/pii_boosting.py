@@ -128,7 +128,7 @@ def examples(n: int = EXAMPLES, seed: int = 17) -> list[tuple[str, int, int]]:
         (2, 1, lambda: f"{r.choice(['card', 'visa', 'payment with', 'credit card:', w()])} {spaced(card(), r.choice([' ', '-', '']))}"),
         (0, 1, lambda: f"{r.choice(['mail', 'contact', 'write to', w()])} {w()}{r.choice(['.', '_', ''])}{w()}{at()}{w()}{dot()}{r.choice(['com', 'org', 'net', 'de'])}"),
         (0, 1, lambda: f"{w()} {w()}@{w()}.{r.choice(['com', 'org'])}"),
-        (1, 1, lambda: f"{r.choice(['host', 'ip', 'server', w()])} {':'.join('%x' % r.randrange(1, 65536) for _ in range(8))}"),
+        (1, 1, lambda: f"{r.choice(['host', 'ip', 'server', w()])} {':'.join('%x' % r.randrange(r.choice([1, 16, 4096, 65536, 65536])) for _ in range(8))}"),
         (2, 0, lambda: f"{r.choice(['call', 'phone', 'tel.', 'order', w()])} {r.choice(['(%s) %s-%s', '%s-%s-%s']) % (d(3), d(3), d(4))}"),
         (2, 0, lambda: f"{r.choice(['order', 'ref', 'serial', 'id', 'number', 'card', w()])} {d(r.randint(12, 19))}"),
         (3, 0, lambda: f"{r.choice(['order', 'ref', 'serial', 'id', 'card', w()])} {d(r.randint(7, 19))}"),

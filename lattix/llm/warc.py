@@ -163,7 +163,7 @@ def gzip_records(stream, wanted, payloads: bool) -> Iterator[tuple[dict, bytes |
             piece = source.buffer[used:]
             used = len(source.buffer)
             body.append(inflate.decompress(piece))
-        source.buffer = inflate.unused_data
+        source.buffer = source.buffer[used - len(inflate.unused_data) :]
         if need:
             yield fields, b"".join(body)[: int(fields["content-length"])] if payloads else None
 

@@ -1,0 +1,230 @@
+import base64
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lattix.llm import language_mix, perplexity_rules, pfair_mix, pii_boosting, subword_classifier, url_filter, warc
+from lattix.llm.queries import URL_RULES
+from tests.llm.cases import corpus, frame, words
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def brute_base(text):
+    text = text or ""
+    w = re.findall(WORD, text)
+    lines, seen, dup = text.split("\n"), set(), 0
+    for x in lines:
+        dup += bool(re.search(WORD, x)) and x in seen
+        seen.add(x)
+    windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {i + k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
+
+
+def test_base_rules_against_brute_force(spark):
+    r = random.Random(6)
+    rows = [*corpus(), *((200 + i, "\n".join(words(r, r.randint(0, 3), ["a", "b", "é|", " x"]) for _ in range(12)), "en", "a", 0, 1, 1, "x", 0.0) for i in range(20))]
+    got = Counter(tuple(x)[:7] for x in perplexity_rules.judge(frame(spark, rows)).collect())
+    assert got == Counter((x[0], *brute_base(x[1])) for x in rows)
+    assert perplexity_rules.judge(frame(spark, [])).count() == 0
+
+
+def test_kneser_ney_sums_to_one_and_prefers_what_it_saw(spark):
+    text = ("the cat sat on the mat and the dog sat on the log. " * 40).encode()
+    part = perplexity_rules.textscan.Slice(0, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    codes = np.sort(perplexity_rules.ngram_codes(part))
+    first, n = perplexity_rules.textscan.runs(codes)
+    levels = perplexity_rules.kneser_ney(codes[first], n)
+    for context in (0, int(codes[10] >> 6), int(codes[-1] >> 6), (1 << 18) - 1):
+        every = (np.uint32(context) << np.uint32(6)) + np.arange(64, dtype=np.uint32)
+        assert abs(np.exp(perplexity_rules.log_probability(levels, every).astype(float)).sum() - 1) < 1e-4
+
+
+def test_bands_reject_outliers_of_a_language(spark):
+    r = random.Random(7)
+    rows = [(i, words(r, 150), "en", "a", 0, 1, 1, "x", 0.0) for i in range(60)] + [(99, " ".join("".join(r.choice("qxzjkvw7#@") for _ in range(7)) for _ in range(150)), "en", "a", 0, 1, 1, "x", 0.0)]
+    got = {x.doc_id: x for x in perplexity_rules.judge(frame(spark, rows)).collect()}
+    assert not got[99].base_failed and not got[99].kept and sum(x.kept for x in got.values()) >= 58
+
+
+def two_languages(n=60, seed=8):
+    r = random.Random(seed)
+    en, de = "the thing that was there with other words in their house".split(), "und nicht ein schön das wird über zwischen größer häuser".split()
+    return [(i, words(r, 60, en if i % 2 else de), "en" if i % 2 else "de", "a", 0, 1, 1, "x", 0.0) for i in range(n)], en, de, r
+
+
+def test_language_mixtures(spark):
+    rows, en, de, r = two_languages()
+    model = language_mix.train(frame(spark, rows))
+    mixed = words(r, 70, en) + " " + words(r, 30, de)
+    extra = [(900, mixed, None), (901, None, "en"), (902, "", None), (903, "123 !!! 45", None), (904, "× ÷", None), (905, words(r, 5000, de), None)]
+    docs = frame(spark, [*rows, *((a, b, c, "a", 0, 1, 1, "x", 0.0) for a, b, c in extra)])
+    got = {x.doc_id: x for x in language_mix.language_proportions(docs, model).collect()}
+    assert all(got[x[0]].lang_pred == x[2] and got[x[0]].score > 0.95 for x in rows)
+    assert got[900].lang_pred == "en" and abs(got[900].score - 0.7) < 0.06 and set(got[900].proportions) == {"en", "de"}
+    assert all((got[k].lang_pred, got[k].score) == ("und", 0.0) for k in (901, 902, 903, 904)) and got[905].lang_pred == "de"
+    kept = language_mix.accepted(docs, model)
+    assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {x[0] for x in rows} | {900, 905}
+
+
+def test_languages_of_nothing(spark):
+    none = language_mix.train(frame(spark, []))
+    assert {x.lang_pred for x in language_mix.language_proportions(frame(spark), none).collect()} == {"und"}
+    rows, *_ = two_languages(4)
+    assert language_mix.language_proportions(frame(spark, []), language_mix.train(frame(spark, rows))).count() == 0
+
+
+def test_classifier_on_held_out_labels(spark):
+    r = random.Random(9)
+    rows = [(i, words(r, 80) if i % 3 else words(r, 80).upper() + "!!", "en", "a", 0, 1, 1, "x", 0.0) for i in range(240)]
+    rows += [(900, None, *rows[0][2:]), (901, "", *rows[0][2:])]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(240)] + [(3, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in subword_classifier.quality_scores(frame(spark, rows), labels).collect()}
+    assert len(got) == len(rows) and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.7) for x in got.values())
+    out = [x for x in got.values() if x.held_out and x.doc_id < 240]
+    assert len(out) > 30 and sum(x.predicted == (x.doc_id % 3 > 0) for x in out) >= 0.95 * len(out)
+    assert got[900].score == got[901].score
+
+
+def test_url_rules_and_aliases(spark):
+    page = lambda i, url, html="": (i, url, html)
+    rows = [
+        page(1, "http://a.COM/en/1"), page(2, "http://x.info/z", '<link rel="canonical" href="http://a.com/en/1">'), page(3, "http://y.info/z", '<link href="http://x.info/z" rel=canonical>'),
+        page(4, "http://b.example.com/en/77", '<link rel=canonical href="http://a.com/en/1">'), page(5, "http://w.info/q", '<link rel=canonical href="http://b.example.com/en/77">'), page(6, None), page(7, "no scheme"), page(8, ""),
+        page(9, "https://k.example.net/de/8x"), page(10, "https://k.example.net/de/7"), page(11, "ftp://com/en/"), page(12, "http://xcom/en/"), page(13, "http://v.info/a"), page(14, "http://v.info/a"), page(15, "http://h.org?x=/es/"), page(16, "http://lone.info/", '<link rel=canonical href="/other">'),
+    ]
+    df = spark.createDataFrame([(*x, "z", "r") for x in rows], "page_id long, url string, html string, host string, rule string")
+    redirects = spark.createDataFrame([("http://v.info/a", "http://y.info/z"), (None, "http://y.info/z")], "from_url string, to_url string")
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filter.judge_urls(df, URL_RULES, redirects=redirects).collect()}
+    assert got[1] == ("a.com", "/en/1", "com/en/", "block") and got[4] == ("b.example.com", "/en/77", "example.com/en/7", "allow")
+    # an allowed page is in their component, so its aliases are not blocked
+    assert [got[i][3] for i in (2, 3, 5, 13, 14)] == ["allow"] * 5
+    assert got[6] == got[7] == got[8] == ("", "", None, "allow")
+    assert got[9][2:] == ("example.net/de/8", "block") and got[10][2:] == ("net/de/", "allow") and got[11][3] == "block" and got[12][2] is None and got[15] == ("h.org", "", None, "allow")
+    less = df.where("page_id not in (4, 5)")
+    got = {x.page_id: x.verdict for x in url_filter.judge_urls(less, URL_RULES, redirects=redirects).collect()}
+    assert [got[i] for i in (2, 3, 13, 14, 16)] == ["block"] * 4 + ["allow"]
+    assert url_filter.judge_urls(df.where("false"), URL_RULES).count() == 0
+
+
+def pages(spark):
+    rows = [(5, "http://a/", "same"), (3, "http://b/", "same"), (9, "http://c/\r\nX: y", "é" * 40_000), (1, None, None), (2, "", ""), (4, "http://d/", "WARC/1.1\r\n\r\nlooks like one\r\n\r\n"), (3, "http://b/", "same")]
+    return rows, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_warc_round_trip(spark, tmp_path, compression):
+    rows, df = pages(spark)
+    path = f"file://{tmp_path}/{compression}"
+    warc.write_warc(warc.archived(df), path, compression)
+    back = warc.read_warc(spark, path)
+    assert back.columns == [x.split(" ")[0] for x in warc.SCHEMA.split(", ")] and back.count() == len(rows)
+    one = warc.read_warc(spark, path, ("record_id", "record_type", "payload")).where("record_type = 'response' and record_id in ('<urn:page:4>', '<urn:page:9>')")
+    assert sorted(bytes(x.payload) for x in one.collect()) == sorted(x[2].encode() for x in rows if x[0] in (4, 9))
+    assert {x.record_id for x in warc.read_warc(spark, path, ("record_type", "record_id")).where("record_type = 'revisit'").collect()} == {"<urn:page:5>", "<urn:page:2>"}
+
+
+def test_warc_query_against_brute_force(spark):
+    rows, df = pages(spark)
+    first = {}
+    for i, _, html in sorted(rows, key=lambda x: x[0]):
+        first.setdefault(html or "", i)
+    want = Counter((i, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "response" if first[h or ""] == i else "revisit", None if first[h or ""] == i else first[h or ""]) for i, _, h in rows)
+    assert Counter(tuple(x) for x in warc.round_trip(df).collect()) == want
+    assert warc.round_trip(df.where("false")).count() == 0
+
+
+def test_warc_reads_foreign_files(spark, tmp_path):
+    import gzip
+
+    record = b"WARC/1.0\r\nwarc-type: resource\r\nWARC-Record-ID: <urn:a>\r\nX-Long: a\r\n b\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(record * 3)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(record.replace(b"resource", b"request")))
+    got = warc.read_warc(spark, f"file://{tmp_path}")
+    assert Counter((x.record_type, bytes(x.payload), x.payload_bytes) for x in got.collect()) == {("resource", b"abc", 3): 4, ("request", b"abc", 3): 1}
+    assert got.where("record_type = 'request'").count() == 1
+
+
+def test_schedule_keeps_within_one_block():
+    for seed in range(60):
+        r = random.Random(seed)
+        weights = {chr(97 + i): r.random() + 0.01 for i in range(r.randint(1, 7))}
+        parts = pfair_mix.whole_parts(weights, r.choice([10, 50, 1000]))
+        blocks, given = {s: r.randint(0, 40) for s in weights}, Counter()
+        for p in pfair_mix.phases(parts, blocks):
+            total, used = sum(parts[s] for s in p["before"]), dict.fromkeys(p["before"], 0)
+            slots = sorted((q * p["round"] + o, s) for s in used for q in range(p["length"] // p["round"] + 1) for o in p["slots"][s] if q * p["round"] + o < p["length"])
+            assert [x for x, _ in slots] == list(range(p["length"]))
+            for t, (_, s) in enumerate(slots, 1):
+                used[s] += 1
+                assert all(abs(used[u] - t * parts[u] / total) < 1 for u in used)
+            given.update(used)
+        assert +given == +Counter(blocks)
+
+
+def test_mix_keeps_every_row(spark, monkeypatch):
+    monkeypatch.setattr(pfair_mix, "RUN_ROWS", 7)
+    rows = corpus(n=150)
+    docs = frame(spark, rows)
+    got = pfair_mix.mix_sources(docs, {"a": 3, "b": 1}, block_rows=4).collect()
+    assert Counter(tuple(x)[: len(docs.columns)] for x in got) == Counter(rows) and len({x.position for x in got}) == len(rows)
+    slots = {}
+    for x in got:
+        slots.setdefault(x.slot, set()).add((x.source, x.block))
+    assert all(len(v) == 1 for v in slots.values()) and sorted(slots) == list(range(len(slots)))
+    order = [next(iter(slots[s]))[0] for s in sorted(slots)]
+    b = order.count("b")
+    assert all(abs(order[:t].count("b") - t / 4) < 1 for t in range(4 * b - 4)) and set(order[-3:]) <= {"c", None, "a"}
+    again = pfair_mix.mix_sources(docs.repartition(5), {"a": 3, "b": 1}, block_rows=4).collect()
+    assert Counter((x.doc_id, x.position) for x in again if x.doc_id != 102) == Counter((x.doc_id, x.position) for x in got if x.doc_id != 102)
+    assert pfair_mix.mix_sources(frame(spark, [])).count() == 0
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def passes(kind, s):
+    d = re.sub("[^0-9]", "", s)
+    luhn = sum((2 * x - 9 * (x > 4)) if i % 2 else x for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+    return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in s.split(".")), "card": 12 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]
+
+
+def test_personal_data_against_brute_force(spark):
+    r = random.Random(11)
+    bits = ["a@b.c", "@", "x.y@z-1.co.uk", "1.2.3.4", "256.1.1.1", "001.2.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+49 30 1234567)", ".", " ", "-", "12", "+", "\u0001", "😀", "é", "word ", "a@b.com.@c.de", "1.2.3.4.5.6.7.8", "5500005555555559", "@x.y"]
+    texts = [None, "", "9" * 20000, "a" * 20000 + "@", ".1" * 5000, "+1" * 3000] + ["".join(r.choice(bits) for _ in range(r.randint(1, 25))) for _ in range(300)]
+    df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(texts)], "doc_id long, text string, base int")
+    got = {x.doc_id: x for x in pii_boosting.digest(pii_boosting.find_personal_data(df)).collect()}
+    for i, text in enumerate(texts):
+        spans = sorted((m.start(), k, m.end(), kind) for k, (kind, p) in enumerate(PATTERNS.items()) for m in re.finditer(p, text or "") if passes(kind, m.group()))
+        said = [f"{kind}:{a}:{b}" for a, _, b, kind in spans]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest(), text
+        assert set(said) <= set(got[i].spans.split(",")) | {""} and tuple(got[i])[1:5] == tuple(sum(s[3] == k for s in spans) for k in PATTERNS)
+
+
+def test_boosted_trees_add_and_leave_alone(spark):
+    wanted = {0: "please call (212) 555-0147 today", 1: "write to jane (at) mail (dot) com now", 2: "server 2001:db8:0:0:1:0:0:17 is down"}
+    clean = {10: "The committee met at noon. They left.", 11: "in 2019-04-12 10 the order", 12: "version 3.14.15 of it", 13: "he looked at them and at her. Then"}
+    df = spark.createDataFrame([*wanted.items(), *clean.items(), (20, None)], "doc_id long, text string")
+    model = pii_boosting.train(spark)
+    got = {x.doc_id: x for x in pii_boosting.find_personal_data(df, model=model).collect()}
+    assert [[pii_boosting.KINDS[s.kind] for s in got[i].added] for i in wanted] == [["phone"], ["email"], ["ip"]]
+    assert all(not got[i].added and not got[i].base for i in [*clean, 20])
+    texts = {x.doc_id: x.text for x in pii_boosting.redact(df, model=model).collect()}
+    assert texts[1] == "write to [EMAIL] now" and texts[10] == clean[10]
+    assert pii_boosting.find_personal_data(df.where("false"), model=model).count() == 0
+
+
+def test_held_out_rows(spark):
+    import zlib
+
+    df = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long")
+    got = {x.doc_id: x.h for x in df.select("doc_id", language_mix.held_out("doc_id", 4, 2).alias("h")).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(50)} | {None: False}
+    assert F.col("h") is not None
