@@ -9,6 +9,8 @@ from lattix.llm import language_mix, line_dedup, ngram_join, pfair_mix, phrase_i
 from lattix.llm.scratch import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Up to so many ids are sent to every executor.
+BROADCAST_IDS = 2_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,20 +24,27 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """For a join: sent to all executors if that is few rows, else shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays; of rows with one id, one."""
-    found = ngram_join.similar_components(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(again).select(*COLUMNS)
+    first = written(ngram_join.similar_components(docs).where("doc_id = component_id").groupBy("doc_id").count(), "first")
+    kept = docs.join(_small(first.select("doc_id")), "doc_id", "left_semi").select(*COLUMNS)
+    twice = first.where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    one = kept.join(_small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(_small(twice), "doc_id", "left_anti").unionByName(one).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that share a window of ten words with a benchmark item."""
     found = phrase_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    tainted = written(found.where("contaminated").select("doc_id").distinct(), "tainted")
+    return docs.join(_small(tainted), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
