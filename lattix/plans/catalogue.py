@@ -685,3 +685,163 @@ def permutation_exact(t: Tables) -> DataFrame:
 @query()
 def bootstrap_ci(t: Tables) -> DataFrame:
     return metrics.bootstrap(t.customer, "c_acctbal")
+
+
+# more of each group
+
+
+@query("SELECT source, target FROM v_links JOIN part s ON source = 'part-' || s.p_partkey JOIN part g ON target = 'part-' || g.p_partkey WHERE key = 'uses' AND s.p_brand <> g.p_brand")
+def target_kind_filter(t: Tables) -> DataFrame:
+    """Links whose target is of another kind than the source."""
+    kinds = t.part.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("slug"), F.col("p_brand").alias("kind"))
+    own = t.v_links.where("key = 'uses'").join(kinds.withColumnsRenamed({"slug": "source", "kind": "own"}), "source")
+    return own.join(kinds.withColumnsRenamed({"slug": "target", "kind": "other"}), "target").where("own != other").select("source", "target")
+
+
+@query("SELECT d.doc_id, l.toxic, coalesce(CAST(l.quality AS VARCHAR), 'none') AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def crosswalk_left(t: Tables) -> DataFrame:
+    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", "toxic", F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("quality"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN l.n IS NULL THEN 'absent' WHEN l.n > 5 THEN 'differs' ELSE 'same' END AS verdict FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0")
+def manifest_check(t: Tables) -> DataFrame:
+    """What a list says against what is found: absent, differing or the same."""
+    found = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    verdict = F.when(F.col("n").isNull(), "absent").when(F.col("n") > 5, "differs").otherwise("same")
+    return t.orders.where("o_orderkey % 3 = 0").join(found, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(F.col("o_orderkey").cast("string").alias("path"), verdict.alias("verdict"))
+
+
+@query("SELECT r.lane, CAST(coalesce(count(e.event_id), 0) AS BIGINT) AS merges FROM (SELECT 'user-' || i AS lane FROM range(0, 400) x(i)) r LEFT JOIN v_episodes e ON e.actor = r.lane AND e.outcome = 'success' GROUP BY 1")
+def ledger_merges_by_lane(t: Tables) -> DataFrame:
+    lanes = t.spark.range(400).select(F.concat(F.lit("user-"), F.col("id").cast("string")).alias("lane"))
+    merges = t.v_episodes.where("outcome = 'success'").groupBy(F.col("actor").alias("lane")).agg(F.count("*").alias("merges"))
+    return lanes.join(merges, "lane", "left").select("lane", F.coalesce("merges", F.lit(0)).alias("merges"))
+
+
+@query("SELECT title, cluster, k FROM (SELECT title, cluster, k, row_number() OVER (PARTITION BY title ORDER BY k) AS n FROM v_items WHERE status <> 'draft') WHERE n = 1")
+def earliest_label(t: Tables) -> DataFrame:
+    return t.v_items.where("status != 'draft'").groupBy("title").agg(F.min(F.struct("k", "cluster")).alias("x")).select("title", "x.cluster", "x.k")
+
+
+@query("SELECT source, key, target FROM v_links ORDER BY source, key, target LIMIT 200")
+def edges_sorted(t: Tables) -> DataFrame:
+    return t.v_links.orderBy("source", "key", "target").limit(200)
+
+
+@query(f"SELECT cluster, min(score_slug) AS best FROM (SELECT i.cluster, lpad(CAST(99 - s.score AS VARCHAR), 2, '0') || ' ' || s.slug AS score_slug FROM ({SEARCH}) s JOIN v_items i ON i.slug = s.slug) GROUP BY 1")
+def rank_best_chunk(t: Tables) -> DataFrame:
+    """The best hit of each cluster."""
+    hits = text.search(text.postings(t.v_items, "slug", "body"), OPEN_WORDS)
+    best = t.v_items.join(hits, "slug").groupBy("cluster").agg(F.min(F.struct(-F.col("score"), F.col("slug"), F.col("score"))).alias("b"))
+    return best.select("cluster", F.concat_ws(" ", F.lpad((99 - F.col("b.score")).cast("string"), 2, "0"), F.col("b.slug")).alias("best"))
+
+
+@query("SELECT s, p, o FROM (SELECT o AS s, 'hasCustomer' AS p, s AS o FROM v_triples WHERE p = 'inNation') EXCEPT SELECT s, p, o FROM v_triples WHERE s = 'nation-1'")
+def closure_minus_base(t: Tables) -> DataFrame:
+    derived = rdf.construct(rdf.match(t.v_triples, ("?c", "inNation", "?n")), [("?n", "hasCustomer", "?c")])
+    return derived.join(t.v_triples.where("s = 'nation-1'"), ["s", "p", "o"], "left_anti")
+
+
+@query("SELECT 'here' AS origin, slug, state FROM v_tasks WHERE k % 100 = 0 UNION ALL SELECT 'peer', 'peer/' || slug, state FROM v_tasks WHERE k % 150 = 0")
+def board_merge(t: Tables) -> DataFrame:
+    here = t.v_tasks.where("k % 100 = 0").select(F.lit("here").alias("origin"), "slug", "state")
+    return here.unionByName(t.v_tasks.where("k % 150 = 0").select(F.lit("peer").alias("origin"), F.concat(F.lit("peer/"), "slug").alias("slug"), "state"))
+
+
+@query("SELECT a.s AS s, 'rdf:type' AS p, b.b AS o FROM v_triples a JOIN (SELECT 'Customer' AS a, 'Agent' AS b UNION ALL SELECT 'Nation', 'Area' UNION ALL SELECT 'Region', 'Area') b ON a.o = b.a WHERE a.p = 'rdf:type' UNION SELECT s, p, o FROM v_triples WHERE p = 'rdf:type'")
+def rl_subclass(t: Tables) -> DataFrame:
+    v = t.spark.createDataFrame([("subClassOf", "Customer", "Agent"), ("subClassOf", "Nation", "Area"), ("subClassOf", "Region", "Area")], "rule string, a string, b string")
+    return rdf.rule_closure(t.v_triples.where("p = 'rdf:type'"), v)
+
+
+@query("SELECT s, p, o FROM v_triples WHERE p = 'inRegion' UNION SELECT o, 'hasNation', s FROM v_triples WHERE p = 'inRegion'")
+def rl_inverse(t: Tables) -> DataFrame:
+    return rdf.rule_closure(t.v_triples.where("p = 'inRegion'"), t.spark.createDataFrame([("inverseOf", "inRegion", "hasNation")], "rule string, a string, b string"))
+
+
+@query(_plus("v_broader").replace("SELECT source, target FROM r ", "SELECT source AS s, 'within' AS p, target AS o FROM r "))
+def rl_transitive(t: Tables) -> DataFrame:
+    base = t.v_broader.select(F.col("source").alias("s"), F.lit("within").alias("p"), F.col("target").alias("o"))
+    return rdf.rule_closure(base, t.spark.createDataFrame([("transitive", "within", "within")], "rule string, a string, b string"))
+
+
+@query("SELECT DISTINCT source AS node FROM v_uses WHERE source = target")
+def irreflexive(t: Tables) -> DataFrame:
+    return t.v_uses.where("source = target").select(F.col("source").alias("node")).distinct()
+
+
+@query("""WITH RECURSIVE r AS (SELECT source, target, 1 AS d FROM v_requires UNION ALL SELECT r.source, e.target, d + 1 FROM r JOIN v_requires e ON e.source = r.target)
+    SELECT q.source, q.target, CASE WHEN e.source IS NOT NULL THEN 'authored' WHEN i.source IS NOT NULL THEN 'inverse' WHEN r.source IS NOT NULL THEN 'chain' ELSE 'no' END AS why
+    FROM (SELECT p_partkey AS source, CAST(p_size AS BIGINT) AS target FROM part) q LEFT JOIN v_requires e ON e.source = q.source AND e.target = q.target
+    LEFT JOIN v_requires i ON i.source = q.target AND i.target = q.source LEFT JOIN r ON r.source = q.source AND r.target = q.target""")
+def explain_link(t: Tables) -> DataFrame:
+    """Why a link holds: it is authored, is the inverse of one, or follows by a chain."""
+    asked = t.part.select(F.col("p_partkey").alias("source"), F.col("p_size").cast("long").alias("target"))
+    edges = t.v_requires
+    known = edges.withColumn("rank", F.lit(0)).union(graph.inverse(edges).withColumn("rank", F.lit(1))).union(graph.reach(edges).select("source", "target", F.lit(2)))
+    best = asked.join(known, ["source", "target"], "left").groupBy("source", "target").agg(F.min("rank").alias("rank"))
+    return best.select("source", "target", F.when(F.col("rank") == 0, "authored").when(F.col("rank") == 1, "inverse").when(F.col("rank") == 2, "chain").otherwise("no").alias("why"))
+
+
+@query(f"""{HIDDEN} SELECT slug, 'no-description' AS gap FROM m JOIN part ON p_partkey = slug WHERE p_size < 5 UNION ALL SELECT DISTINCT target, 'outside' FROM v_uses WHERE source IN (SELECT slug FROM m) AND target NOT IN (SELECT slug FROM m)""")
+def brief_gaps(t: Tables) -> DataFrame:
+    """What a composed selection lacks: members that say too little, and what they use without having it."""
+    whole = compose.closure(_selection(t), t.v_requires)
+    members = whole.join(compose.hidden(whole, t.v_supersedes), "slug", "left_anti").select("slug")
+    small = members.join(t.part.where("p_size < 5").select(F.col("p_partkey").alias("slug")), "slug", "left_semi").withColumn("gap", F.lit("no-description"))
+    return small.union(compose.warnings(members, t.v_uses).select(F.col("missing").alias("slug"), F.lit("outside").alias("gap")).distinct())
+
+
+@query("SELECT substr(sha256(string_agg(slug || chr(10), '' ORDER BY slug)), 1, 64) AS digest, CAST(count(*) AS BIGINT) AS n FROM v_tasks WHERE k < 2000")
+def chunk_commitment(t: Tables) -> DataFrame:
+    """Count and digest of a set of ids, sorted and each followed by a line end."""
+    return t.v_tasks.where("k < 2000").agg(F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("slug")), "\n"), F.lit("\n")), 256).alias("digest"), F.count("*").alias("n"))
+
+
+@query("SELECT slug, sha256('urn:x:' || slug || chr(0) || '0' || chr(0) || '0') AS id FROM v_items")
+def chunk_ids(t: Tables) -> DataFrame:
+    parts = t.v_items.select("slug", F.lit(0).alias("section"), F.lit("x").alias("body"))
+    return text.chunks(parts, "urn:x:").select("slug", "id")
+
+
+@query("SELECT k FROM v_items WHERE regexp_matches(body, '[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{FEFF}]') OR contains(body, chr(223))")
+def hidden_text(t: Tables) -> DataFrame:
+    return t.v_items.where(text.hidden_characters(F.col("body")) | F.contains("body", F.lit("ß"))).select("k")
+
+
+@query("SELECT k, array_to_string(list_sort(list_filter(['Intent', 'The', 'And'], lambda x: NOT contains(body, x))), ',') AS missing FROM v_items")
+def sections_missing(t: Tables) -> DataFrame:
+    wanted = ["Intent", "The", "And"]
+    present = F.filter(F.array(*[F.lit(x) for x in wanted]), lambda x: F.contains("body", x))
+    return t.v_items.select("k", F.array_join(F.array_sort(text.required_missing(present, wanted)), ",").alias("missing"))
+
+
+@query("SELECT event_id, regexp_extract(props, '\"k\": *([0-9]+)', 1) AS k FROM events WHERE event_type = 'purchase'")
+def trailers(t: Tables) -> DataFrame:
+    return t.events.where("event_type = 'purchase'").select("event_id", F.regexp_extract("props", r'"k": *([0-9]+)', 1).alias("k"))
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n > 1 AND o_orderpriority = '1-URGENT'")
+def auto_merge_violations(t: Tables) -> DataFrame:
+    """Entries after a ledger's first that break its rule."""
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return t.orders.withColumn("n", n).where("n > 1 and o_orderpriority = '1-URGENT'").select("o_orderkey")
+
+
+@query("SELECT event_id, coalesce('v' || last_value(tagged IGNORE NULLS) OVER w || '+' || (event_id - last_value(tagged IGNORE NULLS) OVER w), '0') AS version FROM (SELECT event_id, user_id, CASE WHEN event_type = 'purchase' THEN event_id END AS tagged FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def content_version(t: Tables) -> DataFrame:
+    """The nearest tag before an entry and how many steps it is away."""
+    tagged = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    last = F.last_value(tagged, F.lit(True)).over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
+    return t.events.withColumn("tag", last).select("event_id", F.coalesce(F.concat(F.lit("v"), "tag", F.lit("+"), F.col("event_id") - F.col("tag")), F.lit("0")).alias("version"))
+
+
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?://[^/?#]*example\\.(com|net)[/?#]') AND NOT regexp_matches(url, '\\?')")
+def same_origin(t: Tables) -> DataFrame:
+    return t.pages.where(F.parse_url("url", F.lit("HOST")).rlike(r"example\.(com|net)$") & F.parse_url("url", F.lit("QUERY")).isNull()).select("page_id", "url")
+
+
+@query("SELECT doc_id, replace(replace(regexp_replace(left(text, 40), '^([=+@-])', '''\\1'), chr(10), ' '), '\"', '\"\"') AS cell FROM documents")
+def csv_cells(t: Tables) -> DataFrame:
+    cell = text.csv_guarded(F.left("text", F.lit(40)))
+    return t.documents.select("doc_id", F.replace(F.replace(cell, F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit('""')).alias("cell"))
