@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattix.functions import metrics, text
-from lattix.operators import compose, graph, ledger, links, rdf
+from lattix.functions import metrics, scalars, text
+from lattix.operators import compose, graph, ledger, links, lints, rdf, suggest
 from lattix.plans.views import Tables, with_views
+from lattix.sources import exchange
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -845,3 +846,68 @@ def same_origin(t: Tables) -> DataFrame:
 def csv_cells(t: Tables) -> DataFrame:
     cell = text.csv_guarded(F.left("text", F.lit(40)))
     return t.documents.select("doc_id", F.replace(F.replace(cell, F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit('""')).alias("cell"))
+
+
+# checks, suggestions and exchange
+
+
+@query("""SELECT severity, code, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'error' AS severity, 'personal-data' AS code FROM v_items
+      WHERE len(regexp_extract_all(body, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) + len(regexp_extract_all(body, '\\+[0-9]{1,3}[ .-]?\\(?[0-9]{2,4}\\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}')) > 0
+    UNION ALL SELECT 'error', 'slug' FROM v_items WHERE NOT regexp_matches(replace(slug, 'doc-1', 'doc_1'), '^[a-z0-9]+(-[a-z0-9]+)*$')) GROUP BY 1, 2""")
+def lint_summary(t: Tables) -> DataFrame:
+    items = t.v_items
+    renamed = items.withColumn("slug", F.replace("slug", F.lit("doc-1"), F.lit("doc_1")))
+    return lints.summary(lints.all_of(lints.personal_data(items), lints.bad_slugs(renamed)))
+
+
+@query("""WITH t AS (SELECT slug, title, ' ' || array_to_string(list_filter(regexp_split_to_array(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\p{L}\\p{Nd}\\p{M}]+'), lambda x: length(x) >= 2), ' ') || ' ' AS said,
+      list_filter(regexp_split_to_array(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\p{L}\\p{Nd}\\p{M}]+'), lambda x: length(x) >= 2) AS words FROM v_items WHERE length(body) < 1500)
+    SELECT a.slug AS source, b.slug AS target, 'title' AS reason, CAST(len(b.words) AS BIGINT) AS score FROM t a JOIN t b ON a.slug <> b.slug AND len(b.words) BETWEEN 2 AND 4 AND contains(a.said, ' ' || array_to_string(b.words, ' ') || ' ')""")
+def suggest_by_title(t: Tables) -> DataFrame:
+    return suggest.by_title(t.v_items.where("length(body) < 1500"), longest=4).where("score >= 2")
+
+
+@query("SELECT cluster, n_members, sha256(pack) AS lock FROM (SELECT p_brand AS cluster, CAST(count(*) AS BIGINT) AS n_members, string_agg('# ' || slug || chr(10) || p_name, chr(10) || chr(10) ORDER BY slug) AS pack FROM (SELECT *, 'part-' || p_partkey AS slug FROM part) GROUP BY 1)")
+def skill_packs(t: Tables) -> DataFrame:
+    items = t.part.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("slug"), F.array("p_brand").alias("clusters"), F.col("p_name").alias("text"))
+    return exchange.packs(items).select("cluster", "n_members", "lock")
+
+
+@query("SELECT coalesce(a.k, b.k) AS cluster, CASE WHEN b.k IS NULL THEN 'new' WHEN a.k IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'updated' END AS action FROM (SELECT c_custkey AS k, c_mktsegment AS h FROM customer WHERE c_custkey > 100) a FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'old' END AS h FROM customer WHERE c_custkey < 1000) b ON a.k = b.k")
+def pack_install_plan(t: Tables) -> DataFrame:
+    new = t.customer.where("c_custkey > 100").select(F.col("c_custkey").alias("cluster"), F.col("c_mktsegment").alias("lock"))
+    old = t.customer.where("c_custkey < 1000").select(F.col("c_custkey").alias("cluster"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("old").alias("lock"))
+    return exchange.install_plan(new, old)
+
+
+@query("SELECT page_id, 'sha-256=:' || base64(unhex(sha256(url))) || ':' AS digest FROM pages")
+def content_digests(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", scalars.content_digest(F.col("url")).alias("digest"))
+
+
+@query("SELECT DISTINCT least(a.source, a.target) AS a, greatest(a.source, a.target) AS b FROM (SELECT c_nationkey AS source, c_custkey % 25 AS target FROM customer) a JOIN (SELECT c_nationkey AS source, c_custkey % 25 AS target FROM customer) b ON a.source = b.target AND a.target = b.source WHERE a.source <> a.target")
+def mutual_peers(t: Tables) -> DataFrame:
+    return exchange.mutual_peers(t.customer.select(F.col("c_nationkey").cast("long").alias("source"), (F.col("c_custkey") % 25).alias("target")))
+
+
+@query("SELECT '<' || s || '> ' || string_agg('<' || p || '> ' || CASE WHEN p IN ('label', 'segment') THEN '\"' || o || '\"' ELSE '<' || o || '>' END, ' ;' || chr(10) || '    ' ORDER BY '<' || p || '> ' || CASE WHEN p IN ('label', 'segment') THEN '\"' || o || '\"' ELSE '<' || o || '>' END) || ' .' AS block FROM v_triples GROUP BY s")
+def turtle_blocks(t: Tables) -> DataFrame:
+    return exchange.turtle(t.v_triples, F.col("p").isin("label", "segment"))
+
+
+@query("SELECT event_id, n BETWEEN 167772160 AND 184549375 OR n BETWEEN 2130706432 AND 2147483647 OR n BETWEEN 0 AND 16777215 OR n BETWEEN 1681915904 AND 1686110207 AS refused FROM (SELECT event_id, CAST(user_id % 150 AS BIGINT) * 16777216 + (event_id % 256) * 65536 + 1 AS n FROM events)")
+def refused_addresses(t: Tables) -> DataFrame:
+    address = F.concat_ws(".", (F.col("user_id") % 150).cast("string"), (F.col("event_id") % 256).cast("string"), F.lit("0"), F.lit("1"))
+    return t.events.select("event_id", scalars.refused_address(address).alias("refused"))
+
+
+@query("SELECT event_id, CAST(round(value * 1000000) AS BIGINT) AS micros FROM events")
+def exact_money(t: Tables) -> DataFrame:
+    return t.events.select("event_id", scalars.micros(F.col("value")).alias("micros"))
+
+
+@query("SELECT s AS concept, o AS label, CASE WHEN s LIKE 'nation-1%' THEN 'region-0' END AS broader, s NOT LIKE 'nation-1%' AS top FROM v_triples WHERE p = 'label'")
+def thesaurus_import(t: Tables) -> DataFrame:
+    labels = t.v_triples.where("p = 'label'")
+    part = lambda p, o: labels.select("s", F.lit(p).alias("p"), o.alias("o"))
+    return exchange.thesaurus(part("rdf:type", F.lit("skos:Concept")).union(part("skos:prefLabel", F.col("o"))).union(part("skos:broader", F.lit("region-0")).where("s like 'nation-1%'")))
