@@ -120,3 +120,25 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p JOIN f ON p.h = f.h
 """
+
+#: A page without a rule looks at all pages that links join it to.
+ORACLES["op3_url_filter"] = r"""
+WITH RECURSIVE rules AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) x(action, h, p)),
+u AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+tags AS (SELECT url, list_filter(regexp_extract_all(html, '(?i)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?i)\brel\s*=\s*["'']?canonical\b'))[1] AS tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)' AS pat FROM u WHERE contains(url, '://')
+  UNION ALL SELECT url, list_filter(regexp_extract_all(html, '(?i)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1], '(?i)\burl\s*=\s*["'']?([^"''\s>]+)' FROM u WHERE contains(url, '://')),
+t AS (SELECT url, replace(CASE WHEN pat LIKE '%href%' THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END, '&amp;', '&') AS target FROM tags WHERE tag IS NOT NULL),
+full_url AS (SELECT url, CASE WHEN contains(target, '://') THEN target WHEN target LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || target WHEN target LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || target
+  ELSE regexp_replace(regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1), '/?$', '/') || target END AS target FROM t WHERE target <> ''),
+split AS (SELECT url, regexp_extract(url, '(?s)^.*?://([^#]*)', 1) AS rest FROM (SELECT url FROM u WHERE contains(url, '://') UNION SELECT target FROM full_url WHERE contains(target, '://'))),
+node AS (SELECT url, translate(regexp_extract(rest, '^([^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '(?s)^[^/?]*(.*)', 1) AS node FROM split),
+e AS (SELECT a.node AS a, b.node AS b FROM full_url f JOIN node a ON a.url = f.url JOIN node b ON b.url = f.target WHERE a.node <> b.node),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a AS v, b AS w FROM both_ways UNION SELECT r.v, x.b FROM reach r JOIN both_ways x ON x.a = r.w),
+parts AS (SELECT DISTINCT k, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT url AS k, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM u UNION ALL SELECT w, w FROM reach)),
+ruled AS (SELECT k, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action FROM parts LEFT JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY ALL),
+spread AS (SELECT v FROM reach JOIN ruled ON k = w GROUP BY v HAVING bool_or(coalesce(action, '') = 'block') AND NOT bool_or(coalesce(action, '') = 'allow'))
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN node IN (SELECT v FROM spread) THEN 'block' ELSE 'allow' END) AS verdict, rule IS NULL AND coalesce(node IN (SELECT v FROM spread), false) AS by_alias
+FROM u JOIN ruled ON k = u.url LEFT JOIN node ON node.url = u.url
+"""
