@@ -10,14 +10,18 @@ from pyspark.sql.window import Window
 TASK_STATES = ("TASK_STATE_SUBMITTED", "TASK_STATE_WORKING", "TASK_STATE_INPUT_REQUIRED", "TASK_STATE_AUTH_REQUIRED", "TASK_STATE_COMPLETED", "TASK_STATE_CANCELED", "TASK_STATE_FAILED", "TASK_STATE_REJECTED", "TASK_STATE_UNSPECIFIED")
 TERMINAL = ("TASK_STATE_COMPLETED", "TASK_STATE_CANCELED", "TASK_STATE_FAILED", "TASK_STATE_REJECTED")
 
-# Words of other trackers for states.
+# Words of other trackers for states, without blanks, hyphens, colons and apostrophes.
 STATE_WORDS = {
-    "todo": "TASK_STATE_SUBMITTED", "open": "TASK_STATE_SUBMITTED", "backlog": "TASK_STATE_SUBMITTED", "new": "TASK_STATE_SUBMITTED", "to do": "TASK_STATE_SUBMITTED",
-    "doing": "TASK_STATE_WORKING", "in progress": "TASK_STATE_WORKING", "started": "TASK_STATE_WORKING", "in review": "TASK_STATE_WORKING", "active": "TASK_STATE_WORKING",
-    "blocked": "TASK_STATE_INPUT_REQUIRED", "waiting": "TASK_STATE_INPUT_REQUIRED", "on hold": "TASK_STATE_INPUT_REQUIRED",
-    "done": "TASK_STATE_COMPLETED", "closed": "TASK_STATE_COMPLETED", "complete": "TASK_STATE_COMPLETED", "completed": "TASK_STATE_COMPLETED", "resolved": "TASK_STATE_COMPLETED",
-    "canceled": "TASK_STATE_CANCELED", "cancelled": "TASK_STATE_CANCELED", "won't do": "TASK_STATE_CANCELED", "not planned": "TASK_STATE_CANCELED", "duplicate": "TASK_STATE_CANCELED",
-}
+    "TASK_STATE_UNSPECIFIED": ("backlog", "icebox", "triage", "unspecified", "none"),
+    "TASK_STATE_SUBMITTED": ("todo", "open", "opened", "new", "ready", "selectedfordevelopment", "submitted", "notstarted", "planned", "unstarted", "next", "reopened"),
+    "TASK_STATE_WORKING": ("inprogress", "doing", "started", "working", "inreview", "review", "codereview", "active", "wip", "intesting", "testing"),
+    "TASK_STATE_INPUT_REQUIRED": ("blocked", "waiting", "onhold", "needsinfo", "inputrequired", "pending", "waitingforinput"),
+    "TASK_STATE_AUTH_REQUIRED": ("authrequired", "approval", "awaitingapproval", "needsapproval", "pendingapproval"),
+    "TASK_STATE_COMPLETED": ("done", "closed", "resolved", "complete", "completed", "shipped", "released", "fixed", "closedcompleted"),
+    "TASK_STATE_FAILED": ("failed", "failure"),
+    "TASK_STATE_CANCELED": ("canceled", "cancelled", "wontdo", "wontfix", "duplicate", "notplanned", "closednotplanned", "obsolete", "abandoned"),
+    "TASK_STATE_REJECTED": ("rejected", "declined", "invalid"),
+}
 
 
 def chain(entries: DataFrame, ledger: str, order: list[str], body: str) -> DataFrame:
@@ -55,5 +59,8 @@ def spend(episodes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def state_of(word: str) -> Column:
-    words = F.create_map(*[F.lit(x) for pair in STATE_WORDS.items() for x in pair])
-    return F.coalesce(F.try_element_at(words, F.lower(F.trim(F.col(word)))), F.lit("TASK_STATE_UNSPECIFIED"))
+    """The state that a tracker's word stands for; unspecified for words that aren't known."""
+    plain = F.regexp_replace(F.lower(F.col(word)), r"[\s\-_:'’]+", "")
+    by_word = {w: state for state, words in STATE_WORDS.items() for w in words}
+    words = F.create_map(*[F.lit(x) for pair in by_word.items() for x in pair])
+    return F.coalesce(F.try_element_at(words, plain), F.lit("TASK_STATE_UNSPECIFIED"))

@@ -538,25 +538,33 @@ def tokenize(t: Tables) -> DataFrame:
     return t.v_items.select("slug", F.size(F.array_distinct(text.tokens(F.col("body")))).cast("long").alias("n_tokens")).where("n_tokens > 0")
 
 
-@query("SELECT k, m AS email FROM (SELECT k, unnest(regexp_extract_all(body, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS m FROM v_items)")
+def _q(pattern: str) -> str:
+    """A pattern as an SQL string."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+@query(f"SELECT k, m AS email FROM (SELECT k, unnest(regexp_extract_all(body, {_q(text.EMAIL)})) AS m FROM v_items)")
 def pii_email(t: Tables) -> DataFrame:
     return t.v_items.where(F.contains("body", F.lit("@"))).select("k", F.explode(text.emails(F.col("body"))).alias("email"))
 
 
-@query("SELECT k, m AS phone FROM (SELECT k, unnest(regexp_extract_all(body, '\\+[0-9]{1,3}[ .-]?\\(?[0-9]{2,4}\\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}')) AS m FROM v_items)")
+@query(f"SELECT k, m AS phone FROM (SELECT k, unnest(regexp_extract_all(body, {_q(text.PHONE)})) AS m FROM v_items)")
 def pii_phone(t: Tables) -> DataFrame:
-    return t.v_items.where(F.contains("body", F.lit("+"))).select("k", F.explode(text.phones(F.col("body"))).alias("phone"))
+    return t.v_items.select("k", F.explode(text.phones(F.col("body"))).alias("phone"))
 
 
-@query("SELECT k, regexp_extract(m, '([A-Za-z0-9/+_-]{8,})$', 1) AS secret FROM (SELECT k, unnest(regexp_extract_all(body, '(?i)(?:password|passwd|api_?key|secret|access_token)\\s*[=:]\\s*[\"'']?[A-Za-z0-9/+_-]{8,}')) AS m FROM v_items)")
+@query(f"""SELECT k, m AS secret FROM (SELECT k, unnest(list_concat(regexp_extract_all(body, {_q(text.PRIVATE_KEY)}), regexp_extract_all(body, {_q(text.PROVIDER_TOKEN)}))) AS m FROM v_items
+    UNION ALL SELECT k, m FROM (SELECT k, unnest(regexp_extract_all(body, {_q(text.ASSIGNMENT)}, 1)) AS m FROM v_items) WHERE NOT regexp_matches(m, {_q(text.PLACEHOLDERS)}))""")
 def secrets(t: Tables) -> DataFrame:
     return t.v_items.select("k", F.explode(text.secrets(F.col("body"))).alias("secret"))
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'ignore previous instructions') OR contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'you are now') OR contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'system prompt')")
+@query("SELECT conv_id, turn, p AS phrase FROM (SELECT conv_id, turn, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM conversations), (SELECT unnest([" + ", ".join(_q(p) for p in ("the", *text.INJECTION_PHRASES)) + "]) AS p) WHERE contains(low, p) AND (p <> 'the' OR turn = 0)")
 def injection_phrases(t: Tables) -> DataFrame:
-    wanted = ["ignore previous instructions", "you are now", "system prompt"]
-    return t.conversations.where(F.arrays_overlap(text.injection_phrases(F.col("text")), F.array(*[F.lit(x) for x in wanted]))).select("conv_id", "turn")
+    """Phrases of the list in any turn, and a common word in the first ones."""
+    some = t.conversations
+    listed = some.select("conv_id", "turn", F.explode(text.injection_phrases(F.col("text"))).alias("phrase"))
+    return listed.union(some.where(F.contains(text.ascii_lower(F.col("text")), F.lit("the")) & (F.col("turn") == 0)).select("conv_id", "turn", F.lit("the")))
 
 
 @query("SELECT page_id, CAST(count(*) AS BIGINT) AS n_links FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1)) AS u FROM pages) GROUP BY 1")
@@ -805,7 +813,7 @@ def chunk_ids(t: Tables) -> DataFrame:
     return text.chunks(parts, "urn:x:").select("slug", "id")
 
 
-@query("SELECT k FROM v_items WHERE regexp_matches(body, '[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{FEFF}]') OR contains(body, chr(223))")
+@query("SELECT k FROM v_items WHERE regexp_matches(body, '[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}\\x{FE00}-\\x{FE0F}]|<!--') OR contains(body, chr(223))")
 def hidden_text(t: Tables) -> DataFrame:
     return t.v_items.where(text.hidden_characters(F.col("body")) | F.contains("body", F.lit("ß"))).select("k")
 
@@ -851,8 +859,7 @@ def csv_cells(t: Tables) -> DataFrame:
 # checks, suggestions and exchange
 
 
-@query("""SELECT severity, code, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'error' AS severity, 'personal-data' AS code FROM v_items
-      WHERE len(regexp_extract_all(body, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) + len(regexp_extract_all(body, '\\+[0-9]{1,3}[ .-]?\\(?[0-9]{2,4}\\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}')) > 0
+@query(f"""SELECT severity, code, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'error' AS severity, 'personal-data' AS code FROM v_items WHERE len(regexp_extract_all(body, {_q(text.EMAIL)})) + len(regexp_extract_all(body, {_q(text.PHONE)})) > 0
     UNION ALL SELECT 'error', 'slug' FROM v_items WHERE NOT regexp_matches(replace(slug, 'doc-1', 'doc_1'), '^[a-z0-9]+(-[a-z0-9]+)*$')) GROUP BY 1, 2""")
 def lint_summary(t: Tables) -> DataFrame:
     items = t.v_items
