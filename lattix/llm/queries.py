@@ -142,3 +142,20 @@ spread AS (SELECT v FROM reach JOIN ruled ON k = w GROUP BY v HAVING bool_or(coa
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN node IN (SELECT v FROM spread) THEN 'block' ELSE 'allow' END) AS verdict, rule IS NULL AND coalesce(node IN (SELECT v FROM spread), false) AS by_alias
 FROM u JOIN ruled ON k = u.url LEFT JOIN node ON node.url = u.url
 """
+
+#: Lines of 25 characters or more within one edit agree on their first or their last 12 characters.
+ORACLES["op5_line_dedup"] = r"""
+WITH own AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT r, doc_id, i - 1 AS line_no, lines[i] AS line FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM own)),
+d AS (SELECT line, min(CAST(doc_id AS HUGEINT) * 10000000000 + line_no) AS place FROM l WHERE length(line) >= 25 GROUP BY line),
+pairs AS (SELECT a.line AS a, b.line AS b, b.place FROM d a JOIN d b ON left(a.line, 12) = left(b.line, 12) AND abs(length(a.line) - length(b.line)) <= 1 AND a.line <> b.line
+  UNION SELECT a.line, b.line, b.place FROM d a JOIN d b ON right(a.line, 12) = right(b.line, 12) AND abs(length(a.line) - length(b.line)) <= 1 AND a.line <> b.line),
+near AS (SELECT a AS line, min(place) AS place FROM pairs WHERE CASE length(a) - length(b)
+    WHEN 0 THEN list_contains([left(a, i - 1) = left(b, i - 1) AND substr(a, i + 1) = substr(b, i + 1) FOR i IN range(1, length(a) + 1)], true)
+    WHEN 1 THEN list_contains([left(a, i - 1) || substr(a, i + 1) FOR i IN range(1, length(a) + 1)], b)
+    ELSE list_contains([left(b, i - 1) || substr(b, i + 1) FOR i IN range(1, length(b) + 1)], a) END GROUP BY 1),
+first AS (SELECT d.line, least(d.place, coalesce(n.place, d.place)) AS place FROM d LEFT JOIN near n ON n.line = d.line),
+fate AS (SELECT l.r, l.line_no, l.line, f.line IS NOT NULL AND CAST(doc_id AS HUGEINT) * 10000000000 + line_no > f.place AS gone FROM l LEFT JOIN first f ON f.line = l.line),
+kept AS (SELECT r, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS text_sha256 FROM fate GROUP BY r)
+SELECT doc_id, n_lines, n_removed, text_sha256 FROM own JOIN kept USING (r) UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
