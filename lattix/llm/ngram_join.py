@@ -33,10 +33,12 @@ ELEMENTWISE = 2
 #: Up to so many differences, a set with an empty part enumerates parts less one element.
 THINNED = 16
 #: Signatures shared by more sets than this are not paired off but compared in blocks.
-SMALL_BUCKET = 64
-BLOCK = 512
+SMALL_BUCKET = 8
+BLOCK = 1024
+#: Sets of an oversize bucket that those outside its largest component are compared with first.
+LEADERS = 8
 #: Counts of codes in so many cells bound the difference of two sets from below.
-CELLS = 64
+CELLS = 256
 #: Up to so many document ids are sent to every executor; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Shingle sets that a task remembers to have signed.
@@ -146,7 +148,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch], n: int):
 
 def _cells(codes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(len(size)), size)
-    counts = np.bincount(owner * CELLS + (mix(codes) >> np.uint64(58)).astype(np.int64), minlength=len(size) * CELLS)
+    counts = np.bincount(owner * CELLS + (mix(codes) >> np.uint64(56)).astype(np.int64), minlength=len(size) * CELLS)
     return np.minimum(counts, 255).astype(np.uint8).reshape(len(size), CELLS)
 
 
@@ -249,23 +251,51 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "codes_a", "codes_b").mapInArrow(scan, "a long, b long")
 
 
-def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Plausible pairs of different components within the oversize buckets.
+def _spread(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """(sig, key, comp) of the oversize buckets that hold sets of several components."""
+    own = rows.join(label.withColumnRenamed("vertex", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("comp"))
+    several = own.groupBy("sig").agg(F.min("comp").alias("lowest"), F.max("comp").alias("highest")).where("lowest < highest").select("sig")
+    return written(own.join(several, "sig", "left_semi"), "spread")
 
-    A bucket of c rows is dealt into c / BLOCK blocks by key, and every two blocks meet in a task of their own, so
-    that a task holds two blocks at most whatever the bucket's size.
+
+def _sizes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each bucket its largest component and counts; and (sig, comp) of its other components."""
+    part = rows.groupBy("sig", "comp").count()
+    size = part.groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.sum("count").alias("total"), F.max("count").alias("most"))
+    return size, part.join(size.select("sig", "major"), "sig").where("comp != major").select("sig", "comp")
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """Pairs of the sets outside their bucket's largest component with some of the bucket, drawn by hash, that are of other components."""
+    drawn = [F.min_by(F.struct("key", "comp"), F.xxhash64("key", F.lit(j))) for j in range(LEADERS)]
+    leaders = rows.groupBy("sig").agg(F.array(*drawn).alias("leaders"))
+    minor = rows.join(_sizes(rows)[1], ["sig", "comp"], "left_semi")
+    met = minor.join(leaders, "sig").select("key", "comp", F.explode(F.array_distinct("leaders")).alias("leader")).where("comp != leader.comp")
+    return met.select(F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b")).distinct()
+
+
+def _across(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Plausible pairs of different components within the buckets.
+
+    Only sets outside a bucket's largest component are compared with all. They are dealt into blocks, all sets into others, and every
+    two blocks meet in a task of their own, so that a task holds two blocks at most whatever the bucket's size.
     """
-    count = Window.partitionBy("sig")
-    blocks = F.ceil(F.col("in_sig") / BLOCK).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.expr("int(pmod(xxhash64(key), blocks))"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    size, _ = _sizes(rows)
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    size = size.select("sig", "major", blocks(F.col("total")).alias("blocks"), blocks(F.col("total") - F.col("most")).alias("minors"))
+    dealt = rows.join(size, "sig").join(sets.select("key", "n", "cells"), "key")
+    own = lambda n, seed: F.expr(f"int(pmod(xxhash64(key, {seed}), {n}))")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.where("comp != major").select("sig", "key", "comp", "n", "cells", F.lit(True).alias("minor"), own("minors", 1).alias("lo"), every("blocks").alias("hi"))
+    right = dealt.select("sig", "key", "comp", "n", "cells", F.lit(False).alias("minor"), every("minors").alias("lo"), own("blocks", 2).alias("hi"))
 
     def compare(table: pa.Table) -> pa.Table:
-        key, comp, n, own, lo, hi = (table.column(c).to_numpy() for c in ("key", "comp", "n", "own", "lo", "hi"))
-        cells = _matrix(table.column("cells").combine_chunks() if table.column("cells").num_chunks != 1 else table.column("cells").chunk(0))
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        table = table.combine_chunks()
+        key, comp, n, minor = (table.column(c).to_numpy() for c in ("key", "comp", "n", "minor"))
+        cells = _matrix(table.column("cells").chunk(0))
+        right = np.flatnonzero(~minor)
         found_a, found_b = [], []
-        for i in left:
+        for i in np.flatnonzero(minor):
             j = right[(comp[right] != comp[i]) & (den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i]))]
             if len(j):
                 apart = np.abs(cells[j] - cells[i]).sum(axis=1)
@@ -275,7 +305,7 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
         return pa.table({"a": a, "b": b})
 
-    return met.groupBy("sig", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    return left.union(right).groupBy("sig", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
 def similar_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -321,12 +351,19 @@ def similar_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     near = written(_plausible(pairs.union(stars).distinct(), sets, num, den), "near")
     links = written(_linked(near, sets, num, den), "links")
     if not large.isEmpty():
-        label = connected_components(links)
-        rows = large.join(label.withColumnRenamed("vertex", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
-        spread = rows.groupBy("sig").agg(F.min("comp").alias("lowest"), F.max("comp").alias("highest")).where("lowest < highest").select("sig")
-        rows = rows.join(spread, "sig", "left_semi").join(sets.select("key", "n", "cells"), "key")
-        more = written(_across(rows, num, den), "across").join(near, ["a", "b"], "left_anti")
-        links = links.union(written(_linked(more, sets, num, den), "links"))
+        # buckets of equal contents count once
+        same = large.groupBy("sig").agg(F.count("*").alias("c"), F.sum(F.xxhash64("key", F.lit(3)) % (1 << 40)).alias("s")).groupBy("c", "s").agg(F.min("sig").alias("sig"))
+        rows, tried = large.join(same.select("sig"), "sig", "left_semi").select("sig", "key"), near
+        for turn in range(2):
+            rows = _spread(rows, connected_components(links))
+            if rows.isEmpty():
+                break
+            found = _across(rows, sets, num, den) if turn else _led(rows)
+            more = found.join(tried, ["a", "b"], "left_anti")
+            more = written(more if turn else _plausible(more, sets, num, den), "near")
+            tried = tried.union(more)
+            links = links.union(written(_linked(more, sets, num, den), "links"))
+            rows = rows.select("sig", "key")
     return members, links
 
 

@@ -41,7 +41,7 @@ def test_components_against_brute_force(spark):
 
 
 def test_near_copies_in_oversize_buckets(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", 6)
+    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", 4)
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     monkeypatch.setattr(ngram_join, "LEADERS", 1)
     r = random.Random(3)
