@@ -14,7 +14,7 @@ BROADCAST_IDS = 2_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns the languages that the documents name, and drops texts without one that makes up half of them; null and empty texts go."""
+    """Learns the languages that the documents name, and drops texts without one that makes up MIN_SHARE of them; null and empty texts go."""
     return language_mix.accepted(docs, language_mix.train(docs)).select(*COLUMNS)
 
 

@@ -26,7 +26,7 @@ ROUNDS = 12
 #: Added to each cell's count.
 SMOOTHING = 0.5
 #: Proportions that make a document's language unsure, for filters.
-MIN_SHARE = 0.5
+MIN_SHARE = 0.4
 UNKNOWN = "und"
 
 #: ASCII letters and everything beyond ASCII make words; the rest separates them.

@@ -35,12 +35,14 @@ THINNED = 16
 #: Signatures shared by more sets than this are not paired off but compared in blocks.
 SMALL_BUCKET = 8
 BLOCK = 1024
-#: Sets of an oversize bucket that those outside its largest component are compared with first.
-LEADERS = 8
+#: Sets of a bucket's largest component that those outside it are compared with first.
+LEADERS = 4
 #: Counts of codes in so many cells bound the difference of two sets from below.
 CELLS = 256
 #: Up to so many document ids are sent to every executor; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: For up to so many pairs, only the sets of these are shuffled to be compared.
+BROADCAST_PAIRS = 1_000_000
 #: Shingle sets that a task remembers to have signed.
 SEEN = 1_000_000
 
@@ -236,7 +238,8 @@ def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sets are similar enough, by counting common codes."""
+    """Pairs, from a written table, whose sets are similar enough, by counting common codes."""
+    few = pairs.count() <= BROADCAST_PAIRS
 
     def scan(batches):
         for batch in batches:
@@ -248,6 +251,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     side = {c: sets.select(F.col("key").alias(c), F.col("codes").alias(f"codes_{c}")) for c in "ab"}
+    if few:
+        side = {c: df.join(F.broadcast(pairs.select(c).distinct()), c, "left_semi") for c, df in side.items()}
     return pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "codes_a", "codes_b").mapInArrow(scan, "a long, b long")
 
 
@@ -259,19 +264,19 @@ def _spread(rows: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _sizes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of each bucket its largest component and counts; and (sig, comp) of its other components."""
+    """Of each bucket its largest component and counts; and (sig, comp, major) of its other components."""
     part = rows.groupBy("sig", "comp").count()
     size = part.groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.sum("count").alias("total"), F.max("count").alias("most"))
-    return size, part.join(size.select("sig", "major"), "sig").where("comp != major").select("sig", "comp")
+    return size, part.join(size.select("sig", "major"), "sig").where("comp != major").select("sig", "comp", "major")
 
 
-def _led(rows: DataFrame) -> DataFrame:
-    """Pairs of the sets outside their bucket's largest component with some of the bucket, drawn by hash, that are of other components."""
-    drawn = [F.min_by(F.struct("key", "comp"), F.xxhash64("key", F.lit(j))) for j in range(LEADERS)]
-    leaders = rows.groupBy("sig").agg(F.array(*drawn).alias("leaders"))
-    minor = rows.join(_sizes(rows)[1], ["sig", "comp"], "left_semi")
-    met = minor.join(leaders, "sig").select("key", "comp", F.explode(F.array_distinct("leaders")).alias("leader")).where("comp != leader.comp")
-    return met.select(F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b")).distinct()
+def _led(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs of the sets outside their bucket's largest component with some of that component, drawn by hash."""
+    apart = rows.join(_sizes(rows)[1], ["sig", "comp"]).select("key", "major").distinct()
+    drawn = [F.min_by("vertex", F.xxhash64("vertex", F.lit(j))) for j in range(LEADERS)]
+    leaders = label.groupBy(F.col("root").alias("major")).agg(F.array_distinct(F.array(*drawn)).alias("leaders"))
+    met = apart.join(leaders, "major", "left").select("key", F.explode(F.coalesce("leaders", F.array("major"))).alias("leader"))
+    return met.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
 
 
 def _across(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -355,10 +360,11 @@ def similar_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         same = large.groupBy("sig").agg(F.count("*").alias("c"), F.sum(F.xxhash64("key", F.lit(3)) % (1 << 40)).alias("s")).groupBy("c", "s").agg(F.min("sig").alias("sig"))
         rows, tried = large.join(same.select("sig"), "sig", "left_semi").select("sig", "key"), near
         for turn in range(2):
-            rows = _spread(rows, connected_components(links))
+            label = connected_components(links)
+            rows = _spread(rows, label)
             if rows.isEmpty():
                 break
-            found = _across(rows, sets, num, den) if turn else _led(rows)
+            found = _across(rows, sets, num, den) if turn else _led(rows, label)
             more = found.join(tried, ["a", "b"], "left_anti")
             more = written(more if turn else _plausible(more, sets, num, den), "near")
             tried = tried.union(more)
