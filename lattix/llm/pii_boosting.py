@@ -1,16 +1,19 @@
 """Personal data: generators propose spans, boosted trees select them. DataFrame and SQL functions only.
 
 Spans of four strict patterns with their checks are always taken. Wider generators propose further,
-overlapping candidates; gradient-boosted trees score each by its format and context, and thresholds that are calibrated
-on held-out examples choose. The trees are grown in numpy on the driver, on some thousands of examples
+overlapping candidates outside them: a run of digit groups gives every span of whole groups with enough digits.
+Gradient-boosted trees score each by its format and context; of those that reach thresholds, calibrated
+on held-out examples, the best that don't overlap are chosen. The trees are grown in numpy on the driver, on some thousands of examples
 that rules make; on the corpus they are one SQL expression. Nothing is shuffled: a row's spans are found in the row.
 """
 
 from __future__ import annotations
 
 import random
+import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +32,13 @@ STRICT = {
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@| ?\(at\) ?| ?\[at\] ?| at )[A-Za-z0-9-]++(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]++)++",
-    "ip": r"(?<![A-Za-z0-9:.])(?:[0-9A-Fa-f]{1,4}:){7}+[0-9A-Fa-f]{1,4}",
-    "number": r"(?<![A-Za-z0-9])\+?\(?[0-9](?:[ ().\-/]{0,2}+[0-9]){6,18}+",
+    # without ' at ', which may take the name of the next address as its host
+    "marked": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@| ?\(at\) ?| ?\[at\] ?)[A-Za-z0-9-]++(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]++)++",
+    "ip": r"(?<![A-Za-z0-9:.])(?:(?:H:){7}+H|(?:H(?::H){0,6}+)?+::(?:H(?::H){0,6}+)?+(?![A-Za-z0-9:]))".replace("H", "[0-9A-Fa-f]{1,4}"),
+    "number": r"(?<![A-Za-z0-9])\+?\(?[0-9]++(?:[ ().\-/]{1,2}+[0-9]++)*+",
 }
+#: Digits of a number that is proposed, at least and at most.
+DIGITS = (7, 19)
 BEFORE, AFTER = 40, 12
 CUES = {
     "cue_phone": "phone|tel|call|mobil|fax|dial|whatsapp|sms",
@@ -40,7 +47,7 @@ CUES = {
     "cue_ip": "ip|host|server|addr|login|session",
     "cue_other": "order|invoice|isbn|version|build|id|date|time|page|ref|sku|serial|total|price|code|number",
 }
-FEATURES = ("kind", "n_digits", "n_chars", "n_spaces", "n_dots", "n_dashes", "n_parens", "n_colons", "n_slashes", "plus", "luhn", "date", "groups", "touch_before", "touch_after", "said_at", "said_dot", "first", *CUES)
+FEATURES = ("kind", "n_digits", "n_chars", "n_spaces", "n_dots", "n_dashes", "n_parens", "n_colons", "n_slashes", "plus", "luhn", "date", "groups", "touch_before", "touch_after", "more_before", "more_after", "said_at", "said_dot", "first", *CUES)
 
 TREES, DEPTH, SHRINK = 24, 3, 0.3
 #: What share of a kind's chosen held-out examples has to be right.
@@ -82,18 +89,46 @@ def with_base(df: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("__text", text).withColumn("__base", F.expr(f"array_sort(concat({found}))"))
 
 
+def with_masked(df: DataFrame) -> DataFrame:
+    """Adds __masked, __text with a character that no candidate has for each character of a base span."""
+    step = "(a, b) -> if(b.past <= a.at, a, named_struct('at', b.past, 'out', concat(a.out, substring(__text, a.at + 1, greatest(b.first - a.at, 0)), repeat('\\u0003', b.past - greatest(b.first, a.at)))))"
+    masked = f"aggregate(__base, named_struct('at', 0, 'out', ''), {step}, a -> concat(a.out, substring(__text, a.at + 1)))"
+    return df.withColumn("__masked", F.expr(f"if(size(__base) = 0, __text, {masked})"))
+
+
+def groups_sql(r: str) -> str:
+    """SQL for the digit groups of a run: lead, the + and ( before it, first, past, n digits and so many before them in the run."""
+    pieces = f"split(regexp_replace({r}.what, '[0-9]+', '{MARK}$0{MARK}'), '{MARK}', -1)"
+    none = "cast(array() as array<struct<lead: string, first: int, past: int, n: int, earlier: int>>)"
+    lead = "if(size(a.out) = 0, a.gap, if(endswith(a.gap, '('), '(', ''))"
+    grown = f"array_append(a.out, named_struct('lead', {lead}, 'first', a.at, 'past', a.at + length(p), 'n', length(p), 'earlier', a.n))"
+    step = f"if(a.odd, named_struct('at', a.at + length(p), 'odd', false, 'gap', '', 'n', a.n + length(p), 'out', {grown}), named_struct('at', a.at + length(p), 'odd', true, 'gap', p, 'n', a.n, 'out', a.out))"
+    return f"aggregate({pieces}, named_struct('at', {r}.first, 'odd', false, 'gap', '', 'n', 0, 'out', {none}), (a, p) -> {step}, a -> a.out)"
+
+
+def numbers_sql(text: str) -> str:
+    """SQL for every span of whole digit groups with DIGITS digits, as card and as phone. A ( before it belongs to it if ) follows."""
+    low, high = DIGITS
+    body = "substring(r.what, x.first - r.first + 1, y.past - x.first)"
+    lead = f"if(instr(x.lead, '(') = 0 or instr({body}, ')') > 0, x.lead, '')"
+    span = f"transform(array({lead}), l -> named_struct('first', x.first - length(l), 'kind', 2, 'past', y.past, 'what', concat(l, {body})))[0]"
+    ends = f"filter(slice(g, i + 1, {high}), y -> y.earlier + y.n - x.earlier between {low} and {high})"
+    spans = f"flatten(transform({spans_sql(text, WIDE['number'], '2', f'length({_digits(chr(112))}) >= {low}')}, r -> flatten(transform(array({groups_sql('r')}), g -> flatten(transform(g, (x, i) -> transform({ends}, y -> {span})))))))"
+    return f"flatten(transform({spans}, c -> array(c, named_struct('first', c.first, 'kind', 3, 'past', c.past, 'what', c.what))))"
+
+
 def candidates_sql(text: str) -> str:
-    """SQL for the candidates: long numbers are proposed as card and as phone."""
-    numbers = spans_sql(text, WIDE["number"], "2", "true")
-    both = f"flatten(transform({numbers}, c -> array(c, named_struct('first', c.first, 'kind', 3, 'past', c.past, 'what', c.what))))"
-    return f"concat({spans_sql(text, WIDE['email'], '0', 'true', f'{text} rlike {chr(39)}@|[(]at[)]|at]| at {chr(39)}')}, {spans_sql(text, WIDE['ip'], '1', 'true', f'instr({text}, {chr(39)}:{chr(39)}) > 0')}, {both})"
+    """SQL for the candidates, which may overlap."""
+    email = [spans_sql(text, WIDE[k], "0", "true", f"{text} rlike '@|[(]at[)]|at]| at '") for k in ("email", "marked")]
+    ip = spans_sql(text, WIDE["ip"], "1", f"length(p) > 2 and (not contains(p, '::') or size(regexp_extract_all(p, '[0-9A-Fa-f]+', 0)) <= 7)", f"instr({text}, ':') > 0")
+    return f"concat(array_distinct(concat({', '.join(email)})), {ip}, {numbers_sql(text)})"
 
 
 def features_sql(text: str, c: str) -> str:
     """SQL for a struct of what the trees read of a candidate."""
     count = lambda of: f"length(regexp_replace({c}.what, '[^{of}]', ''))"
-    before = f"lower(substring({text}, greatest({c}.first - {BEFORE}, 0) + 1, least({c}.first, {BEFORE})))"
-    after = f"substring({text}, {c}.past + 1, {AFTER})"
+    near = f"named_struct('before', lower(substring({text}, greatest({c}.first - {BEFORE}, 0) + 1, least({c}.first, {BEFORE}))), 'after', substring({text}, {c}.past + 1, {AFTER}))"
+    before, after = "w.before", "w.after"
     values = {
         "kind": f"{c}.kind", "n_digits": count("0-9"), "n_chars": f"length({c}.what)", "n_spaces": count(" "), "n_dots": count("."), "n_dashes": count("-"), "n_parens": count("()"), "n_colons": count(":"), "n_slashes": count("/"),
         "plus": f"int(startswith({c}.what, '+'))",
@@ -101,14 +136,16 @@ def features_sql(text: str, c: str) -> str:
         "date": f"int({c}.what rlike '(?:19|20)[0-9]{{2}}[-/. ][01]?[0-9][-/. ][0-3]?[0-9]|[0-3]?[0-9][-/.][01]?[0-9][-/.](?:19|20)[0-9]{{2}}')",
         "groups": f"int({c}.what rlike '^(?:[0-9]{{4}}[ -]){{3}}[0-9]{{1,7}}$') + 2 * int({c}.what rlike '^[+]?[0-9]{{0,3}}[ .-]?[(]?[0-9]{{2,4}}[)]?[ .-][0-9]{{3,4}}[ .-]?[0-9]{{3,4}}$')",
         "touch_before": f"int({before} rlike '[a-z0-9_$#=/-]$')", "touch_after": f"int({after} rlike '^[A-Za-z0-9_%/=]|^[.,][0-9]')",
+        "more_before": f"int({before} rlike '[0-9][ ().\\\\-/]{{1,2}}$') + int({before} rlike '[0-9][-./]$')", "more_after": f"int({after} rlike '^[ ().\\\\-/]{{1,2}}[0-9]') + int({after} rlike '^[-./][0-9]')",
         "said_at": f"int(contains({c}.what, '@')) + 2 * int({c}.what rlike '[(]at[)]|at]')", "said_dot": f"int({c}.what rlike '[.][A-Za-z]{{2,6}}$') + 2 * int({c}.what rlike '[(]dot[)]|dot]| dot ')",
         "first": f"coalesce(try_cast(substr({_digits(f'{c}.what')}, 1, 1) as int), -1)",
     } | {name: f"int({before} rlike '(?:^|[^a-z])(?:{cue})')" for name, cue in CUES.items()}
-    return "named_struct(" + ", ".join(f"'{k}', {values[k]}" for k in FEATURES) + ")"
+    told = ", ".join(f"'{k}', {values[k]}" for k in FEATURES)
+    return f"transform(array({near}), w -> named_struct({told}))[0]"
 
 
-def examples(n: int = EXAMPLES, seed: int = 17) -> list[tuple[str, int, int]]:
-    """(text, kind, label) by rule: personal data in varied forms, and numbers and phrases that look like it."""
+def examples(n: int = EXAMPLES, seed: int = 17) -> list[tuple[str, int, list[tuple[int, int]]]]:
+    """(text, kind, spans) by rule: personal data in varied forms and company, and numbers and phrases that look like it, without a span."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     w = lambda: "".join(r.choice(["an", "er", "tion", "re", "th", "ou", "le", "st", "en"]) for _ in range(r.randint(1, 3)))
@@ -122,32 +159,46 @@ def examples(n: int = EXAMPLES, seed: int = 17) -> list[tuple[str, int, int]]:
         return sep.join(x[i : i + 4] for i in range(0, len(x), 4))
 
     at, dot = lambda: r.choice([" (at) ", "(at)", "[at]", " [at] ", " at "]), lambda: r.choice([".", " dot ", "(dot)", " [dot] "])
+    phone = lambda: r.choice(["(%s) %s-%s", "%s-%s-%s", "%s.%s.%s", "%s %s %s"]) % (r.choice("23456789") + d(2), d(3), d(4))
     makers = [
-        (3, 1, lambda: f"{r.choice(['call', 'phone', 'tel.', 'mobile:', 'fax', ''])} {r.choice(['(%s) %s-%s', '%s-%s-%s', '%s.%s.%s', '%s %s %s']) % (r.choice('23456789') + d(2), d(3), d(4))}"),
-        (3, 1, lambda: f"{r.choice(['call', 'tel', 'phone:', w()])} +{r.choice('123456789')}{r.choice([' ', '-', ''])}{d(3)} {d(3)} {d(4)}"),
-        (2, 1, lambda: f"{r.choice(['card', 'visa', 'payment with', 'credit card:', w()])} {spaced(card(), r.choice([' ', '-', '']))}"),
-        (0, 1, lambda: f"{r.choice(['mail', 'contact', 'write to', w()])} {w()}{r.choice(['.', '_', ''])}{w()}{at()}{w()}{dot()}{r.choice(['com', 'org', 'net', 'de'])}"),
-        (0, 1, lambda: f"{w()} {w()}@{w()}.{r.choice(['com', 'org'])}"),
-        (1, 1, lambda: f"{r.choice(['host', 'ip', 'server', w()])} {':'.join('%x' % r.randrange(r.choice([1, 16, 4096, 65536, 65536])) for _ in range(8))}"),
-        (2, 0, lambda: f"{r.choice(['call', 'phone', 'tel.', 'order', w()])} {r.choice(['(%s) %s-%s', '%s-%s-%s']) % (d(3), d(3), d(4))}"),
-        (2, 0, lambda: f"{r.choice(['order', 'ref', 'serial', 'id', 'number', 'card', w()])} {d(r.randint(12, 19))}"),
-        (3, 0, lambda: f"{r.choice(['order', 'ref', 'serial', 'id', 'card', w()])} {d(r.randint(7, 19))}"),
-        (3, 0, lambda: f"{r.choice(['card', 'visa', w()])} {spaced(card(), r.choice([' ', '-', '']))}"),
-        (3, 0, lambda: f"{r.choice(['date', 'on', 'time', w()])} 20{d(2)}-{r.choice(['01', '09', '11'])}-{r.choice(['03', '17', '28'])} {d(2)}"),
-        (3, 0, lambda: f"{r.choice(['total', 'price', 'version', 'build', w()])} {d(3)}.{d(3)}.{d(3)}"),
-        (3, 0, lambda: f"{r.choice(['page', 'isbn', 'ref', w()])} 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}"),
-        (3, 0, lambda: f"{w()} {d(4)}-{d(4)} {d(2)}/{d(2)}"),
-        (3, 0, lambda: f"{w()} {d(1)} {d(2)} {d(3)} {d(2)} {d(1)} {d(2)}"),
-        (0, 0, lambda: f"{w()} {w()} at {w()}.{w()} {w()}"),
-        (0, 0, lambda: f"{w()} at {w()}{r.choice(['. ', '.', ' .'])}{w().capitalize()}"),
-        (0, 0, lambda: f"{w()} at {w()}. {w().capitalize()} {w()}"),
-        (0, 0, lambda: f"{w()} at {w()} dot {w()} {w()}"),
-        (1, 0, lambda: f"{w()}={':'.join('%02x' % r.randrange(256) for _ in range(8))}"),
+        (3, lambda: f"{r.choice(['call', 'phone', 'tel.', 'mobile:', 'fax', ''])} <{phone()}>"),
+        (3, lambda: f"{r.choice(['call', 'tel', 'phone:', w()])} <+{r.choice('123456789')}{r.choice([' ', '-', ''])}{d(3)} {d(3)} {d(4)}>"),
+        (2, lambda: f"{r.choice(['card', 'visa', 'payment with', 'credit card:', w()])} <{spaced(card(), r.choice([' ', '-', '']))}>"),
+        (0, lambda: f"{r.choice(['mail', 'contact', 'write to', w()])} <{w()}{r.choice(['.', '_', ''])}{w()}{at()}{w()}{dot()}{r.choice(['com', 'org', 'net', 'de'])}>"),
+        (0, lambda: f"{w()} <{w()}@{w()}.{r.choice(['com', 'org'])}>"),
+        (1, lambda: f"{r.choice(['host', 'ip', 'server', w()])} <{':'.join('%x' % r.randrange(r.choice([1, 16, 4096, 65536, 65536])) for _ in range(8))}>"),
+        (2, lambda: f"{r.choice(['call', 'phone', 'tel.', 'order', w()])} {r.choice(['(%s) %s-%s', '%s-%s-%s']) % (d(3), d(3), d(4))}"),
+        (2, lambda: f"{r.choice(['order', 'ref', 'serial', 'id', 'number', 'card', w()])} {d(r.randint(12, 19))}"),
+        (3, lambda: f"{r.choice(['order', 'ref', 'serial', 'id', 'card', w()])} {d(r.randint(7, 19))}"),
+        (3, lambda: f"{r.choice(['card', 'visa', w()])} {spaced(card(), r.choice([' ', '-', '']))}"),
+        (3, lambda: f"{r.choice(['date', 'on', 'time', w()])} 20{d(2)}-{r.choice(['01', '09', '11'])}-{r.choice(['03', '17', '28'])} {d(2)}"),
+        (3, lambda: f"{r.choice(['total', 'price', 'version', 'build', w()])} {d(3)}.{d(3)}.{d(3)}"),
+        (3, lambda: f"{r.choice(['page', 'isbn', 'ref', w()])} 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}"),
+        (3, lambda: f"{w()} {d(4)}-{d(4)} {d(2)}/{d(2)}"),
+        (3, lambda: f"{w()} {d(1)} {d(2)} {d(3)} {d(2)} {d(1)} {d(2)}"),
+        (0, lambda: f"{w()} {w()} at {w()}.{w()} {w()}"),
+        (0, lambda: f"{w()} at {w()}{r.choice(['. ', '.', ' .'])}{w().capitalize()}"),
+        (0, lambda: f"{w()} at {w()}. {w().capitalize()} {w()}"),
+        (0, lambda: f"{w()} at {w()} dot {w()} {w()}"),
+        (1, lambda: f"{w()}={':'.join('%02x' % r.randrange(256) for _ in range(8))}"),
+        (3, lambda: f"{r.choice(['in', 'since', w()])} {r.choice(['19', '20'])}{d(2)} <{phone()}>"),
+        (3, lambda: f"{r.choice(['tel', 'call', 'phone', w()])} <{phone()}>{r.choice([' ', ' / ', '. ', ' - '])}<{phone()}>"),
+        (3, lambda: f"{r.choice(['tel', 'call', 'phone', w()])} <{phone()}>{r.choice(['. ', ' ', ' ('])}{d(r.randint(1, 4))}"),
+        (3, lambda: f"{r.choice(['tel', 'call', w()])} {r.choice([d(r.randint(1, 5)) + '. ', d(4) + ' ', d(5) + ') '])}<{phone()}>"),
+        (2, lambda: f"{r.choice(['card', 'visa', 'payment with', w()])} <{spaced(card(), r.choice([' ', '-', '']))}> {d(2)}{r.choice(['/', '-', ' '])}{d(2)}"),
+        (2, lambda: f"{r.choice(['card', 'visa', w()])} {d(r.randint(1, 4))} <{spaced(card(), r.choice([' ', '-', '']))}>{r.choice(['', ' ' + d(3)])}"),
+        (2, lambda: f"{r.choice(['card', 'cards', w()])} <{spaced(card(), ' ')}> <{spaced(card(), ' ')}>"),
+        (1, lambda: f"{r.choice(['host', 'ip', 'server', w()])} <{r.choice(['fe80', '2001:db8', '2a00:%x' % r.randrange(65536), 'fd%02x' % r.randrange(256)])}::{':'.join('%x' % r.randrange(65536) for _ in range(r.randint(1, 4)))}>"),
+        (1, lambda: f"{w()} {r.choice(['add', 'dead', 'face', 'bed', 'a', 'b', 'dec'])}::{r.choice(['add', 'bad', 'fade', 'a', 'c', 'de'])}"),
+        (1, lambda: f"{w()} {d(2)}::{d(2)}"),
+        (0, lambda: f"{r.choice(['look at', 'see', 'ask', w() + ' at'])} <{w()}{r.choice(['.', '_'])}{w()}{r.choice([' (at) ', '(at)', '[at]', ' [at] '])}{w()}{r.choice(['.', '(dot)', ' [dot] '])}{r.choice(['com', 'org'])}>"),
     ]
     out = []
     for _ in range(n):
-        kind, label, make = r.choice(makers)
-        out.append((f"{w()} {w()} {make()}{r.choice([' ', '. ', ', '])}{w()}", kind, label))
+        kind, make = r.choice(makers)
+        pieces = re.split("[<>]", f"{w()} {w()} {make()}{r.choice([' ', '. ', ', '])}{w()}")
+        ends = list(accumulate(map(len, pieces)))
+        out.append(("".join(pieces), kind, [(ends[i - 1], ends[i]) for i in range(1, len(pieces), 2)]))
     return out
 
 
@@ -191,14 +242,28 @@ class Model:
     thresholds: tuple[float, ...]
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> Model:
-    """Logistic boosting on two thirds of the examples; a kind's threshold is the least score with enough precision on the rest."""
-    test = np.arange(len(y)) % 3 == 0
+def chosen_of(score: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which candidates overlap none of their text with a better score; at has text, first and past."""
+    taken: dict[int, list[tuple[int, int]]] = {}
+    keep = np.zeros(len(score), bool)
+    for i in np.lexsort((at[:, 1], at[:, 1] - at[:, 2], -score)):
+        text, first, past = (int(v) for v in at[i])
+        own = taken.setdefault(text, [])
+        if not any(a < past and first < b for a, b in own):
+            own.append((first, past))
+            keep[i] = True
+    return keep
+
+
+def boost(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> Model:
+    """Logistic boosting on two thirds of the texts; a kind's threshold is the least score with enough precision among the chosen of the rest."""
+    test = at[:, 0] % 3 == 0
     score, trees = np.zeros(len(y)), []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
         trees.append(grow(x[~test], (y - p)[~test], (p * (1 - p))[~test], DEPTH))
         score += value_of(trees[-1], x)
+    test &= chosen_of(score, at)
     thresholds = []
     for kind in range(len(KINDS)):
         own = test & (x[:, 0] == kind)
@@ -213,29 +278,32 @@ def boost(x: np.ndarray, y: np.ndarray) -> Model:
 @lru_cache(maxsize=1)
 def _trained(rows: tuple) -> Model:
     table = np.array(rows, float)
-    return boost(table[:, :-1], table[:, -1])
+    return boost(table[:, :-4], table[:, -4], table[:, -3:])
 
 
 def train(spark: SparkSession) -> Model:
     """Trees over the rule-made examples; their features come from the same SQL as the corpus's."""
-    made = spark.createDataFrame(examples(), "text string, own int, label int").withColumn("c", F.explode(F.expr(candidates_sql("text")))).where("c.kind = own")
-    rows = made.select("text", "label", F.expr(features_sql("text", "c")).alias("f")).select("f.*", "label", "text").orderBy("text").collect()  # EXAMPLES rows, some with several candidates
-    return _trained(tuple(tuple(r)[:-1] for r in rows))
+    made = spark.createDataFrame(examples(), "text string, own int, spans array<struct<first: int, past: int>>").withColumn("c", F.explode(F.expr(candidates_sql("text")))).where("c.kind = own")
+    label = F.expr("int(exists(spans, s -> s.first = c.first and s.past = c.past))").alias("label")
+    rows = made.select("text", "c", label, F.expr(features_sql("text", "c")).alias("f")).select("f.*", "label", "text", "c.first", "c.past").orderBy("text", "c.first", "c.past").collect()  # EXAMPLES rows, some with several candidates
+    place = {text: i for i, text in enumerate(dict.fromkeys(r.text for r in rows))}
+    return _trained(tuple((*tuple(r)[:-3], place[r.text], r.first, r.past) for r in rows))
 
 
 def find_personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """Per row: doc_id, base and added, arrays of (first, kind, past, what) in code points, past exclusive; kind is a place in KINDS.
 
-    base has the strict patterns' checked matches; added those candidates that overlap none of these and reach their kind's
-    threshold. Null and empty texts have neither. Rows are judged one by one, so repeated rows come out alike.
+    base has the strict patterns' checked matches; added those candidates that overlap none of these, reach their kind's
+    threshold and overlap none with a better score. Null and empty texts have neither. Rows are judged one by one, so repeated rows come out alike.
     """
     model = model or train(documents.sparkSession)
-    own = with_base(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__own")), "__own")
+    own = with_masked(with_base(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__own")), "__own"))
     score = " + ".join(tree_sql(t, "f") for t in model.trees)
     least = "array(" + ", ".join(f"{t!r}D" for t in model.thresholds) + ")"
-    free = F.expr(f"filter({candidates_sql('__text')}, c -> not exists(__base, b -> b.first < c.past and c.first < b.past))")
-    chosen = F.expr(f"filter(__free, c -> exists(array({features_sql('__text', 'c')}), f -> {score} >= element_at({least}, c.kind + 1)))")
-    return own.withColumn("__free", free).select("doc_id", F.col("__base").alias("base"), F.array_sort(chosen).alias("added"))
+    scored = F.expr(f"filter(transform({candidates_sql('__masked')}, c -> transform(array({features_sql('__text', 'c')}), f -> named_struct('order', -({score}), 'chars', c.first - c.past, 'c', c))[0]), s -> -s.order >= element_at({least}, s.c.kind + 1))")
+    none = "cast(array() as array<struct<first: int, kind: int, past: int, what: string>>)"
+    chosen = F.expr(f"aggregate(array_sort(__scored), {none}, (a, s) -> if(exists(a, b -> b.first < s.c.past and s.c.first < b.past), a, array_append(a, s.c)))")
+    return own.withColumn("__scored", scored).select("doc_id", F.col("__base").alias("base"), F.array_sort(chosen).alias("added"))
 
 
 def digest(found: DataFrame) -> DataFrame:

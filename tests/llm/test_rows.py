@@ -221,6 +221,23 @@ def test_boosted_trees_add_and_leave_alone(spark):
     assert pii_boosting.find_personal_data(df.where("false"), model=model).count() == 0
 
 
+def test_adjacent_personal_data_is_told_apart(spark):
+    wanted = {
+        0: ("in 2024 415-555-1234 now", ["415-555-1234"]),
+        1: ("call 415-555-1234 415-555-9876 now", ["415-555-1234", "415-555-9876"]),
+        2: ("tel 415-555-1234. 20 people came", ["415-555-1234"]),
+        3: ("card 4111 1111 1111 1111 12/25 ok", ["4111 1111 1111 1111"]),
+        4: ("server fe80::1:2a3f is down", ["fe80::1:2a3f"]),
+        5: ("look at jane.smith (at) mail.com now", ["jane.smith (at) mail.com"]),
+        6: ("phone (212) 555-0147 (212) 555-0199 or so", ["(212) 555-0147", "(212) 555-0199"]),
+        7: ("host 10.0.0.7 415-555-1234 now", ["415-555-1234"]),
+        8: ("1 2 " * 2000 + "at 12::30 std::dec", []),
+    }
+    df = spark.createDataFrame([(i, text) for i, (text, _) in wanted.items()], "doc_id long, text string")
+    got = {x.doc_id: [s.what for s in x.added] for x in pii_boosting.find_personal_data(df).collect()}
+    assert got == {i: said for i, (_, said) in wanted.items()}
+
+
 def test_held_out_rows(spark):
     import zlib
 
