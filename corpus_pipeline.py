@@ -30,14 +30,19 @@ def _small(ids: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; of rows with one id, one."""
-    first = written(ngram_join.similar_components(docs).where("doc_id = component_id").groupBy("doc_id").count(), "first")
-    kept = docs.join(_small(first.select("doc_id")), "doc_id", "left_semi").select(*COLUMNS)
-    twice = first.where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    one = kept.join(_small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(_small(twice), "doc_id", "left_anti").unionByName(one).select(*COLUMNS)
+    """Of each group of near duplicates one row stays, that with the least id, rows without an id last. Rows without a word are alone; of those with one id and text one stays."""
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(worded).withColumn("__key", F.xxhash64("text")).withColumn("__none", F.col("doc_id").isNull()).withColumn("__id", F.coalesce("doc_id", F.lit(0)))
+    row = ["__none", "__id", "__key"]
+    found = ngram_join.similar_components(rows.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    least = rows.groupBy("__key").agg(F.min(F.struct("__none", "__id")).alias("least")).join(found, "__key")
+    first = written(least.groupBy("component_id").agg(F.min(F.struct("least.__none", "least.__id", "__key")).alias("row")).select("row.*"), "first")
+    kept = rows.join(_small(first), row, "left_semi")
+    twice = written(kept.groupBy(*row).count().where("count > 1").select(*row), "twice")
+    blank = docs.where(~worded)
+    kept = kept if twice.isEmpty() else kept.join(_small(twice), row, "left_anti").unionByName(kept.join(_small(twice), row, "left_semi").dropDuplicates(row))
+    alone = blank.where("doc_id is null").unionByName(blank.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*COLUMNS).unionByName(alone.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

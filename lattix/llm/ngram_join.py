@@ -347,7 +347,10 @@ def similar_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
                 cells = _cells(codes, first, size)
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(codes, first, seed)[0]), pa.array(size), _binary(cells.ravel(), first, np.full(len(size), CELLS)), _binary(codes, first, size)], ["key", "n", "cells", "codes"])
 
-    sets = written(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(scan, "key long, n long, cells binary, codes binary").dropDuplicates(["key"]), "sets")
+    schema = "key long, n long, cells binary, codes binary"
+    # rows without an id can't be fetched by it; only the classes that have no other rows need theirs
+    unnamed = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(scan, schema).join(chosen.where("doc_id is null").select("key"), "key", "left_semi").select("key", "n", "cells", "codes")
+    sets = written(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(scan, schema).unionByName(unnamed).dropDuplicates(["key"]), "sets")
     small = buckets.where(F.col("in_sig") <= SMALL_BUCKET)
     pairs = small.select("sig", F.col("key").alias("a")).join(small.select("sig", F.col("key").alias("b")), "sig").where("a < b").select("a", "b")
     large = buckets.where(F.col("in_sig") > SMALL_BUCKET)

@@ -1,8 +1,9 @@
+import random
 from collections import Counter
 
 import corpus_pipeline
-from lattix.llm import language_mix
-from tests.llm.cases import corpus, frame
+from lattix.llm import language_mix, ngram_join
+from tests.llm.cases import corpus, frame, words
 from tests.llm.test_pairs_and_search import brute_components, brute_contamination
 
 
@@ -36,6 +37,18 @@ def test_stages_hand_on_what_they_keep(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_rows_without_an_id_and_with_one_id(spark):
+    r = random.Random(12)
+    a, b, c, d = (words(r, 40, [f"w{i}" for i in range(500)]) for _ in range(4))
+    rows = [(None, a), (None, b + " more"), (None, b), (1, c), (1, d), (2, c + " more"), (1, c), (None, ""), (None, "")]
+    docs = frame(spark, [(i, text, "en", "a", len(text), 1, 1, "x", 0.0) for i, text in rows]).drop("key", "n", "segment", "score")
+    got = Counter((x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    near = got.keys() & {(None, b), (None, b + " more")}
+    assert len(near) == 1 and got == Counter([(None, a), *near, (1, c), (1, d), (None, ""), (None, "")])
+    _, links = ngram_join.similar_sets(docs.where("doc_id is null"))
+    assert links.count() == 1
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     frame(spark, []).drop("key", "n", "segment", "score").write.parquet(f"{tmp_path}/documents.parquet")
