@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from lattix.llm.scratch import written
 
-#: Shorter lines stay whatever they repeat.
+#: Shorter lines have no one-edit matches; exact repeats of them go if asked for.
 MIN_CHARS = 25
+WORD = r"[^\x20\x09-\x0D]"
 PIECES = (2, 16)
 #: A place is doc_id * PLACE + line number.
 PLACE = 10**10
@@ -24,9 +25,9 @@ PLACE = 10**10
 BROADCAST_LINES = 500_000
 
 
-def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
+def _lines(documents: DataFrame, min_chars: int, exact_short: bool) -> DataFrame:
     split = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    return documents.select("doc_id", F.xxhash64("text").alias("version"), split).where(F.length("line") >= min_chars).select("doc_id", "version", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    return documents.select("doc_id", F.xxhash64("text").alias("version"), split).where((F.length("line") >= min_chars) | (F.col("line").rlike(WORD) if exact_short else F.lit(False))).select("doc_id", "version", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
 def _place() -> Column:
@@ -82,26 +83,26 @@ def _near(found: DataFrame, lines: DataFrame) -> DataFrame:
     return pairs.join(a, "place").join(b, "witness").where(F.levenshtein("line", "earlier", 1).between(0, 1)).select("h1", "h2").distinct()
 
 
-def repeated_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(documents: DataFrame, min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
     """(doc_id, version, line_no) of every line to go; version is a hash of the row's text."""
-    lines = _lines(documents, min_chars)
+    lines = _lines(documents, min_chars, exact_short)
     found = written(lines.withColumn("place", _place()).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n")), "lines")
-    near = written(_near(found, lines), "near").withColumn("near", F.lit(True))
+    near = written(_near(found, lines.where(F.length("line") >= min_chars)), "near").withColumn("near", F.lit(True))
     fate = found.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "place", "near")
     gone = lines.drop("line").join(fate, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (_place() > F.col("place")))
     return gone.select("doc_id", "version", "line_no")
 
 
-def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
     """The documents with text_col less its repeated lines, and n_lines and n_removed; other columns stay.
 
     A line of min_chars characters or more goes if an earlier line, by document id and line number, of any document
     is equal to it or within one edit of it, be that one kept or not. So the earliest of each group stays.
-    Lines end at a line feed; shorter lines always stay. Null text stays null with no lines; an empty text has one empty line.
+    Lines end at a line feed; shorter lines stay, but for those with a word that are equal to an earlier line, if exact_short. Null text stays null with no lines; an empty text has one empty line.
     Rows with one id and one text have the same places, so neither repeats the other; a null id comes as 0.
     """
     own = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gone = written(repeated_lines(own, min_chars), "gone").groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone"))
+    gone = written(repeated_lines(own, min_chars, exact_short), "gone").groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("gone").alias("__gone"))
     match = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__version"))
     split = F.split(F.col(text_col).cast("string"), "\n")

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from lattix.llm import components, line_dedup, ngram_join, phrase_index
 from tests.llm.cases import corpus, frame, words
 
@@ -158,3 +159,11 @@ def test_line_dedup_against_brute_force(spark):
     got = line_dedup.dedup_lines(frame(spark, rows))
     assert {x.doc_id: (x.text, x.n_removed) for x in got.collect()} == want
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+
+
+def test_short_lines_repeated_exactly_go_if_asked(spark):
+    docs = frame(spark, [(i, text, "en", "a", 0, 1, 1, "x", 0.0) for i, text in enumerate(["Home\n\nNext", "Home\n\nText\n ", "Home \nNext\n "])])
+    got = line_dedup.dedup_lines(docs, exact_short=True).collect()
+    assert {x.doc_id: (x.text, x.n_removed) for x in got} == {0: ("Home\n\nNext", 0), 1: ("\nText\n ", 1), 2: ("Home \n ", 1)}
+    staged = corpus_pipeline.dedup_lines(spark, docs.select(*corpus_pipeline.COLUMNS), "").collect()
+    assert {x.doc_id: x.text for x in staged} == {x.doc_id: x.text for x in got}
