@@ -11,8 +11,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 Rule = tuple[str, str, str]  # action (block or allow), host, path
 
-CANONICAL = r"""(?i)<link\b(?=[^>]{0,2000}\brel\s*=\s*["']?canonical\b)[^>]{0,2000}?\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?i)<meta\b(?=[^>]{0,2000}\bhttp-equiv\s*=\s*["']?refresh\b)[^>]{0,2000}?\burl\s*=\s*["']?([^"'\s>]+)"""
+#: A word that the html has, its tag, what the tag has, and where its target is.
+LINKS = (
+    ("canonical", r"(?i)<link\b[^>]*+>", r"""(?i)\brel\s*=\s*["']?canonical\b""", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""),
+    ("refresh", r"(?i)<meta\b[^>]*+>", r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b""", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""),
+)
 
 
 def _after_scheme(url: Column) -> Column:
@@ -63,9 +66,12 @@ def resolved(target: Column, url: Column) -> Column:
 def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(a, b) of pages and the canonical or refresh target that their html names; targets in &amp; form are read as &."""
     found = []
-    for hint, pattern in (("canonical", CANONICAL), ("refresh", REFRESH)):
+    # without what follows the last >, each tag that begins also ends, and no text is scanned twice
+    ended = F.left(F.col(html_col), F.length(html_col) - F.length(F.substring_index(html_col, ">", -1)))
+    for hint, tag, own_of, pattern in LINKS:
         own = pages.where(F.contains(F.lower(html_col), F.lit(hint)) & (F.instr(url_col, "://") > 0))
-        target = F.replace(F.regexp_extract(html_col, pattern, 1), F.lit("&amp;"), F.lit("&"))
+        first = F.get(F.filter(F.regexp_extract_all(ended, F.lit(tag), F.lit(0)), lambda x: x.rlike(own_of)), F.lit(0))  # noqa: B023
+        target = F.replace(F.regexp_extract(first, pattern, 1), F.lit("&amp;"), F.lit("&"))
         found.append(own.select(F.col(url_col).alias("url"), target.alias("target")).where("target != ''"))
     links = found[0].union(found[1])
     return links.select(node(F.col("url")).alias("a"), node(resolved(F.col("target"), F.col("url"))).alias("b"))

@@ -113,6 +113,13 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge_urls(df.where("false"), URL_RULES).count() == 0
 
 
+def test_links_in_long_tags(spark):
+    pad = "x" * 5000
+    rows = [(1, "http://a.com/en/1", None), (2, "http://x.info/z", f"<link data-x='{pad}' rel=canonical data-y='{pad}' href='http://a.com/en/1'>"), (3, "http://y.info/z", f"<meta http-equiv=refresh data-x='{pad}' content='0; url=http://a.com/en/1'>"), (4, "http://z.info/z", "<link " * 100_000 + "rel=canonical href=http://a.com/en/1")]
+    got = {x.page_id: x.verdict for x in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
 def pages(spark):
     rows = [(5, "http://a/", "same"), (3, "http://b/", "same"), (9, "http://c/\r\nX: y", "é" * 40_000), (1, None, None), (2, "", ""), (4, "http://d/", "WARC/1.1\r\n\r\nlooks like one\r\n\r\n"), (3, "http://b/", "same")]
     return rows, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
