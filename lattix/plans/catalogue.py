@@ -125,15 +125,17 @@ def peer_citations(t: Tables) -> DataFrame:
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def phrase_containment(t: Tables) -> DataFrame:
-    """Items contained in documents: candidates share the item's first five words as neighbours, and containment is then checked."""
-    head = lambda words: F.array_join(words, " ")
+    """Items contained in documents: candidates share words inside the item, up to five, as neighbours, and containment is then checked."""
     words = lambda c: F.split(c, r"\s+")
-    many = F.size(words(F.col("text")))
-    items = t.benchmark.select("item_id", F.col("text").alias("phrase"), F.when(many >= 7, head(F.slice(words(F.col("text")), 2, 5))).alias("key"))
+    # the first and last word of an item may be parts of words, so items of two words or less have no key
+    items = t.benchmark.select("item_id", F.col("text").alias("phrase"), words(F.col("text")).alias("p")).withColumn("n", F.expr("least(size(p) - 2, 5)"))
+    keyed = items.where("n > 0").select("item_id", "phrase", F.expr("array_join(slice(p, 2, n), ' ')").alias("key"))
     own = t.documents.select("doc_id", "text", words(F.col("text")).alias("w"))
-    keys = own.where("size(w) >= 5").select("doc_id", "text", F.explode(F.array_distinct(F.expr("transform(sequence(1, size(w) - 4), i -> array_join(slice(w, i, 5), ' '))"))).alias("key"))
-    found = keys.join(items.where("key is not null"), "key").where(F.contains("text", F.col("phrase"))).select("item_id", "doc_id")
-    short = own.join(F.broadcast(items.where("key is null").limit(1000)), F.contains("text", F.col("phrase"))).select("item_id", "doc_id")
+    sizes = sorted(r[0] for r in items.where("n > 0").select("n").distinct().collect())  # five at most
+    windows = [f"if(size(w) >= {n}, transform(sequence(1, greatest(size(w) - {n - 1}, 1)), i -> array_join(slice(w, i, {n}), ' ')), array())" for n in sizes]
+    keys = own.select("doc_id", "text", F.explode(F.array_distinct(F.expr(f"concat({', '.join(windows) or 'cast(array() as array<string>)'})"))).alias("key"))
+    found = keys.join(keyed, "key").where(F.contains("text", F.col("phrase"))).select("item_id", "doc_id")
+    short = own.join(items.where("n <= 0"), F.contains("text", F.col("phrase"))).select("item_id", "doc_id")
     return found.union(short).distinct()
 
 

@@ -95,3 +95,14 @@ def test_packs_peers_and_views(spark):
     assert {(r.concept, r.label, r.broader, r.top) for r in exchange.thesaurus(v).collect()} == {("a", "A", "b", False), ("b", None, None, True)}
     files = spark.createDataFrame([("d/x.md", "# Same\n"), ("d/a.md", "text\n# Same #\n"), ("d/Only Name.md", "")], "path string, text string")
     assert {(r.path, r.slug) for r in exchange.adopted(files).collect()} == {("d/a.md", "same"), ("d/x.md", "same-2"), ("d/Only Name.md", "only-name")}
+
+
+def test_no_short_phrase_is_lost(spark, tmp_path):
+    from lattix.plans.catalogue import QUERIES
+
+    docs = [(1, "alpha beta\ngamma delta epsilon zeta eta theta"), (2, "q1199 q7"), (3, "")]
+    items = [(i, f"q{i} q7") for i in range(1200)] + [(2000 + n, " ".join("alpha beta\ngamma delta epsilon zeta eta theta".split(" ")[:n])[1:]) for n in range(1, 8)] + [(3000, None), (3001, "beta gamma delta"), (3002, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = sorted((i, d) for i, p in items if p is not None for d, text in docs if p in text)
+    assert sorted(tuple(r) for r in QUERIES["phrase_containment"](spark, str(tmp_path)).collect()) == want and (1199, 2) in want
