@@ -6,22 +6,29 @@ band alone. The domain of codes is cut into k + 1 parts, so that two such sets a
 all of at least one part; the contents of a part are a signature. Where k is at most 2, the parts are single
 elements and every subset with up to k of them left out is enumerated.
 
-A part that is empty in both sets is no evidence and gives no signature. A pair could then only
-be lost if it agrees on nothing but empty parts, i.e. if its at most k differing elements hit
-every other part. Sets with an empty part and k of at most 16 therefore also enumerate each part
-with one element left out. Beyond that, the codes being hashes, the chance is under 1e-5 for a pair exactly at the
-threshold and nil below it by more differences than there are common empty parts.
+A part that is empty in both sets is no evidence and gives no signature. A pair could be lost by that only
+if each other part has a difference. With e common empty parts and at most k - s differences, all but
+e - 1 - s of those other parts then have exactly one, so one of the first 2e - s parts has. A set with more than s empty parts
+(s from its own size) therefore also enumerates its first 2e - s + SPARE filled parts with one element left out. The spare ones make
+up for parts that only the other set has empty; that these fill all of them has a chance of under 1e-11 for
+a pair exactly at the threshold, far below that of equal codes of different shingles.
+
+A bucket of sets with one signature is compared in full if it is small. In a larger one, all are compared with the first;
+what that leaves apart meets in groups: a component and all components that have a bucket in common with it and are not its
+largest. They are compared with some of the group, and at last, in blocks, those outside the group's component with all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lattix.llm import textscan
 from lattix.llm.components import connected_components
@@ -30,13 +37,17 @@ from lattix.llm.textscan import mix, runs
 
 #: Sets with few differences are enumerated element by element up to this many.
 ELEMENTWISE = 2
-#: Up to so many differences, a set with an empty part enumerates parts less one element.
-THINNED = 16
-#: Signatures shared by more sets than this are not paired off but compared in blocks.
+#: Signatures shared by more sets than this are not paired off.
 SMALL_BUCKET = 8
+#: Sets, and codes of sets, of a block; two blocks are compared in a task.
 BLOCK = 1024
-#: Sets of a bucket's largest component that those outside it are compared with first.
-LEADERS = 4
+BLOCK_CODES = 1 << 20
+#: Components of a group that its others are compared with before blocks are.
+LEADERS = 2
+#: A code of so much less than all pairs of two blocks is counted pair by pair.
+DENSE = 400
+#: Parts that a set with empty parts enumerates beyond what the count of these asks for.
+SPARE = 4
 #: Counts of codes in so many cells bound the difference of two sets from below.
 CELLS = 256
 #: Up to so many document ids are sent to every executor; beyond, they are joined by a shuffle.
@@ -47,23 +58,38 @@ BROADCAST_PAIRS = 1_000_000
 SEEN = 1_000_000
 
 
+class Sets(NamedTuple):
+    """members: (doc_id, n_shingles, key); sets: (key, n, codes) of those that share a signature; links (a, b) of keys; large: (sig, key) of large buckets."""
+
+    members: DataFrame
+    sets: DataFrame
+    links: DataFrame
+    large: DataFrame
+    num: int
+    den: int
+
+
 class Bands:
     """Sizes cut where a set could no longer be similar to the smallest of the band."""
 
     def __init__(self, num: int, den: int, largest: int):
-        low, self.first, self.bound = 1, [], []
+        self.num, self.den = num, den
+        low, first, last = 1, [], []
         while low <= largest:
-            high = low * den // num
-            self.first.append(low)
-            self.bound.append(2 * high * (den - num) // (den + num))
-            low = high + 1
-        high = low * den // num
-        self.bound.append(2 * high * (den - num) // (den + num))
-        self.first, self.bound = np.array(self.first), np.array(self.bound)
+            first.append(low)
+            last.append(low * den // num)
+            low = last[-1] + 1
+        last.append(low * den // num)
+        self.first, self.last = np.array(first), np.array(last)
+        self.bound = self.differences(self.last, self.last)
 
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, size, side="right") - 1
 
+    def differences(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In so many elements can similar sets of these sizes differ."""
+        return (a + b) * (self.den - self.num) // (self.den + self.num)
+
 
 def shingle_sets(part: textscan.Slice, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Document numbers and distinct shingle codes, by document and code."""
@@ -125,14 +151,16 @@ def signatures(codes: np.ndarray, first: np.ndarray, size: np.ndarray, bands: Ba
         found.append(mix(total ^ mix(tag)))
         owners.append(holder)
         filled = np.bincount(holder, minlength=len(size))
-        thin = (filled < parts) & wide & (k <= THINNED)
-        if thin.any():
+        empty, spare = parts - filled, k - bands.differences(size, np.minimum(size * bands.den // bands.num, bands.last[instance]))
+        many = np.where(wide & (empty > spare), 2 * empty - spare + SPARE, 0)
+        if many.any():
             # both the part itself and the part less each element meet in one key space of its own
+            thin = np.arange(len(at)) - np.repeat(np.cumsum(filled) - filled, filled) < many[holder]
             cell_of = np.repeat(np.arange(len(at)), length)
-            keep = thin[holder][cell_of]
-            less = total[cell_of[keep]] - own_value[order][keep]
-            found += [mix(total[thin[holder]] ^ mix(tag[thin[holder]] + np.uint64(1))), mix(less[less != 0] ^ mix(tag[cell_of[keep]][less != 0] + np.uint64(1)))]
-            owners += [holder[thin[holder]], holder[cell_of[keep]][less != 0]]
+            keep = thin[cell_of] & (length[cell_of] > 1)
+            less, of = total[cell_of[keep]] - own_value[order][keep], cell_of[keep]
+            found += [mix(total[thin] ^ mix(tag[thin] + np.uint64(1))), mix(less ^ mix(tag[of] + np.uint64(1)))]
+            owners += [holder[thin], holder[of]]
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(owners), np.concatenate(found).view(np.int64)
@@ -190,25 +218,50 @@ def _signed(docs: DataFrame, n: int, seed: int, bands: Bands) -> DataFrame:
     return docs.mapInArrow(scan, "sig long, key long")
 
 
-def _shared(signed: DataFrame) -> DataFrame:
-    """Distinct (sig, key) of the signatures with more than one set; one pass over sorted rows, holding one row back."""
+def _met(signed: DataFrame) -> DataFrame:
+    """(sig, a, b, large) of the signatures with more than one set: all pairs a < b of a small bucket; of a larger one each set b, with the first as a.
+
+    One pass over sorted rows that holds back SMALL_BUCKET rows at most.
+    """
+
+    def emitted(s, k, first, large):
+        """first: each row's bucket's first set; large: whether that has many."""
+        yield s[large], first[large], k[large], np.ones(int(large.sum()), bool)
+        s, k = s[~large], k[~large]
+        for d in range(1, SMALL_BUCKET):
+            same = s[d:] == s[:-d]
+            if not same.any():
+                break
+            yield s[d:][same], k[:-d][same], k[d:][same], np.zeros(int(same.sum()), bool)
 
     def scan(batches):
-        sig, key, met = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, and whether its signature came before
-        for batch in batches:
-            s, k = np.r_[sig, batch.column(0).to_numpy()], np.r_[key, batch.column(1).to_numpy()]
-            if len(s) < 1:
+        none = np.zeros(0, np.int64)
+        held_s, held_k = none, none  # the last bucket, while it is small
+        open_sig, open_first, last = None, 0, None  # the last bucket, once it is large
+        for batch in chain(batches, [None]):
+            s, k = (held_s, held_k) if batch is None else (np.r_[held_s, batch.column(0).to_numpy()], np.r_[held_k, batch.column(1).to_numpy()])
+            if not len(s):
                 continue
-            new = np.r_[True, (s[1:] != s[:-1]) | (k[1:] != k[:-1])]
+            new = np.r_[(s[0], k[0]) != (open_sig, last), (s[1:] != s[:-1]) | (k[1:] != k[:-1])]
             s, k = s[new], k[new]
-            same = s[1:] == s[:-1]
-            keep = np.r_[met, same] | np.r_[same, False]
-            sig, key, met = s[-1:], k[-1:], bool(keep[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(s[:-1][keep[:-1]]), pa.array(k[:-1][keep[:-1]])], ["sig", "key"])
-        if met:
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key)], ["sig", "key"])
-
-    return signed.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(scan, "sig long, key long")
+            if not len(s):
+                continue
+            at, length = runs(s)
+            first, large = k[at], length > SMALL_BUCKET
+            if s[0] == open_sig:
+                first[0], large[0] = open_first, True
+            done = len(s)
+            if batch is not None and not large[-1]:
+                done = at[-1]
+            held_s, held_k = s[done:], k[done:]
+            if batch is not None and large[-1]:
+                open_sig, open_first, last = s[-1], first[-1], k[-1]
+            rows = np.repeat(np.arange(len(at)), length)[:done]
+            for columns in emitted(s[:done], k[:done], first[rows], large[rows]):
+                if len(columns[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "a", "b", "large"])
+
+    return signed.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(scan, "sig long, a long, b long, large boolean")
 
 
 def _most_differences(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -239,86 +292,142 @@ def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs, from a written table, whose sets are similar enough, by counting common codes."""
-    few = pairs.count() <= BROADCAST_PAIRS
-
-    def scan(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * common >= num * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-    side = {c: sets.select(F.col("key").alias(c), F.col("codes").alias(f"codes_{c}")) for c in "ab"}
-    if few:
+    side = {c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("codes").alias(f"codes_{c}")) for c in "ab"}
+    if pairs.count() <= BROADCAST_PAIRS:
         side = {c: df.join(F.broadcast(pairs.select(c).distinct()), c, "left_semi") for c, df in side.items()}
-    return pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "codes_a", "codes_b").mapInArrow(scan, "a long, b long")
-
-
-def _spread(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """(sig, key, comp) of the oversize buckets that hold sets of several components."""
-    own = rows.join(label.withColumnRenamed("vertex", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("comp"))
-    several = own.groupBy("sig").agg(F.min("comp").alias("lowest"), F.max("comp").alias("highest")).where("lowest < highest").select("sig")
-    return written(own.join(several, "sig", "left_semi"), "spread")
-
-
-def _sizes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of each bucket its largest component and counts; and (sig, comp, major) of its other components."""
-    part = rows.groupBy("sig", "comp").count()
-    size = part.groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.sum("count").alias("total"), F.max("count").alias("most"))
-    return size, part.join(size.select("sig", "major"), "sig").where("comp != major").select("sig", "comp", "major")
-
-
-def _led(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs of the sets outside their bucket's largest component with some of that component, drawn by hash."""
-    apart = rows.join(_sizes(rows)[1], ["sig", "comp"]).select("key", "major").distinct()
-    drawn = [F.min_by("vertex", F.xxhash64("vertex", F.lit(j))) for j in range(LEADERS)]
-    leaders = label.groupBy(F.col("root").alias("major")).agg(F.array_distinct(F.array(*drawn)).alias("leaders"))
-    met = apart.join(leaders, "major", "left").select("key", F.explode(F.coalesce("leaders", F.array("major"))).alias("leader"))
-    return met.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-
-
-def _across(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Plausible pairs of different components within the buckets.
-
-    Only sets outside a bucket's largest component are compared with all. They are dealt into blocks, all sets into others, and every
-    two blocks meet in a task of their own, so that a task holds two blocks at most whatever the bucket's size.
+    common = F.size(F.array_intersect("codes_a", "codes_b")).cast("long")
+    return pairs.join(side["b"], "b").join(side["a"], "a").where(den * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b")
+
+
+def _labelled(keys: DataFrame, label: DataFrame) -> DataFrame:
+    """keys with comp, the least set that links lead to."""
+    return keys.join(label.withColumnRenamed("vertex", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+
+
+def _groups(large: DataFrame, label: DataFrame) -> DataFrame:
+    """(major, comp): components that have a bucket in common with another one, the largest in it. large has (sig, key)."""
+    part = _labelled(large, label).groupBy("sig", "comp").count()
+    size = part.groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("sig", "major")
+    return part.join(size, "sig").where("comp != major").select("major", "comp").distinct()
+
+
+def _led(groups: DataFrame) -> DataFrame:
+    """Pairs of components' first sets: of each group's others with that of its own and of LEADERS of them, drawn by hash."""
+    drawn = [F.min_by("comp", F.xxhash64("comp", F.lit(j))) for j in range(LEADERS)]
+    leaders = groups.groupBy("major").agg(F.array(*drawn).alias("drawn")).select("major", F.array_distinct(F.concat(F.array("major"), "drawn")).alias("leaders"))
+    met = groups.join(leaders, "major").select("comp", F.explode("leaders").alias("leader")).where("comp != leader")
+    return met.select(F.least("comp", "leader").alias("a"), F.greatest("comp", "leader").alias("b")).distinct()
+
+
+def _blocks(rows: Column, codes: Column) -> Column:
+    return F.ceil(F.greatest(rows / BLOCK, codes / BLOCK_CODES)).cast("int")
+
+
+def _dealt(blocks: str, seed: int) -> Column:
+    return F.expr(f"int(pmod(xxhash64(key, {seed}), {blocks}))")
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each code, and the codes."""
+    size = np.diff(column.offsets.to_numpy())
+    return np.repeat(np.arange(len(size)), size), column.flatten().to_numpy()
+
+
+def common_counts(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """How many codes each list of a has in common with each of b; codes within a list are distinct."""
+    (owner_a, code_a), (owner_b, code_b) = _lists(a), _lists(b)
+    out = np.zeros((len(a), len(b)), np.float32)
+    vocabulary = np.intersect1d(code_a, code_b)
+    if not len(vocabulary):
+        return out
+
+    def known(owner, code):
+        at = np.minimum(np.searchsorted(vocabulary, code), len(vocabulary) - 1)
+        there = vocabulary[at] == code
+        owner, at = owner[there], at[there]
+        order = np.argsort(at, kind="stable")
+        return owner[order], at[order], np.bincount(at, minlength=len(vocabulary))
+
+    (owner_a, word_a, many_a), (owner_b, word_b, many_b) = known(owner_a, code_a), known(owner_b, code_b)
+    dense = many_a * many_b * DENSE > len(a) * len(b)
+    words = np.flatnonzero(dense)
+    for start in range(0, len(words), 512):
+        place = np.full(len(vocabulary), -1)
+        place[words[start : start + 512]] = np.arange(len(words[start : start + 512]))
+        x, y = np.zeros((len(a), 512), np.float32), np.zeros((len(b), 512), np.float32)
+        for to, owner, word in ((x, owner_a, word_a), (y, owner_b, word_b)):
+            own = place[word] >= 0
+            to[owner[own], place[word[own]]] = 1
+        out += x @ y.T
+    rare = np.flatnonzero(~dense[word_a])
+    first_b = np.cumsum(many_b) - many_b
+    for part in np.split(rare, np.flatnonzero(np.diff(np.cumsum(many_b[word_a[rare]]) >> 21)) + 1):
+        many = many_b[word_a[part]]
+        within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        np.add.at(out, (np.repeat(owner_a[part], many), owner_b[np.repeat(first_b[word_a[part]], many) + within]), 1)
+    return out
+
+
+def similar(a: pa.Table, b: pa.Table, num: int, den: int) -> np.ndarray:
+    """Whether each set of a is similar enough to each of b."""
+    common = common_counts(a.column("codes").chunk(0), b.column("codes").chunk(0))
+    size = a.column("n").to_numpy()[:, None] + b.column("n").to_numpy()[None, :]
+    return (den + num) * common.astype(np.float64) >= num * size
+
+
+def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of enough true entries of a matrix to join all rows and columns that true entries join."""
+    turned, out = np.ascontiguousarray(linked.T), []
+    done, left = np.zeros(len(linked), bool), np.ones(linked.shape[1], bool)
+    for start in np.flatnonzero(linked.any(axis=1)):
+        stack = [] if done[start] else [start]
+        done[start] = True
+        while stack:
+            i = stack.pop()
+            for j in np.flatnonzero(linked[i] & left):
+                left[j] = False
+                out.append((i, j))
+                new = np.flatnonzero(turned[j] & ~done)
+                done[new] = True
+                out += [(x, j) for x in new]
+                stack += new.tolist()
+    return tuple(np.array(out, np.int64).reshape(-1, 2).T)
+
+
+def _across(groups: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between a group's components, enough to join all that links join. members has (key, comp).
+
+    Sets outside a group's own component are dealt into blocks, all of the group into others, and every two blocks meet in a task of
+    their own, so that a task holds two blocks at most whatever the group's size.
     """
-    size, _ = _sizes(rows)
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    size = size.select("sig", "major", blocks(F.col("total")).alias("blocks"), blocks(F.col("total") - F.col("most")).alias("minors"))
-    dealt = rows.join(size, "sig").join(sets.select("key", "n", "cells"), "key")
-    own = lambda n, seed: F.expr(f"int(pmod(xxhash64(key, {seed}), {n}))")
+    sized = members.join(sets.select("key", "n"), "key")
+    others = groups.join(sized, "comp").withColumn("minor", F.lit(True))
+    own = groups.select("major").distinct().join(sized.withColumnRenamed("comp", "major"), "major").select("major", F.col("major").alias("comp"), "key", "n", F.lit(False).alias("minor"))
+    rows = written(others.select("major", "comp", "key", "n", "minor").union(own), "groups")
+    size = rows.groupBy("major").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"), _blocks(F.count_if("minor"), F.sum(F.when(F.col("minor"), F.col("n")))).alias("minors"))
+    dealt = rows.join(size, "major")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = dealt.where("comp != major").select("sig", "key", "comp", "n", "cells", F.lit(True).alias("minor"), own("minors", 1).alias("lo"), every("blocks").alias("hi"))
-    right = dealt.select("sig", "key", "comp", "n", "cells", F.lit(False).alias("minor"), every("minors").alias("lo"), own("blocks", 2).alias("hi"))
+    left = dealt.where("minor").select("major", "key", "comp", F.lit(True).alias("left"), _dealt("minors", 1).alias("lo"), every("blocks").alias("hi"))
+    right = dealt.select("major", "key", "comp", F.lit(False).alias("left"), every("minors").alias("lo"), _dealt("blocks", 2).alias("hi"))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        key, comp, n, minor = (table.column(c).to_numpy() for c in ("key", "comp", "n", "minor"))
-        cells = _matrix(table.column("cells").chunk(0))
-        right = np.flatnonzero(~minor)
-        found_a, found_b = [], []
-        for i in np.flatnonzero(minor):
-            j = right[(comp[right] != comp[i]) & (den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i]))]
-            if len(j):
-                apart = np.abs(cells[j] - cells[i]).sum(axis=1)
-                j = j[apart <= _most_differences(n[j], n[i], num, den)]
-                found_a.append(np.minimum(key[i], key[j]))
-                found_b.append(np.maximum(key[i], key[j]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
-        return pa.table({"a": a, "b": b})
-
-    return left.union(right).groupBy("sig", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
-
-
-def similar_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, n_shingles, key) of the classes of equal shingle sets, and links (a, b) between class keys.
-
-    Links are verified on whole sets. All links between small buckets' sets are returned; of an oversize bucket, links to its first set and
-    all links between sets that those did not already connect: enough for components, not every pair of a large group.
-    Threshold num / den. Null and empty texts have an empty set, key 0 and no link.
+        side = pc.field("left")
+        a, b = table.filter(side).combine_chunks(), table.filter(~side).combine_chunks()
+        i, j = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(a) and len(b):
+            comp = [x.column("comp").to_numpy() for x in (a, b)]
+            i, j = spanning(similar(a, b, num, den) & (comp[0][:, None] != comp[1][None, :]))
+        x, y = (a.column("key").to_numpy()[i], b.column("key").to_numpy()[j]) if len(i) else (i, j)
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return left.union(right).join(sets.select("key", "n", "codes"), "key").groupBy("major", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+
+
+def similar_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> Sets:
+    """Classes of equal shingle sets, and verified links between them, enough to join all classes that links join. Threshold num / den.
+
+    Null and empty texts have an empty set, key 0 and no link.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -333,61 +442,93 @@ def similar_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         raise ValueError("keys of different shingle sets met under three seeds")
     members = members.drop("check")
     if not facts[0]:
-        return members, spark.createDataFrame([], "a long, b long")
-    bands = Bands(num, den, facts[0])
-    shared = written(_shared(_signed(docs, n, seed, bands)), "shared").withColumn("in_sig", F.count("*").over(Window.partitionBy("sig")))
-    buckets = written(shared, "buckets")
-    chosen = written(classes.select("key", "doc_id").join(buckets.select("key").distinct(), "key"), "chosen")
+        none = spark.createDataFrame([], "key long, n long, codes array<long>, a long, b long, sig long")
+        return Sets(members, none.select("key", "n", "codes"), none.select("a", "b"), none.select("sig", "key"), num, den)
+    met = written(_met(_signed(docs, n, seed, Bands(num, den, facts[0]))), "met")
+    keys = met.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    chosen = written(classes.select("key", "doc_id").join(keys, "key"), "chosen")
     ids = chosen.select("doc_id")
     ids = F.broadcast(ids) if chosen.count() <= BROADCAST_IDS else ids
 
     def scan(batches):
         for _, _, first, size, codes in _sets_of(batches, n):
             if len(first):
-                cells = _cells(codes, first, size)
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys(codes, first, seed)[0]), pa.array(size), _binary(cells.ravel(), first, np.full(len(size), CELLS)), _binary(codes, first, size)], ["key", "n", "cells", "codes"])
+                cells = _binary(_cells(codes, first, size).ravel(), first, np.full(len(size), CELLS))
+                listed = pa.ListArray.from_arrays(pa.array(np.r_[first, len(codes)].astype(np.int32)), pa.array(codes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(codes, first, seed)[0]), pa.array(size), cells, listed], ["key", "n", "cells", "codes"])
 
-    schema = "key long, n long, cells binary, codes binary"
+    schema = "key long, n long, cells binary, codes array<long>"
     # rows without an id can't be fetched by it; only the classes that have no other rows need theirs
     unnamed = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(scan, schema).join(chosen.where("doc_id is null").select("key"), "key", "left_semi").select("key", "n", "cells", "codes")
     sets = written(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(scan, schema).unionByName(unnamed).dropDuplicates(["key"]), "sets")
-    small = buckets.where(F.col("in_sig") <= SMALL_BUCKET)
-    pairs = small.select("sig", F.col("key").alias("a")).join(small.select("sig", F.col("key").alias("b")), "sig").where("a < b").select("a", "b")
-    large = buckets.where(F.col("in_sig") > SMALL_BUCKET)
-    leaders = large.groupBy("sig").agg(F.min("key").alias("a"))
-    stars = large.select("sig", F.col("key").alias("b")).join(leaders, "sig").where("a < b").select("a", "b")
-    near = written(_plausible(pairs.union(stars).distinct(), sets, num, den), "near")
+    near = written(_plausible(met.where("a != b").select("a", "b").distinct(), sets, num, den), "near")
     links = written(_linked(near, sets, num, den), "links")
+    large = met.where("large").select("sig", F.col("b").alias("key"))
     if not large.isEmpty():
-        # buckets of equal contents count once
-        same = large.groupBy("sig").agg(F.count("*").alias("c"), F.sum(F.xxhash64("key", F.lit(3)) % (1 << 40)).alias("s")).groupBy("c", "s").agg(F.min("sig").alias("sig"))
-        rows, tried = large.join(same.select("sig"), "sig", "left_semi").select("sig", "key"), near
-        for turn in range(2):
-            label = connected_components(links)
-            rows = _spread(rows, label)
-            if rows.isEmpty():
-                break
-            found = _across(rows, sets, num, den) if turn else _led(rows, label)
-            more = found.join(tried, ["a", "b"], "left_anti")
-            more = written(more if turn else _plausible(more, sets, num, den), "near")
-            tried = tried.union(more)
-            links = links.union(written(_linked(more, sets, num, den), "links"))
-            rows = rows.select("sig", "key")
-    return members, links
-
-
-def similar_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, the smallest id that links lead to.
+        label = connected_components(links)
+        led = written(_plausible(_led(_groups(large, label)), sets, num, den), "near")
+        links = links.union(written(_linked(led, sets, num, den), "links"))
+        label = connected_components(links)
+        groups = written(_groups(large, label), "meets")
+        links = links.union(written(_across(groups, _labelled(large.select("key").distinct(), label), sets, num, den), "links"))
+        drop(led, groups)
+    drop(chosen, near)
+    return Sets(members, sets, links, large, num, den)
+
+
+def link_counts(found: Sets, classes: DataFrame) -> DataFrame:
+    """(key, linked): to how many rows of other classes each class of (key, comp, many) is similar; classes without any may be left out.
+
+    All links of a component whose sets were in small buckets only are known. The sets of others are counted anew,
+    every two blocks of a component in a task of their own that gives a number for each set.
+    """
+    open_ = written(classes.join(found.large.select("key").distinct(), "key", "left_semi").select("comp").distinct(), "open")
+    many = classes.select("key", "many")
+    each = found.links.select(F.col("a").alias("key"), F.col("b").alias("other")).union(found.links.select("b", "a"))
+    each = each.join(classes.select("key", "comp").join(open_, "comp", "left_anti").select("key"), "key", "left_semi")
+    known = each.join(many.withColumnsRenamed({"key": "other"}), "other").select("key", F.col("many").alias("linked"))
+    rows = classes.join(open_, "comp", "left_semi").join(found.sets.select("key", "n"), "key")
+    size = rows.groupBy("comp").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    dealt = rows.join(size, "comp").withColumn("own", _dealt("blocks", 1)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("comp", "key", "many", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).join(found.sets.select("key", "n", "codes"), "key")
+    num, den = found.num, found.den
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        first = pc.equal(table.column("own"), table.column("lo"))
+        within = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
+        a, b = table.filter(first).combine_chunks(), (table if within else table.filter(pc.invert(first))).combine_chunks()
+        if not len(a) or not len(b):
+            return pa.table({"key": pa.array([], pa.int64()), "linked": pa.array([], pa.int64())})
+        linked = similar(a, b, num, den)
+        if within:
+            np.fill_diagonal(linked, False)
+            sides = [(a, linked @ b.column("many").to_numpy())]
+        else:
+            sides = [(a, linked @ b.column("many").to_numpy()), (b, linked.T @ a.column("many").to_numpy())]
+        return pa.table({"key": np.concatenate([x.column("key").to_numpy() for x, _ in sides]), "linked": np.concatenate([n for _, n in sides])})
+
+    counted = dealt.groupBy("comp", "lo", "hi").applyInArrow(count, "key long, linked long")
+    return known.union(counted).groupBy("key").agg(F.sum("linked").alias("linked"))
+
+
+def similar_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5, count_links: bool = False) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, the smallest id that links lead to; if count_links, also n_links, the number of other rows it is similar to.
 
     Words are what lies between ASCII spaces, A-Z lower-cased; a set has the distinct runs of n words, or the whole
     of a shorter text. Equal sets are one class, compared once. Null, empty and blank texts have 0 shingles and
-    are alone. Repeated rows stay rows; rows without an id link by text like others. Other columns don't matter.
+    are alone. Repeated rows stay rows; rows without an id link by text like others. Ids are numbers. Other columns don't matter.
     """
-    members, links = similar_sets(documents, id_col, text_col, n, num, den)
-    label = connected_components(links)
-    own = members.where("n_shingles > 0")
-    classes = own.groupBy("key").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("vertex", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    lowest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(lowest, "root").select("key", "component_id")
-    linked = own.join(named, "key").select("doc_id", "n_shingles", "component_id")
-    return linked.union(members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    found = similar_sets(documents, id_col, text_col, n, num, den)
+    label = connected_components(found.links)
+    own = found.members.where("n_shingles > 0")
+    classes = _labelled(own.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")), label)
+    lowest = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = classes.join(lowest, "comp")
+    zero, extra = F.lit(0).cast("long").alias("n_links"), []
+    if count_links:
+        classes = written(classes.select("key", "comp", "many"), "classes")
+        named = named.join(link_counts(found, classes), "key", "left").withColumn("n_links", F.col("many") - 1 + F.coalesce("linked", F.lit(0)))
+        extra = ["n_links"]
+    linked = own.join(named.select("key", "component_id", *extra), "key").select("doc_id", "n_shingles", "component_id", *extra)
+    return linked.union(found.members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *([zero] if count_links else [])))

@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_components(table(spark, sf_dir, "documents"), n=5, num=4, den=5)
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"), n=5, num=4, den=5, count_links=True)
 
 
 @query
@@ -107,8 +107,9 @@ shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b
 link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT a AS v, a AS r FROM both_ways UNION SELECT e.b, reach.r FROM reach JOIN both_ways e ON e.a = reach.v)
-SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, coalesce(m.r, d.doc_id)) AS BIGINT) AS component_id
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v, min(r) AS r FROM reach GROUP BY v) m ON m.v = d.doc_id
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, coalesce(m.r, d.doc_id)) AS BIGINT) AS component_id,
+       CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, count(*) AS n_links FROM both_ways GROUP BY a) k ON k.a = d.doc_id LEFT JOIN (SELECT v, min(r) AS r FROM reach GROUP BY v) m ON m.v = d.doc_id
 """
 
 #: Base32 takes 5 bits at a time of each 40-bit part of the digest.

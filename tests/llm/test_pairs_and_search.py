@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -15,9 +17,9 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute_components(rows):
+def brute_components(rows, links=False):
     sets = [shingles(r[1]) for r in rows]
-    at = list(range(len(rows)))
+    at, many = list(range(len(rows))), [0] * len(rows)
 
     def root(i):
         while at[i] != i:
@@ -28,23 +30,28 @@ def brute_components(rows):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 at[root(i)] = root(j)
+                many[i] += 1
+                many[j] += 1
     least = defaultdict(list)
     for i, r in enumerate(rows):
         least[root(i)].append(r[0])
     low = {k: min([x for x in v if x is not None], default=None) for k, v in least.items()}
-    return Counter((r[0], len(s), low[root(i)] if s else r[0]) for i, (r, s) in enumerate(zip(rows, sets)))
+    return Counter((r[0], len(s), low[root(i)] if s else r[0], *[many[i]] * links) for i, (r, s) in enumerate(zip(rows, sets)))
 
 
 def test_components_against_brute_force(spark):
     rows = corpus()
-    got = ngram_join.similar_components(frame(spark)).collect()
-    assert Counter(tuple(r)[:3] for r in got) == brute_components(rows)
+    got = ngram_join.similar_components(frame(spark), count_links=True).collect()
+    assert Counter(tuple(r) for r in got) == brute_components(rows, True)
+    none = ngram_join.similar_components(frame(spark, []), count_links=True)
+    assert none.count() == 0 and none.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
 
 
 def test_near_copies_in_oversize_buckets(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL_BUCKET", 4)
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
-    monkeypatch.setattr(ngram_join, "LEADERS", 2)
+    monkeypatch.setattr(ngram_join, "LEADERS", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK_CODES", 300)
     r = random.Random(3)
     base = words(r, 60).split()
     rows = []
@@ -53,11 +60,39 @@ def test_near_copies_in_oversize_buckets(spark, monkeypatch):
         for _ in range(r.randint(0, 4)):
             w[r.randrange(60)] = f"w{r.randrange(1000)}"
         rows.append((i, " ".join(w), "en", "a", 0, 1, 1, "x", 0.0))
-    got = ngram_join.similar_components(frame(spark, rows)).collect()
-    assert Counter(tuple(x)[:3] for x in got) == brute_components(rows)
-
-
-@pytest.mark.parametrize("size", [1, 2, 6, 12, 40, 90])
+    rows += [(500 + i, rows[i % 7][1], *rows[0][2:]) for i in range(9)]
+    got = ngram_join.similar_components(frame(spark, rows), count_links=True).collect()
+    assert Counter(tuple(x) for x in got) == brute_components(rows, True)
+    assert Counter(tuple(x) for x in ngram_join.similar_components(frame(spark, rows)).collect()) == brute_components(rows)
+
+
+def test_met_pairs_of_small_and_large_buckets(spark):
+    r = random.Random(5)
+    rows = [(s, k) for s, many in enumerate([1, 2, 8, 9, 40, 1, 3, 700, 5]) for k in r.sample(range(5000), many) for _ in range(r.choice([1, 1, 2]))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ngram_join._met(spark.createDataFrame(rows, "sig long, key long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    own = defaultdict(set)
+    for s, k in rows:
+        own[s].add(k)
+    want = Counter()
+    for s, keys in own.items():
+        large = len(keys) > ngram_join.SMALL_BUCKET
+        want.update((s, a, b, large) for b in keys for a in keys if (a == min(keys) if large else a < b))
+    assert Counter(tuple(x) for x in got) == want
+
+
+def test_common_counts_against_sets():
+    r = random.Random(6)
+    hot = [r.randrange(10**9) for _ in range(30)]
+    sets = [sorted({*r.sample(hot, r.randint(0, 30)), *(r.randrange(200) for _ in range(r.randint(0, 40)))}) for _ in range(70)]
+    a, b = pa.array(sets[:40], pa.list_(pa.int64())), pa.array(sets[25:], pa.list_(pa.int64()))
+    assert ngram_join.common_counts(a, b).tolist() == [[len({*x} & {*y}) for y in sets[25:]] for x in sets[:40]]
+
+
+@pytest.mark.parametrize("size", [1, 2, 6, 12, 40, 90, 300])
 def test_pairs_at_the_threshold(spark, size):
     rows = []
     for i in range(4):
@@ -68,6 +103,28 @@ def test_pairs_at_the_threshold(spark, size):
     assert Counter(tuple(x)[:3] for x in got) == brute_components(rows)
 
 
+def test_similar_sets_share_a_signature():
+    """Pairs exactly at the threshold, of sizes with many empty parts, in numbers that chance losses would show in."""
+    rng, lost, tried = np.random.default_rng(8), 0, 0
+    bands = ngram_join.Bands(4, 5, 2000)
+    for size in (9, 18, 45, 90, 180):
+        a, b, kept = [], [], size * 8 // 9
+        for _ in range(400):
+            both = rng.integers(0, 1 << 63, kept, dtype=np.uint64)
+            a.append(np.sort(np.r_[both, rng.integers(0, 1 << 63, size - kept, dtype=np.uint64)]))
+            b.append(np.sort(np.r_[both, rng.integers(0, 1 << 63, size - kept, dtype=np.uint64)]))
+        assert 5 * kept >= 4 * (2 * size - kept)
+        found = []
+        for sets in (a, b):
+            sizes = np.array([len(x) for x in sets])
+            owner, sig = ngram_join.signatures(np.concatenate(sets), np.cumsum(sizes) - sizes, sizes, bands)
+            found.append({(int(o), int(x)) for o, x in zip(owner, sig)})
+        shared = {o for o, _ in found[0] & found[1]}
+        tried += 400
+        lost += 400 - len(shared)
+    assert tried == 2000 and lost == 0
+
+
 def test_connected_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 3), (None, 1), (5, 4), (7, 5), (8, 2)], "a long, b long")
     assert {(r.vertex, r.root) for r in components.connected_components(edges).collect()} == {(3, 3), (4, 3), (5, 3), (7, 3), (2, 2), (8, 2), (9, 2)}
