@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lattix.llm import textscan
 from lattix.llm.components import connected_components
-from lattix.llm.scratch import drop, written
+from lattix.llm.scratch import drop, drop_since, made, written
 from lattix.llm.textscan import mix, runs
 
 #: Sets with few differences are enumerated element by element up to this many.
@@ -54,6 +54,8 @@ CELLS = 256
 BROADCAST_IDS = 2_000_000
 #: For up to so many pairs, only the sets of these are shuffled to be compared.
 BROADCAST_PAIRS = 1_000_000
+#: Up to so many rows of blocks are sent to every executor, to fetch their sets without a shuffle of all sets.
+BROADCAST_DEALT = 400_000
 #: Shingle sets that a task remembers to have signed.
 SEEN = 1_000_000
 
@@ -305,9 +307,10 @@ def _labelled(keys: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _groups(large: DataFrame, label: DataFrame) -> DataFrame:
-    """(major, comp): components that have a bucket in common with another one, the largest in it. large has (sig, key)."""
+    """(major, comp): components that have a bucket in common with another one, the largest in it and, of equals, that in most buckets. large has (sig, key)."""
     part = _labelled(large, label).groupBy("sig", "comp").count()
-    size = part.groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("sig", "major")
+    part = part.join(part.groupBy("comp").agg(F.count("*").alias("buckets")), "comp")
+    size = part.groupBy("sig").agg(F.max_by("comp", F.struct("count", "buckets", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("sig", "major")
     return part.join(size, "sig").where("comp != major").select("major", "comp").distinct()
 
 
@@ -327,6 +330,12 @@ def _dealt(blocks: str, seed: int) -> Column:
     return F.expr(f"int(pmod(xxhash64(key, {seed}), {blocks}))")
 
 
+def _with_sets(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of blocks with their sets."""
+    dealt = written(dealt, "dealt")
+    return sets.join(F.broadcast(dealt) if dealt.count() <= BROADCAST_DEALT else dealt, "key")
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The row of each code, and the codes."""
     size = np.diff(column.offsets.to_numpy())
@@ -394,26 +403,44 @@ def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array(out, np.int64).reshape(-1, 2).T)
 
 
+def _faced(rows: DataFrame, sets: DataFrame, compare, schema: str) -> DataFrame:
+    """What compare gives for every two blocks of a group: minor sets (left) and all of the group. sets has (key, n) and what compare reads.
+
+    Minor sets are dealt into blocks, all of the group into others, and every two blocks meet in a task of
+    their own, so that a task holds two blocks at most whatever the group's size.
+    """
+    size = rows.groupBy("major").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"), _blocks(F.count_if("minor"), F.sum(F.when(F.col("minor"), F.col("n")))).alias("minors"))
+    dealt = rows.join(size, "major").drop("n")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.where("minor").select("major", "key", "comp", F.lit(True).alias("left"), _dealt("minors", 1).alias("lo"), every("blocks").alias("hi"))
+    right = dealt.where("minors > 0").select("major", "key", "comp", F.lit(False).alias("left"), every("minors").alias("lo"), _dealt("blocks", 2).alias("hi"))
+    return _with_sets(left.union(right), sets).groupBy("major", "lo", "hi").applyInArrow(compare, schema).distinct()
+
+
 def _across(groups: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between a group's components, enough to join all that links join. members has (key, comp).
 
-    Sets outside a group's own component are dealt into blocks, all of the group into others, and every two blocks meet in a task of
-    their own, so that a task holds two blocks at most whatever the group's size.
+    Counts of codes in cells tell first which sets can have a partner at all; only the codes of these are fetched and compared.
     """
     sized = members.join(sets.select("key", "n"), "key")
     others = groups.join(sized, "comp").withColumn("minor", F.lit(True))
     own = groups.select("major").distinct().join(sized.withColumnRenamed("comp", "major"), "major").select("major", F.col("major").alias("comp"), "key", "n", F.lit(False).alias("minor"))
     rows = written(others.select("major", "comp", "key", "n", "minor").union(own), "groups")
-    size = rows.groupBy("major").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"), _blocks(F.count_if("minor"), F.sum(F.when(F.col("minor"), F.col("n")))).alias("minors"))
-    dealt = rows.join(size, "major")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = dealt.where("minor").select("major", "key", "comp", F.lit(True).alias("left"), _dealt("minors", 1).alias("lo"), every("blocks").alias("hi"))
-    right = dealt.select("major", "key", "comp", F.lit(False).alias("left"), every("minors").alias("lo"), _dealt("blocks", 2).alias("hi"))
 
-    def compare(table: pa.Table) -> pa.Table:
+    def partnered(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        side = pc.field("left")
-        a, b = table.filter(side).combine_chunks(), table.filter(~side).combine_chunks()
+        comp, n, left = (table.column(c).to_numpy() for c in ("comp", "n", "left"))
+        cells, right, hit = _matrix(table.column("cells").chunk(0)), np.flatnonzero(~left), np.zeros(len(n), bool)
+        for i in np.flatnonzero(left):
+            j = right[(comp[right] != comp[i]) & (den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i]))]
+            j = j[np.abs(cells[j] - cells[i]).sum(axis=1) <= _most_differences(n[j], n[i], num, den)]
+            hit[j] = True
+            hit[i] |= len(j) > 0
+        return table.select(["major", "key"]).filter(pa.array(hit))
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("left")
+        a, b = table.filter(side).combine_chunks(), table.filter(pc.invert(side)).combine_chunks()
         i, j = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(a) and len(b):
             comp = [x.column("comp").to_numpy() for x in (a, b)]
@@ -421,7 +448,9 @@ def _across(groups: DataFrame, members: DataFrame, sets: DataFrame, num: int, de
         x, y = (a.column("key").to_numpy()[i], b.column("key").to_numpy()[j]) if len(i) else (i, j)
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
-    return left.union(right).join(sets.select("key", "n", "codes"), "key").groupBy("major", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    hits = _faced(rows, sets.select("key", "n", "cells"), partnered, "major long, key long")
+    rows = written(rows.join(hits, ["major", "key"], "left_semi"), "groups")
+    return _faced(rows, sets.select("key", "n", "codes"), compare, "a long, b long")
 
 
 def similar_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> Sets:
@@ -460,7 +489,9 @@ def similar_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     schema = "key long, n long, cells binary, codes array<long>"
     # rows without an id can't be fetched by it; only the classes that have no other rows need theirs
     unnamed = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(scan, schema).join(chosen.where("doc_id is null").select("key"), "key", "left_semi").select("key", "n", "cells", "codes")
-    sets = written(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(scan, schema).unionByName(unnamed).dropDuplicates(["key"]), "sets")
+    sets = written(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(scan, schema).unionByName(unnamed), "sets")
+    if sets.groupBy("key").count().where("count > 1").limit(1).count():  # rows that repeat an id or have none
+        sets = written(sets.dropDuplicates(["key"]), "sets")
     near = written(_plausible(met.where("a != b").select("a", "b").distinct(), sets, num, den), "near")
     links = written(_linked(near, sets, num, den), "links")
     large = met.where("large").select("sig", F.col("b").alias("key"))
@@ -490,7 +521,7 @@ def link_counts(found: Sets, classes: DataFrame) -> DataFrame:
     rows = classes.join(open_, "comp", "left_semi").join(found.sets.select("key", "n"), "key")
     size = rows.groupBy("comp").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
     dealt = rows.join(size, "comp").withColumn("own", _dealt("blocks", 1)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("comp", "key", "many", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).join(found.sets.select("key", "n", "codes"), "key")
+    dealt = dealt.select("comp", "key", "many", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     num, den = found.num, found.den
 
     def count(table: pa.Table) -> pa.Table:
@@ -508,7 +539,7 @@ def link_counts(found: Sets, classes: DataFrame) -> DataFrame:
             sides = [(a, linked @ b.column("many").to_numpy()), (b, linked.T @ a.column("many").to_numpy())]
         return pa.table({"key": np.concatenate([x.column("key").to_numpy() for x, _ in sides]), "linked": np.concatenate([n for _, n in sides])})
 
-    counted = dealt.groupBy("comp", "lo", "hi").applyInArrow(count, "key long, linked long")
+    counted = _with_sets(dealt, found.sets.select("key", "n", "codes")).groupBy("comp", "lo", "hi").applyInArrow(count, "key long, linked long")
     return known.union(counted).groupBy("key").agg(F.sum("linked").alias("linked"))
 
 
@@ -519,10 +550,10 @@ def similar_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     of a shorter text. Equal sets are one class, compared once. Null, empty and blank texts have 0 shingles and
     are alone. Repeated rows stay rows; rows without an id link by text like others. Ids are numbers. Other columns don't matter.
     """
+    spark, first = documents.sparkSession, made()
     found = similar_sets(documents, id_col, text_col, n, num, den)
-    label = connected_components(found.links)
     own = found.members.where("n_shingles > 0")
-    classes = _labelled(own.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")), label)
+    classes = _labelled(own.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")), connected_components(found.links))
     lowest = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = classes.join(lowest, "comp")
     zero, extra = F.lit(0).cast("long").alias("n_links"), []
@@ -530,5 +561,7 @@ def similar_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         classes = written(classes.select("key", "comp", "many"), "classes")
         named = named.join(link_counts(found, classes), "key", "left").withColumn("n_links", F.col("many") - 1 + F.coalesce("linked", F.lit(0)))
         extra = ["n_links"]
-    linked = own.join(named.select("key", "component_id", *extra), "key").select("doc_id", "n_shingles", "component_id", *extra)
+    named = written(named.select("key", "component_id", *extra), "named")
+    drop_since(spark, first, found.members, named)
+    linked = own.join(named, "key").select("doc_id", "n_shingles", "component_id", *extra)
     return linked.union(found.members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *([zero] if count_links else [])))

@@ -32,6 +32,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/lattix/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that this driver has written.
+_made: list[str] = []
+
+
+def made() -> int:
+    """How many tables have been written so far, for drop_since()."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, first: int, *kept: DataFrame) -> None:
+    """Removes the tables written since made() gave first, but for those kept. Nothing lazy that reads them may be left."""
+    keep = {_folder(f) for df in kept for f in df.inputFiles()}
+    gone = [p for p in _made[first:] if p.rsplit("/", 1)[1] not in keep]
+    _made[first:] = [p for p in _made[first:] if p not in gone]
+    _delete(spark, gone)
+
+
+def _folder(file: str) -> str:
+    return file.rsplit("/", 2)[1]
+
+
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a Parquet table."""
     spark = df.sparkSession
@@ -44,13 +71,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(*tables: DataFrame) -> None:
     """Removes tables of written() that no later result reads."""
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, list({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
