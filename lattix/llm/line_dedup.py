@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.scratch import written
+from lattix.llm.scratch import drop_since, made, written
 
-#: Shorter lines have no one-edit matches; exact repeats of them go if asked for.
+#: Shorter lines go if they are equal to an earlier one and have a word; one edit of them, a list's number say, is not taken for a repeat.
 MIN_CHARS = 25
 WORD = r"[^\x20\x09-\x0D]"
 PIECES = (2, 16)
@@ -25,9 +25,9 @@ PLACE = 10**10
 BROADCAST_LINES = 500_000
 
 
-def _lines(documents: DataFrame, min_chars: int, exact_short: bool) -> DataFrame:
+def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
     split = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    return documents.select("doc_id", F.xxhash64("text").alias("version"), split).where((F.length("line") >= min_chars) | (F.col("line").rlike(WORD) if exact_short else F.lit(False))).select("doc_id", "version", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    return documents.select("doc_id", F.xxhash64("text").alias("version"), split).where((F.length("line") >= min_chars) | F.col("line").rlike(WORD)).select("doc_id", "version", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
 def _place() -> Column:
@@ -83,9 +83,9 @@ def _near(found: DataFrame, lines: DataFrame) -> DataFrame:
     return pairs.join(a, "place").join(b, "witness").where(F.levenshtein("line", "earlier", 1).between(0, 1)).select("h1", "h2").distinct()
 
 
-def repeated_lines(documents: DataFrame, min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
+def repeated_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, version, line_no) of every line to go; version is a hash of the row's text."""
-    lines = _lines(documents, min_chars, exact_short)
+    lines = _lines(documents, min_chars)
     found = written(lines.withColumn("place", _place()).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n")), "lines")
     near = written(_near(found, lines.where(F.length("line") >= min_chars)), "near").withColumn("near", F.lit(True))
     fate = found.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "place", "near")
@@ -93,25 +93,29 @@ def repeated_lines(documents: DataFrame, min_chars: int = MIN_CHARS, exact_short
     return gone.select("doc_id", "version", "line_no")
 
 
-def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
-    """The documents with text_col less its repeated lines, and n_lines and n_removed; other columns stay.
+def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """The documents with text_col less its repeated lines, and n_lines and n_removed, which replace columns of these names; other columns stay.
 
-    A line of min_chars characters or more goes if an earlier line, by document id and line number, of any document
-    is equal to it or within one edit of it, be that one kept or not. So the earliest of each group stays.
-    Lines end at a line feed; shorter lines stay, but for those with a word that are equal to an earlier line, if exact_short. Null text stays null with no lines; an empty text has one empty line.
-    Rows with one id and one text have the same places, so neither repeats the other; a null id comes as 0.
+    A line with a word goes if an earlier line, by document id and line number, of any document is equal to it. A line of min_chars
+    characters or more goes also without a word, and if an earlier line is within one edit of it, be that one kept or not. So the earliest of each group
+    stays. The bound of one edit is the neighbourhood's and no parameter. Lines end at a line feed. Null text stays null with no lines; an empty text has one empty line.
+    Rows with one id and one text have the same places, so neither repeats the other; ids are numbers, a null id comes as 0.
     """
-    own = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gone = written(repeated_lines(own, min_chars, exact_short), "gone").groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone"))
+    own = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    first = made()
+    gone = written(repeated_lines(own, min_chars), "gone")
+    drop_since(documents.sparkSession, first, gone)
+    gone = gone.groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("gone").alias("__gone"))
-    match = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__version"))
-    split = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return (
-        documents.join(gone, match, "left")
-        .withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.greatest("n_removed", F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept))
-        .drop("__id", "__version", "__gone")
+    text = F.col(f"`{text_col}`").cast("string")
+    match = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__version"))
+    split = F.split(text, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "__gone")
+    kept = F.get(F.transform(F.array(split), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")), F.lit(0))
+    names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
+    new = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(kept).alias(text_col)
+    return documents.join(gone, match, "left").select(
+        *[new if c == text_col else F.col(f"`{c}`") for c in names],
+        F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -207,9 +207,9 @@ def test_line_dedup_against_brute_force(spark):
             continue
         kept, gone = [], 0
         for line in text.split("\n"):
-            repeat = len(line) >= line_dedup.MIN_CHARS and any(within_one(line, x) for x in seen)
-            if len(line) >= line_dedup.MIN_CHARS:
-                seen.append(line)
+            long, word = len(line) >= line_dedup.MIN_CHARS, re.search(r"[^\x20\x09-\x0D]", line)
+            repeat = (long and any(within_one(line, x) for x in seen if len(x) >= line_dedup.MIN_CHARS)) or (bool(word) and line in seen)
+            seen.append(line)
             kept += [] if repeat else [line]
             gone += repeat
         want[doc] = ("\n".join(kept), gone)
@@ -218,9 +218,19 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
-def test_short_lines_repeated_exactly_go_if_asked(spark):
-    docs = frame(spark, [(i, text, "en", "a", 0, 1, 1, "x", 0.0) for i, text in enumerate(["Home\n\nNext", "Home\n\nText\n ", "Home \nNext\n "])])
-    got = line_dedup.dedup_lines(docs, exact_short=True).collect()
+def test_short_lines_repeated_exactly_go(spark):
+    rows = [(i, text, "en", "a", 0, 1, 1, "x", 0.0) for i, text in enumerate(["Home\n\nNext", "Home\n\nText\n ", "Home \nNext\n "])]
+    docs = frame(spark, rows)
+    got = line_dedup.dedup_lines(docs).collect()
     assert {x.doc_id: (x.text, x.n_removed) for x in got} == {0: ("Home\n\nNext", 0), 1: ("\nText\n ", 1), 2: ("Home \n ", 1)}
     staged = corpus_pipeline.dedup_lines(spark, docs.select(*corpus_pipeline.COLUMNS), "").collect()
     assert {x.doc_id: x.text for x in staged} == {x.doc_id: x.text for x in got}
+
+
+def test_line_dedup_of_repeated_rows_many_lines_and_clashing_names(spark):
+    line = "a line that stands here again and again"
+    rows = [(1, "x one\n" + line), (1, "x one\n" + line), (2, "\n".join([line] * 20_000 + ["end"])), (None, None), (3, "")]
+    df = spark.createDataFrame([(i, t, 5, 6, 7) for i, t in rows], "doc_id long, text string, n_lines int, n_removed int, `a.b` int")
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "a.b", "n_lines", "n_removed"]
+    assert Counter((x.doc_id, x.text, x.n_lines, x.n_removed) for x in got.collect()) == Counter([(1, rows[0][1], 2, 0)] * 2 + [(2, "end", 20_001, 20_000), (None, None, 0, 0), (3, "", 1, 0)])
