@@ -3,7 +3,7 @@
 Reading plans partitions over files, small files together. A record's header is parsed first;
 equality predicates on its type and on its other header columns are pushed down, and the payload of a record that they rule out, or that no column
 asks for, is passed over: in plain files by seeking, in compressed ones by the length that the member's own header gives.
-Writing makes a file for each task, of one gzip member a record, and a list of the files of the tasks that succeeded.
+Writing makes a file for each task, of one gzip member a record, and each write a list of the files of its tasks that succeeded, so that writes add up.
 """
 
 from __future__ import annotations
@@ -30,28 +30,37 @@ HEADERS = {
 }
 SCHEMA = ", ".join(f"{c} {'long' if c == 'payload_bytes' else 'string'}" for c in HEADERS) + ", payload binary"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-LIST = "_files.json"
+#: What a list of a write's files is named before its number.
+LIST = "_files-"
 #: Files are read together up to so many bytes.
 PARTITION_BYTES = 32 << 20
+#: What a written file is named before its number.
+PART = "part-"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def opened(path: str):
-    """A file system and a path in it: local ones by Python, others by Arrow."""
+    """An Arrow file system and a path in it."""
     from pyarrow import fs
 
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    system, inner = fs.FileSystem.from_uri(path)
-    return system, inner
+    return fs.FileSystem.from_uri(path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the cluster's default file system, if it names none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().toString().replace("file:/", "file:///", 1) if "://" not in path else path
 
 
 def packed(record: bytes) -> bytes:
-    """A gzip member with the lengths of its data, packed and plain, in an extra field (sl), as WARC allows, to skip it by."""
+    """A gzip member with the lengths of its data, packed and plain, in an extra field (sl), as WARC allows, to skip it by; without them from 4 GiB on, which the field can't tell."""
     body = zlib.compressobj(1, zlib.DEFLATED, -15)
     data = body.compress(record) + body.flush()
     tail = struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
-    extra = b"sl" + struct.pack("<HII", 8, (10 + 2 + 12 + len(data) + 8) & 0xFFFFFFFF, len(record) & 0xFFFFFFFF)
+    whole = 10 + 2 + 12 + len(data) + 8
+    if max(whole, len(record)) > 0xFFFFFFFF:
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + data + tail
+    extra = b"sl" + struct.pack("<HII", 8, whole, len(record))
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + data + tail
 
 
@@ -194,12 +203,12 @@ class WarcReader(DataSourceReader):
         system, root = opened(self.path)
         if system.get_file_info(root).type == fs.FileType.File:
             return [Files([root])]
-        listed = system.get_file_info(f"{root}/{LIST}")
-        if listed.type == fs.FileType.File:
-            names = json.loads(system.open_input_stream(listed.path).readall())
-            found = [system.get_file_info(f"{root}/{x}") for x in names]
-        else:
-            found = [x for x in system.get_file_info(fs.FileSelector(root, recursive=True)) if x.path.endswith((".warc", ".warc.gz"))]
+        there = system.get_file_info(fs.FileSelector(root, recursive=True))
+        found = [x for x in there if x.path.endswith((".warc", ".warc.gz"))]
+        lists = [x for x in there if x.base_name.startswith(LIST)]
+        if lists:  # files that no list has are of tasks that failed
+            names = {name for x in lists for name in json.loads(system.open_input_stream(x.path).readall())}
+            found = [x for x in found if not x.base_name.startswith(PART) or x.base_name in names]
         out, size = [[]], 0
         for x in sorted(found, key=lambda x: x.path):
             if out[-1] and size + x.size > PARTITION_BYTES:
@@ -240,7 +249,7 @@ class WarcWriter(DataSourceWriter):
     def write(self, iterator) -> Written:
         system, root = opened(self.path)
         system.create_dir(root, recursive=True)
-        name = f"part-{uuid.uuid4().hex}.warc{'' if self.plain else '.gz'}"
+        name = f"{PART}{uuid.uuid4().hex}.warc{'' if self.plain else '.gz'}"
         with system.open_output_stream(f"{root}/{name}", compression=None) as out:
             for row in iterator:
                 record = record_bytes(dict(zip(self.names, row, strict=True)))
@@ -250,7 +259,7 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages: list[Written | None]) -> None:
         system, root = opened(self.path)
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(f"{root}/{LIST}") as out:
+        with system.open_output_stream(f"{root}/{LIST}{uuid.uuid4().hex}") as out:
             out.write(json.dumps([m.name for m in messages if m]).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -308,8 +317,10 @@ DATE = datetime(2026, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    records.sparkSession.dataSource.register(WarcSource)
-    records.write.format("warc").option("compression", compression).mode("append").save(path)
+    """Adds files of the records, any choice of SCHEMA's columns, to a folder that all executors share."""
+    spark = records.sparkSession
+    spark.dataSource.register(WarcSource)
+    records.write.format("warc").option("compression", compression).mode("append").save(qualified(spark, path))
 
 
 def read_warc(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None) -> DataFrame:
@@ -321,7 +332,7 @@ def read_warc(spark: SparkSession, path: str, columns: tuple[str, ...] | None =
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     kinds = dict(x.split(" ") for x in SCHEMA.split(", "))
     reader = spark.read.format("warc")
-    return (reader.schema(", ".join(f"{c} {kinds[c]}" for c in columns)) if columns else reader).load(path)
+    return (reader.schema(", ".join(f"{c} {kinds[c]}" for c in columns)) if columns else reader).load(qualified(spark, path))
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:

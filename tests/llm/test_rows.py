@@ -147,6 +147,22 @@ def test_warc_query_against_brute_force(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_warc_writes_add_up_and_payloads_are_passed_over(spark, tmp_path):
+    _, df = pages(spark)
+    path = f"{tmp_path}/twice"
+    warc.write_warc(warc.archived(df.where("page_id = 1").withColumn("payload", F.lit(1))), path)
+    warc.write_warc(warc.archived(df.where("page_id = 4")), path)
+    (tmp_path / "twice" / "part-of-a-failed-task.warc").write_bytes(b"WARC/1.1\r\nContent-Length: 0\r\n\r\n")
+    assert {x.record_id for x in warc.read_warc(spark, path).collect()} == {"<urn:page:1>", "<urn:page:4>"}
+    # a payload that can't be inflated does no harm as long as nobody asks for it
+    big = warc.packed(warc.record_bytes({"record_type": "response", "payload": bytes(random.Random(1).randbytes(200_000))}))
+    (tmp_path / "b.warc.gz").write_bytes(big[:1000] + b"\xff" * (len(big) - 1000) + warc.packed(warc.record_bytes({"record_type": "revisit"})))
+    assert [x.record_type for x in warc.read_warc(spark, f"{tmp_path}/b.warc.gz", ("record_type",)).collect()] == ["response", "revisit"]
+    assert [x.payload for x in warc.read_warc(spark, f"{tmp_path}/b.warc.gz").where("record_type = 'revisit'").select("payload").collect()] == [b""]
+    with pytest.raises(Exception, match="zlib|invalid|Error"):
+        warc.read_warc(spark, f"{tmp_path}/b.warc.gz", ("payload",)).collect()
+
+
 def test_warc_reads_foreign_files(spark, tmp_path):
     import gzip
 
