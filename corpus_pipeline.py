@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattix.llm import language_mix, line_dedup, ngram_join, pfair_mix, phrase_index
-from lattix.llm.scratch import written
+from lattix.llm.scratch import drop_since, made, written
 
+#: Those of documents; stages drop any other.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Up to so many ids are sent to every executor.
 BROADCAST_IDS = 2_000_000
@@ -19,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that repeat an earlier one, of any document, short ones if they are equal; texts of which no word is left go."""
-    left = line_dedup.dedup_lines(docs, exact_short=True).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """Removes lines that repeat an earlier one, of any document; texts of which no word is left go."""
+    left = line_dedup.dedup_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -31,6 +32,7 @@ def _small(ids: DataFrame) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row stays, that with the least id, rows without an id last. Rows without a word are alone; of those with one id and text one stays."""
+    start = made()
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = docs.where(worded).withColumn("__key", F.xxhash64("text")).withColumn("__none", F.col("doc_id").isNull()).withColumn("__id", F.coalesce("doc_id", F.lit(0)))
     row = ["__none", "__id", "__key"]
@@ -39,6 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = written(least.groupBy("component_id").agg(F.min(F.struct("least.__none", "least.__id", "__key")).alias("row")).select("row.*"), "first")
     kept = rows.join(_small(first), row, "left_semi")
     twice = written(kept.groupBy(*row).count().where("count > 1").select(*row), "twice")
+    drop_since(spark, start, first, twice)
     blank = docs.where(~worded)
     kept = kept if twice.isEmpty() else kept.join(_small(twice), row, "left_anti").unionByName(kept.join(_small(twice), row, "left_semi").dropDuplicates(row))
     alone = blank.where("doc_id is null").unionByName(blank.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
@@ -47,8 +50,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that share a window of ten words with a benchmark item."""
+    start = made()
     found = phrase_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     tainted = written(found.where("contaminated").select("doc_id").distinct(), "tainted")
+    drop_since(spark, start, tainted)
     return docs.join(_small(tainted), "doc_id", "left_anti").select(*COLUMNS)
 
 
@@ -66,5 +71,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        start = made()
         docs = written(stage(spark, docs, sf_dir), name)
+        drop_since(spark, start, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
