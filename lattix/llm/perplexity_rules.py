@@ -1,9 +1,11 @@
 """Quality rules: repetition and length, and perplexity bands of a modified Kneser-Ney model.
 
-The model's units are characters, folded onto 64 symbols, and its order is 4, so that a language has
-64^4 n-grams at most: whatever the corpus, the counts combine before their shuffle and the arrays that
-are sent to executors are bounded. Spark counts the n-grams of all documents; each order's codes are kept
-as a sorted array with their log-probabilities beside them, and looked up by binary search.
+The model's units are the bytes of the UTF-8 text as they are, and its order is 6, so that six bytes are a 48-bit code
+without collisions. Spark counts the n-grams of all documents by language, and works out discounts, context totals and
+probabilities as tables, order by order; what it gathers grows with the corpus. For scoring, each order's codes are kept as a
+sorted array with their log-probabilities beside them, looked up by binary search. Executors are sent so
+many rows of the model at once; a larger model comes in parts, each for some contexts, and
+the texts' sums are carried from one part to the next.
 """
 
 from __future__ import annotations
@@ -13,20 +15,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattix.llm import textscan
-from lattix.llm.scratch import written
-
-ORDER = 4
-BITS = 6
-LANGUAGES = 64
+from lattix.llm.scratch import drop_since, made, written
+
+ORDER = 6
+BITS = 8
+#: A task hands its counts on when it holds so many n-grams.
+HELD = 2_000_000
+#: Rows of the model, of some 12 bytes, that executors are sent at once.
+PART_ROWS = 8_000_000
+#: Contexts of two bytes and more are dealt into so many cells, by which a model is cut into parts.
+CELLS = 1024
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5
 #: A band reaches so many quartile distances beyond the quartiles of a language's log-perplexities.
-FENCE = 3.0
+FENCE = 2.0
 #: A band is never narrower than this each way about the median, so that a language of few or equal texts rejects none of them.
 LEAST_HALF_WIDTH = 0.1
 #: Over its square root of characters, what chance alone may move a text's mean: a band is so much wider for it.
@@ -38,34 +46,20 @@ NOT_NEWLINE = np.ones(256, dtype=bool)
 NOT_NEWLINE[0x0A] = False
 
 
-def _folded() -> np.ndarray:
-    """Byte to symbol: 0 blank, 1-26 small letters, 27-34 capitals, 35 digits, 36-52 signs, 53-62 bytes beyond ASCII."""
-    out = np.zeros(256, np.uint32)
-    for c in range(26):
-        out[0x61 + c] = 1 + c
-        out[0x41 + c] = 27 + c % 8
-    out[0x30:0x3A] = 35
-    for i, c in enumerate("\n.,;:!?'\"-()#*|/"):
-        out[ord(c)] = 36 + i
-    out[[c for c in range(0x21, 0x7F) if not out[c]]] = 52
-    out[0x80:0xC0] = 53 + np.arange(64) % 8
-    out[0xC0:] = 61 + np.arange(64) % 2
-    return out
-
-
-FOLD = _folded()
+def _mask(order: int) -> int:
+    return (1 << BITS * order) - 1
 
 
 def ngram_codes(part: textscan.Slice) -> np.ndarray:
-    """For each byte, the code of the ORDER symbols that end there; blanks stand before a text."""
-    symbol = FOLD[part.data]
+    """For each byte, the code of the ORDER bytes that end there; zeros stand before a text."""
+    symbol = part.data.astype(np.uint64)
     within = np.arange(len(symbol)) - np.repeat(part.offsets[:-1], np.diff(part.offsets))
     code = symbol.copy()
     for k in range(1, ORDER):
         before = np.zeros_like(symbol)
         before[k:] = symbol[:-k]
         before[within < k] = 0
-        code |= before << np.uint32(BITS * k)
+        code |= before << np.uint64(BITS * k)
     return code
 
 
@@ -101,17 +95,50 @@ def count_ngrams(documents: DataFrame, text_col: str = "text", lang_col: str = "
                         first, _ = textscan.runs(both[order])
                         code, n = both[order][first], np.add.reduceat(np.concatenate([held[name][1], n])[order], first)
                     held[name] = (code, n)
-                if len(held) > 16:
+                if sum(len(code) for code, _ in held.values()) > HELD:
                     yield from _rows(held)
                     held = {}
         yield from _rows(held)
 
-    return docs.mapInArrow(scan, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(scan, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def _rows(held: dict) -> Iterator[pa.RecordBatch]:
     for name, (code, n) in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
+        for at in range(0, len(code), 100_000):
+            part = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(code[part]), pa.string()), pa.array(code[part].view(np.int64)), pa.array(n[part].astype(np.int64))], ["lang", "code", "n"])
+
+
+def _discounts() -> list[Column]:
+    """Three discounts, for counts of 1, 2 and more, from a language's counts of counts; 0.5, 1 and 1.5 where those are too few."""
+    n = [F.count_if(F.col("n") == k) for k in range(1, 5)]
+    y = n[0] / (n[0] + 2 * n[1])
+    enough = (n[0] > 0) & (n[1] > 0) & (n[2] > 0) & (n[3] > 0)
+    fitted = [F.try_subtract(F.lit(float(k)), (k + 1) * y * F.try_divide(n[k], n[k - 1])) for k in (1, 2, 3)]
+    return [F.when(enough & (d > 0) & (d < k), d).otherwise(0.5 * k).alias(f"d{k}") for k, d in enumerate(fitted, 1)]
+
+
+def kneser_ney(counts: DataFrame) -> list[DataFrame]:
+    """Tables (lang, code, p, context, gamma) of orders 1 to ORDER: interpolated modified Kneser-Ney, from the counts of the highest order.
+
+    Lower orders count the distinct bytes that stand before an n-gram. gamma is the weight that a context leaves to the order below.
+    """
+    tables = {ORDER: counts}
+    for order in range(ORDER - 1, 0, -1):
+        tables[order] = written(tables[order + 1].groupBy("lang", F.col("code").bitwiseAND(F.lit(_mask(order))).alias("code")).agg(F.count("*").alias("n")), "lower")
+    out: list[DataFrame] = []
+    for order in range(1, ORDER + 1):
+        own = tables[order].join(F.broadcast(tables[order].groupBy("lang").agg(*_discounts())), "lang")  # a row for each language
+        own = own.withColumn("taken", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("context", F.shiftrightunsigned("code", BITS))
+        all_ = Window.partitionBy("lang", "context")  # as many rows as there are bytes
+        own = own.withColumn("total", F.sum("n").over(all_)).withColumn("gamma", F.sum("taken").over(all_) / F.col("total"))
+        below = F.lit(1 / (1 << BITS))
+        if out:
+            lower = out[-1].select("lang", F.col("code").alias("short"), F.col("p").alias("below"))
+            own, below = own.withColumn("short", F.col("code").bitwiseAND(F.lit(_mask(order - 1)))).join(lower, ["lang", "short"]), F.col("below")
+        out.append(written(own.select("lang", "code", ((F.col("n") - F.col("taken")) / F.col("total") + F.col("gamma") * below).alias("p"), "context", "gamma"), "level"))
+    return out
 
 
 @dataclass
@@ -124,71 +151,100 @@ class Level:
     left: np.ndarray
 
 
-def kneser_ney(code: np.ndarray, n: np.ndarray) -> list[Level]:
-    """Interpolated modified Kneser-Ney, orders 1 to ORDER, from the sorted counts of the highest order.
-
-    Lower orders count the distinct symbols that stand before an n-gram. Each order has three discounts,
-    for counts of 1, 2 and more, from its counts of counts; where those are too few, 0.5, 1 and 1.5.
-    """
-    tables = {ORDER: (code.astype(np.uint32), n.astype(np.int64))}
-    for order in range(ORDER - 1, 0, -1):
-        short = np.sort(tables[order + 1][0] & np.uint32((1 << BITS * order) - 1))
-        first, many = textscan.runs(short)
-        tables[order] = (short[first], many)
-    levels: list[Level] = []
-    for order in range(1, ORDER + 1):
-        codes, counts = tables[order]
-        n1, n2, n3, n4 = (int((counts == k).sum()) for k in (1, 2, 3, 4))
-        discount = np.array([0, 0.5, 1.0, 1.5])
-        if n1 and n2 and n3 and n4:
-            y = n1 / (n1 + 2 * n2)
-            fitted = np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-            discount = np.where((fitted > 0) & (fitted < [1, 1, 2, 3]), fitted, discount)
-        taken = discount[np.minimum(counts, 3)]
-        context, length = textscan.runs(codes >> np.uint32(BITS))
-        total = np.add.reduceat(counts, context)
-        gamma = np.add.reduceat(taken, context) / total
-        own = np.repeat(np.arange(len(context)), length)
-        below = np.exp(log_probability(levels, codes & np.uint32((1 << BITS * (order - 1)) - 1))) if levels else np.full(len(codes), 1 / (1 << BITS))
-        p = (counts - taken) / total[own] + gamma[own] * below
-        levels.append(Level(codes, np.log(p).astype(np.float32), (codes >> np.uint32(BITS))[context], np.log(np.maximum(gamma, 1e-9)).astype(np.float32)))
-    return levels
-
-
 def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
     return at, sorted_[at] == wanted
 
 
 def log_probability(levels: list[Level], code: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the probability of each code's last symbol after those before it."""
+    """Natural logarithm of the probability of each code's last byte after those before it."""
     if not levels:
         return np.full(len(code), -np.log(1 << BITS), np.float32)
     level = levels[-1]
+    if not len(level.codes):
+        return log_probability(levels[:-1], code & np.uint64(_mask(len(levels) - 1)))
     at, there = _find(level.codes, code)
     out = level.logs[at]
     rest = np.flatnonzero(~there)
     if len(rest):
         short = code[rest]
-        lower = log_probability(levels[:-1], short & np.uint32((1 << BITS * (len(levels) - 1)) - 1))
-        at, known = _find(level.contexts, short >> np.uint32(BITS))
+        lower = log_probability(levels[:-1], short & np.uint64(_mask(len(levels) - 1)))
+        at, known = _find(level.contexts, short >> np.uint64(BITS))
         out[rest] = np.where(known, level.left[at], 0) + lower
     return out
 
 
-def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[Level]]:
-    """A model of each language from all texts. LANGUAGES times 64^4 counts at most come to the driver."""
-    counts = written(count_ngrams(documents, text_col, lang_col), "ngrams")
-    langs = [r[0] for r in counts.select("lang").distinct().limit(LANGUAGES + 1).collect()]
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    models = {}
-    for lang in sorted(langs):
-        table = counts.where(F.col("lang") == lang).select("code", "n").toArrow()
-        code, n = table.column(0).to_numpy(), table.column(1).to_numpy()
-        order = np.argsort(code)
-        models[lang] = kneser_ney(code[order], n[order])
-    return models
+@dataclass
+class Part:
+    """A model's levels by language, and of each language the cells of contexts that they are for; all, if there is one part."""
+
+    levels: dict[str, list[Level]]
+    cells: dict[str, np.ndarray]
+
+    def score(self, lang: str, codes: np.ndarray) -> np.ndarray:
+        """Log-probability at each code; 0 at those that are for another part."""
+        out = np.zeros(len(codes), np.float32)
+        cells = self.cells.get(lang)
+        own = slice(None) if cells is None else np.flatnonzero(cells[(codes >> np.uint64(BITS)).astype(np.int64) % (1 << 16) % CELLS])
+        if lang in self.levels:
+            code, back = np.unique(codes[own], return_inverse=True)
+            out[own] = log_probability(self.levels[lang], code)[back]
+        return out
+
+
+def _levels(rows: pa.Table) -> dict[str, list[Level]]:
+    """From rows (lang, order, is_context, code, value)."""
+    coded = rows.column("lang").combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    group = coded.indices.to_numpy().astype(np.int64) * 2 * (ORDER + 1) + 2 * rows.column("order").to_numpy() + rows.column("is_context").to_numpy()
+    code, value = rows.column("code").to_numpy().view(np.uint64), rows.column("value").to_numpy().astype(np.float32)
+    order = np.lexsort((code, group))
+    first, length = textscan.runs(group[order])
+    own = {int(group[order[at]]): (code[order[at : at + n]], value[order[at : at + n]]) for at, n in zip(first, length, strict=True)}
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    return {lang: [Level(*own.get(i * 2 * (ORDER + 1) + 2 * k, none), *own.get(i * 2 * (ORDER + 1) + 2 * k + 1, none)) for k in range(1, ORDER + 1)] for i, lang in enumerate(coded.dictionary.to_pylist())}
+
+
+def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The model of all texts by language: (lang, order, is_context, code, value, cell), value being the logarithm of p or gamma; cell is null in orders 1 and 2, which all parts have."""
+    first = made()
+    rows = None
+    for order, level in enumerate(kneser_ney(written(count_ngrams(documents, text_col, lang_col), "ngrams")), 1):
+        named = lambda df, context, code, value, k=order: df.select("lang", F.lit(k).alias("order"), F.lit(context).alias("is_context"), F.col(code).alias("code"), F.ln(value).cast("float").alias("value"), F.expr(f"int(shiftrightunsigned(code, {BITS}) & 65535) % {CELLS}" if not context else f"int({code} & 65535) % {CELLS}").alias("cell"))
+        own = named(level, False, "code", "p").union(named(level.groupBy("lang", "context").agg(F.first("gamma").alias("gamma")), True, "context", F.greatest("gamma", F.lit(1e-9))))
+        own = own.withColumn("cell", F.lit(None).cast("int")) if order < 3 else own
+        rows = own if rows is None else rows.union(own)
+    model = written(rows, "model")
+    drop_since(documents.sparkSession, first, model)
+    return model
+
+
+def cuts(model: DataFrame, most: int) -> list[list[tuple[str, int]] | None]:
+    """The (lang, cell) of parts of about so many rows; one None for a model that needs no cut."""
+    if model.count() <= most:
+        return [None]
+    sizes = model.where("cell is not null").groupBy("lang", "cell").count().orderBy("lang", "cell").collect()  # CELLS rows a language at most
+    groups, held = [[]], 0
+    for lang, cell, n in sizes:
+        if groups[-1] and held + n > most:
+            groups.append([])
+            held = 0
+        groups[-1].append((lang, cell))
+        held += n
+    return groups
+
+
+def load(model: DataFrame, group: list[tuple[str, int]] | None) -> Part:
+    """One of the parts that cuts() names."""
+    if group is None:
+        return Part(_levels(model.drop("cell").toArrow()), {})
+    wanted = F.broadcast(model.sparkSession.createDataFrame(group, "lang string, cell int"))
+    everywhere = model.where("cell is null").join(wanted.select("lang").distinct(), "lang", "left_semi")
+    own = model.join(wanted, ["lang", "cell"], "left_semi").unionByName(everywhere)
+    cells = {lang: np.zeros(CELLS, bool) for lang, _ in group}
+    for lang, cell in group:
+        cells[lang][cell] = True
+    return Part(_levels(own.drop("cell").toArrow()), cells)
 
 
 def base_counts(part: textscan.Slice) -> dict[str, np.ndarray]:
@@ -217,27 +273,35 @@ def base_counts(part: textscan.Slice) -> dict[str, np.ndarray]:
     return out
 
 
-def score(documents: DataFrame, models: dict[str, list[Level]], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row: doc_id, lang, the base counts and log_perplexity, null for empty texts."""
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), *_text_and_lang(documents, text_col, lang_col))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    def scan(batches):
-        for batch in batches:
-            langs = np.array(batch.column(2).to_pylist(), dtype=object)
-            for part in textscan.slices(batch.column(1)):
-                base = base_counts(part)
-                codes, size = ngram_codes(part), np.diff(part.offsets)
-                logs = np.zeros(len(codes))
-                for name, own in _of_language(part, langs):
-                    logs[own] = log_probability(models.get(name, []), codes[own])
-                total = np.r_[0, np.cumsum(logs)]
-                mean = -(total[part.offsets[1:]] - total[part.offsets[:-1]]) / np.maximum(size, 1)
-                rows = slice(part.first, part.first + part.count)
-                columns = [batch.column(0).slice(part.first, part.count), pa.array(langs[rows], pa.string()), *(pa.array(base[k]) for k in names), pa.array(mean, mask=size == 0)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", *names, "log_perplexity"])
 
-    return docs.mapInArrow(scan, "doc_id long, lang string, " + ", ".join(f"{k} long" for k in names) + ", log_perplexity double")
+def score(documents: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = PART_ROWS) -> DataFrame:
+    """Per row: doc_id, lang, the base counts and log_perplexity, null for empty texts. If the model comes in parts, rows with their sums are written before each further one."""
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), *_text_and_lang(documents, text_col, lang_col)).withColumn("total", F.lit(0.0))
+    spark, groups = documents.sparkSession, cuts(model, most)
+    for turn, group in enumerate(groups):
+        sent, last = spark.sparkContext.broadcast(load(model, group)), turn == len(groups) - 1  # of about most rows
+
+        def add(batches, sent=sent, last=last):
+            for batch in batches:
+                langs, before = np.array(batch.column(2).to_pylist(), dtype=object), batch.column(3).to_numpy()
+                for part in textscan.slices(batch.column(1)):
+                    codes, logs, rows = ngram_codes(part), np.zeros(len(part.data)), slice(part.first, part.first + part.count)
+                    for name, own in _of_language(part, langs):
+                        logs[own] = sent.value.score(name, codes[own])
+                    upto, size = np.r_[0, np.cumsum(logs)], np.diff(part.offsets)
+                    total = before[rows] + upto[part.offsets[1:]] - upto[part.offsets[:-1]]
+                    ids, text, lang = (c.slice(part.first, part.count) for c in batch.columns[:3])
+                    if last:
+                        base = base_counts(part)
+                        yield pa.RecordBatch.from_arrays([ids, lang, *(pa.array(base[k]) for k in BASE), pa.array(-total / np.maximum(size, 1), mask=size == 0)], ["doc_id", "lang", *BASE, "log_perplexity"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([ids, text, lang, pa.array(total)], ["doc_id", "text", "lang", "total"])
+
+        if last:
+            return docs.mapInArrow(add, "doc_id long, lang string, " + ", ".join(f"{k} long" for k in BASE) + ", log_perplexity double")
+        docs = written(docs.mapInArrow(add, "doc_id long, text string, lang string, total double"), "summed")
 
 
 def bands(scored: DataFrame, fence: float = FENCE) -> DataFrame:
@@ -256,10 +320,12 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the perplexity lies within the language's band, widened for short texts. A null language is one of its own, und. Null and empty texts have no words, fail
     and have no perplexity. A language none of whose texts pass the base rules has no band and keeps nothing, as all of it fails.
     """
-    models = train(documents, text_col, lang_col)
+    first = made()
+    model = train(documents, text_col, lang_col)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    scored = written(score(documents, models, id_col, text_col, lang_col).withColumn("base_failed", failed), "scored")
-    limits = bands(scored, fence)  # LANGUAGES rows at most, as train() has seen
+    scored = written(score(documents, model, id_col, text_col, lang_col).withColumn("base_failed", failed), "scored")
+    drop_since(documents.sparkSession, first, scored)
+    limits = bands(scored, fence)  # a row for each language
     margin = F.lit(CHANCE) / F.sqrt(F.greatest("word_chars", F.lit(1)))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low") - margin, F.col("high") + margin), F.lit(False))
     joined = scored.join(F.broadcast(limits), "lang", "left")
