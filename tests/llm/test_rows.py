@@ -212,25 +212,53 @@ def test_warc_reads_foreign_files(spark, tmp_path):
     assert got.where("record_type = 'request'").count() == 1
 
 
+def planned(weights, blocks, length):
+    """(source, block) of each slot, phase by phase, with segments of so many slots, and the phases."""
+    for p in pfair_mix.phases(weights, blocks):
+        cuts = [*range(0, max(p["length"] - length, 0) + 1, length), p["length"]]
+        slots = [x for a, b in zip(cuts, cuts[1:]) for x in pfair_mix.segment(a, b, p["weights"])]
+        if p["last"] is not None:
+            slots.append((p["last"], pfair_mix.done_at(p["length"], p["weights"])[p["last"]]))
+        yield p, slots
+
+
 def test_schedule_keeps_within_one_block():
-    for seed in range(60):
+    for seed in range(120):
         r = random.Random(seed)
-        weights = {chr(97 + i): r.random() + 0.01 for i in range(r.randint(1, 7))}
-        parts = pfair_mix.whole_parts(weights, r.choice([10, 50, 1000]))
-        blocks, given = {s: r.randint(0, 40) for s in weights}, Counter()
-        for p in pfair_mix.phases(parts, blocks):
-            total, used = sum(parts[s] for s in p["before"]), dict.fromkeys(p["before"], 0)
-            slots = sorted((q * p["round"] + o, s) for s in used for q in range(p["length"] // p["round"] + 1) for o in p["slots"][s] if q * p["round"] + o < p["length"])
-            assert [x for x, _ in slots] == list(range(p["length"]))
-            for t, (_, s) in enumerate(slots, 1):
-                used[s] += 1
-                assert all(abs(used[u] - t * parts[u] / total) < 1 for u in used)
-            given.update(used)
+        weights = pfair_mix.whole({chr(97 + i): r.choice([r.random() + 0.01, 1.0, 0.5, r.random() ** 4 + 1e-3]) for i in range(r.randint(1, 9))})
+        blocks, given, at = {s: r.choice([0, 1, r.randint(0, 40), r.randint(0, 400)]) for s in weights}, Counter(), 0
+        longest = 3 + sum(weights.values()) // min(weights.values())
+        for p, slots in planned(weights, blocks, longest):
+            total, used = sum(p["weights"]), [0] * len(p["weights"])
+            assert p["start"] == at and len(slots) == p["length"] + (p["last"] is not None) and p["before"] == [given[s] for s in p["sources"]]
+            at += len(slots)
+            for t, (i, j) in enumerate(slots, 1):
+                assert j == used[i]
+                used[i] += 1
+                assert all(abs(u * total - t * w) < total for u, w in zip(used, p["weights"]))
+            given.update(dict(zip(p["sources"], used)))
         assert +given == +Counter(blocks)
 
 
+def test_schedule_keeps_exact_weights_over_many_slots():
+    sizes = [500_000] * 19 + [5_000_000, 3]
+    weights = list(pfair_mix.whole({str(i): float(n) ** 0.5 for i, n in enumerate(sizes)}).values())
+    total, used, slots = sum(weights), [0] * len(weights), 150_000
+    step = 3 + total // min(weights)
+    cuts = [*range(0, slots, step), slots]
+    t, worst = 0, 0
+    for a, b in zip(cuts, cuts[1:]):
+        for i, _ in pfair_mix.segment(a, b, weights):
+            t += 1
+            used[i] += 1
+            worst = max(worst, abs(used[i] * total - t * weights[i]))
+        assert used == pfair_mix.done_at(b, weights)
+    assert t == slots and worst < total
+
+
 def test_mix_keeps_every_row(spark, monkeypatch):
     monkeypatch.setattr(pfair_mix, "RUN_ROWS", 7)
+    monkeypatch.setattr(pfair_mix, "SEGMENT", 1)
     rows = corpus(n=150)
     docs = frame(spark, rows)
     got = pfair_mix.mix_sources(docs, {"a": 3, "b": 1}, block_rows=4).collect()
@@ -245,6 +273,22 @@ def test_mix_keeps_every_row(spark, monkeypatch):
     again = pfair_mix.mix_sources(docs.repartition(5), {"a": 3, "b": 1}, block_rows=4).collect()
     assert Counter((x.doc_id, x.position) for x in again if x.doc_id != 102) == Counter((x.doc_id, x.position) for x in got if x.doc_id != 102)
     assert pfair_mix.mix_sources(frame(spark, [])).count() == 0
+    clashing = docs.withColumn("slot", F.lit("x")).withColumn("block", F.lit(1.5)).withColumn("position", F.lit(None))
+    assert pfair_mix.mix_sources(clashing, block_rows=4).columns == [*docs.columns, "block", "slot", "position"]
+
+
+def test_positions_against_brute_force(spark):
+    """Every source's rows, one a block, in the order of their slots, against a schedule of all blocks in one go."""
+    rows = [(i, "t", "en", f"s{i % 7 if i % 3 else 0}", 0, 1, 1, "x", 0.0) for i in range(400)]
+    sizes = Counter(x[3] for x in rows)
+    got = pfair_mix.mix_sources(frame(spark, rows), block_rows=1).collect()
+    order, used = [], Counter()
+    for p, slots in planned(pfair_mix.whole({f"={s}": float(n) ** 0.5 for s, n in sizes.items()}), {f"={s}": n for s, n in sizes.items()}, 10**9):
+        order += [(p["sources"][i][1:], p["before"][i] + j) for i, j in slots]
+        used.update(p["sources"][i] for i, _ in slots)
+    assert [(x.source, x.block) for x in sorted(got, key=lambda x: x.position)] == order and len(order) == 400
+    many = [(i, "t", "en", f"s{i}", 0, 1, 1, "x", 0.0) for i in range(1200)]  # a source for each row
+    assert sorted(x.position for x in pfair_mix.mix_sources(frame(spark, many), block_rows=1).select("position").collect()) == list(range(1200))
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
