@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattix.operators.shared import cut
+
 
 def ranking(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """(qid, precision, recall, ndcg, rr, ap) at k. ranked has (qid, rank from 1, id), gold (qid, id); queries without gold are left out."""
@@ -39,9 +41,14 @@ def cliffs_delta(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """One row, delta: how much more often a value of a is above one of b than below, from the ranks of distinct values and without pairing rows."""
     both = a.select(F.col(value).alias("v"), F.lit(1).alias("in_a")).union(b.select(F.col(value).alias("v"), F.lit(0).alias("in_a"))).where("v is not null")
     counts = both.groupBy("v").agg(F.sum("in_a").cast("double").alias("na"), F.sum(1 - F.col("in_a")).cast("double").alias("nb"))
-    return counts.agg(F.sort_array(F.collect_list(F.struct("v", "na", "nb"))).alias("c")).select(F.expr(
-        "aggregate(c, named_struct('below', 0D, 'sum', 0D, 'na', 0D, 'nb', 0D), (x, r) -> named_struct('below', x.below + r.nb, 'sum', x.sum + r.na * (2 * x.below + r.nb), 'na', x.na + r.na, 'nb', x.nb + r.nb),"
-        " x -> round(try_divide(x.sum - x.na * x.nb, x.na * x.nb), 4)) as delta"))
+    ordered = cut(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))  # ranges of values follow each other
+    sizes = ordered.groupBy("part").agg(F.sum("nb").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    base = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0.0)).alias("base"))
+    before = F.coalesce(F.sum("nb").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = ordered.withColumn("before", before).join(F.broadcast(base), "part").withColumn("below", F.col("base") + F.col("before"))
+    total = ranked.agg(F.sum(F.col("na") * (2 * F.col("below") + F.col("nb"))).alias("sum"), F.sum("na").alias("a"), F.sum("nb").alias("b"))
+    return total.select(F.round(F.try_divide(F.col("sum") - F.col("a") * F.col("b"), F.col("a") * F.col("b")), 4).alias("delta"))
 
 
 def permutation_exact(pairs: DataFrame, difference: str, most: int = 16) -> DataFrame:
@@ -54,9 +61,24 @@ def permutation_exact(pairs: DataFrame, difference: str, most: int = 16) -> Data
     return signs.agg(F.round(F.avg((F.abs(total) >= F.abs(own) - 1e-12).cast("double")), 4).alias("p"))
 
 
-def bootstrap(df: DataFrame, value: str, resamples: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """One row (low, high): Poisson bootstrap interval of the mean; each row weighs in each resample as a seeded hash says, so it is one pass and one small shuffle."""
-    rows = df.select(F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("i")).where("v is not null")
+def permutation_sampled(pairs: DataFrame, key: str, difference: str, resamples: int = 10_000, seed: int = 1) -> DataFrame:
+    """One row, p, for more pairs than permutation_exact() takes: the share of seeded sign changes, the observed one counted, whose sum is at least as far from 0. Each pair's sign in each resample is a hash of its key."""
+    values = pairs.select(F.col(key).alias("k"), F.col(difference).cast("double").alias("d")).where("d is not null")
+    drawn = values.select("d", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda r: F.when(F.pmod(F.xxhash64(F.col("k"), r, F.lit(seed)), F.lit(2)) == 0, 1).otherwise(-1))).alias("r", "sign"))
+    sums = drawn.groupBy("r").agg(F.abs(F.sum(F.col("d") * F.col("sign"))).alias("s"))
+    own = values.agg(F.abs(F.sum("d")).alias("own"), F.count("*").alias("n"), F.max(F.abs("d")).alias("most"))
+    least = F.col("own") - F.col("n") * F.col("n") * 2.220446049250313e-16 * F.col("most")
+    return sums.crossJoin(F.broadcast(own)).agg(F.round((F.count_if(F.col("s") >= least) + 1) / (F.count("*") + 1), 4).alias("p"))  # own is one row
+
+
+def tally(df: DataFrame, by: str, passed: Column) -> DataFrame:
+    """(by, passed, failed, skipped): skipped where nothing says whether it passed."""
+    return df.groupBy(by).agg(F.count_if(passed).alias("passed"), F.count_if(~passed).alias("failed"), F.count_if(passed.isNull()).alias("skipped"))
+
+
+def bootstrap(df: DataFrame, key: str, value: str, resamples: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """One row (low, high): Poisson bootstrap interval of the mean; each row weighs in each resample as a seeded hash of its key says, so it is one pass and one small shuffle, and the same however the rows are dealt out."""
+    rows = df.select(F.col(value).cast("double").alias("v"), F.col(key).alias("i")).where("v is not null")
     draws = rows.select("v", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda r: F.pmod(F.xxhash64(F.col("i"), r, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))).alias("r", "u"))
     weight = F.expr("aggregate(sequence(1, 8), named_struct('n', 0, 'p', 0.36787944117144233D, 'c', 0.36787944117144233D), (a, k) -> named_struct('n', if(u > a.c, k, a.n), 'p', a.p / k, 'c', a.c + a.p / k), a -> a.n)")
     means = draws.withColumn("w", weight).groupBy("r").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import ipaddress
 import unicodedata
 
 import pandas as pd
@@ -96,20 +98,54 @@ def address_number(c: Column) -> Column:
     return F.when(c.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"), value)
 
 
+# IPv6 ranges that are not of the public network.
+PRIVATE_RANGES_6 = (
+    "::/128", "::1/128", "::/96", "::ffff:0:0/96", "64:ff9b::/96", "64:ff9b:1::/48", "100::/64", "100:0:0:1::/64", "2001::/32", "2001:2::/48",
+    "2001:10::/28", "2001:db8::/32", "2002::/16", "3fff::/20", "5f00::/16", "fc00::/7", "fe80::/10", "fec0::/10", "ff00::/8",
+)
+
+
+def address_digits(c: Column) -> Column:
+    """An IPv6 address as 32 hexadecimal digits, a dotted end included; null for other text."""
+    tail = F.regexp_extract(c, r"([0-9]+(?:\.[0-9]+){3})$", 1)
+    number = address_number(tail)
+    pair = F.concat(F.lower(F.hex(F.shiftright(number, 16))), F.lit(":"), F.lower(F.hex(number.bitwiseAND(F.lit(65535)))))
+    plain = F.when(tail == "", F.lower(c)).when(number.isNotNull(), F.concat(F.lower(F.regexp_replace(c, r"[0-9]+(?:\.[0-9]+){3}$", "")), pair))
+    groups = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":"))
+    left, right = groups(F.substring_index(plain, "::", 1)), groups(F.substring_index(plain, "::", -1))
+    short = F.contains(plain, F.lit("::"))
+    whole = F.when(short, F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right)), right)).otherwise(F.split(plain, ":"))
+    good = (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$")) & ~plain.rlike("::.*::|:::") & (~short | (F.size(left) + F.size(right) < 8))
+    return F.when(good, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+
+
 def refused_address(c: Column) -> Column:
     """Whether an address lies in a range that must not be fetched from."""
-    n, found = address_number(c), F.lit(False)
-    for block in PRIVATE_RANGES:
-        base, bits = block.split("/")
-        low = int.from_bytes(bytes(map(int, base.split("."))))
-        found = found | n.between(low, low + (1 << (32 - int(bits))) - 1)
-    return F.coalesce(found, F.lit(False))
+
+    def within(value: Column, bounds: list[tuple]) -> Column:
+        # the value is worked out once, as the only entry of an array
+        hit = F.transform(F.array(value), lambda v: functools.reduce(lambda a, b: a | v.between(*b), bounds, F.lit(False)))
+        return F.coalesce(F.get(hit, F.lit(0)), F.lit(False))
+
+    four, six = ([ipaddress.ip_network(x) for x in blocks] for blocks in (PRIVATE_RANGES, PRIVATE_RANGES_6))
+    numbers = [(int(n.network_address), int(n.broadcast_address)) for n in four]
+    digits = [(f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}") for n in six]
+    return within(address_number(c), numbers) | (F.contains(c, F.lit(":")) & within(address_digits(c), digits))
 
 
 # Names that some file systems keep for devices.
 DEVICE_NAMES = ("con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10)))
 
 
+def same_origin(c: Column, hosts: list[str]) -> Column:
+    """Whether an http address is of one of the hosts or of a part of one, and has no query."""
+    host = F.lower(F.regexp_extract(c, r"^https?://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    own = F.lit(False)
+    for h in hosts:
+        own = own | (host == h) | host.endswith(f".{h}")
+    return F.coalesce(own & ~F.contains(F.substring_index(c, "#", 1), F.lit("?")), F.lit(False))
+
+
 def portable_name(c: Column) -> Column:
     """Why a file name can't be used everywhere; null if it can."""
     stem = F.lower(F.split_part(c, F.lit("."), F.lit(1)))

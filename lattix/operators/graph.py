@@ -37,7 +37,7 @@ def _reach_from(base: DataFrame, starts: DataFrame) -> DataFrame:
     while not frontier.isEmpty():
         met = frontier.join(onward, F.col("target") == F.col("mid")).select("source", F.col("end").alias("target"), (F.col("depth") + 1).alias("depth")).distinct()
         frontier = cut(met.join(found.select("source", "target"), ["source", "target"], "left_anti"))
-        found = cut(found.union(frontier))
+        found = found.union(frontier)  # of checkpoints, so what is known isn't written again
     return found
 
 

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 # A task's states, and those in which nothing more happens.
 TASK_STATES = ("TASK_STATE_SUBMITTED", "TASK_STATE_WORKING", "TASK_STATE_INPUT_REQUIRED", "TASK_STATE_AUTH_REQUIRED", "TASK_STATE_COMPLETED", "TASK_STATE_CANCELED", "TASK_STATE_FAILED", "TASK_STATE_REJECTED", "TASK_STATE_UNSPECIFIED")
 TERMINAL = ("TASK_STATE_COMPLETED", "TASK_STATE_CANCELED", "TASK_STATE_FAILED", "TASK_STATE_REJECTED")
 
+# States in which a task waits for a person.
+WAITING = ("TASK_STATE_AUTH_REQUIRED", "TASK_STATE_INPUT_REQUIRED")
+
 # Words of other trackers for states, without blanks, hyphens, colons and apostrophes.
 STATE_WORDS = {
     "TASK_STATE_UNSPECIFIED": ("backlog", "icebox", "triage", "unspecified", "none"),
@@ -24,14 +33,69 @@ STATE_WORDS = {
 }
 
 
+GENESIS = "0" * 64
+
+
+def _folded(entries: DataFrame, ledger: str, order: list[str], columns: list[str], step, schema: str) -> DataFrame:
+    """What step gives for each entry of a ledger and the hash before it, as (values, hash).
+
+    A ledger is a chain, so its entries pass one task in order, as a stream that holds one hash; ledgers are independent of each other.
+    """
+
+    def scan(batches):
+        last, seq, prev = None, 0, GENESIS
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if seq == 0 or row[ledger] != last:
+                    last, seq, prev = row[ledger], 0, GENESIS
+                values, after = step(row, prev)
+                out.append({ledger: row[ledger], "seq": seq, **values, "prev": prev, "hash": after})
+                seq, prev = seq + 1, after
+            yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(kind))
+
+    kind = StructType.fromDDL(schema)
+    kind = StructType([entries.schema[ledger], *kind.fields])
+    sorted_ = entries.select(ledger, *[c for c in order if c != ledger], *[c for c in columns if c not in order and c != ledger]).repartition(ledger).sortWithinPartitions(ledger, *order)
+    return sorted_.mapInArrow(scan, kind)
+
+
 def chain(entries: DataFrame, ledger: str, order: list[str], body: str) -> DataFrame:
-    """(ledger, seq, body, prev, hash): each entry's hash is the SHA-256 of the one before and its body.
+    """(ledger, seq, body, prev, hash): each entry's hash is the SHA-256 of the one before and its body."""
+
+    def step(row: dict, prev: str) -> tuple[dict, str]:
+        return {"body": row[body]}, hashlib.sha256((prev + row[body]).encode()).hexdigest()
+
+    return _folded(entries, ledger, order, [body], step, "seq int, body string, prev string, hash string")
+
+
+def derive(commits: DataFrame, ledger: str, order: list[str]) -> DataFrame:
+    """(ledger, seq, entry, prev, hash) of commits in order: entry is canonical JSON of actor, kind, ref, ts, prev and, for the automatic lane, mode; its hash is the SHA-256 of prev and of that.
 
-    A ledger is a fold in order, so one ledger's entries are folded in one row; ledgers are independent of each other.
+    commits has ref, ts, actor, n_parents, tag, and trailers, a map. A tag makes a release, two parents or a Proposal trailer a merge, and a
+    Channel-Auto trailer the mode; names of trailers are compared without case.
     """
-    listed = entries.groupBy(ledger).agg(F.array_sort(F.collect_list(F.struct(*order, body))).alias("e"))
-    step = f"aggregate(e, named_struct('prev', repeat('0', 64), 'out', cast(array() as array<struct<body: string, prev: string, hash: string>>)), (a, x) -> named_struct('prev', sha2(concat(a.prev, x.{body}), 256), 'out', array_append(a.out, named_struct('body', x.{body}, 'prev', a.prev, 'hash', sha2(concat(a.prev, x.{body}), 256)))), a -> a.out)"
-    return listed.select(ledger, F.posexplode(F.expr(step)).alias("seq", "x")).select(ledger, "seq", "x.body", "x.prev", "x.hash")
+
+    def step(row: dict, prev: str) -> tuple[dict, str]:
+        names = {k.lower() for k, _ in row["trailers"] or ()}
+        kind = "release" if row["tag"] else "merge" if (row["n_parents"] or 0) >= 2 or "proposal" in names else "commit"
+        entry = {"actor": row["actor"], "kind": kind, "prev": prev, "ref": row["ref"], "ts": row["ts"]} | ({"mode": "auto"} if "channel-auto" in names else {})
+        text = json.dumps(entry, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        return {"entry": text}, hashlib.sha256((prev + text).encode()).hexdigest()
+
+    return _folded(commits, ledger, order, ["ref", "ts", "actor", "n_parents", "tag", "trailers"], step, "seq int, entry string, prev string, hash string")
+
+
+def trailers(c: Column) -> Column:
+    """A map of a commit message's trailers: the Key: value lines of its last paragraph, if it has nothing else; lines that begin with a blank go on, and the last of a key counts."""
+    last = F.element_at(F.split(F.regexp_replace(c, r"\s+$", ""), r"\n[ \t]*\n"), -1)
+    joined = F.regexp_replace(F.regexp_replace(last, r"^\n+", ""), r"[ \t]*\n[ \t]+", " ")
+    lines = F.split(joined, "\n")
+    pair = F.transform(lines, lambda x: F.struct(F.lower(F.regexp_extract(x, r"^([^:]*):", 1)).alias("low"), F.regexp_extract(x, r"^([^:]*):", 1).alias("key"), F.regexp_replace(F.regexp_extract(x, r"^[^:]*:(.*)$", 1), r"^\s+|\s+$", "").alias("value")))
+    latest = F.filter(pair, lambda x, i: ~F.exists(F.slice(pair, i + 2, F.size(pair)), lambda y: y["low"] == x["low"]))
+    fits = F.forall(lines, lambda x: x.rlike(r"^[A-Za-z0-9][A-Za-z0-9-]*:[ \t]"))
+    none = F.create_map().cast("map<string,string>")
+    return F.when(fits, F.map_from_entries(F.transform(latest, lambda x: F.struct(x["key"], x["value"])))).otherwise(none)
 
 
 def verify(chained: DataFrame, ledger: str) -> DataFrame:
@@ -52,6 +116,40 @@ def over_limit(tasks: DataFrame, limit: int) -> DataFrame:
     return tasks.where("state = 'TASK_STATE_WORKING'").groupBy("claimant").agg(F.count("*").alias("n_working")).where(F.col("n_working") > limit)
 
 
+def waiting(tasks: DataFrame) -> DataFrame:
+    """Tasks that wait for a person."""
+    return tasks.where(F.col("state").isin(*WAITING))
+
+
+def merged_boards(boards: dict[str, DataFrame]) -> DataFrame:
+    """(origin, slug, iri, state, blocked_by) of several nodes' tasks (slug, state, blocked_by): none is renamed, and blockers are the IRIs of their own node."""
+    out = None
+    for origin, tasks in boards.items():
+        base = F.lit(origin.rstrip("/") + "/")
+        own = tasks.select(F.lit(origin).alias("origin"), "slug", F.concat(base, "slug").alias("iri"), "state", F.transform("blocked_by", lambda slug: F.concat(base, slug)).alias("blocked_by"))  # noqa: B023
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def merges_by_lane(lanes: DataFrame, entries: DataFrame) -> DataFrame:
+    """(lane, merges) of every lane; entries has actor and kind."""
+    merges = entries.where("kind = 'merge'").groupBy(F.col("actor").alias("lane")).agg(F.count("*").alias("merges"))
+    return lanes.join(merges, "lane", "left").select("lane", F.coalesce("merges", F.lit(0)).alias("merges"))
+
+
+def content_version(steps: DataFrame, within: str, order: str, tag: str) -> DataFrame:
+    """steps with version: the nearest tag before a step and how many steps it is away; 0 before any."""
+    before = Window.partitionBy(within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last_value(F.when(F.col(tag).isNotNull(), F.struct(F.col(tag).alias("t"), F.col(order).alias("o"))), F.lit(True)).over(before)
+    return steps.withColumn("__last", last).withColumn("version", F.coalesce(F.concat(F.lit("v"), F.col("__last.t").cast("string"), F.lit("+"), (F.col(order) - F.col("__last.o")).cast("string")), F.lit("0"))).drop("__last")
+
+
+def unchecked_merges(entries: DataFrame, ledger: str, order: list[str], broken: Column) -> DataFrame:
+    """Entries after a ledger's first for which a condition holds."""
+    first = Window.partitionBy(ledger).orderBy(*order)
+    return entries.withColumn("__n", F.row_number().over(first)).where((F.col("__n") > 1) & broken).drop("__n")
+
+
 def spend(episodes: DataFrame, by: list[str]) -> DataFrame:
     """Episodes and their exact cost in a month and whatever else is named."""
     month = F.date_format("started", "yyyy-MM").alias("month")

@@ -59,6 +59,12 @@ def incompatible(links: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return a.join(dim, "first").join(b, ["source", "target", "second"]).select("source", "target", "first", "second")
 
 
+def wrong_kind(links: DataFrame, kinds: DataFrame, keys: list[str]) -> DataFrame:
+    """Links of some keys whose target is of another kind than the source; kinds has (slug, kind)."""
+    own = links.where(F.col("key").isin(*keys)).join(kinds.withColumnsRenamed({"slug": "source", "kind": "own"}), "source")
+    return own.join(kinds.withColumnsRenamed({"slug": "target", "kind": "other"}), "target").where("own != other").select("source", "key", "target")
+
+
 def wiring(produces: DataFrame, consumes: DataFrame) -> DataFrame:
     """(producer, port, n_consumers), producers without a consumer with 0."""
     users = consumes.distinct().groupBy("port").agg(F.count("*").alias("n_consumers"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattix.functions import metrics, scalars, text
-from lattix.operators import compose, graph, ledger, links, lints, rdf, suggest
+from lattix.operators import compose, graph, item_quads, ledger, links, lints, rdf, suggest
 from lattix.plans.views import Tables, with_views
 from lattix.sources import exchange
 
@@ -98,9 +98,9 @@ def shared_sources(t: Tables) -> DataFrame:
     return links.sharers(t.lineitem.select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("resource")))
 
 
-@query("SELECT a.i AS a, b.i AS b, CAST(count(*) AS BIGINT) AS n_shared FROM (SELECT DISTINCT l_suppkey AS i, l_partkey AS r FROM lineitem WHERE l_suppkey <= 50) a JOIN (SELECT DISTINCT l_suppkey AS i, l_partkey AS r FROM lineitem WHERE l_suppkey <= 50) b ON a.r = b.r AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= 2")
+@query("SELECT a.i AS a, b.i AS b, CAST(count(*) AS BIGINT) AS n_shared FROM (SELECT DISTINCT l_suppkey AS i, l_partkey AS r FROM lineitem) a JOIN (SELECT DISTINCT l_suppkey AS i, l_partkey AS r FROM lineitem) b ON a.r = b.r AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= 2")
 def pairwise_shared_sources(t: Tables) -> DataFrame:
-    return links.sharing_pairs(t.lineitem.where("l_suppkey <= 50").select(F.col("l_suppkey").alias("item"), F.col("l_partkey").alias("resource")))
+    return links.sharing_pairs(t.lineitem.select(F.col("l_suppkey").alias("item"), F.col("l_partkey").alias("resource")))
 
 
 @query("SELECT * FROM (SELECT a.source, a.target, a.key AS first, b.key AS second FROM (SELECT DISTINCT * FROM v_links) a JOIN (SELECT DISTINCT * FROM v_links) b ON a.source = b.source AND a.target = b.target WHERE (a.key = 'requires' AND b.key = 'uses') OR (a.key = 'supersedes' AND b.key = 'requires'))")
@@ -114,13 +114,11 @@ def lanes_left_zero(t: Tables) -> DataFrame:
     return t.nation.join(some, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.col("n_name").alias("nation"), F.coalesce("n", F.lit(0)).alias("n_failed"))
 
 
-@query("SELECT p.page_id, h.host FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS own FROM pages) p JOIN (SELECT 'example.com' AS host UNION ALL SELECT 'example.net') h ON p.own = h.host OR p.own LIKE '%.' || h.host")
+@query("SELECT page_id, peer FROM (SELECT page_id, peer, row_number() OVER (PARTITION BY page_id ORDER BY length(base) DESC) AS n FROM pages JOIN (SELECT DISTINCT 'http://' || h || p AS base, h || p AS peer FROM (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS h FROM pages WHERE page_id % 4 = 0) CROSS JOIN (SELECT '' AS p UNION ALL SELECT '/en')) ON regexp_extract(url, '^[^?#]*') = base OR starts_with(regexp_extract(url, '^[^?#]*'), base || '/')) WHERE n = 1")
 def peer_citations(t: Tables) -> DataFrame:
-    own = t.pages.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("own"))
-    # a host cites every peer that it ends in, so its suffixes are joined by equality
-    suffixes = own.withColumn("parts", F.split("own", r"\.")).select("page_id", F.explode(F.expr("transform(sequence(1, size(parts)), i -> array_join(slice(parts, i, size(parts)), '.'))")).alias("host"))
-    peers = t.spark.createDataFrame([("example.com",), ("example.net",)], "host string")
-    return suffixes.join(F.broadcast(peers), "host").select("page_id", "host")
+    hosts = t.pages.where("page_id % 4 = 0").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("h")).distinct()
+    peers = hosts.select(F.explode(F.array(F.col("h"), F.concat("h", F.lit("/en")))).alias("peer")).select(F.concat(F.lit("http://"), "peer", F.lit("/")).alias("base"), "peer")
+    return exchange.citations(t.pages.select("page_id", "url"), peers).select("page_id", "peer")
 
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -193,7 +191,7 @@ def html_size_budget(t: Tables) -> DataFrame:
 
 @query("SELECT event_type AS area, CAST(count(*) FILTER (value > 50) AS BIGINT) AS passed, CAST(count(*) FILTER (value <= 50) AS BIGINT) AS failed, CAST(count(*) FILTER (value IS NULL) AS BIGINT) AS skipped FROM events GROUP BY 1")
 def conformance_tally(t: Tables) -> DataFrame:
-    return t.events.groupBy(F.col("event_type").alias("area")).agg(F.count_if(F.col("value") > 50).alias("passed"), F.count_if(F.col("value") <= 50).alias("failed"), F.count_if(F.col("value").isNull()).alias("skipped"))
+    return metrics.tally(t.events.withColumnRenamed("event_type", "area"), "area", F.col("value") > 50)
 
 
 # windows
@@ -252,18 +250,18 @@ SEARCH = f"SELECT slug, CAST(count(*) AS BIGINT) AS score FROM ({TOKENS}) WHERE
 
 @query(f"SELECT slug, score FROM ({SEARCH}) ORDER BY score DESC, slug LIMIT 20")
 def search_topk(t: Tables) -> DataFrame:
-    return text.search(text.postings(t.v_items, "slug", "body"), OPEN_WORDS, 20)
+    return text.search_texts(t.v_items, "slug", "body", OPEN_WORDS, 20)
 
 
 @query(f"SELECT h.slug, h.score, i.title FROM (SELECT slug, score FROM ({SEARCH}) ORDER BY score DESC, slug LIMIT 3) h JOIN v_items i ON i.slug = h.slug")
 def ask_top3(t: Tables) -> DataFrame:
-    hits = text.search(text.postings(t.v_items, "slug", "body"), OPEN_WORDS, 3)
+    hits = text.search_texts(t.v_items, "slug", "body", OPEN_WORDS, 3)
     return t.v_items.join(F.broadcast(hits), "slug").select("slug", "score", "title")
 
 
 @query(f"SELECT slug, CAST((SELECT count(*) FROM ({SEARCH})) AS BIGINT) AS total FROM (SELECT slug, score FROM ({SEARCH}) ORDER BY score DESC, slug LIMIT 100)")
 def bounded_hits_with_total(t: Tables) -> DataFrame:
-    hits = text.search(text.postings(t.v_items, "slug", "body"), OPEN_WORDS)
+    hits = text.search_texts(t.v_items, "slug", "body", OPEN_WORDS)
     return hits.limit(100).crossJoin(F.broadcast(hits.agg(F.count("*").alias("total")))).select("slug", "total")
 
 
@@ -331,10 +329,10 @@ def q8_under_cluster(t: Tables) -> DataFrame:
     return graph.inverse(graph.reach(down, starts=root))
 
 
-@query("SELECT a.l_orderkey AS item, CAST(count(DISTINCT b.l_orderkey) AS BIGINT) AS n_sharers FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey <> b.l_orderkey WHERE a.l_orderkey % 500 = 1 GROUP BY 1")
+@query("SELECT a.l_orderkey AS item, CAST(count(DISTINCT b.l_orderkey) AS BIGINT) AS n_sharers FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_partkey = b.l_partkey AND a.l_orderkey <> b.l_orderkey GROUP BY 1")
 def q10_sources_sharers(t: Tables) -> DataFrame:
-    own = t.lineitem.where("l_orderkey % 500 = 1").select(F.col("l_orderkey").alias("item"), "l_partkey").distinct()
-    return own.join(t.lineitem.select("l_partkey", F.col("l_orderkey").alias("other")), "l_partkey").where("item != other").groupBy("item").agg(F.countDistinct("other").alias("n_sharers"))
+    cites = t.lineitem.select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("resource")).distinct()
+    return cites.join(cites.withColumnRenamed("item", "other"), "resource").where("item != other").groupBy("item").agg(F.countDistinct("other").alias("n_sharers"))
 
 
 @query("""WITH RECURSIVE r AS (SELECT source, target, [source, target] AS path FROM v_requires UNION ALL SELECT r.source, e.target, list_append(r.path, e.target) FROM r JOIN v_requires e ON e.source = r.target)
@@ -532,6 +530,36 @@ def skos_top_concepts(t: Tables) -> DataFrame:
     return edges.select(F.col("target").alias("concept")).distinct().join(edges.select(F.col("source").alias("concept")), "concept", "left_anti")
 
 
+@query("""WITH brands AS (SELECT DISTINCT 'brand-' || lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS slug, p_brand AS title FROM part),
+    i AS (SELECT 'https://x.example/concepts/part-' || p_partkey || '/' AS s, p.*, 'https://x.example/clusters/brand-' || lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) || '/' AS c FROM part p),
+    q AS (SELECT s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'urn:ns:Concept' AS o, 'iri' AS kind, NULL AS datatype, NULL AS lang FROM i
+    UNION ALL SELECT s, 'http://www.w3.org/2004/02/skos/core#inScheme', 'https://x.example/', 'iri', NULL, NULL FROM i
+    UNION ALL SELECT s, 'http://www.w3.org/2004/02/skos/core#prefLabel', p_name, 'literal', NULL, 'en' FROM i
+    UNION ALL SELECT s, 'urn:ns:kind', p_type, 'literal', 'http://www.w3.org/2001/XMLSchema#string', NULL FROM i
+    UNION ALL SELECT s, 'urn:ns:status', CASE WHEN p_size % 7 = 0 THEN 'retired' ELSE 'stable' END, 'literal', 'http://www.w3.org/2001/XMLSchema#string', NULL FROM i
+    UNION ALL SELECT s, 'http://purl.org/dc/terms/created', '2024-01-02T00:00:00Z', 'literal', 'http://www.w3.org/2001/XMLSchema#dateTime', NULL FROM i
+    UNION ALL SELECT s, 'urn:ns:retiredAt', '2024-01-02T00:00:00Z', 'literal', 'http://www.w3.org/2001/XMLSchema#dateTime', NULL FROM i WHERE p_size % 7 = 0
+    UNION ALL SELECT s, 'urn:ns:source', s || '#source-1', 'iri', NULL, NULL FROM i UNION ALL SELECT s || '#source-1', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'urn:ns:Source', 'iri', NULL, NULL FROM i
+    UNION ALL SELECT s || '#source-1', 'http://purl.org/dc/terms/source', 'urn:type:' || p_size, 'literal', 'http://www.w3.org/2001/XMLSchema#string', NULL FROM i
+    UNION ALL SELECT c, 'http://www.w3.org/2004/02/skos/core#member', s, 'iri', NULL, NULL FROM i
+    UNION ALL SELECT 'https://x.example/clusters/' || slug || '/', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'urn:ns:Cluster', 'iri', NULL, NULL FROM brands
+    UNION ALL SELECT 'https://x.example/clusters/' || slug || '/', 'http://www.w3.org/2004/02/skos/core#prefLabel', title, 'literal', NULL, 'en' FROM brands
+    UNION ALL SELECT 'https://x.example/concepts/part-' || source || '/', 'http://purl.org/dc/terms/requires', 'https://x.example/concepts/part-' || target || '/#top', 'iri', NULL, NULL FROM v_requires
+    UNION ALL SELECT 'https://x.example/concepts/part-' || target || '/#top', 'http://purl.org/dc/terms/isRequiredBy', 'https://x.example/concepts/part-' || source || '/', 'iri', NULL, NULL FROM v_requires)
+    SELECT DISTINCT * FROM q""")
+def item_projection(t: Tables) -> DataFrame:
+    """Parts as concepts and brands as clusters, as quads."""
+    none = lambda kind: F.lit(None).cast(kind)
+    brand = F.concat(F.lit("brand-"), F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "")))
+    needs = t.v_requires.groupBy(F.col("source").alias("p_partkey")).agg(F.collect_list(F.concat(F.lit("part-"), F.col("target").cast("string"), F.lit("#top"))).alias("requires"))
+    parts = t.part.join(needs, "p_partkey", "left").select(
+        F.lit("concept").alias("type"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("slug"), F.col("p_name").alias("title"), F.col("p_type").alias("kind"), F.when(F.col("p_size") % 7 == 0, "retired").otherwise("stable").alias("status"),
+        F.lit("2024-01-02").alias("date"), F.array(brand, F.lit("not-there")).alias("clusters"), "requires", F.array(F.struct(F.concat(F.lit("urn:type:"), F.col("p_size").cast("string")).alias("resource"), none("string").alias("title"))).alias("sources"),
+    )
+    brands = t.part.select(F.lit("cluster").alias("type"), brand.alias("slug"), F.col("p_brand").alias("title")).distinct()
+    return item_quads.project(parts.unionByName(brands, allowMissingColumns=True), "https://x.example", "urn:ns:")
+
+
 # text
 
 
@@ -606,6 +634,17 @@ def chunk_export(t: Tables) -> DataFrame:
 FOLD = "WITH RECURSIVE o AS (SELECT o_custkey AS c, o_orderkey || ':' || o_orderstatus AS body, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS seq FROM orders), f AS (SELECT c, seq, body, repeat('0', 64) AS prev, sha256(repeat('0', 64) || body) AS hash FROM o WHERE seq = 0 UNION ALL SELECT o.c, o.seq, o.body, f.hash, sha256(f.hash || o.body) FROM f JOIN o ON o.c = f.c AND o.seq = f.seq + 1)"
 
 
+@query("""WITH RECURSIVE o AS (SELECT o_custkey AS c, o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS seq FROM orders),
+    e AS (SELECT c, seq, '{"actor":"a","kind":"' || CASE WHEN o_orderstatus = 'F' THEN 'release' WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'merge' ELSE 'commit' END || '",' || CASE WHEN o_orderpriority = '3-MEDIUM' THEN '"mode":"auto",' ELSE '' END || '"prev":"' AS head, '","ref":"' || o_orderkey || '","ts":"t"}' AS tail FROM o),
+    f AS (SELECT c, seq, sha256(repeat('0', 64) || head || repeat('0', 64) || tail) AS hash FROM e WHERE seq = 0 UNION ALL SELECT e.c, e.seq, sha256(f.hash || head || f.hash || tail) FROM f JOIN e ON e.c = f.c AND e.seq = f.seq + 1) SELECT c AS o_custkey, CAST(seq AS INTEGER) AS seq, hash FROM f""")
+def ledger_derived(t: Tables) -> DataFrame:
+    """A customer's orders as commits: done ones are tagged, urgent ones have two parents, high ones a Proposal trailer, medium ones the automatic lane's."""
+    is_ = lambda p: F.col("o_orderpriority") == p
+    key = F.when(is_("2-HIGH"), "proposal").when(is_("3-MEDIUM"), "Channel-Auto").otherwise("Other")
+    commits = t.orders.select("o_custkey", "o_orderdate", "o_orderkey", F.col("o_orderkey").cast("string").alias("ref"), F.lit("t").alias("ts"), F.lit("a").alias("actor"), F.when(is_("1-URGENT"), 2).otherwise(1).alias("n_parents"), F.when(F.col("o_orderstatus") == "F", "v1").alias("tag"), F.create_map(key, F.lit("x")).alias("trailers"))
+    return ledger.derive(commits, "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "seq", "hash")
+
+
 def _chain(t: Tables) -> DataFrame:
     return ledger.chain(t.orders.select("o_custkey", "o_orderdate", "o_orderkey", F.concat_ws(":", "o_orderkey", "o_orderstatus").alias("body")), "o_custkey", ["o_orderdate", "o_orderkey"], "body")
 
@@ -621,9 +660,9 @@ def ledger_verify(t: Tables) -> DataFrame:
     return ledger.verify(_chain(t).withColumn("body", F.when(F.col("seq") == 2, F.concat("body", F.lit("!"))).otherwise(F.col("body"))), "o_custkey")
 
 
-@query("SELECT slug, claimant FROM v_tasks WHERE state = 'TASK_STATE_WORKING'")
+@query("SELECT slug, claimant, state FROM v_tasks WHERE state IN ('TASK_STATE_AUTH_REQUIRED', 'TASK_STATE_INPUT_REQUIRED')")
 def waiting_for_person(t: Tables) -> DataFrame:
-    return t.v_tasks.where("state = 'TASK_STATE_WORKING'").select("slug", "claimant")
+    return ledger.waiting(t.v_tasks).select("slug", "claimant", "state")
 
 
 @query("SELECT 'tasks' AS what, CAST(count(*) AS BIGINT) AS n FROM v_tasks UNION ALL SELECT 'open', count(*) FROM v_tasks WHERE state <> 'TASK_STATE_COMPLETED' UNION ALL SELECT 'episodes', count(*) FROM v_episodes UNION ALL SELECT 'published', count(*) FROM v_items WHERE status = 'stable'")
@@ -642,13 +681,13 @@ def now_state(t: Tables) -> DataFrame:
 
 def _runs(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Orders of a priority as answers to it, best price first; those that are done are gold."""
-    some = t.orders.where("o_orderkey <= 3000")
+    some = t.orders
     rank = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     ranked = some.select(F.col("o_orderpriority").alias("qid"), rank.alias("rank"), F.col("o_orderkey").alias("id"))
     return ranked, some.where("o_orderstatus = 'F'").select(F.col("o_orderpriority").alias("qid"), F.col("o_orderkey").alias("id"))
 
 
-RANKED = """s AS (SELECT * FROM orders WHERE o_orderkey <= 3000), r AS (SELECT o_orderpriority AS qid, o_orderkey AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM s),
+RANKED = """s AS (SELECT * FROM orders), r AS (SELECT o_orderpriority AS qid, o_orderkey AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM s),
     g AS (SELECT o_orderpriority AS qid, o_orderkey AS id FROM s WHERE o_orderstatus = 'F'), n AS (SELECT qid, count(*) AS n_gold FROM g GROUP BY 1),
     h AS (SELECT r.qid, r.rank, row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS nth FROM r JOIN g ON g.qid = r.qid AND g.id = r.id WHERE r.rank <= 10)"""
 
@@ -695,7 +734,12 @@ def permutation_exact(t: Tables) -> DataFrame:
 
 @query()
 def bootstrap_ci(t: Tables) -> DataFrame:
-    return metrics.bootstrap(t.customer, "c_acctbal")
+    return metrics.bootstrap(t.customer, "c_custkey", "c_acctbal")
+
+
+@query()
+def permutation_sampled(t: Tables) -> DataFrame:
+    return metrics.permutation_sampled(t.customer.select("c_custkey", (F.col("c_acctbal") - 4500).alias("d")), "c_custkey", "d", resamples=500)
 
 
 # more of each group
@@ -705,28 +749,26 @@ def bootstrap_ci(t: Tables) -> DataFrame:
 def target_kind_filter(t: Tables) -> DataFrame:
     """Links whose target is of another kind than the source."""
     kinds = t.part.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("slug"), F.col("p_brand").alias("kind"))
-    own = t.v_links.where("key = 'uses'").join(kinds.withColumnsRenamed({"slug": "source", "kind": "own"}), "source")
-    return own.join(kinds.withColumnsRenamed({"slug": "target", "kind": "other"}), "target").where("own != other").select("source", "target")
+    return links.wrong_kind(t.v_links, kinds, ["uses"]).select("source", "target")
 
 
-@query("SELECT d.doc_id, l.toxic, coalesce(CAST(l.quality AS VARCHAR), 'none') AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@query("SELECT d.doc_id, coalesce(CAST(l.toxic AS VARCHAR), 'none') AS toxic, coalesce(CAST(l.quality AS VARCHAR), 'none') AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def crosswalk_left(t: Tables) -> DataFrame:
-    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", "toxic", F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("quality"))
+    return exchange.crosswalk(t.documents.select("doc_id"), t.labels, "doc_id", ["toxic", "quality"])
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN l.n IS NULL THEN 'absent' WHEN l.n > 5 THEN 'differs' ELSE 'same' END AS verdict FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0")
+@query("SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'absent' WHEN a.path IS NULL THEN 'unlisted' ELSE 'differs' END AS verdict FROM (SELECT CAST(o_orderkey AS VARCHAR) AS path, sha256(CAST(o_orderkey % 7 + 1 AS VARCHAR)) AS h FROM orders WHERE o_orderstatus <> 'P') a FULL JOIN (SELECT CAST(l_orderkey AS VARCHAR) AS path, sha256(CAST(count(*) AS VARCHAR)) AS h FROM lineitem GROUP BY l_orderkey) b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.h <> b.h")
 def manifest_check(t: Tables) -> DataFrame:
-    """What a list says against what is found: absent, differing or the same."""
-    found = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    verdict = F.when(F.col("n").isNull(), "absent").when(F.col("n") > 5, "differs").otherwise("same")
-    return t.orders.where("o_orderkey % 3 = 0").join(found, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(F.col("o_orderkey").cast("string").alias("path"), verdict.alias("verdict"))
+    """What a list says against what is found: orders under way are not on the list."""
+    listed = t.orders.where("o_orderstatus != 'P'").select(F.col("o_orderkey").cast("string").alias("path"), F.sha2((F.col("o_orderkey") % 7 + 1).cast("string"), 256).alias("sha256"))
+    found = t.lineitem.groupBy("l_orderkey").agg(F.sha2(F.count("*").cast("string"), 256).alias("sha256"))
+    return exchange.check_manifest(listed, found.select(F.col("l_orderkey").cast("string").alias("path"), "sha256"))
 
 
-@query("SELECT r.lane, CAST(coalesce(count(e.event_id), 0) AS BIGINT) AS merges FROM (SELECT 'user-' || i AS lane FROM range(0, 400) x(i)) r LEFT JOIN v_episodes e ON e.actor = r.lane AND e.outcome = 'success' GROUP BY 1")
+@query("SELECT r.lane, CAST(coalesce(count(e.event_id), 0) AS BIGINT) AS merges FROM (SELECT DISTINCT 'user-' || user_id AS lane FROM events UNION SELECT 'user-x') r LEFT JOIN v_episodes e ON e.actor = r.lane AND e.outcome = 'success' GROUP BY 1")
 def ledger_merges_by_lane(t: Tables) -> DataFrame:
-    lanes = t.spark.range(400).select(F.concat(F.lit("user-"), F.col("id").cast("string")).alias("lane"))
-    merges = t.v_episodes.where("outcome = 'success'").groupBy(F.col("actor").alias("lane")).agg(F.count("*").alias("merges"))
-    return lanes.join(merges, "lane", "left").select("lane", F.coalesce("merges", F.lit(0)).alias("merges"))
+    lanes = t.v_episodes.select(F.col("actor").alias("lane")).union(t.spark.createDataFrame([("user-x",)], "lane string")).distinct()
+    return ledger.merges_by_lane(lanes, t.v_episodes.select("actor", F.when(F.col("outcome") == "success", "merge").otherwise("commit").alias("kind")))
 
 
 @query("SELECT title, cluster, k FROM (SELECT title, cluster, k, row_number() OVER (PARTITION BY title ORDER BY k) AS n FROM v_items WHERE status <> 'draft') WHERE n = 1")
@@ -734,29 +776,31 @@ def earliest_label(t: Tables) -> DataFrame:
     return t.v_items.where("status != 'draft'").groupBy("title").agg(F.min(F.struct("k", "cluster")).alias("x")).select("title", "x.cluster", "x.k")
 
 
-@query("SELECT source, key, target FROM v_links ORDER BY source, key, target LIMIT 200")
+@query("SELECT source, key, target FROM v_links ORDER BY source, key, target")
 def edges_sorted(t: Tables) -> DataFrame:
-    return t.v_links.orderBy("source", "key", "target").limit(200)
+    return t.v_links.orderBy("source", "key", "target")
 
 
 @query(f"SELECT cluster, min(score_slug) AS best FROM (SELECT i.cluster, lpad(CAST(99 - s.score AS VARCHAR), 2, '0') || ' ' || s.slug AS score_slug FROM ({SEARCH}) s JOIN v_items i ON i.slug = s.slug) GROUP BY 1")
 def rank_best_chunk(t: Tables) -> DataFrame:
     """The best hit of each cluster."""
-    hits = text.search(text.postings(t.v_items, "slug", "body"), OPEN_WORDS)
+    hits = text.search_texts(t.v_items, "slug", "body", OPEN_WORDS)
     best = t.v_items.join(hits, "slug").groupBy("cluster").agg(F.min(F.struct(-F.col("score"), F.col("slug"), F.col("score"))).alias("b"))
     return best.select("cluster", F.concat_ws(" ", F.lpad((99 - F.col("b.score")).cast("string"), 2, "0"), F.col("b.slug")).alias("best"))
 
 
-@query("SELECT s, p, o FROM (SELECT o AS s, 'hasCustomer' AS p, s AS o FROM v_triples WHERE p = 'inNation') EXCEPT SELECT s, p, o FROM v_triples WHERE s = 'nation-1'")
+@query("SELECT s, p, o FROM (SELECT o AS s, 'hasCustomer' AS p, s AS o FROM v_triples WHERE p = 'inNation' UNION SELECT s, 'rdf:type', 'Customer' FROM v_triples WHERE p = 'inNation') EXCEPT SELECT s, p, o FROM v_triples")
 def closure_minus_base(t: Tables) -> DataFrame:
-    derived = rdf.construct(rdf.match(t.v_triples, ("?c", "inNation", "?n")), [("?n", "hasCustomer", "?c")])
-    return derived.join(t.v_triples.where("s = 'nation-1'"), ["s", "p", "o"], "left_anti")
+    derived = rdf.construct(rdf.match(t.v_triples, ("?c", "inNation", "?n")), [("?n", "hasCustomer", "?c"), ("?c", "rdf:type", "Customer")])
+    return derived.join(t.v_triples, ["s", "p", "o"], "left_anti")
 
 
-@query("SELECT 'here' AS origin, slug, state FROM v_tasks WHERE k % 100 = 0 UNION ALL SELECT 'peer', 'peer/' || slug, state FROM v_tasks WHERE k % 150 = 0")
+@query("""WITH b AS (SELECT slug, state, 'order-' || target AS blocker FROM v_tasks LEFT JOIN v_blocked ON source = k), o AS (SELECT unnest(['http://here.example/', 'http://peer.example']) AS origin)
+    SELECT origin, slug, rtrim(origin, '/') || '/' || slug AS iri, state, CASE WHEN blocker IS NULL THEN '' ELSE rtrim(origin, '/') || '/' || blocker END AS blockers FROM b, o""")
 def board_merge(t: Tables) -> DataFrame:
-    here = t.v_tasks.where("k % 100 = 0").select(F.lit("here").alias("origin"), "slug", "state")
-    return here.unionByName(t.v_tasks.where("k % 150 = 0").select(F.lit("peer").alias("origin"), F.concat(F.lit("peer/"), "slug").alias("slug"), "state"))
+    blockers = t.v_blocked.select(F.col("source").alias("k"), F.array(F.concat(F.lit("order-"), F.col("target").cast("string"))).alias("blocked_by"))
+    own = t.v_tasks.join(blockers, "k", "left").withColumn("blocked_by", F.coalesce("blocked_by", F.array().cast("array<string>")))
+    return ledger.merged_boards({"http://here.example/": own, "http://peer.example": own}).select("origin", "slug", "iri", "state", F.array_join("blocked_by", ",").alias("blockers"))
 
 
 @query("SELECT a.s AS s, 'rdf:type' AS p, b.b AS o FROM v_triples a JOIN (SELECT 'Customer' AS a, 'Agent' AS b UNION ALL SELECT 'Nation', 'Area' UNION ALL SELECT 'Region', 'Area') b ON a.o = b.a WHERE a.p = 'rdf:type' UNION SELECT s, p, o FROM v_triples WHERE p = 'rdf:type'")
@@ -803,10 +847,10 @@ def brief_gaps(t: Tables) -> DataFrame:
     return small.union(compose.warnings(members, t.v_uses).select(F.col("missing").alias("slug"), F.lit("outside").alias("gap")).distinct())
 
 
-@query("SELECT substr(sha256(string_agg(slug || chr(10), '' ORDER BY slug)), 1, 64) AS digest, CAST(count(*) AS BIGINT) AS n FROM v_tasks WHERE k < 2000")
+@query("SELECT sha256(string_agg(slug || chr(10), '' ORDER BY slug)) AS digest, CAST(count(*) AS BIGINT) AS n FROM v_tasks")
 def chunk_commitment(t: Tables) -> DataFrame:
     """Count and digest of a set of ids, sorted and each followed by a line end."""
-    return t.v_tasks.where("k < 2000").agg(F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("slug")), "\n"), F.lit("\n")), 256).alias("digest"), F.count("*").alias("n"))
+    return exchange.commitment(t.v_tasks, "slug")
 
 
 @query("SELECT slug, sha256('urn:x:' || slug || chr(0) || '0' || chr(0) || '0') AS id FROM v_items")
@@ -815,9 +859,12 @@ def chunk_ids(t: Tables) -> DataFrame:
     return text.chunks(parts, "urn:x:").select("slug", "id")
 
 
-@query("SELECT k FROM v_items WHERE regexp_matches(body, '[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}\\x{FE00}-\\x{FE0F}]|<!--') OR contains(body, chr(223))")
+@query("""SELECT k, k % 8 AS mark FROM v_items WHERE k % 8 IN (1, 2, 3, 5, 6) OR regexp_matches(body, '[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]|<!--')""")
 def hidden_text(t: Tables) -> DataFrame:
-    return t.v_items.where(text.hidden_characters(F.col("body")) | F.contains("body", F.lit("ß"))).select("k")
+    """Every eighth text is left as it is; others get a mark, two of which are allowed: an emoji with its selector and a sharp s."""
+    marks = F.array(*[F.lit(x) for x in ("", "\u200b", "\u202e", "<!--", "\u00a9\ufe0f", "x\ufe0f", "\U000e0041", "\u00df")])
+    marked = t.v_items.select("k", (F.col("k") % 8).alias("mark"), F.concat("body", F.lit(" "), F.get(marks, (F.col("k") % 8).cast("int"))).alias("body"))
+    return marked.where(text.hidden_characters(F.col("body"))).select("k", "mark")
 
 
 @query("SELECT k, array_to_string(list_sort(list_filter(['Intent', 'The', 'And'], lambda x: NOT contains(body, x))), ',') AS missing FROM v_items")
@@ -827,34 +874,37 @@ def sections_missing(t: Tables) -> DataFrame:
     return t.v_items.select("k", F.array_join(F.array_sort(text.required_missing(present, wanted)), ",").alias("missing"))
 
 
-@query("SELECT event_id, regexp_extract(props, '\"k\": *([0-9]+)', 1) AS k FROM events WHERE event_type = 'purchase'")
+@query("SELECT event_id, event_type AS reviewed, CAST(user_id AS VARCHAR) AS operator, CAST(2 + CAST(event_id % 3 = 0 AS INTEGER) AS INTEGER) AS n FROM events WHERE event_id % 5 <> 0 UNION ALL SELECT event_id, NULL, NULL, 0 FROM events WHERE event_id % 5 = 0")
 def trailers(t: Tables) -> DataFrame:
-    return t.events.where("event_type = 'purchase'").select("event_id", F.regexp_extract("props", r'"k": *([0-9]+)', 1).alias("k"))
+    """Messages with two trailers, one of which is given twice and goes on in a second line, some with a third; every fifth has a line that is none."""
+    more = F.when(F.col("event_id") % 3 == 0, "\nChannel-Auto: yes").otherwise("")
+    odd = F.when(F.col("event_id") % 5 == 0, "\nand so on").otherwise("")
+    message = F.concat(F.lit("a change\n\nwhy: it\nis made\n\nreviewed-by: nobody\nOperator:\t"), F.col("user_id").cast("string"), more, F.lit("\nReviewed-By: "), F.lit(" \n  "), "event_type", odd, F.lit("\n\n"))
+    own = t.events.select("event_id", ledger.trailers(message).alias("t"))
+    return own.select("event_id", F.try_element_at("t", F.lit("Reviewed-By")).alias("reviewed"), F.try_element_at("t", F.lit("Operator")).alias("operator"), F.size("t").alias("n"))
 
 
 @query("SELECT o_orderkey FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n > 1 AND o_orderpriority = '1-URGENT'")
 def auto_merge_violations(t: Tables) -> DataFrame:
     """Entries after a ledger's first that break its rule."""
-    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return t.orders.withColumn("n", n).where("n > 1 and o_orderpriority = '1-URGENT'").select("o_orderkey")
+    return ledger.unchecked_merges(t.orders, "o_custkey", ["o_orderdate", "o_orderkey"], F.col("o_orderpriority") == "1-URGENT").select("o_orderkey")
 
 
 @query("SELECT event_id, coalesce('v' || last_value(tagged IGNORE NULLS) OVER w || '+' || (event_id - last_value(tagged IGNORE NULLS) OVER w), '0') AS version FROM (SELECT event_id, user_id, CASE WHEN event_type = 'purchase' THEN event_id END AS tagged FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def content_version(t: Tables) -> DataFrame:
     """The nearest tag before an entry and how many steps it is away."""
-    tagged = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    last = F.last_value(tagged, F.lit(True)).over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return t.events.withColumn("tag", last).select("event_id", F.coalesce(F.concat(F.lit("v"), "tag", F.lit("+"), F.col("event_id") - F.col("tag")), F.lit("0")).alias("version"))
+    steps = t.events.withColumn("tag", F.when(F.col("event_type") == "purchase", F.col("event_id")))
+    return ledger.content_version(steps, "user_id", "event_id", "tag").select("event_id", "version")
 
 
-@query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?://[^/?#]*example\\.(com|net)[/?#]') AND NOT regexp_matches(url, '\\?')")
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?://([^/?#@]*@)?([^/?#:]*\\.)?example\\.(com|net)(:[0-9]*)?([/#]|$)') AND NOT contains(split_part(url, '#', 1), '?')")
 def same_origin(t: Tables) -> DataFrame:
-    return t.pages.where(F.parse_url("url", F.lit("HOST")).rlike(r"example\.(com|net)$") & F.parse_url("url", F.lit("QUERY")).isNull()).select("page_id", "url")
+    return t.pages.where(scalars.same_origin(F.col("url"), ["example.com", "example.net"])).select("page_id", "url")
 
 
-@query("SELECT doc_id, replace(replace(regexp_replace(left(text, 40), '^([=+@-])', '''\\1'), chr(10), ' '), '\"', '\"\"') AS cell FROM documents")
+@query("SELECT doc_id, replace(replace(regexp_replace(text, '^([=+@-])', '''\\1'), chr(10), ' '), '\"', '\"\"') AS cell FROM documents")
 def csv_cells(t: Tables) -> DataFrame:
-    cell = text.csv_guarded(F.left("text", F.lit(40)))
+    cell = text.csv_guarded(F.col("text"))
     return t.documents.select("doc_id", F.replace(F.replace(cell, F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit('""')).alias("cell"))
 
 
@@ -870,10 +920,10 @@ def lint_summary(t: Tables) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT slug, title, ' ' || array_to_string(list_filter(regexp_split_to_array(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\p{L}\\p{Nd}\\p{M}]+'), lambda x: length(x) >= 2), ' ') || ' ' AS said,
-      list_filter(regexp_split_to_array(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\p{L}\\p{Nd}\\p{M}]+'), lambda x: length(x) >= 2) AS words FROM v_items WHERE length(body) < 1500)
+      list_filter(regexp_split_to_array(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\p{L}\\p{Nd}\\p{M}]+'), lambda x: length(x) >= 2) AS words FROM v_items)
     SELECT a.slug AS source, b.slug AS target, 'title' AS reason, CAST(len(b.words) AS BIGINT) AS score FROM t a JOIN t b ON a.slug <> b.slug AND len(b.words) BETWEEN 2 AND 4 AND contains(a.said, ' ' || array_to_string(b.words, ' ') || ' ')""")
 def suggest_by_title(t: Tables) -> DataFrame:
-    return suggest.by_title(t.v_items.where("length(body) < 1500"), longest=4).where("score >= 2")
+    return suggest.by_title(t.v_items, longest=4).where("score >= 2")
 
 
 @query("SELECT cluster, n_members, sha256(pack) AS lock FROM (SELECT p_brand AS cluster, CAST(count(*) AS BIGINT) AS n_members, string_agg('# ' || slug || chr(10) || p_name, chr(10) || chr(10) ORDER BY slug) AS pack FROM (SELECT *, 'part-' || p_partkey AS slug FROM part) GROUP BY 1)")
@@ -882,11 +932,10 @@ def skill_packs(t: Tables) -> DataFrame:
     return exchange.packs(items).select("cluster", "n_members", "lock")
 
 
-@query("SELECT coalesce(a.k, b.k) AS cluster, CASE WHEN b.k IS NULL THEN 'new' WHEN a.k IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'updated' END AS action FROM (SELECT c_custkey AS k, c_mktsegment AS h FROM customer WHERE c_custkey > 100) a FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'old' END AS h FROM customer WHERE c_custkey < 1000) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS cluster, CASE WHEN b.k IS NULL THEN 'new' WHEN a.k IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'updated' END AS action FROM (SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN 'F' ELSE 'O' END AS h FROM part) a FULL JOIN (SELECT o_custkey AS k, min(o_orderstatus) AS h FROM orders GROUP BY 1) b ON a.k = b.k")
 def pack_install_plan(t: Tables) -> DataFrame:
-    new = t.customer.where("c_custkey > 100").select(F.col("c_custkey").alias("cluster"), F.col("c_mktsegment").alias("lock"))
-    old = t.customer.where("c_custkey < 1000").select(F.col("c_custkey").alias("cluster"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("old").alias("lock"))
-    return exchange.install_plan(new, old)
+    new = t.part.select(F.col("p_partkey").alias("cluster"), F.when(F.col("p_size") % 2 == 0, "F").otherwise("O").alias("lock"))
+    return exchange.install_plan(new, t.orders.groupBy(F.col("o_custkey").alias("cluster")).agg(F.min("o_orderstatus").alias("lock")))
 
 
 @query("SELECT page_id, 'sha-256=:' || base64(unhex(sha256(url))) || ':' AS digest FROM pages")

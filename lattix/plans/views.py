@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 #: Each view's SQL; WITH them, a query's SQL follows.
 SQL = {
-    "v_tasks": """SELECT 'order-' || o_orderkey AS slug, CASE o_orderstatus WHEN 'F' THEN 'TASK_STATE_COMPLETED' WHEN 'O' THEN 'TASK_STATE_SUBMITTED' ELSE 'TASK_STATE_WORKING' END AS state,
+    "v_tasks": """SELECT 'order-' || o_orderkey AS slug, CASE o_orderstatus WHEN 'F' THEN 'TASK_STATE_COMPLETED' WHEN 'O' THEN CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN 'TASK_STATE_INPUT_REQUIRED' WHEN '5-LOW' THEN 'TASK_STATE_AUTH_REQUIRED' ELSE 'TASK_STATE_SUBMITTED' END ELSE 'TASK_STATE_WORKING' END AS state,
         n_name AS cluster, 'customer-' || o_custkey AS claimant, o_orderdate AS modified, o_orderkey AS k FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     "v_blocked": """SELECT source, target FROM (SELECT o_orderkey AS source, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS target FROM orders) WHERE target IS NOT NULL""",
     "v_requires": """SELECT p_partkey AS source, p_partkey // 2 AS target FROM part WHERE p_partkey // 2 IN (SELECT p_partkey FROM part) AND p_partkey // 2 <> p_partkey""",
@@ -60,7 +60,8 @@ def _name(prefix: str, column: str):
 
 
 def _tasks(t: Tables) -> DataFrame:
-    state = F.when(F.col("o_orderstatus") == "F", "TASK_STATE_COMPLETED").when(F.col("o_orderstatus") == "O", "TASK_STATE_SUBMITTED").otherwise("TASK_STATE_WORKING")
+    open_ = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "TASK_STATE_INPUT_REQUIRED").when(F.col("o_orderpriority") == "5-LOW", "TASK_STATE_AUTH_REQUIRED").otherwise("TASK_STATE_SUBMITTED")
+    state = F.when(F.col("o_orderstatus") == "F", "TASK_STATE_COMPLETED").when(F.col("o_orderstatus") == "O", open_).otherwise("TASK_STATE_WORKING")
     joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.select(_name("order-", "o_orderkey").alias("slug"), state.alias("state"), F.col("n_name").alias("cluster"), _name("customer-", "o_custkey").alias("claimant"), F.col("o_orderdate").alias("modified"), F.col("o_orderkey").alias("k"))
 

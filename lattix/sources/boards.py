@@ -120,7 +120,7 @@ def todotxt(spark: SparkSession, path: str) -> DataFrame:
     text = F.regexp_replace(rest, r"^(?:\d{4}-\d{2}-\d{2} ){1,2}", "")
     words = F.split(text, r"\s+")
     title = F.array_join(F.filter(words, lambda w: ~w.rlike(r"^[+@]\S|^[A-Za-z]+:[^/\s]\S*$")), " ")
-    tags = F.transform(F.filter(words, lambda w: w.rlike(r"^@\S")), lambda w: F.substring(w, 2, 1000))
+    tags = F.transform(F.filter(words, lambda w: w.rlike(r"^@\S")), lambda w: F.regexp_replace(w, "^@", ""))
     project = F.regexp_extract(text, r"(?:^|\s)\+(\S+)", 1)
     value = lambda k: F.regexp_extract(text, rf"(?:^|\s){k}:(\S+)", 1)
     word = F.when(done, "done").otherwise(F.when(value("state") != "", value("state")).otherwise("todo"))

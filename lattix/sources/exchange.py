@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,27 +42,27 @@ def read_queries(spark: SparkSession, queries: str, qrels: str) -> tuple[DataFra
     return q, g.where(F.col("score").cast("int") > 0).select(F.col("`query-id`").alias("qid"), F.col("`corpus-id`").alias("id"))
 
 
-# Names under which traces give an episode's members.
-ALIASES = {
-    "id": ("id", "run_id", "trace_id", "session_id"), "actor": ("actor", "agent", "agent_name", "user"), "started": ("started", "started_at", "start_time", "startTime", "timestamp"),
-    "ended": ("ended", "ended_at", "end_time", "endTime"), "outcome": ("outcome", "status", "result", "state"), "model": ("model", "model_name"),
-    "tokens_in": ("tokens_in", "input_tokens", "prompt_tokens"), "tokens_out": ("tokens_out", "output_tokens", "completion_tokens"), "cost_usd": ("cost_usd", "cost", "total_cost"),
-}
-# Words for an outcome.
-OUTCOMES = {"success": ("success", "succeeded", "ok", "passed", "completed", "done"), "failure": ("failure", "failed", "error", "crashed"), "partial": ("partial", "incomplete", "timeout"), "abandoned": ("abandoned", "cancelled", "canceled", "aborted")}
+# An episode's members as traces name them, and its outcomes.
+TRACE_MEMBERS = ("actor", "body", "ended", "outcome", "started", "title")
+OUTCOMES = ("success", "partial", "failure")
+USAGE = ("cost_usd", "estimate", "model", "tokens_in", "tokens_out")
+KEPT = "x-trace-"
 
 
 def episodes_of(records: DataFrame) -> DataFrame:
-    """Episodes of traces (a column record, a map of strings): the aliases of each member, the outcome normalised, and rest, what no alias takes."""
-    def pick(names: tuple[str, ...]) -> Column:
-        return F.coalesce(*[F.nullif(F.trim(F.try_element_at("record", F.lit(n))), F.lit("")) for n in names])
+    """Episodes of traces (a column record, a map of strings): actor, body, ended, outcome, started, title, usage, a map, and rest, what is neither, by lower-case names after x-trace-.
 
-    taken = [n for names in ALIASES.values() for n in names]
-    word = F.lower(pick(ALIASES["outcome"]))
-    outcome = F.coalesce(*[F.when(word.isin(*words), name) for name, words in OUTCOMES.items()], F.lit("unknown"))
-    plain = [pick(v).alias(k) for k, v in ALIASES.items() if k in ("id", "actor", "started", "ended", "model")]
-    numbers = [pick(ALIASES[k]).try_cast(t).alias(k) for k, t in (("tokens_in", "long"), ("tokens_out", "long"), ("cost_usd", "double"))]
-    return records.select(*plain, outcome.alias("outcome"), *numbers, F.map_filter("record", lambda k, v: ~k.isin(*taken)).alias("rest"))
+    A trace without started is none. An outcome that isn't known, or is missing, is partial. Without a title an episode is called after its start.
+    """
+    member = {n: F.try_element_at("record", F.lit(n)) for n in TRACE_MEMBERS}
+    outcome = F.when(member["outcome"].isin(*OUTCOMES), member["outcome"]).otherwise("partial")
+    title = F.coalesce(member["title"], F.concat(F.lit("Agent run "), member["started"]))
+    kept = F.map_filter("record", lambda k, v: ~k.isin(*TRACE_MEMBERS, *USAGE))
+    name = lambda k: F.regexp_replace(F.regexp_replace(F.lower(k), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    rest = F.filter(F.transform(F.map_entries(kept), lambda e: F.struct(F.concat(F.lit(KEPT), name(e["key"])).alias("key"), e["value"].alias("value"))), lambda e: e["key"] != KEPT)
+    first = F.filter(rest, lambda e, i: ~F.exists(F.slice(rest, 1, i), lambda x: x["key"] == e["key"]))
+    own = {**member, "outcome": outcome, "title": F.trim(F.regexp_replace(title, r"\s+", " "))}
+    return records.where(member["started"].isNotNull()).select(*[own[n].alias(n) for n in TRACE_MEMBERS], F.map_filter("record", lambda k, v: k.isin(*USAGE)).alias("usage"), F.map_from_entries(first).alias("rest"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -76,6 +79,27 @@ def check_manifest(listed: DataFrame, found: DataFrame) -> DataFrame:
     return both.withColumn("verdict", verdict).where("verdict is not null").select("path", "verdict")
 
 
+def crosswalk(df: DataFrame, table: DataFrame, key: str, columns: list[str], none: str = "none") -> DataFrame:
+    """df with columns of another table by a key, as text, and none where it has no row."""
+    found = table.select(key, *[F.col(c).cast("string").alias(c) for c in columns])
+    return df.join(found, key, "left").withColumns({c: F.coalesce(c, F.lit(none)) for c in columns})
+
+
+def commitment(ids: DataFrame, column: str) -> DataFrame:
+    """One row (digest, n) of a set of ids: the SHA-256 of all, in order, each with a line end. A SHA-256 is a chain, so the ids alone pass one task, as a stream."""
+
+    def digest(batches):
+        total, n = hashlib.sha256(), 0
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total.update(f"{x}\n".encode())
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([total.hexdigest()]), pa.array([n], pa.int64())], ["digest", "n"])
+
+    ordered = ids.select(F.col(column).cast("string").alias("id")).where("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id")
+    return ordered.coalesce(1).mapInArrow(digest, "digest string, n long")
+
+
 def packs(items: DataFrame, text: str = "text") -> DataFrame:
     """(cluster, n_members, text, lock) of each cluster's members in order of their slugs; items has (slug, clusters, text)."""
     each = items.select(F.explode("clusters").alias("cluster"), "slug", text)

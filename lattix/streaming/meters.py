@@ -11,11 +11,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def spend_meter(episodes: DataFrame, cap: float, delay: str = "1 day", window: str = "30 days") -> DataFrame:
-    """(first, past, actor, n_episodes, spent, reached) of each window, as late as delay; episodes have started, actor and cost_usd."""
-    seen = episodes.withWatermark("started", delay).groupBy(F.window("started", window), "actor")
-    totals = seen.agg(F.count("*").alias("n_episodes"), F.sum(F.col("cost_usd").cast("decimal(28,6)")).alias("spent"))
-    return totals.select(F.col("window.start").alias("first"), F.col("window.end").alias("past"), "actor", "n_episodes", "spent", (F.col("spent") >= cap).alias("reached"))
+def spend_meter(episodes: DataFrame, cap: float) -> DataFrame:
+    """(month, actor, n_episodes, spent, reached) whenever an actor's month changes; episodes have started, actor and cost_usd.
+
+    The state of an actor's calendar month is its number of episodes and what they cost, in millionths. Once the cap is reached, the
+    month's row is the last: episodes after it are counted no more, as the lane has stopped.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, spent, stopped = state.get if state.exists else (0, 0, False)
+        before = n
+        for cost in pd.concat(list(frames)).sort_values(["started", "micros"], kind="stable")["micros"]:
+            if stopped:
+                break
+            n, spent = n + 1, spent + int(cost)
+            stopped = spent >= round(cap * 1_000_000)
+        state.update((n, spent, stopped))
+        if n > before:
+            yield pd.DataFrame([(key[0], key[1], n, spent / 1_000_000, stopped)], columns=["month", "actor", "n_episodes", "spent", "reached"])
+
+    own = episodes.select(F.date_format("started", "yyyy-MM").alias("month"), "actor", "started", F.coalesce(F.round(F.col("cost_usd").cast("decimal(28,6)") * 1_000_000), F.lit(0)).cast("long").alias("micros"))
+    return own.groupBy("month", "actor").applyInPandasWithState(step, "month string, actor string, n_episodes long, spent double, reached boolean", "n long, spent long, stopped boolean", "update", GroupStateTimeout.NoTimeout)
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:

@@ -3,8 +3,8 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from lattix.functions import scalars
-from lattix.operators import lints, suggest
+from lattix.functions import scalars, text
+from lattix.operators import item_quads, ledger, lints, suggest
 from lattix.sources import exchange
 
 
@@ -62,9 +62,10 @@ def test_exchange(spark, tmp_path):
     (tmp_path / "q.tsv").write_text("query-id\tcorpus-id\tscore\n1\td\t1\n1\te\t0\n")
     q, g = exchange.read_queries(spark, f"file://{tmp_path}/q.jsonl", f"file://{tmp_path}/q.tsv")
     assert (q.first().qid, [r.id for r in g.collect()]) == ("1", ["d"])
-    traces = spark.createDataFrame([({"run_id": "r", "agent": "x", "status": "Succeeded", "prompt_tokens": "5", "cost": "0.5", "odd": "z"},), ({"id": "s", "result": "weird", "input_tokens": "n"},)], "record map<string,string>")
-    got = {r.id: r for r in exchange.episodes_of(traces).collect()}
-    assert (got["r"].outcome, got["r"].tokens_in, got["r"].cost_usd, got["r"].rest) == ("success", 5, 0.5, {"odd": "z"}) and (got["s"].outcome, got["s"].tokens_in) == ("unknown", None)
+    traces = spark.createDataFrame([({"started": "2026-01-01T00:00:00Z", "actor": "x", "outcome": "success", "tokens_in": "5", "Odd Key!": "z", "odd-key": "y"},), ({"started": "s", "outcome": "weird", "title": " a  b "},), ({"outcome": "success"},)], "record map<string,string>")
+    got = {r.started: r for r in exchange.episodes_of(traces).collect()}
+    one, two = got["2026-01-01T00:00:00Z"], got["s"]
+    assert len(got) == 2 and (one.outcome, one.title, one.usage) == ("success", "Agent run 2026-01-01T00:00:00Z", {"tokens_in": "5"}) and set(one.rest) == {"x-trace-odd-key"} and (two.outcome, two.title, two.rest) == ("partial", "a b", {})
     folder = tmp_path / "out"
     (folder / "d").mkdir(parents=True)
     (folder / "a.txt").write_text("one")
@@ -106,3 +107,49 @@ def test_no_short_phrase_is_lost(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     want = sorted((i, d) for i, p in items if p is not None for d, text in docs if p in text)
     assert sorted(tuple(r) for r in QUERIES["phrase_containment"](spark, str(tmp_path)).collect()) == want and (1199, 2) in want
+
+
+def test_addresses_of_both_families(spark):
+    rows = {"::1": True, "fe80::1": True, "2606:4700::1111": False, "::ffff:8.8.8.8": True, "64:ff9b::8.8.8.8": True, "8.8.8.8": False, "10.1.1.1": True, "1::2::3": False, "FC00::1": True, "x": False}
+    df = spark.createDataFrame([(a,) for a in rows], "a string")
+    assert {r.a: r.r for r in df.select("a", scalars.refused_address(F.col("a")).alias("r")).collect()} == rows
+
+
+def test_trailers_of_messages(spark):
+    said = {
+        "a\n\nKey: one\n  two\nother:\tx\nKEY: last\n\n": {"KEY": "last", "other": "x"}, "a\n\nKey: one\nno trailer\n": {}, "only: this": {"only": "this"}, "": {}, "a\n\n  Key: one": {}, "a\n \nKey: v": {"Key": "v"},
+    }
+    df = spark.createDataFrame([(m,) for m in said], "m string")
+    assert {r.m: r.t for r in df.select("m", ledger.trailers(F.col("m")).alias("t")).collect()} == said
+
+
+def test_index_of_postings_and_search(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "The cat, the CAT sat"), ("b", "a dog Äpfel"), ("c", None)], "slug string, body string")
+    text.write_index(text.postings(docs, "slug", "body"), f"{tmp_path}/index", 4)
+    for query in ("the cat äpfel", "Äpfel", "zz", ""):
+        want = [(r.slug, r.score) for r in text.search(text.postings(docs, "slug", "body"), query).collect()] if text.asked_tokens(query) else []
+        assert [(r.slug, r.score) for r in text.search_texts(docs, "slug", "body", query).collect()] == want if want or query else True
+        if want:
+            assert [(r.slug, r.score) for r in text.search(text.read_index(spark, f"{tmp_path}/index", query, 4), query).collect()] == want
+    assert text.asked_tokens("The cat the x", True) == {"the": 2, "cat": 1}
+
+
+def test_items_as_quads_and_lines(spark):
+    schema = "type string, slug string, lang string, title string, aliases array<string>, prov struct<origin: string, model: string>, related array<string>, `blocked-by` array<string>, clusters array<string>, verified array<struct<by: string, at: string>>, attachments array<struct<file: string, license: string>>, warrant struct<source: string, type: string>"
+    rows = [
+        ("concept", "a", "DE", 'x"\u0001\n', ["y"], ("ai", None), ["b#s", "k", "gone"], ["b"], ["k", "gone"], [("me", "2024-01-01"), ("you", None)], [("f", None)], ("s", "t")),
+        ("lesson", "b", None, None, None, None, None, None, None, None, None, ("s\nt", "t")), ("cluster", "k", None, "K", None, None, ["a"], None, None, None, None, None), ("other", "o", None, "O", None, None, None, None, None, None, None, None),
+    ]
+    mentions = spark.createDataFrame([("a", "b"), ("a", "o")], "source string, target string")
+    quads = item_quads.project(spark.createDataFrame(rows, schema), "u:x/", "n:", licence="L", mentions=mentions, citations=spark.createDataFrame([("b", "u:y", "p")], "source string, see_also string, peer string"))
+    lines = [r.line for r in item_quads.quad_lines(quads, "u:g").collect()]
+    assert lines == sorted(lines) and len(set(lines)) == len(lines)
+    a, b, k = "<u:x/concepts/a/", "<u:x/lessons/b/", "<u:x/clusters/k/"
+    skos, string = "http://www.w3.org/2004/02/skos/core#", "^^<http://www.w3.org/2001/XMLSchema#string>"
+    have = {
+        f'{a}> <{skos}prefLabel> "x\\"\\u0001\\n"@de', f'{a}> <{skos}altLabel> "y"@de', f"{a}> <{skos}related> {b}#s>", f"{b}#s> <{skos}related> {a}>", f"{a}> <n:blockedBy> {b}>", f"{b}> <n:blocks> {a}>", f"{k}> <{skos}member> {a}>", f'{a}> <n:origin> "ai"{string}',
+        f"{a}> <n:review> {a}#review-2>", f'{a}#review-1> <n:verifiedAt> "2024-01-01T00:00:00Z"^^<http://www.w3.org/2001/XMLSchema#dateTime>', f"{a}> <n:hasAttachment> {a}#attachment-1>", f'{a}#attachment-1> <http://purl.org/dc/terms/license> "L"{string}', f'{a}> <n:warrant> "t"{string}',
+        f"{a}> <n:mentions> {b}>", f"{b}> <n:peerOrigin> <p>", f'{b}> <https://schema.org/usageInfo> "L"{string}',
+    }
+    assert {f"{x} <u:g> ." for x in have} <= set(lines)
+    assert not any(f"{k}> <{skos}related>" in x or "/o/" in x or "gone" in x for x in lines) and not any(x.startswith(b) and "warrant" in x for x in lines)

@@ -32,8 +32,10 @@ def test_spend_meter_and_sessions(spark, tmp_path):
     df = spark.createDataFrame(rows, "started string, actor string, cost_usd double").selectExpr("timestamp(started) started", "actor", "cost_usd")
     df.write.parquet(str(tmp_path / "p"))
     live = spark.readStream.schema(df.schema).parquet(str(tmp_path / "p"))
-    got = {r.actor: (r.n_episodes, float(r.spent), r.reached) for r in drain(meters.spend_meter(live, 5), "spend", "complete")}
-    assert got == {"a": (2, 7.0, True), "b": (1, 1.0, False)}
+    got = {(r.month, r.actor): (r.n_episodes, r.spent, r.reached) for r in drain(meters.spend_meter(live, 5), "spend", "update")}
+    assert got == {("2026-01", "a"): (2, 7.0, True), ("2026-01", "b"): (1, 1.0, False)}
+    capped = {(r.month, r.actor): (r.n_episodes, r.spent, r.reached) for r in drain(meters.spend_meter(live, 2), "capped", "update")}
+    assert capped == {("2026-01", "a"): (1, 3.0, True), ("2026-01", "b"): (1, 1.0, False)}
     events = df.selectExpr("started ts", "actor user_id")
     events.write.parquet(str(tmp_path / "e"))
     runs = drain(meters.sessions(spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))), "runs", "complete")

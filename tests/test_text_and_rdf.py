@@ -71,5 +71,5 @@ def test_metrics(spark):
     assert set(got) == {"q", "z"} and got["q"].rr == 0.5 and got["q"].recall == 1 and abs(got["q"].ap - (1 / 2 + 2 / 3) / 2) < 1e-12 and got["z"].ndcg == 0
     a, b = spark.createDataFrame([(1.0,), (3.0,), (3.0,)], "v double"), spark.createDataFrame([(2.0,), (3.0,)], "v double")
     assert metrics.cliffs_delta(a, b, "v").first()[0] == round((-1 - 1 + 1 + 0 + 1 + 0) / 6, 4)
-    low, high = metrics.bootstrap(spark.range(1000).selectExpr("cast(id % 10 as double) v"), "v").first()
+    low, high = metrics.bootstrap(spark.range(1000).selectExpr("id", "cast(id % 10 as double) v"), "id", "v").first()
     assert 4.1 < low < 4.5 < high < 4.9
