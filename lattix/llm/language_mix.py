@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattix.llm import textscan
+from lattix.llm.scratch import drop, written
 
 ORDERS = (2, 3, 4)
 #: N-grams are hashed to so many cells; with LANGUAGES it bounds the model: 100 MB at most.
@@ -90,7 +91,7 @@ def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang")
                     total = {}
         yield from _counted(total)
 
-    counts = docs.mapInArrow(scan, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    counts = written(docs.mapInArrow(scan, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")), "counts")
     rows = counts.groupBy("lang").agg(F.sum("n")).orderBy("lang").limit(LANGUAGES + 1).collect()
     if len(rows) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
@@ -98,6 +99,7 @@ def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang")
     weight = np.full((CELLS, max(len(languages), 1)), SMOOTHING, np.float32)
     place = {x: i for i, x in enumerate(languages)}
     table = counts.toArrow()  # CELLS * LANGUAGES rows at most
+    drop(counts)
     of = np.array([place[x] for x in table.column(0).unique().to_pylist()], np.int64)
     if len(table):
         coded = table.column(0).combine_chunks().dictionary_encode()

@@ -24,6 +24,8 @@ from lattix.llm.scratch import written
 WINDOW = 10
 #: Test words sent to the segments at once; a single item may be longer.
 BLOCK_WORDS = 200_000
+#: Bytes of text in a segment; a longer text has one of its own.
+SEGMENT_BYTES = 1 << 20
 #: Places compared at once.
 CHUNK = 1 << 21
 
@@ -48,7 +50,7 @@ def build_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def scan(batches: Iterator[pa.RecordBatch]):
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in textscan.slices(batch.column(1)):
+            for part in textscan.slices(batch.column(1), SEGMENT_BYTES):
                 codes, doc_first = tokens(part)
                 order = np.argsort(codes, kind="stable")
                 first, length = textscan.runs(codes[order])

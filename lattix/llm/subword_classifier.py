@@ -97,13 +97,14 @@ def descend(examples: list[tuple[int, np.ndarray, np.ndarray]], classes: int = 2
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """(weight of each cell, bias) of label 1 against label 0, from at most sample labelled documents.
 
-    Those with the least hashes of their ids are taken. Null labels and ids are left out; of a document with both labels, 0 counts. Without labelled
-    documents all weights are 0.
+    Those with the least hashes of their ids are taken. Null labels and ids are left out; of a document with both labels, 0 counts, and of texts
+    with one id that with the least hash. Without labelled documents all weights are 0.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(label_id_col).isNotNull()).groupBy(F.col(label_id_col).cast("long").alias("id")).agg(F.min(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("label"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(sample))  # sample rows at most
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = docs.join(chosen, "id").dropDuplicates(["id"]).select("id", "label", "text")
+    least = F.min_by(F.struct("label", "text"), F.xxhash64("text"))
+    own = docs.join(chosen, "id").groupBy("id").agg(least.alias("x")).select("id", "x.label", "x.text")
 
     def featured(batches):
         for batch, row, cells, share in bags(batches, 2):

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: Everything but space and \t \n \v \f \r.
 NOT_SPACE = np.ones(256, dtype=bool)
