@@ -1,7 +1,8 @@
 """Personal data: generators propose spans, boosted trees select them. DataFrame and SQL functions only.
 
 Spans of four strict patterns with their checks are always taken. Wider generators propose further,
-overlapping candidates outside them: a run of digit groups gives every span of whole groups with enough digits.
+overlapping candidates outside them: a run of digit groups gives every span of whole groups with enough digits. Secrets, of
+which there is no strict pattern, are only proposed: what is assigned to a name like password, and long runs of letters and digits.
 Gradient-boosted trees score each by its format and context; of those that reach thresholds, calibrated
 on held-out examples, the best that don't overlap are chosen. The trees are grown in numpy on the driver, on some thousands of examples
 that rules make; on the corpus they are one SQL expression. Nothing is shuffled: a row's spans are found in the row.
@@ -19,7 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 MARK = "\\u0001"
 
 #: Loops are possessive, so that long runs neither backtrack nor recurse. A match begins where a run begins or the last match ended.
@@ -35,6 +37,9 @@ WIDE = {
     # without ' at ', which may take the name of the next address as its host
     "marked": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@| ?\(at\) ?| ?\[at\] ?)[A-Za-z0-9-]++(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]++)++",
     "ip": r"(?<![A-Za-z0-9:.])(?:(?:H:){7}+H|(?:H(?::H){0,6}+)?+::(?:H(?::H){0,6}+)?+(?![A-Za-z0-9:]))".replace("H", "[0-9A-Fa-f]{1,4}"),
+    # the value is what follows the last sign and quote
+    "assigned": r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|(?:api|access|private|client|auth|account)[_-]?key|bearer)[\"']?[ \t]{0,2}(?:[:=]|is)?[ \t]{0,2}[\"']?[A-Za-z0-9_+/=~!@#$%^&*\-]++(?:\.[A-Za-z0-9_+/=~!@#$%^&*\-]++)*+",
+    "token": r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_-]{0,40}[0-9])[A-Za-z0-9_-]{16,}+(?![@.]?[A-Za-z0-9])",
     "number": r"(?<![A-Za-z0-9])\+?\(?[0-9]++(?:[ ().\-/]{1,2}+[0-9]++)*+",
 }
 #: Digits of a number that is proposed, at least and at most.
@@ -45,14 +50,18 @@ CUES = {
     "cue_email": "mail|contact|write|reach",
     "cue_card": "card|visa|credit|payment|master|amex|debit",
     "cue_ip": "ip|host|server|addr|login|session",
+    "cue_secret": "pass|pwd|secret|token|key|auth|bearer|credential",
+    "cue_hash": "sha|md5|commit|hash|digest|uuid|checksum|rev|file|img|image",
     "cue_other": "order|invoice|isbn|version|build|id|date|time|page|ref|sku|serial|total|price|code|number",
 }
-FEATURES = ("kind", "n_digits", "n_chars", "n_spaces", "n_dots", "n_dashes", "n_parens", "n_colons", "n_slashes", "plus", "luhn", "date", "groups", "touch_before", "touch_after", "more_before", "more_after", "said_at", "said_dot", "first", *CUES)
+FEATURES = ("kind", "n_digits", "n_chars", "n_spaces", "n_dots", "n_dashes", "n_parens", "n_colons", "n_slashes", "plus", "luhn", "date", "groups", "touch_before", "touch_after", "more_before", "more_after", "said_at", "said_dot", "first", "n_upper", "n_lower", "hexadecimal", "assigned", *CUES)
 
-TREES, DEPTH, SHRINK = 24, 3, 0.3
+TREES, DEPTH, SHRINK = 40, 4, 0.3
+#: Cuts that a tree tries of a feature, at most.
+CUTS = 12
 #: What share of a kind's chosen held-out examples has to be right.
 PRECISION = 0.98
-EXAMPLES = 3000
+EXAMPLES = 4000
 
 
 def luhn(digits: str) -> str:
@@ -84,7 +93,7 @@ def with_base(df: DataFrame, text_col: str) -> DataFrame:
         "phone": f"{n} between 9 and 15",
     }
     guard = {"email": "instr(__text, '@') > 0", "ip": "true", "card": "true", "phone": "instr(__text, '+') > 0"}
-    found = ", ".join(spans_sql("__text", STRICT[k], str(i), valid[k], guard[k]) for i, k in enumerate(KINDS))
+    found = ", ".join(spans_sql("__text", STRICT[k], str(i), valid[k], guard[k]) for i, k in enumerate(BASE))
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\u0001", "\u0002")
     return df.withColumn("__text", text).withColumn("__base", F.expr(f"array_sort(concat({found}))"))
 
@@ -117,11 +126,20 @@ def numbers_sql(text: str) -> str:
     return f"flatten(transform({spans}, c -> array(c, named_struct('first', c.first, 'kind', 3, 'past', c.past, 'what', c.what))))"
 
 
+def secrets_sql(text: str) -> str:
+    """SQL for values that are assigned to a secret's name, and for long runs of letters and digits."""
+    sign = "^(?:[^:=\\\\s]*[:=\\\\s]+)(?:is\\\\s+)?[\"\\']?"
+    value = f"regexp_replace(c.what, '{sign}', '')"
+    guard = f"{text} rlike '(?i)pass|pwd|secret|token|credential|key|bearer'"
+    cut = f"transform({spans_sql(text, WIDE['assigned'], '4', 'true', guard)}, c -> named_struct('first', c.past - length({value}), 'kind', 4, 'past', c.past, 'what', {value}))"
+    return f"concat(filter({cut}, c -> length(c.what) >= 6), {spans_sql(text, WIDE['token'], '4', 'true')})"
+
+
 def candidates_sql(text: str) -> str:
     """SQL for the candidates, which may overlap."""
     email = [spans_sql(text, WIDE[k], "0", "true", f"{text} rlike '@|[(]at[)]|at]| at '") for k in ("email", "marked")]
     ip = spans_sql(text, WIDE["ip"], "1", f"length(p) > 2 and (not contains(p, '::') or size(regexp_extract_all(p, '[0-9A-Fa-f]+', 0)) <= 7)", f"instr({text}, ':') > 0")
-    return f"concat(array_distinct(concat({', '.join(email)})), {ip}, {numbers_sql(text)})"
+    return f"concat(array_distinct(concat({', '.join(email)})), {ip}, {numbers_sql(text)}, array_distinct({secrets_sql(text)}))"
 
 
 def features_sql(text: str, c: str) -> str:
@@ -138,6 +156,7 @@ def features_sql(text: str, c: str) -> str:
         "touch_before": f"int({before} rlike '[a-z0-9_$#=/-]$')", "touch_after": f"int({after} rlike '^[A-Za-z0-9_%/=]|^[.,][0-9]')",
         "more_before": f"int({before} rlike '[0-9][ ().\\\\-/]{{1,2}}$') + int({before} rlike '[0-9][-./]$')", "more_after": f"int({after} rlike '^[ ().\\\\-/]{{1,2}}[0-9]') + int({after} rlike '^[-./][0-9]')",
         "said_at": f"int(contains({c}.what, '@')) + 2 * int({c}.what rlike '[(]at[)]|at]')", "said_dot": f"int({c}.what rlike '[.][A-Za-z]{{2,6}}$') + 2 * int({c}.what rlike '[(]dot[)]|dot]| dot ')",
+        "n_upper": count("A-Z"), "n_lower": count("a-z"), "hexadecimal": f"int({c}.what rlike '^[0-9a-f]+$')", "assigned": f"int({before} rlike '[:=]\\\\s*[\"\\']?$')",
         "first": f"coalesce(try_cast(substr({_digits(f'{c}.what')}, 1, 1) as int), -1)",
     } | {name: f"int({before} rlike '(?:^|[^a-z])(?:{cue})')" for name, cue in CUES.items()}
     told = ", ".join(f"'{k}', {values[k]}" for k in FEATURES)
@@ -160,9 +179,16 @@ def examples(n: int = EXAMPLES, seed: int = 17) -> list[tuple[str, int, list[tup
 
     at, dot = lambda: r.choice([" (at) ", "(at)", "[at]", " [at] ", " at "]), lambda: r.choice([".", " dot ", "(dot)", " [dot] "])
     phone = lambda: r.choice(["(%s) %s-%s", "%s-%s-%s", "%s.%s.%s", "%s %s %s"]) % (r.choice("23456789") + d(2), d(3), d(4))
+    hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    mixed = lambda k, of="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(r.choice(of) for _ in range(k))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    named = lambda: r.choice(["password", "Password", "passwd", "pwd", "secret", "token", "api_key", "API-KEY", "access_key", "client_key", "auth_key", "credentials"])
+    value = lambda: r.choice([hexes(r.randint(8, 48)), mixed(r.randint(8, 40)), mixed(r.randint(6, 9)) + r.choice("!$%&#") + d(2), w() + d(r.randint(2, 5)) + w()])
+    quoted = lambda: (lambda q: f"{q}<{value()}>{q}")(r.choice(["", "", '"', "'"]))
     makers = [
         (3, lambda: f"{r.choice(['call', 'phone', 'tel.', 'mobile:', 'fax', ''])} <{phone()}>"),
         (3, lambda: f"{r.choice(['call', 'tel', 'phone:', w()])} <+{r.choice('123456789')}{r.choice([' ', '-', ''])}{d(3)} {d(3)} {d(4)}>"),
+        (3, lambda: f"{r.choice(['call', 'tel', 'phone:', 'Tel:', 'fax', 'mobile is', 'mobile', 'whatsapp', 'dial', 'sms'])} <0{d(r.randint(2, 4))}{r.choice([' ', '-', '/', ' / '])}{r.choice([d(6), d(7), d(8), d(4) + ' ' + d(4), d(3) + ' ' + d(4), d(3) + ' ' + d(3)])}>"),
         (2, lambda: f"{r.choice(['card', 'visa', 'payment with', 'credit card:', w()])} <{spaced(card(), r.choice([' ', '-', '']))}>"),
         (0, lambda: f"{r.choice(['mail', 'contact', 'write to', w()])} <{w()}{r.choice(['.', '_', ''])}{w()}{at()}{w()}{dot()}{r.choice(['com', 'org', 'net', 'de'])}>"),
         (0, lambda: f"{w()} <{w()}@{w()}.{r.choice(['com', 'org'])}>"),
@@ -189,8 +215,18 @@ def examples(n: int = EXAMPLES, seed: int = 17) -> list[tuple[str, int, list[tup
         (2, lambda: f"{r.choice(['card', 'visa', w()])} {d(r.randint(1, 4))} <{spaced(card(), r.choice([' ', '-', '']))}>{r.choice(['', ' ' + d(3)])}"),
         (2, lambda: f"{r.choice(['card', 'cards', w()])} <{spaced(card(), ' ')}> <{spaced(card(), ' ')}>"),
         (1, lambda: f"{r.choice(['host', 'ip', 'server', w()])} <{r.choice(['fe80', '2001:db8', '2a00:%x' % r.randrange(65536), 'fd%02x' % r.randrange(256)])}::{':'.join('%x' % r.randrange(65536) for _ in range(r.randint(1, 4)))}>"),
+        (1, lambda: f"{r.choice(['host', 'ip', 'server', 'login from', w()])} <{':'.join('%x' % r.randrange(256, 65536) for _ in range(r.randint(2, 4)))}::{':'.join('%x' % r.randrange(65536) for _ in range(r.randint(1, 3)))}>"),
         (1, lambda: f"{w()} {r.choice(['add', 'dead', 'face', 'bed', 'a', 'b', 'dec'])}::{r.choice(['add', 'bad', 'fade', 'a', 'c', 'de'])}"),
         (1, lambda: f"{w()} {d(2)}::{d(2)}"),
+        (4, lambda: f"{named()}{r.choice(['=', ' = ', ': ', ':', ' is '])}{quoted()}"),
+        (4, lambda: f"{named()}{r.choice(['=', ' = ', ': '])}{quoted()}"),
+        (4, lambda: f"{r.choice(['key', 'use', w(), 'with', 'bearer'])} <{r.choice(['AKIA', 'ASIA']) + mixed(16, upper)}>"),
+        (4, lambda: f"{r.choice(['key', 'use', w(), 'with', 'token'])} <{r.choice(['ghp_', 'gho_', 'glpat-', 'sk-', 'xoxb-', 'npm_'])}{mixed(r.randint(20, 40))}>"),
+        (4, lambda: f"{r.choice(['commit', 'sha', 'md5', 'hash', 'digest', 'checksum', 'rev', w()])} {hexes(r.choice([32, 40, 64]))}"),
+        (4, lambda: f"{r.choice(['uuid', 'id', 'session', w()])} {hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}"),
+        (4, lambda: f"{r.choice(['file', 'img', 'image', w()])} {w()}{r.choice('_-')}20{d(6)}{r.choice('_-')}{d(6)}{r.choice('_-')}{w()}"),
+        (4, lambda: f"{r.choice(['the password', 'a token', 'secret', 'the secret', 'passwd'])}{r.choice([' ', ': ', ' is '])}{r.choice(['nothing', 'changed', 'required', 'forgotten', 'needed', 'between', 'invalid', 'expired'])} {w()}"),
+        (4, lambda: f"{w()}{w()}{w()}{w()}{w()}{w()}{w()}{d(1)}"),
         (0, lambda: f"{r.choice(['look at', 'see', 'ask', w() + ' at'])} <{w()}{r.choice(['.', '_'])}{w()}{r.choice([' (at) ', '(at)', '[at]', ' [at] '])}{w()}{r.choice(['.', '(dot)', ' [dot] '])}{r.choice(['com', 'org'])}>"),
     ]
     out = []
@@ -209,7 +245,8 @@ def grow(x: np.ndarray, slope: np.ndarray, curve: np.ndarray, depth: int) -> tup
     if depth:
         for f in range(x.shape[1]):
             values = np.unique(x[:, f])
-            for cut in (values[:-1] + values[1:]) / 2:
+            between = (values[:-1] + values[1:]) / 2
+            for cut in between if len(between) <= CUTS else between[np.linspace(0, len(between) - 1, CUTS).astype(int)]:
                 low = x[:, f] <= cut
                 won = gain(slope[low].sum(), curve[low].sum()) + gain(slope[~low].sum(), curve[~low].sum()) - gain(slope.sum(), curve.sum())
                 if won > best[0]:
@@ -307,11 +344,11 @@ def find_personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and spans, all of them as kind:first:past."""
+    """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans; spans, all of them as kind:first:past, and n_spans, how many these are."""
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     told = lambda spans: f"array_join(transform({spans}, s -> concat_ws(':', element_at({names}, s.kind + 1), s.first, s.past)), ',')"
-    counts = [F.expr(f"bigint(size(filter(base, s -> s.kind = {i})))").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(F.expr(told("base")), 256).alias("base_sha256"), F.expr(told("array_sort(concat(base, added))")).alias("spans"))
+    counts = [F.expr(f"bigint(size(filter(base, s -> s.kind = {i})))").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(F.expr(told("base")), 256).alias("base_sha256"), F.expr(told("array_sort(concat(base, added))")).alias("spans"), F.expr("bigint(size(base) + size(added))").alias("n_spans"))
 
 
 def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
