@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattix.operators.shared import cut
 
@@ -41,6 +42,22 @@ def _reach_from(base: DataFrame, starts: DataFrame) -> DataFrame:
     return found
 
 
+def walk(edges: DataFrame, starts: DataFrame, hops: int, fan_out: int | None = None) -> DataFrame:
+    """(node, hop) of what starts (column node) reach in at most so many hops, with the least number; of each node only the first fan_out targets in order are followed."""
+    base = edges.select("source", "target").dropna().distinct()
+    if fan_out is not None:
+        base = base.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("target"))).where(F.col("n") <= fan_out).select("source", "target")
+    frontier = cut(starts.select("node").distinct().withColumn("hop", F.lit(0)))
+    found = frontier
+    for hop in range(1, hops + 1):
+        met = frontier.join(base, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
+        frontier = cut(met.join(found.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)))
+        if frontier.isEmpty():
+            break
+        found = found.union(frontier)
+    return found
+
+
 def proofs(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """(source, target, depth, path): the shortest chain of nodes of every pair that two edges or more join, the least in order of several."""
     base = edges.where(F.col(source).isNotNull() & F.col(target).isNotNull()).select(F.col(source).alias("source"), F.col(target).alias("target")).distinct()

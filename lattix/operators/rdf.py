@@ -55,6 +55,34 @@ def path_plus(triples: DataFrame, p: str) -> DataFrame:
     return found.select(F.col("source").alias("s"), F.col("target").alias("o"))
 
 
+def path_inverse(triples: DataFrame, p: str) -> DataFrame:
+    """(s, o) of one step of p against its direction."""
+    return triples.where(F.col("p") == p).select(F.col("o").alias("s"), F.col("s").alias("o")).distinct()
+
+
+def path_star(triples: DataFrame, p: str) -> DataFrame:
+    """(s, o) of no step of p or more: also every subject and object with itself."""
+    nodes = triples.select(F.col("s").alias("n")).union(triples.select("o")).distinct()
+    return path_plus(triples, p).union(nodes.select(F.col("n").alias("s"), F.col("n").alias("o"))).distinct()
+
+
+def path_sequence(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(s, o) of a step of one path, then one of another."""
+    ahead = second.select(F.col("s").alias("o"), F.col("o").alias("end"))
+    return first.join(ahead, "o").select("s", F.col("end").alias("o")).distinct()
+
+
+def describe(triples: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The triples that have one of the nodes (column node) as their subject."""
+    return triples.join(nodes.select(F.col("node").alias("s")).distinct(), "s", "left_semi").select("s", "p", "o").distinct()
+
+
+def default_graph(quads: DataFrame, *graphs: str) -> DataFrame:
+    """(s, p, o) of the named graphs (column g) together, each once; of all graphs, if none is named."""
+    own = quads.where(F.col("g").isin(*graphs)) if graphs else quads
+    return own.select("s", "p", "o").distinct()
+
+
 def construct(bindings: DataFrame, template: list[tuple[str, str, str]]) -> DataFrame:
     """Triples of a template, one for each of its lines and binding, without repeats."""
     term = lambda t: F.col(t[1:]) if t.startswith("?") else F.lit(t)
@@ -95,7 +123,8 @@ def rule_closure(triples: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def violations(focus: DataFrame, values: DataFrame, component: str, argument: object = None) -> DataFrame:
     """(component, focus, value) where a constraint fails. focus has a column focus; values has focus and value.
 
-    Components: minCount, maxCount, in, pattern, minLength, maxLength, hasValue, class (argument: a table with a column value of its members).
+    Components: minCount, maxCount, in, pattern, minLength, maxLength, hasValue, class (argument: a table with a column value of its members), datatype (values
+    has one too, null for what is no literal), nodeKind (iri or literal; values has a kind), node (argument: a table of violations of the shape that values have to keep).
     """
     own = focus.select("focus").distinct().join(values, "focus", "left")
     if component in ("minCount", "maxCount"):
@@ -105,6 +134,10 @@ def violations(focus: DataFrame, values: DataFrame, component: str, argument: ob
         found = focus.select("focus").distinct().join(values.where(F.col("value") == argument), "focus", "left_anti").select("focus", F.lit(None).cast("string").alias("value"))
     elif component == "class":
         found = own.where("value is not null").join(argument.select("value").distinct(), "value", "left_anti").select("focus", "value")
+    elif component in ("datatype", "nodeKind"):
+        found = own.where(F.col("value").isNotNull() & (F.coalesce("datatype" if component == "datatype" else "kind", F.lit("")) != argument)).select("focus", "value")
+    elif component == "node":
+        found = own.where("value is not null").join(argument.select(F.col("focus").alias("value")).distinct(), "value", "left_semi").select("focus", "value")
     else:
         fits: Column = {"in": lambda v: v.isin(argument), "pattern": lambda v: v.rlike(argument), "minLength": lambda v: F.char_length(v) >= argument, "maxLength": lambda v: F.char_length(v) <= argument}[component](F.col("value"))
         found = own.where(F.col("value").isNotNull() & ~fits).select("focus", "value")

@@ -22,6 +22,26 @@ def by_title(items: DataFrame, longest: int = 6) -> DataFrame:
     return said.join(names, "phrase").where("source != target").select("source", "target", F.lit("title").alias("reason"), F.col("n").cast("long").alias("score"))
 
 
+def by_mentions(mentions: DataFrame) -> DataFrame:
+    """A body that names an item by a link asks for the two to be related."""
+    found = mentions.where("source != target").groupBy("source", "target").agg(F.count("*").alias("score"))
+    return found.select("source", "target", F.lit("mention").alias("reason"), "score")
+
+
+def for_lessons(items: DataFrame, edges: DataFrame) -> DataFrame:
+    """Lessons that say of no episode that they derive from it are offered each one that a link joins them to; target is null if there is none.
+
+    items has (slug, type), edges (source, key, target).
+    """
+    of = lambda kind: items.where(F.col("type") == kind).select("slug").distinct()
+    derived = edges.where("key = 'derived-from'").select(F.col("source").alias("slug"))
+    lessons = of("lesson").join(derived, "slug", "left_anti")
+    both = edges.select("source", "target").union(edges.select("target", "source")).distinct()
+    joined = both.join(of("episode").withColumnRenamed("slug", "target"), "target", "left_semi").groupBy("source", "target").agg(F.count("*").alias("score"))
+    found = lessons.withColumnRenamed("slug", "source").join(joined, "source", "left")
+    return found.select("source", "target", F.lit("episode").alias("reason"), F.coalesce("score", F.lit(0)).alias("score"))
+
+
 def fresh(suggested: DataFrame, joined: DataFrame) -> DataFrame:
     """Suggestions between items that no link joins in either direction, each once with its best reason."""
     both = joined.select("source", "target").union(joined.select("target", "source"))

@@ -368,6 +368,12 @@ def self_links(t: Tables) -> DataFrame:
     return links.self_links(t.v_links)
 
 
+@query("WITH RECURSIVE e AS (SELECT source, target FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY target) AS n FROM (SELECT source, target FROM v_requires UNION SELECT target, source FROM v_requires)) WHERE n <= 2), r AS (SELECT 7 AS node, 0 AS hop UNION SELECT e.target, r.hop + 1 FROM r JOIN e ON e.source = r.node WHERE r.hop < 5) SELECT CAST(node AS BIGINT) AS node, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY 1")
+def bounded_walk(t: Tables) -> DataFrame:
+    """What part 7 reaches in five hops, following two neighbours of each."""
+    return graph.walk(graph.symmetric(t.v_requires), t.spark.createDataFrame([(7,)], "node long"), 5, 2)
+
+
 @query("SELECT target AS neighbour, 'out' AS direction FROM v_links WHERE source = 'part-7' UNION SELECT source, 'in' FROM v_links WHERE target = 'part-7'")
 def neighbours(t: Tables) -> DataFrame:
     return graph.neighbours(t.v_links, "part-7")
@@ -423,6 +429,39 @@ def dependency_order(t: Tables) -> DataFrame:
     return graph.layers(t.v_requires, t.part.select(F.col("p_partkey").alias("node")))
 
 
+COMPOSED = f"""{WHOLE}, live AS (SELECT p_partkey AS slug FROM part WHERE p_size <> 50), q AS (SELECT slug FROM c WHERE slug IN (SELECT slug FROM live) UNION SELECT e.target FROM q JOIN v_requires e ON e.source = q.slug WHERE e.target IN (SELECT slug FROM live)),
+    gone AS (SELECT target AS slug, min('part-' || source) AS superseding FROM v_supersedes WHERE source IN (SELECT slug FROM q) AND target IN (SELECT slug FROM q) GROUP BY 1), m AS (SELECT slug FROM q WHERE slug NOT IN (SELECT slug FROM gone))"""
+
+
+def _composed(t: Tables) -> dict[str, DataFrame]:
+    slug = F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("slug")
+    more = t.v_excludes.select(F.concat(F.lit("part-"), F.col("source").cast("string")).alias("source"), F.lit("excludes").alias("key"), F.concat(F.lit("part-"), F.col("target").cast("string")).alias("target"))
+    items = t.part.select(slug, (F.col("p_size") == 50).alias("retired"))
+    produces, consumes = t.part.select(slug, F.col("p_brand").alias("port")), t.part.select(slug, F.concat("p_brand", F.when(F.col("p_size") == 7, "?").otherwise("")).alias("port"))
+    return compose.explained(t.part.where(F.col("p_partkey").between(*SELECTION)).select(slug), items, t.v_links.where("key != 'related'").union(more), produces, consumes)
+
+
+@query(f"""{COMPOSED} SELECT code, key, a, b FROM (SELECT 'E802' AS code, 'status' AS key, 'part-' || slug AS a, 'part-' || slug AS b FROM c WHERE slug NOT IN (SELECT slug FROM live)
+    UNION SELECT 'E802', 'status', 'part-' || target, 'part-' || target FROM q JOIN v_requires e ON e.source = q.slug WHERE e.target NOT IN (SELECT slug FROM live) AND e.target NOT IN (SELECT slug FROM c)
+    UNION SELECT 'E802', 'requires', 'part-' || source, 'part-' || target FROM v_requires WHERE source IN (SELECT slug FROM m) AND target IN (SELECT slug FROM gone)
+    UNION SELECT 'E801', 'excludes', least('part-' || source, 'part-' || target), greatest('part-' || source, 'part-' || target) FROM v_excludes WHERE source IN (SELECT slug FROM m) AND target IN (SELECT slug FROM m))""")
+def composed_conflicts(t: Tables) -> DataFrame:
+    return _composed(t)["conflicts"].select("code", "key", "a", "b").distinct()
+
+
+@query(f"""{COMPOSED}, w AS (SELECT 'part-' || slug AS consumer, p_brand || CASE WHEN p_size = 7 THEN '?' ELSE '' END AS port FROM m JOIN part ON p_partkey = slug)
+    SELECT 'E803' AS code, 'uses' AS key, 'part-' || source AS source, 'part-' || target AS target FROM (SELECT DISTINCT * FROM v_uses) WHERE source IN (SELECT slug FROM m) AND target NOT IN (SELECT slug FROM m)
+    UNION ALL SELECT 'E804', 'consumes', consumer, port FROM w WHERE port NOT IN (SELECT p_brand FROM m JOIN part ON p_partkey = slug)""")
+def composed_warnings(t: Tables) -> DataFrame:
+    return _composed(t)["warnings"]
+
+
+@query(f"""{COMPOSED}, p AS (SELECT slug, '' AS path FROM c WHERE slug IN (SELECT slug FROM live) UNION ALL SELECT e.target, p.path || '>part-' || e.source FROM p JOIN v_requires e ON e.source = p.slug WHERE e.target IN (SELECT slug FROM live) AND e.target NOT IN (SELECT slug FROM c))
+    SELECT 'part-' || slug AS slug, arg_min(path, (length(path) - length(replace(path, '>', '')), split_part(path, '>', -1))) AS path FROM p WHERE slug IN (SELECT slug FROM m) AND slug NOT IN (SELECT slug FROM c) GROUP BY 1""")
+def composed_paths(t: Tables) -> DataFrame:
+    return _composed(t)["added"].select("slug", F.array_join(F.transform("path", lambda x: F.concat(F.lit(">"), x["source"])), "").alias("path"))
+
+
 # triples
 
 
@@ -453,6 +492,23 @@ def path_plus(t: Tables) -> DataFrame:
     return rdf.path_plus(t.v_broader.select(F.col("source").alias("s"), F.lit("broader").alias("p"), F.col("target").alias("o")), "broader")
 
 
+@query("SELECT DISTINCT a.s AS s, b.s AS o FROM v_triples a JOIN v_triples b ON a.o = b.o AND b.p = 'inNation' WHERE a.p = 'inNation' AND a.s < 'customer-2' AND b.s LIKE '%99'")
+def path_there_and_back(t: Tables) -> DataFrame:
+    """Customers of one nation, by a step and its inverse."""
+    there = t.v_triples.where("p = 'inNation'").select("s", "o")
+    return rdf.path_sequence(there.where("s < 'customer-2'"), rdf.path_inverse(t.v_triples, "inNation").where("o like '%99'"))
+
+
+@query("WITH RECURSIVE n AS (SELECT source AS n FROM v_broader UNION SELECT target FROM v_broader), r AS (SELECT n AS s, n AS o FROM n UNION SELECT r.s, e.target FROM r JOIN v_broader e ON e.source = r.o) SELECT s, o FROM r")
+def path_star(t: Tables) -> DataFrame:
+    return rdf.path_star(t.v_broader.select(F.col("source").alias("s"), F.lit("broader").alias("p"), F.col("target").alias("o")), "broader")
+
+
+@query("SELECT DISTINCT s, p, o FROM v_triples WHERE s IN (SELECT s FROM v_triples WHERE p = 'inRegion' AND o = 'region-2')")
+def describe_nodes(t: Tables) -> DataFrame:
+    return rdf.describe(t.v_triples, t.v_triples.where("p = 'inRegion' and o = 'region-2'").select(F.col("s").alias("node")))
+
+
 @query("SELECT DISTINCT o AS s, 'hasCustomer' AS p, s AS o FROM v_triples WHERE p = 'inNation' UNION SELECT s, 'locatedIn', o FROM v_triples WHERE p = 'inNation'")
 def construct_triples(t: Tables) -> DataFrame:
     return rdf.construct(rdf.match(t.v_triples, ("?c", "inNation", "?n")), [("?n", "hasCustomer", "?c"), ("?c", "locatedIn", "?n")])
@@ -514,6 +570,20 @@ def shacl_class(t: Tables) -> DataFrame:
     return rdf.violations(values, values, "class", t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("value")))
 
 
+@query("SELECT 'datatype' AS component, c_custkey AS focus, o_orderpriority AS value FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus <> 'F'")
+def shacl_datatype(t: Tables) -> DataFrame:
+    focus, values = _focus(t)
+    typed = t.orders.select(F.col("o_custkey").alias("focus"), F.col("o_orderpriority").alias("value"), F.when(F.col("o_orderstatus") == "F", "xsd:string").when(F.col("o_orderstatus") == "O", "xsd:date").alias("datatype"))
+    return rdf.violations(focus, typed, "datatype", "xsd:string")
+
+
+@query("SELECT 'node' AS component, o_orderkey AS focus, o_custkey AS value FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 15)")
+def shacl_node(t: Tables) -> DataFrame:
+    """Orders whose customer breaks the shape of customers: at most 15 orders."""
+    own = t.orders.select(F.col("o_orderkey").alias("focus"), F.col("o_custkey").alias("value"))
+    return rdf.violations(own, own, "node", rdf.violations(*_focus(t), "maxCount", 15))
+
+
 @query("SELECT DISTINCT '<urn:x:' || s || '> <urn:x:' || p || '> ' || CASE WHEN p IN ('label', 'segment') THEN '\"' || o || '\"' ELSE '<urn:x:' || o || '>' END || ' .' AS line FROM v_triples")
 def nquads_lines(t: Tables) -> DataFrame:
     return rdf.lines(t.v_triples, "urn:x:", F.col("p").isin("label", "segment"))
@@ -926,6 +996,26 @@ def suggest_by_title(t: Tables) -> DataFrame:
     return suggest.by_title(t.v_items, longest=4).where("score >= 2")
 
 
+@query("""WITH i AS (SELECT event_id, user_id, CASE WHEN event_type = 'click' THEN 'lesson' WHEN event_type = 'error' THEN 'other' ELSE 'episode' END AS type, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM events),
+    l AS (SELECT event_id AS source, CASE WHEN event_id % 3 = 0 THEN 'derived-from' ELSE 'related' END AS key, nxt AS target FROM i WHERE nxt IS NOT NULL), b AS (SELECT source, target FROM l UNION SELECT target, source FROM l)
+    SELECT x.event_id AS source, y.target, 'episode' AS reason, CAST(coalesce(y.score, 0) AS BIGINT) AS score FROM i x LEFT JOIN (SELECT source, target, 1 AS score FROM b WHERE target IN (SELECT event_id FROM i WHERE type = 'episode')) y ON y.source = x.event_id
+    WHERE x.type = 'lesson' AND x.event_id NOT IN (SELECT source FROM l WHERE key = 'derived-from')""")
+def suggest_for_lessons(t: Tables) -> DataFrame:
+    """Events as lessons and episodes, each joined to its user's next."""
+    kind = F.when(F.col("event_type") == "click", "lesson").when(F.col("event_type") == "error", "other").otherwise("episode")
+    after = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    own = t.events.select(F.col("event_id").alias("slug"), kind.alias("type"), after.alias("target"))
+    edges = own.where("target is not null").select(F.col("slug").alias("source"), F.when(F.col("slug") % 3 == 0, "derived-from").otherwise("related").alias("key"), "target")
+    return suggest.for_lessons(own.select("slug", "type"), edges)
+
+
+@query("SELECT coalesce(CASE WHEN n_nationkey < 20 THEN trim(n_name) END, 'Other') AS section, '- [' || c_name || '](urn:c:' || c_custkey || '): ' || c_mktsegment AS line FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def plain_listing(t: Tables) -> DataFrame:
+    """Customers under their nations, of which the last five aren't listed."""
+    items = t.customer.select(F.col("c_custkey").alias("slug"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("description"), F.concat(F.lit("urn:c:"), F.col("c_custkey").cast("string")).alias("iri"), F.col("c_nationkey").alias("cluster"))
+    return exchange.listing(items, t.nation.where("n_nationkey < 20").select(F.col("n_nationkey").alias("slug"), F.col("n_name").alias("title")))
+
+
 @query("SELECT cluster, n_members, sha256(pack) AS lock FROM (SELECT p_brand AS cluster, CAST(count(*) AS BIGINT) AS n_members, string_agg('# ' || slug || chr(10) || p_name, chr(10) || chr(10) ORDER BY slug) AS pack FROM (SELECT *, 'part-' || p_partkey AS slug FROM part) GROUP BY 1)")
 def skill_packs(t: Tables) -> DataFrame:
     items = t.part.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("slug"), F.array("p_brand").alias("clusters"), F.col("p_name").alias("text"))

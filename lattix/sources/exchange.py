@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattix.functions.text import numbered_slugs, slugify
+from lattix.functions.text import ascii_lower, numbered_slugs, slugify
+from lattix.operators.ledger import trailers
 from lattix.operators.rdf import parse_lines
 from lattix.sources.boards import read_table
 
@@ -100,6 +101,33 @@ def commitment(ids: DataFrame, column: str) -> DataFrame:
     return ordered.coalesce(1).mapInArrow(digest, "digest string, n long")
 
 
+def listing(items: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(section, line) of a plain listing for readers that are machines: a line for each item with its address and description, under the title of the first of its clusters that is listed first, else under Other.
+
+    items has (slug, title, description, iri, cluster), clusters (slug, title). Titles and descriptions are put on one line, and what could open a link is escaped.
+    """
+    one = lambda c: F.trim(F.regexp_replace(c, r"[\s\x{85}\x{2028}\x{2029}]+", " "))
+    safe = lambda c: F.regexp_replace(one(c), r"([\\\[\](])", r"\\$1")
+    said = F.when(F.coalesce("description", F.lit("")) == "", F.col("title")).otherwise(F.col("description"))
+    own = items.join(clusters.select(F.col("slug").alias("cluster"), one(F.col("title")).alias("section")), "cluster", "left")
+    return own.select(F.coalesce("section", F.lit("Other")).alias("section"), F.concat(F.lit("- ["), safe(F.col("title")), F.lit("]("), "iri", F.lit("): "), safe(said)).alias("line"))
+
+
+def read_commits(spark: SparkSession, path: str) -> DataFrame:
+    """(sha, parents, committed_at, author, author_email, tag, message, trailers) of git log written with the format %H%x1f%P%x1f%cI%x1f%an%x1f%ae%x1f%D%x1f%B%x1e.
+
+    committed_at is the instant in UTC and tag the greatest v tag; addresses are in lower case.
+    """
+    raw = spark.read.option("lineSep", "\x1e").text(path).select(F.split(F.regexp_replace("value", r"^\s+", ""), "\x1f", 7).alias("f")).where(F.size("f") == 7)
+    part = lambda i: F.get("f", F.lit(i))
+    tags = F.filter(F.transform(F.split(part(5), ", "), lambda x: F.regexp_replace(x, "^tag: ", "")), lambda x: x.startswith("v"))
+    when = F.date_format(F.to_utc_timestamp(F.try_to_timestamp(part(2)), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return raw.select(
+        part(0).alias("sha"), F.filter(F.split(part(1), " "), lambda x: x != "").alias("parents"), when.alias("committed_at"), part(3).alias("author"), ascii_lower(part(4)).alias("author_email"),
+        F.array_max(tags).alias("tag"), part(6).alias("message"), trailers(part(6)).alias("trailers"),
+    )
+
+
 def packs(items: DataFrame, text: str = "text") -> DataFrame:
     """(cluster, n_members, text, lock) of each cluster's members in order of their slugs; items has (slug, clusters, text)."""
     each = items.select(F.explode("clusters").alias("cluster"), "slug", text)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lattix.functions import scalars, text
 from lattix.operators import item_quads, ledger, lints, suggest
-from lattix.sources import exchange
+from lattix.sources import exchange, generate
 
 
 def column(spark, values, f, kind="string"):
@@ -153,3 +153,21 @@ def test_items_as_quads_and_lines(spark):
     }
     assert {f"{x} <u:g> ." for x in have} <= set(lines)
     assert not any(f"{k}> <{skos}related>" in x or "/o/" in x or "gone" in x for x in lines) and not any(x.startswith(b) and "warrant" in x for x in lines)
+
+
+def test_generated_items_and_commits(spark, tmp_path):
+    rows = {r.slug: r for r in generate.generate(spark, 9).collect()}
+    one = rows["item-9"]
+    assert len(rows) == 9 and one.related == ["item-1", "item-7"] and one.body.count("\n## ") == 5 and len(one.description.split()) == 12
+    assert text.sections(generate.generate(spark, 9).select("slug", "body"), "slug", "body").count() == 9 * 6
+    log = ["a1", "", "2026-01-02T03:04:05+02:00", "Ann", "Ann@X.org", "HEAD -> main, tag: v1.2, tag: v1.10", "one\n\nReviewed-by: B\n"], ["b2", "a1 c3", "2026-01-03T00:00:00Z", "B", "b@x", "", "two"]
+    (tmp_path / "log").write_text("".join("\x1f".join(x) + "\x1e\n" for x in log))
+    got = {r.sha: r for r in exchange.read_commits(spark, f"{tmp_path}/log").collect()}
+    assert (got["a1"].committed_at, got["a1"].author_email, got["a1"].tag, got["a1"].parents, got["a1"].trailers) == ("2026-01-02T01:04:05Z", "ann@x.org", "v1.2", [], {"Reviewed-by": "B"})
+    assert (got["b2"].parents, got["b2"].tag) == (["a1", "c3"], None)
+
+
+def test_listing_escapes_what_could_open_a_link(spark):
+    items = spark.createDataFrame([("a", "T [x](y) \\\\", None, "u:a", "k"), ("b", "B", "two\nlines", "u:b", None)], "slug string, title string, description string, iri string, cluster string")
+    got = {(r.section, r.line) for r in exchange.listing(items, spark.createDataFrame([("k", "K\nk")], "slug string, title string")).collect()}
+    assert got == {("K k", r"- [T \[x\]\(y) \\\\](u:a): T \[x\]\(y) \\\\"), ("Other", "- [B](u:b): two lines")}
