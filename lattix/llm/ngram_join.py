@@ -15,7 +15,7 @@ a pair exactly at the threshold, far below that of equal codes of different shin
 
 A bucket of sets with one signature is compared in full if it is small. In a larger one, all are compared with the first;
 what that leaves apart meets in groups: a component and all components that have a bucket in common with it and are not its
-largest. They are compared with some of the group, and at last, in blocks, those outside the group's component with all.
+largest. Sets outside the group's component are compared with all of the group, in blocks.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattix.llm import textscan
 from lattix.llm.components import connected_components
@@ -42,8 +43,6 @@ SMALL_BUCKET = 8
 #: Sets, and codes of sets, of a block; two blocks are compared in a task.
 BLOCK = 1024
 BLOCK_CODES = 1 << 20
-#: Components of a group that its others are compared with before blocks are.
-LEADERS = 2
 #: A code of so much less than all pairs of two blocks is counted pair by pair.
 DENSE = 400
 #: Parts that a set with empty parts enumerates beyond what the count of these asks for.
@@ -308,20 +307,11 @@ def _labelled(keys: DataFrame, label: DataFrame) -> DataFrame:
 
 def _groups(large: DataFrame, label: DataFrame) -> DataFrame:
     """(major, comp): components that have a bucket in common with another one, the largest in it and, of equals, that in most buckets. large has (sig, key)."""
-    part = _labelled(large, label).groupBy("sig", "comp").count()
-    part = part.join(part.groupBy("comp").agg(F.count("*").alias("buckets")), "comp")
+    part = written(_labelled(large, label).groupBy("sig", "comp").count(), "parts").withColumn("buckets", F.count("*").over(Window.partitionBy("comp")))
     size = part.groupBy("sig").agg(F.max_by("comp", F.struct("count", "buckets", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("sig", "major")
     return part.join(size, "sig").where("comp != major").select("major", "comp").distinct()
 
 
-def _led(groups: DataFrame) -> DataFrame:
-    """Pairs of components' first sets: of each group's others with that of its own and of LEADERS of them, drawn by hash."""
-    drawn = [F.min_by("comp", F.xxhash64("comp", F.lit(j))) for j in range(LEADERS)]
-    leaders = groups.groupBy("major").agg(F.array(*drawn).alias("drawn")).select("major", F.array_distinct(F.concat(F.array("major"), "drawn")).alias("leaders"))
-    met = groups.join(leaders, "major").select("comp", F.explode("leaders").alias("leader")).where("comp != leader")
-    return met.select(F.least("comp", "leader").alias("a"), F.greatest("comp", "leader").alias("b")).distinct()
-
-
 def _blocks(rows: Column, codes: Column) -> Column:
     return F.ceil(F.greatest(rows / BLOCK, codes / BLOCK_CODES)).cast("int")
 
@@ -496,13 +486,10 @@ def similar_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = written(_linked(near, sets, num, den), "links")
     large = met.where("large").select("sig", F.col("b").alias("key"))
     if not large.isEmpty():
-        label = connected_components(links)
-        led = written(_plausible(_led(_groups(large, label)), sets, num, den), "near")
-        links = links.union(written(_linked(led, sets, num, den), "links"))
         label = connected_components(links)
         groups = written(_groups(large, label), "meets")
         links = links.union(written(_across(groups, _labelled(large.select("key").distinct(), label), sets, num, den), "links"))
-        drop(led, groups)
+        drop(groups)
     drop(chosen, near)
     return Sets(members, sets, links, large, num, den)
 

@@ -50,7 +50,6 @@ def test_components_against_brute_force(spark):
 def test_near_copies_in_oversize_buckets(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL_BUCKET", 4)
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
-    monkeypatch.setattr(ngram_join, "LEADERS", 1)
     monkeypatch.setattr(ngram_join, "BLOCK_CODES", 300)
     r = random.Random(3)
     base = words(r, 60).split()
