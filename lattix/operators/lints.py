@@ -73,6 +73,30 @@ def provenance(items: DataFrame) -> DataFrame:
     return finding(items, "provenance", "error", lacking, F.lit("agent and model are needed"))
 
 
+RULES = "type string, key string, required boolean, allowed array<string>, pattern string, least int, most int"
+
+
+def schema(items: DataFrame, values: DataFrame, rules: DataFrame) -> DataFrame:
+    """What items break of a schema: E202 a key that their type has to have, E203 a value that isn't allowed, E204 one of another pattern or length, E206 a slug of several items, E207 (a warning) a key that no rule names.
+
+    items has (slug, type), values (slug, key, value) with a row for each value, rules (RULES): what they leave null isn't asked for. Lengths are in code points.
+    """
+    typed = items.select("slug", "type").distinct()
+    need = typed.join(F.broadcast(rules.where("required").select("type", "key").distinct()), "type")  # a schema is a short list
+    lacking = need.join(values.where("value is not null").select("slug", "key").distinct(), ["slug", "key"], "left_anti")
+    stated = values.where("value is not null").join(typed, "slug")
+    ruled = stated.join(F.broadcast(rules), ["type", "key"])
+    said = F.concat_ws(": ", "key", "value")
+    length = F.char_length("value")
+    shape = (F.col("pattern").isNotNull() & ~F.expr("coalesce(value rlike pattern, true)")) | (length < F.col("least")) | (length > F.col("most"))
+    twice = items.groupBy("slug").agg(F.count("*").alias("n")).where("n > 1")
+    unknown = stated.join(F.broadcast(rules.select("type", "key").distinct()), ["type", "key"], "left_anti").select("slug", "key").distinct()
+    return all_of(
+        finding(lacking, "E202", "error", F.lit(True), F.col("key")), finding(ruled, "E203", "error", F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.col("value")), said),
+        finding(ruled, "E204", "error", shape, said), finding(twice, "E206", "error", F.lit(True), F.col("n")), finding(unknown, "E207", "warning", F.lit(True), F.col("key")),
+    )
+
+
 def all_of(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("code", "severity", "slug", "message")
 

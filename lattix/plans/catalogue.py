@@ -1016,6 +1016,20 @@ def plain_listing(t: Tables) -> DataFrame:
     return exchange.listing(items, t.nation.where("n_nationkey < 20").select(F.col("n_nationkey").alias("slug"), F.col("n_name").alias("title")))
 
 
+@query("""WITH v AS (SELECT o_orderkey AS slug, o_orderstatus AS type, o_orderpriority AS priority, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS owner, CASE WHEN o_orderkey % 13 = 0 THEN 'x' END AS odd FROM orders)
+    SELECT 'E202' AS code, 'error' AS severity, CAST(slug AS VARCHAR) AS slug, 'owner' AS message FROM v WHERE owner IS NULL AND type <> 'P' UNION ALL SELECT 'E203', 'error', slug, 'priority: ' || priority FROM v WHERE type = 'F' AND priority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
+    UNION ALL SELECT 'E204', 'error', slug, 'owner: ' || owner FROM v WHERE type <> 'P' AND owner IS NOT NULL AND (NOT regexp_matches(owner, '^[1-9]') OR length(owner) > 3) UNION ALL SELECT 'E207', 'warning', slug, 'odd' FROM v WHERE odd IS NOT NULL
+    UNION ALL SELECT 'E207', 'warning', slug, 'owner' FROM v WHERE type = 'P' AND owner IS NOT NULL""")
+def schema_findings(t: Tables) -> DataFrame:
+    """Orders against rules for each status: who owns them, and which priorities done ones may have."""
+    slug = F.col("o_orderkey").cast("string").alias("slug")
+    items = t.orders.select(slug, F.col("o_orderstatus").alias("type"))
+    told = F.create_map(F.lit("priority"), F.col("o_orderpriority"), F.lit("owner"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey").cast("string")), F.lit("odd"), F.when(F.col("o_orderkey") % 13 == 0, "x"))
+    values = t.orders.select(slug, F.explode(told).alias("key", "value"))
+    rules = [(k, "priority", True, ["1-URGENT", "2-HIGH", "3-MEDIUM"] if k == "F" else None, None, None, None) for k in "FOP"] + [(k, "owner", True, None, "^[1-9]", 1, 3) for k in "FO"]
+    return lints.schema(items, values, t.spark.createDataFrame(rules, lints.RULES))
+
+
 @query("SELECT cluster, n_members, sha256(pack) AS lock FROM (SELECT p_brand AS cluster, CAST(count(*) AS BIGINT) AS n_members, string_agg('# ' || slug || chr(10) || p_name, chr(10) || chr(10) ORDER BY slug) AS pack FROM (SELECT *, 'part-' || p_partkey AS slug FROM part) GROUP BY 1)")
 def skill_packs(t: Tables) -> DataFrame:
     items = t.part.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("slug"), F.array("p_brand").alias("clusters"), F.col("p_name").alias("text"))
