@@ -1,6 +1,6 @@
 """Quality rules: repetition and length, and perplexity bands of a modified Kneser-Ney model.
 
-The model's units are the bytes of the UTF-8 text as they are, and its order is 6, so that six bytes are a 48-bit code
+The model's units are the bytes of the UTF-8 text as they are, and its order is 5, so that five bytes are a 40-bit code
 without collisions. Spark counts the n-grams of all documents by language, and works out discounts, context totals and
 probabilities as tables, order by order; what it gathers grows with the corpus. For scoring, each order's codes are kept as a
 sorted array with their log-probabilities beside them, looked up by binary search. Executors are sent so
@@ -22,12 +22,12 @@ from pyspark.sql.window import Window
 from lattix.llm import textscan
 from lattix.llm.scratch import drop_since, made, written
 
-ORDER = 6
+ORDER = 5
 BITS = 8
 #: A task hands its counts on when it holds so many n-grams.
 HELD = 2_000_000
 #: Rows of the model, of some 12 bytes, that executors are sent at once.
-PART_ROWS = 8_000_000
+PART_ROWS = 3_000_000
 #: Contexts of two bytes and more are dealt into so many cells, by which a model is cut into parts.
 CELLS = 1024
 MIN_WORDS = 10

@@ -64,7 +64,7 @@ def resolved(target: Column, url: Column) -> Column:
 
 
 def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(a, b) of pages and the canonical or refresh target that their html names; targets in &amp; form are read as &."""
+    """(a, b) of pages and the canonical or refresh target that their html names; targets in &amp; form are read as &. Of a page's canonical links and of its refreshes the first counts, as in browsers."""
     found = []
     # without what follows the last >, each tag that begins also ends, and no text is scanned twice
     ended = F.left(F.col(html_col), F.length(html_col) - F.length(F.substring_index(html_col, ">", -1)))

@@ -91,13 +91,13 @@ def test_common_counts_against_sets():
     assert ngram_join.common_counts(a, b).tolist() == [[len({*x} & {*y}) for y in sets[25:]] for x in sets[:40]]
 
 
-@pytest.mark.parametrize("size", [1, 2, 6, 12, 40, 90, 300])
-def test_pairs_at_the_threshold(spark, size):
+def test_pairs_at_the_threshold(spark):
     rows = []
-    for i in range(4):
-        a = [f"a{size}x{i}x{j}" for j in range(size + 4)]
-        cut = max(1, (size + 4) - (size + 4) // (12 if i % 2 else 30))
-        rows += [(10 * i, " ".join(a), "en", "a", 0, 1, 1, "x", 0.0), (10 * i + 1, " ".join(a[:cut]), "en", "a", 0, 1, 1, "x", 0.0)]
+    for n, size in enumerate([1, 2, 6, 12, 40, 90, 300]):
+        for i in range(4):
+            a = [f"a{size}x{i}x{j}" for j in range(size + 4)]
+            cut = max(1, (size + 4) - (size + 4) // (12 if i % 2 else 30))
+            rows += [(100 * n + 10 * i + k, " ".join(a[:m]), "en", "a", 0, 1, 1, "x", 0.0) for k, m in enumerate((len(a), cut))]
     got = ngram_join.similar_components(frame(spark, rows)).collect()
     assert Counter(tuple(x)[:3] for x in got) == brute_components(rows)
 
