@@ -171,3 +171,12 @@ def test_listing_escapes_what_could_open_a_link(spark):
     items = spark.createDataFrame([("a", "T [x](y) \\\\", None, "u:a", "k"), ("b", "B", "two\nlines", "u:b", None)], "slug string, title string, description string, iri string, cluster string")
     got = {(r.section, r.line) for r in exchange.listing(items, spark.createDataFrame([("k", "K\nk")], "slug string, title string")).collect()}
     assert got == {("K k", r"- [T \[x\]\(y) \\\\](u:a): T \[x\]\(y) \\\\"), ("Other", "- [B](u:b): two lines")}
+
+
+def test_schema_of_items(spark):
+    items = spark.createDataFrame([("a", "t"), ("b", "t"), ("b", "t"), ("c", "u"), ("d", None)], "slug string, type string")
+    values = spark.createDataFrame([("a", "k", "x"), ("a", "n", "12345"), ("b", "k", None), ("c", "k", "y"), ("a", "odd", "1"), ("a", "odd", "2")], "slug string, key string, value string")
+    rules = spark.createDataFrame([("t", "k", True, ["y"], None, None, None), ("t", "n", False, None, "^[0-9]+$", 1, 4), ("u", "k", True, ["y"], None, None, None)], lints.RULES)
+    got = {(r.code, r.slug, r.message) for r in lints.schema(items, values, rules).collect()}
+    assert got == {("E202", "b", "k"), ("E203", "a", "k: x"), ("E204", "a", "n: 12345"), ("E206", "b", "2"), ("E207", "a", "odd")}
+    assert lints.schema(items, values, rules.where("false")).where("code != 'E207'").count() == 1
