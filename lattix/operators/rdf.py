@@ -116,7 +116,7 @@ def rule_closure(triples: DataFrame, vocabulary: DataFrame) -> DataFrame:
         back = lambda df: df.select("p", "s", F.col("o").alias("mid"))
         out += [back(new).join(ahead(all_), ["p", "mid"]).select("s", "p", F.col("end").alias("o")), back(all_).join(ahead(new), ["p", "mid"]).select("s", "p", F.col("end").alias("o"))]
         fresh = cut(reduce(DataFrame.union, out).distinct().join(known, ["s", "p", "o"], "left_anti"))
-        known = cut(known.union(fresh))
+        known = known.union(fresh)  # of checkpoints, so what is known isn't written again
     return known
 
 
