@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lattix.llm import language_mix, line_dedup, ngram_join, perplexity_rules, pfair_mix, phrase_index, pii_boosting, subword_classifier, url_filter, warc
+from lattix.llm import language_mix, line_dedup, ngram_join, periodic_runs, perplexity_rules, pfair_mix, phrase_index, pii_boosting, prefix_trie, simhash_dedup, subword_classifier, url_filter, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -76,11 +76,60 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_boosting.digest(pii_boosting.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, conversations = prefix_trie.branched(table(spark, sf_dir, "conversations"), 100, F.expr("crc32(cast(conv_id AS string)) % 6"))
+    return prefix_trie.trie(turns, conversations)
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document, by the CRC of its id, repeats a stretch of its words up to its end; other texts, and those without a word or an id, stay."""
+    one = docs.select("doc_id", "text", F.expr("crc32(cast(doc_id AS string))").alias("h"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    one = one.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10))
+    one = one.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    one = one.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    turned = F.expr("array_join(concat(slice(w, 1, a), transform(sequence(0, n - a - 1), k -> w[a + k % p])), ' ')")
+    return one.select("doc_id", F.when(F.col("a").isNotNull(), turned).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_periods(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("shorter"), r.start.alias("start"), r.period.alias("period"))))
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best)).withColumn("longest", -F.col("best.shorter"))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","), r.period, F.lit("\n"))))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", F.col("longest").alias("length"), "best.period", F.expr("1000 * longest div best.period").alias("exponent_milli"),
+                        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash_dedup.near_components(table(spark, sf_dir, "documents"))
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+#: Prefixes as JSON text; a node's subtree are those of which it is a prefix. The CRC goes bit by bit.
+ORACLES["op11_prefix_trie"] = r"""
+WITH b AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT c, w, CAST(xor(list_reduce(list_concat([4294967295::BIGINT], [CAST(ord(x) AS BIGINT) FOR x IN string_split(CAST(c AS VARCHAR), '')]),
+       lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 6 AS INTEGER) AS h FROM b),
+built AS (SELECT h.c, CASE WHEN s.w IS NULL THEN h.w[h + 1:] ELSE list_concat(s.w[1:h], h.w[h + 1:]) END AS w FROM h LEFT JOIN b s ON s.c = h.c - h.c % 100),
+p AS (SELECT c, d, len(w) AS n, CAST(to_json(w[1:d]) AS VARCHAR) AS k, coalesce(length(w[d].t), 0) AS size FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM built)),
+node AS (SELECT d, k, min(c) AS c, count(*) AS n_convs, max(size) AS size, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM p GROUP BY d, k),
+above AS (SELECT x.d, x.k, q.d AS up_d, q.k AS up_k FROM node x JOIN p q ON q.c = x.c AND q.d = x.d - 1),
+kid AS (SELECT up_d AS d, up_k AS k, count(*) AS n FROM above GROUP BY ALL),
+own AS (SELECT node.*, coalesce(n, 0) AS n_children FROM node LEFT JOIN kid USING (d, k)),
+sub AS (SELECT q.d, q.k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * x.size) AS saved FROM own x JOIN p q ON q.c = x.c AND q.d <= x.d GROUP BY ALL)
+SELECT own.c AS conv_id, own.d AS depth, y.c AS parent_conv_id, own.n_convs, own.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, own.ends AS ends_sha256
+FROM own JOIN sub USING (d, k) LEFT JOIN above a ON a.d = own.d AND a.k = own.k LEFT JOIN node y ON y.d = a.up_d AND y.k = a.up_k
+"""
+
 #: Words, windows and their occurrences, compared as text.
 ORACLES["op9_decontamination"] = r"""
 WITH upper AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
