@@ -144,15 +144,33 @@ def violations(focus: DataFrame, values: DataFrame, component: str, argument: ob
     return found.select(F.lit(component).alias("component"), "focus", "value")
 
 
-ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
+#: Characters that literals escape by a letter, fixed by the format: tab, backspace, line feed, carriage return, form feed, quotes and backslash.
+LETTERS = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+#: Those that have to be escaped when written.
+WRITTEN = ["\\", '"', "\n", "\r"]
 
 
 def literal(value: Column) -> Column:
-    for a, b in ESCAPES:
-        value = F.replace(value, F.lit(a), F.lit(b))
+    """A literal as canonical N-Triples has it."""
+    letter = {c: k for k, c in LETTERS.items()}
+    for c in WRITTEN:
+        value = F.replace(value, F.lit(c), F.lit("\\" + letter[c]))
     return F.concat(F.lit('"'), value, F.lit('"'))
 
 
+def unescaped(value: Column) -> Column:
+    r"""A text with its escapes read, each once, from left to right: \ and a letter, \uXXXX and \UXXXXXXXX."""
+    whole = F.regexp_extract_all(value, F.lit(r"((?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+)"), F.lit(1))
+    letters = F.create_map(*(F.lit(x) for pair in LETTERS.items() for x in pair))
+
+    def read(part: Column) -> Column:
+        code = F.decode(F.unhex(F.lpad(F.substring(part, 3, 8), 8, "0")), "UTF-32")
+        kind = F.substring(part, 2, 1)
+        return F.when(~part.startswith("\\"), part).when(kind.isin("u", "U"), code).otherwise(F.coalesce(F.try_element_at(letters, kind), kind))
+
+    return F.when(F.contains(value, F.lit("\\")), F.array_join(F.transform(whole, read), "")).otherwise(value)
+
+
 def lines(triples: DataFrame, base: str, is_literal: Column) -> DataFrame:
     """(line) of each triple as N-Triples, once; terms are names under base, or literals."""
     iri = lambda c: F.concat(F.lit(f"<{base}"), F.col(c), F.lit(">"))
@@ -166,13 +184,10 @@ LINE = r'^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@
 def parse_lines(text: DataFrame, column: str = "value") -> DataFrame:
     """(s, p, o, kind, datatype, lang, g) of N-Triples and N-Quads lines; comments and what doesn't parse are left out."""
     part = lambda i: F.regexp_extract(column, LINE, i)
-    value = part(4)
-    for a, b in reversed(ESCAPES[1:]):
-        value = F.replace(value, F.lit(b), F.lit(a))
-    value = F.replace(value, F.lit("\\\\"), F.lit("\\"))
     is_iri = F.col(column).rlike(r"^<[^>]*> <[^>]*> <")
     empty = lambda c: F.when(c != "", c)
-    return text.where(F.col(column).rlike(LINE)).select(part(1).alias("s"), part(2).alias("p"), F.when(is_iri, part(3)).otherwise(value).alias("o"), F.when(is_iri, "iri").otherwise("literal").alias("kind"), empty(part(5)).alias("datatype"), empty(part(6)).alias("lang"), empty(part(7)).alias("g"))
+    kind = F.when(is_iri, "iri").otherwise("literal").alias("kind")
+    return text.where(F.col(column).rlike(LINE)).select(unescaped(part(1)).alias("s"), unescaped(part(2)).alias("p"), unescaped(F.when(is_iri, part(3)).otherwise(part(4))).alias("o"), kind, empty(unescaped(part(5))).alias("datatype"), empty(part(6)).alias("lang"), empty(unescaped(part(7))).alias("g"))
 
 
 def fragment(column: str) -> Column:

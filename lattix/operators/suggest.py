@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from lattix.functions import text
 from lattix.operators import links
 
+#: Longer titles are first looked for by so many of their tokens.
+ANCHOR = 4
+
 
 def by_sources(cites: DataFrame, least: int = 2) -> DataFrame:
     return links.sharing_pairs(cites, least).select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("sources").alias("reason"), F.col("n_shared").alias("score"))
 
 
-def by_title(items: DataFrame, longest: int = 6) -> DataFrame:
-    """Items whose text has another's title as consecutive tokens. Titles of up to longest tokens are found by an equality join on token runs of their length."""
-    title = F.array_join(text.tokens(F.col("title")), " ")
-    names = items.select(F.col("slug").alias("target"), title.alias("phrase"), F.size(text.tokens(F.col("title"))).alias("n")).where(F.col("n").between(1, longest))
-    runs = F.expr(f"flatten(transform(sequence(1, {longest}), n -> if(size(t) < n, cast(array() as array<string>), transform(sequence(1, size(t) - n + 1), i -> array_join(slice(t, i, n), ' ')))))")
-    said = items.select(F.col("slug").alias("source"), text.tokens(F.col("body")).alias("t")).select("source", F.explode(F.array_distinct(runs)).alias("phrase"))
-    return said.join(names, "phrase").where("source != target").select("source", "target", F.lit("title").alias("reason"), F.col("n").cast("long").alias("score"))
+def by_title(items: DataFrame) -> DataFrame:
+    """Items whose text has another's title as consecutive tokens, of any number.
+
+    Titles and texts meet on runs of tokens: all of a short title, the first ANCHOR of a longer one, which is then looked for as a whole
+    in the texts that have these. Titles without a token name nothing. items has (slug, title, body).
+    """
+    own = text.tokens(F.col("title"))
+    names = items.select(F.col("slug").alias("target"), F.array_join(F.slice(own, 1, ANCHOR), " ").alias("anchor"), F.array_join(own, " ").alias("phrase"), F.size(own).cast("long").alias("score")).where("score > 0")
+    runs = F.expr(f"flatten(transform(sequence(1, least({ANCHOR}, size(t))), n -> transform(sequence(1, size(t) - n + 1), i -> array_join(slice(t, i, n), ' '))))")
+    texts = items.select(F.col("slug").alias("source"), text.tokens(F.col("body")).alias("t")).where("size(t) > 0")
+    met = texts.select("source", F.explode(F.array_distinct(runs)).alias("anchor")).join(names, "anchor").where("source != target")
+    whole = texts.select("source", F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("said"))
+    long = met.where(F.col("score") > ANCHOR).join(whole, "source").where(F.contains("said", F.concat(F.lit(" "), "phrase", F.lit(" "))))
+    found = met.where(F.col("score") <= ANCHOR).select("source", "target", "score").union(long.select("source", "target", "score"))
+    return found.select("source", "target", F.lit("title").alias("reason"), "score")
 
 
 def by_mentions(mentions: DataFrame) -> DataFrame:

@@ -73,3 +73,15 @@ def test_metrics(spark):
     assert metrics.cliffs_delta(a, b, "v").first()[0] == round((-1 - 1 + 1 + 0 + 1 + 0) / 6, 4)
     low, high = metrics.bootstrap(spark.range(1000).selectExpr("id", "cast(id % 10 as double) v"), "id", "v").first()
     assert 4.1 < low < 4.5 < high < 4.9
+
+
+def test_escapes_are_read_once_and_in_order(spark):
+    """What lines() writes comes back as it was, for every kind of character; \\u and \\U are read; what looks like an escape after a backslash isn't one."""
+    texts = ["C:\\temp\\new", "\\\\n", 'say "x"\\', "tab\tline\nreturn\rfeed\x0cback\x08", "é😀\u2028 ", "\\u0041", "", "'"] + [chr(c) for c in (*range(1, 0x180), 0xD7FF, 0xE000, 0xFFFD, 0x10000, 0x10FFFF)]
+    df = spark.createDataFrame([(f"s{i}", "p", t) for i, t in enumerate(texts)], "s string, p string, o string")
+    back = rdf.parse_lines(rdf.lines(df, "urn:", F.lit(True)).withColumnRenamed("line", "value"))
+    assert {r.s: r.o for r in back.collect()} == {f"urn:s{i}": t for i, t in enumerate(texts)}
+    foreign = r"""<urn:\u00e9> <urn:p> "\u0041\U0001F600\\u0041\t\b\'\"\\t"@en-GB <urn:g\u0020x> .
+<urn:a> <urn:p> "1"^^<urn:int> ."""
+    got = rdf.parse_lines(spark.createDataFrame([(x,) for x in foreign.split("\n")], "value string")).collect()
+    assert [(r.s, r.o, r.lang, r.g, r.datatype) for r in sorted(got, key=lambda r: r.s == "urn:a")] == [("urn:é", "A😀\\u0041\t\b'\"\\t", "en-GB", "urn:g x", None), ("urn:a", "1", None, None, "urn:int")]
