@@ -20,9 +20,11 @@ from lattix.llm import textscan
 from lattix.llm.scratch import drop, written
 
 ORDERS = (2, 3, 4)
-#: N-grams are hashed to so many cells; with LANGUAGES it bounds the model: 100 MB at most.
+#: N-grams are hashed to so many cells. Beyond LANGUAGES the cells are folded together, to half as many for twice the languages, so that a model has 100 MB at most.
 CELLS = 1 << 17
 LANGUAGES = 200
+#: With fewer cells than this n-grams tell little: over 25,000 languages, more than there are, are taken for a mistaken column.
+LEAST_CELLS = 1 << 10
 ROUNDS = 12
 #: Added to each cell's count.
 SMOOTHING = 0.5
@@ -65,9 +67,24 @@ def ngram_cells(part: textscan.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarra
 @dataclass
 class Model:
     languages: list[str]
-    #: CELLS by languages: log-probability of a cell.
+    #: Cells by languages: log-probability of a cell. There are CELLS of them or a power of two less.
     weight: np.ndarray
 
+    @property
+    def slice_bytes(self) -> int:
+        """Texts that are judged together, fewer of them if there are many languages."""
+        return textscan.SLICE_BYTES * LANGUAGES // max(LANGUAGES, len(self.languages))
+
+
+def folded(languages: int) -> int:
+    """The number of cells for so many languages."""
+    cells = CELLS
+    while cells * languages > CELLS * LANGUAGES:
+        cells //= 2
+    if cells < LEAST_CELLS:
+        raise ValueError(f"{languages} different languages: is this column one of languages?")
+    return cells
+
 
 def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """N-gram counts of all texts by language, as smoothed log-probabilities. Null texts and languages are left out."""
@@ -92,13 +109,12 @@ def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang")
         yield from _counted(total)
 
     counts = written(docs.mapInArrow(scan, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")), "counts")
-    rows = counts.groupBy("lang").agg(F.sum("n")).orderBy("lang").limit(LANGUAGES + 1).collect()
-    if len(rows) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    languages = [r[0] for r in rows]
-    weight = np.full((CELLS, max(len(languages), 1)), SMOOTHING, np.float32)
+    cells = folded(counts.select("lang").distinct().count())
+    languages = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
+    weight = np.full((cells, max(len(languages), 1)), SMOOTHING, np.float32)
     place = {x: i for i, x in enumerate(languages)}
-    table = counts.toArrow()  # CELLS * LANGUAGES rows at most
+    small = counts if cells == CELLS else counts.groupBy("lang", F.col("cell").bitwiseAND(cells - 1).alias("cell")).agg(F.sum("n").alias("n"))
+    table = small.toArrow()  # CELLS * LANGUAGES rows at most
     drop(counts)
     of = np.array([place[x] for x in table.column(0).unique().to_pylist()], np.int64)
     if len(table):
@@ -120,6 +136,7 @@ def word_likelihoods(part: textscan.Slice, model: Model) -> tuple[np.ndarray, np
     doc, length, _, cells = ngram_cells(part)
     if not len(doc):
         return doc, np.zeros((0, len(model.languages)), np.float32)
+    cells &= len(model.weight) - 1
     total = model.weight[cells[:, 0]]
     for k in range(1, cells.shape[1]):
         total += model.weight[cells[:, k]]
@@ -195,7 +212,7 @@ def language_proportions(documents: DataFrame, model: Model, id_col: str = "doc_
 
     def scan(batches):
         for batch in batches:
-            for part in textscan.slices(batch.column(1)):
+            for part in textscan.slices(batch.column(1), model.slice_bytes):
                 name, score, shares = told(part, model)
                 ids = batch.column(0).slice(part.first, part.count)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(name), pa.array(score), pa.array(shares, pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "proportions"])
@@ -215,7 +232,7 @@ def accepted(documents: DataFrame, model: Model, text_col: str = "text", min_sha
     def scan(batches):
         for batch in batches:
             keep = [False] * batch.num_rows
-            for part in textscan.slices(batch.column(at)):
+            for part in textscan.slices(batch.column(at), model.slice_bytes):
                 name, score, _ = told(part, model)
                 keep[part.first : part.first + part.count] = [n != UNKNOWN and s >= min_share for n, s in zip(name, score, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -112,6 +113,70 @@ def test_language_mixtures(spark):
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {x[0] for x in rows} | {900, 905}
 
 
+def test_more_languages_than_the_old_bound(spark):
+    """450 languages of ten words each: cells fold to a quarter, all are told apart, and no document of two is taken for one."""
+    r = random.Random(21)
+    stock = {f"l{i:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(4, 9))) for _ in range(10)] for i in range(450)}
+    rows = [(k, " ".join(r.choice(w) for _ in range(30)), name) for k, (name, w) in enumerate(stock.items())]
+    model = language_mix.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert len(model.languages) == 450 and len(model.weight) == language_mix.CELLS // 4 and model.slice_bytes < language_mix.textscan.SLICE_BYTES
+    asked = [(k, " ".join(r.choice(w) for _ in range(20)), name) for k, (name, w) in enumerate(stock.items())] + [(1000, " ".join(stock["l003"] * 3 + stock["l400"] * 3), "")]
+    got = {x.doc_id: x for x in language_mix.language_proportions(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()}
+    assert sum(got[k].lang_pred == name for k, _, name in asked[:-1]) == 450
+    assert set(got[1000].proportions) == {"l003", "l400"}
+    with pytest.raises(ValueError, match="is this column"):
+        language_mix.folded(30_000)
+
+
+def brute_mixture(text, weight, names):
+    """Expectation-maximisation and BIC for one text, in plain Python."""
+    ngrams = lambda w, n: [(" " * n + w)[i + 1 : i + 1 + n] for i in range(len(w))]  # noqa: E731  the last n characters up to each
+
+    def cell(gram, n):
+        code = 0
+        for k, c in enumerate(reversed(gram)):
+            code |= ord(c) << 8 * k
+        return int(language_mix.textscan.mix(np.array([code + (n - 1 << 40)], np.uint64))[0]) % language_mix.CELLS
+
+    likely = []
+    for w in re.findall("[a-z\x80-\xff]+", text.encode().lower().decode("latin-1")):
+        logs = [sum(float(weight[cell(g, n)][j]) for n in language_mix.ORDERS for g in ngrams(w, n)) / len(language_mix.ORDERS) for j in range(len(names))]
+        likely.append([max(math.exp(x - max(logs)), 1e-30) for x in logs])
+
+    def fitted(share):
+        for _ in range(language_mix.ROUNDS):
+            total = [0.0] * len(names)
+            for row in likely:
+                joint = [s * x for s, x in zip(share, row, strict=True)]
+                for j, x in enumerate(joint):
+                    total[j] += x / sum(joint)
+            share = [x / len(likely) for x in total]
+        return share, sum(math.log(sum(s * x for s, x in zip(share, row, strict=True))) for row in likely)
+
+    full, _ = fitted([1 / len(names)] * len(names))
+    order = sorted(range(len(names)), key=lambda j: (-full[j], j))
+    best = [float(j == order[0]) for j in range(len(names))]
+    score = sum(math.log(row[order[0]]) for row in likely)
+    for k in range(2, len(names) + 1):
+        share, fit = fitted([1 / k if j in order[:k] else 0.0 for j in range(len(names))])
+        if fit - (k - 1) / 2 * math.log(len(likely)) <= score:
+            break
+        best, score = share, fit - (k - 1) / 2 * math.log(len(likely))
+    return dict(zip(names, best, strict=True))
+
+
+def test_mixture_is_that_of_plain_python(spark):
+    rows, en, de, r = two_languages()
+    third = ["zuq", "xaqu", "qozu", "quzax", "zazu"]
+    rows += [(900 + i, words(r, 20, third), "xx", *rows[0][3:]) for i in range(20)]
+    model = language_mix.train(frame(spark, rows))
+    texts = [words(r, n, en) + " " + words(r, m, de) + " " + words(r, k, third) for n, m, k in ((12, 0, 0), (9, 8, 0), (10, 10, 10), (2, 1, 0), (20, 3, 1), (1, 1, 1))]
+    got = language_mix.language_proportions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for x in got:
+        want = brute_mixture(texts[x.doc_id], model.weight, model.languages)
+        assert all(abs(want[name] - x.proportions.get(name, 0.0)) < 1e-4 for name in model.languages), (x, want)
+
+
 def test_languages_of_nothing(spark):
     none = language_mix.train(frame(spark, []))
     assert {x.lang_pred for x in language_mix.language_proportions(frame(spark), none).collect()} == {"und"}
