@@ -10,28 +10,53 @@ lines that met there has its characters left out, one by one.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.scratch import drop_since, made, written
+from lattix.llm.scratch import drop_since, made, numbered, written
 
-#: Shorter lines go if they are equal to an earlier one and have a word; one edit of them, a list's number say, is not taken for a repeat.
-MIN_CHARS = 25
+#: Of lines of so many characters or more one edit is at most a fifth, so they are similar by 0.8; shorter ones repeat only what they equal.
+MIN_CHARS = 5
 WORD = r"[^\x20\x09-\x0D]"
 PIECES = (2, 16)
-#: A place is doc_id * PLACE + line number.
-PLACE = 10**10
+#: A place is doc_id * TEXTS + number of the text * LINES + line number; texts without an id come after all others.
+TEXTS, LINES = 10**19, 10**10
+LAST = 93 * 10**36
 #: Up to so many lines are sent to every executor to fetch their text; beyond, they are joined by a shuffle.
 BROADCAST_LINES = 500_000
 
 
-def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_LINES else rows
+
+
+def _texts(rows: DataFrame) -> DataFrame | None:
+    """(doc_id, version, text_no) of texts that don't have their id to themselves, or have none; None if there aren't any. rows has one for each id and text."""
+    shared = written(rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("own")), "shared")
+    shared = written(rows.join(_small(shared), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi").select("doc_id", "version"), "shared")
+    if shared.isEmpty():
+        return None
+    lines, _ = numbered(shared.repartitionByRange("doc_id", "version").sortWithinPartitions("doc_id", "version"), "texts")
+    first = lines.groupBy(F.col("doc_id").alias("own")).agg(F.min("number").alias("first"))
+    return lines.join(first, F.col("doc_id").eqNullSafe(F.col("own"))).select("doc_id", "version", (F.col("number") - F.col("first")).alias("text_no"))
+
+
+def _lines(documents: DataFrame, min_chars: int, texts: DataFrame | None) -> DataFrame:
+    """(doc_id, version, line_no, line, h1, h2, place) of the lines that count."""
+    whole = lambda c: c.cast("decimal(38,0)")
+    start = F.col("doc_id").cast("decimal(19,0)") * F.lit(Decimal(TEXTS))
+    if texts is None:
+        documents = documents.withColumn("start", whole(start))
+    else:
+        texts = _small(texts.withColumnsRenamed({"doc_id": "own", "version": "own_version"}))
+        number = F.coalesce("text_no", F.lit(0)).cast("decimal(19,0)") * F.lit(Decimal(LINES))
+        joined = documents.join(texts, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("version") == F.col("own_version")), "left")
+        documents = joined.withColumn("start", whole(whole(F.coalesce(start, F.lit(Decimal(LAST)))) + whole(number)))
     split = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    return documents.select("doc_id", F.xxhash64("text").alias("version"), split).where((F.length("line") >= min_chars) | F.col("line").rlike(WORD)).select("doc_id", "version", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
-
-
-def _place() -> Column:
-    return (F.coalesce("doc_id", F.lit(0)).cast("decimal(38,0)") * F.lit(PLACE).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)")
+    lines = documents.select("doc_id", "version", "start", split).where((F.length("line") >= min_chars) | F.col("line").rlike(WORD))
+    return lines.select("doc_id", "version", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), whole(F.col("start") + F.col("line_no")).alias("place"))
 
 
 def _agreements(pieces: int) -> Column:
@@ -40,7 +65,11 @@ def _agreements(pieces: int) -> Column:
     m is the length of the shorter line of a pair. The pieces of m are cut at j * m / pieces; what precedes the
     piece is taken from the left end and what follows it from the right end, so that the piece may be one longer.
     """
-    of = lambda m, j: f"struct(xxhash64({m}, {j}, substring(line, 1, {j} * {m} div {pieces}), '|', right(line, int({m} - ({j} + 1) * {m} div {pieces}))) as sig, int({m}) as m, {j} as piece)".replace(", right(line, int(", ", substring(line, int(chars + 1 - (").replace("))) as sig", ")), 1000000000)) as sig")
+
+    def of(m: str, j: int) -> str:
+        before, after = f"{j} * {m} div {pieces}", f"({m} - ({j} + 1) * {m} div {pieces})"
+        return f"struct(xxhash64({m}, {j}, substring(line, 1, {before}), '|', substring(line, int(chars + 1 - {after}), chars)) as sig, int({m}) as m, {j} as piece)"
+
     return F.explode(F.expr("array(" + ", ".join(of(m, j) for m in ("chars", "(chars - 1)") for j in range(pieces)) + ")"))
 
 
@@ -83,39 +112,58 @@ def _near(found: DataFrame, lines: DataFrame) -> DataFrame:
     return pairs.join(a, "place").join(b, "witness").where(F.levenshtein("line", "earlier", 1).between(0, 1)).select("h1", "h2").distinct()
 
 
-def repeated_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, version, line_no) of every line to go; version is a hash of the row's text."""
-    lines = _lines(documents, min_chars)
-    found = written(lines.withColumn("place", _place()).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n")), "lines")
+def repeated_lines(documents: DataFrame, min_chars: int = MIN_CHARS, texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, version, line_no) of every line to go. documents has (doc_id, version, text), version being a hash of the text, texts what _texts() gives."""
+    lines = _lines(documents, min_chars, texts)
+    found = written(lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n")), "lines")
     near = written(_near(found, lines.where(F.length("line") >= min_chars)), "near").withColumn("near", F.lit(True))
-    fate = found.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "place", "near")
-    gone = lines.drop("line").join(fate, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (_place() > F.col("place")))
+    fate = found.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", F.col("place").alias("first"), "near")
+    gone = lines.drop("line").join(fate, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (F.col("place") > F.col("first")))
     return gone.select("doc_id", "version", "line_no")
 
 
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines of these numbers."""
+    split = F.split(text, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
+    return F.get(F.transform(F.array(split), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")), F.lit(0))
+
+
 def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with text_col less its repeated lines, and n_lines and n_removed, which replace columns of these names; other columns stay.
 
     A line with a word goes if an earlier line, by document id and line number, of any document is equal to it. A line of min_chars
-    characters or more goes also without a word, and if an earlier line is within one edit of it, be that one kept or not. So the earliest of each group
+    characters or more goes also without a word, and if an earlier line of as many is within one edit of it, be that one kept or not. So the earliest of each group
     stays. The bound of one edit is the neighbourhood's and no parameter. Lines end at a line feed. Null text stays null with no lines; an empty text has one empty line.
-    Rows with one id and one text have the same places, so neither repeats the other; ids are numbers, a null id comes as 0.
+    Documents with one id come in the order of a hash of their texts, those without an id after all others in the same order. Of rows that repeat id and text
+    any one is the first. Ids are numbers.
     """
-    own = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    first = made()
-    gone = written(repeated_lines(own, min_chars), "gone")
-    drop_since(documents.sparkSession, first, gone)
-    gone = gone.groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("gone").alias("__gone"))
     text = F.col(f"`{text_col}`").cast("string")
-    match = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__version"))
-    split = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "__gone")
-    kept = F.get(F.transform(F.array(split), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")), F.lit(0))
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    new = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(kept).alias(text_col)
-    return documents.join(gone, match, "left").select(
+    keyed = documents.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{id_col}`").cast("long").alias("__id"), F.xxhash64(text).alias("__version"))
+    spark, start = documents.sparkSession, made()
+    rows = written(keyed.where(text.isNotNull()).groupBy(F.col("__id").alias("doc_id"), F.col("__version").alias("version")).count(), "rows")
+    again, parts, kept = rows.where("count > 1").select("doc_id", "version"), [keyed], []
+    if not again.isEmpty():  # one row of each goes on as any other
+        few = written(again.select(F.col("doc_id").alias("__few_id"), F.col("version").alias("__few_version")), "again")
+        same = F.col("__id").eqNullSafe(F.col("__few_id")) & (F.col("__version") == F.col("__few_version"))
+        copies = written(keyed.join(_small(few), same, "left_semi").withColumn("__row", F.monotonically_increasing_id()), "copies")
+        first = written(copies.groupBy("__id", "__version").agg(F.min("__row").alias("__row")).select("__row"), "firsts")
+        parts = [keyed.join(_small(few), same, "left_anti"), copies.join(_small(first), "__row", "left_semi").drop("__row")]
+        kept = [few, copies, first]
+    main = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    own = main.select(F.col("__id").alias("doc_id"), F.col("__version").alias("version"), text.alias("text"))
+    gone = written(repeated_lines(own, min_chars, _texts(rows)), "gone")
+    drop_since(spark, start, gone, *kept)
+    gone = gone.groupBy(F.col("doc_id").alias("__of"), F.col("version").alias("__of_version")).agg(F.collect_set("line_no").alias("__gone"))
+    out = main.join(gone, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__version") == F.col("__of_version")), "left").select(*[F.col(f"`{c}`") for c in names], "__gone")
+    if kept:  # all lines that count of a row's copies stand earlier
+        counts = lambda lines: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (F.length(F.get(lines, i)) >= min_chars) | F.get(lines, i).rlike(WORD))
+        every = F.get(F.transform(F.array(F.split(text, "\n")), counts), F.lit(0))
+        out = out.unionByName(copies.join(_small(first), "__row", "left_anti").select(*[F.col(f"`{c}`") for c in names], every.alias("__gone")))
+    new = F.when(F.coalesce(F.size("__gone"), F.lit(0)) <= 0, F.col(f"`{text_col}`")).otherwise(_without(text, F.col("__gone"))).alias(text_col)
+    return out.select(
         *[new if c == text_col else F.col(f"`{c}`") for c in names],
-        F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"),
         F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.scratch import drop_since, made, written
+from lattix.llm.scratch import drop_since, made, numbered, written
 
 #: Up to so many rows are sent to every executor.
 BROADCAST_ROWS = 200_000
@@ -32,18 +32,6 @@ def small(rows: DataFrame, count: int) -> DataFrame:
     return F.broadcast(rows) if count <= BROADCAST_ROWS else rows
 
 
-def numbered(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """The rows, written, with number: 0, 1, 2 and so on, by partition and in the order within it; and how many they are."""
-    kept = written(rows.withColumn("__id", F.monotonically_increasing_id()), name)
-    part = F.shiftright("__id", 33)
-    sizes = sorted(kept.groupBy(part.alias("part")).count().collect())  # a row for each partition
-    first, total = {}, 0
-    for p, count in sizes:
-        first[p], total = total, total + count
-    at = F.element_at(F.create_map(*(F.lit(x) for pair in first.items() for x in pair)), part) if first else F.lit(0)
-    return kept.withColumn("number", (at + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__id"), total
-
-
 def ordered(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, pos, role, text): the turns of each conversation from 0 on, in the order of turn, null first, ties by role and text.
 

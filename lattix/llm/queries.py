@@ -193,14 +193,14 @@ SELECT page_id, host, path, rule, coalesce(action, CASE WHEN node IN (SELECT v F
 FROM u JOIN ruled ON k = u.url LEFT JOIN node ON node.url = u.url
 """
 
-#: Lines with a word go if equal; lines of 25 characters or more also within one edit, and then agree on their first or their last 12 characters.
+#: Lines with a word go if equal; lines of 5 characters or more also within one edit, and then agree on the first or the last half of the shorter one.
 ORACLES["op5_line_dedup"] = r"""
 WITH own AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 l AS (SELECT r, doc_id, i - 1 AS line_no, lines[i] AS line FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM own)),
-d AS (SELECT line, min(CAST(doc_id AS HUGEINT) * 10000000000 + line_no) AS place FROM l WHERE length(line) >= 25 OR regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
-e AS (SELECT * FROM d WHERE length(line) >= 25),
-pairs AS (SELECT a.line AS a, b.line AS b, b.place FROM e a JOIN e b ON left(a.line, 12) = left(b.line, 12) AND abs(length(a.line) - length(b.line)) <= 1 AND a.line <> b.line
-  UNION SELECT a.line, b.line, b.place FROM e a JOIN e b ON right(a.line, 12) = right(b.line, 12) AND abs(length(a.line) - length(b.line)) <= 1 AND a.line <> b.line),
+d AS (SELECT line, min(CAST(doc_id AS HUGEINT) * 10000000000 + line_no) AS place FROM l WHERE length(line) >= 5 OR regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
+e AS (SELECT line, place, unnest([length(line), length(line) - 1]) AS m FROM d WHERE length(line) >= 5),
+pairs AS (SELECT a.line AS a, b.line AS b, b.place FROM e a JOIN e b ON a.m = b.m AND left(a.line, a.m // 2) = left(b.line, b.m // 2) AND greatest(length(a.line), length(b.line)) - a.m <= 1 AND a.line <> b.line
+  UNION SELECT a.line, b.line, b.place FROM e a JOIN e b ON a.m = b.m AND right(a.line, a.m // 2) = right(b.line, b.m // 2) AND a.line <> b.line),
 near AS (SELECT a AS line, min(place) AS place FROM pairs WHERE CASE length(a) - length(b)
     WHEN 0 THEN list_contains([left(a, i - 1) = left(b, i - 1) AND substr(a, i + 1) = substr(b, i + 1) FOR i IN range(1, length(a) + 1)], true)
     WHEN 1 THEN list_contains([left(a, i - 1) || substr(a, i + 1) FOR i IN range(1, length(a) + 1)], b)

@@ -196,7 +196,8 @@ def within_one(a, b):
 def test_line_dedup_against_brute_force(spark):
     r = random.Random(4)
     lines = [words(r, r.randint(4, 9)) for _ in range(25)]
-    lines += [x[:k] + "Z" + x[k + 1 :] for x in lines[:8] for k in (0, len(x) // 2, len(x) - 1)] + [x[:5] + x[6:] for x in lines[8:12]] + [x + "!" for x in lines[12:16]] + ["short", "", "😀" + lines[0], lines[1][1:]]
+    lines += [x[:k] + "Z" + x[k + 1 :] for x in lines[:8] for k in (0, len(x) // 2, len(x) - 1)] + [x[:5] + x[6:] for x in lines[8:12]] + [x + "!" for x in lines[12:16]] + ["short", "shirt", "shorts", "four", "fore", "12345", "1234", "123456", "-----", "------", " " * 6, "", "😀" + lines[0], lines[1][1:]]
+    r.shuffle(lines)
     rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randint(1, 6))), "en", "a", 0, 1, 1, "x", 0.0) for i in range(60)]
     rows += [(70, None, *rows[0][2:]), (71, "", *rows[0][2:])]
     seen, want = [], {}
@@ -232,4 +233,20 @@ def test_line_dedup_of_repeated_rows_many_lines_and_clashing_names(spark):
     df = spark.createDataFrame([(i, t, 5, 6, 7) for i, t in rows], "doc_id long, text string, n_lines int, n_removed int, `a.b` int")
     got = line_dedup.dedup_lines(df)
     assert got.columns == ["doc_id", "text", "a.b", "n_lines", "n_removed"]
-    assert Counter((x.doc_id, x.text, x.n_lines, x.n_removed) for x in got.collect()) == Counter([(1, rows[0][1], 2, 0)] * 2 + [(2, "end", 20_001, 20_000), (None, None, 0, 0), (3, "", 1, 0)])
+    assert Counter((x.doc_id, x.text, x.n_lines, x.n_removed) for x in got.collect()) == Counter([(1, rows[0][1], 2, 0), (1, "", 2, 2), (2, "end", 20_001, 20_000), (None, None, 0, 0), (3, "", 1, 0)])
+
+
+def test_line_dedup_without_ids_and_with_one_id(spark):
+    """Repeats go wherever they stand: of rows without an id, of rows with one id and other texts, of rows that repeat id and text."""
+    a, b = "a line that is long enough to be here", "a line that is long enough to be hers"
+    docs = [(None, a), (None, a), (None, b), (7, "under\nseven " + a), (7, "under\nseven " + b), (8, "once"), (8, "once"), (8, "once"), (9, "only here\n\n"), (9, "only here\n\n"), (None, None), (None, None), (None, ""), (None, "")]
+    got = line_dedup.dedup_lines(spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(docs)], "doc_id long, text string, k long").repartition(3)).collect()
+    assert sorted(x.k for x in got) == list(range(len(docs)))
+    left = Counter((x.doc_id, x.text) for x in got)
+    assert sum(n for (_, t), n in left.items() if t in (a, b)) == 1  # of the three rows without an id one line stays
+    assert left[8, "once"] == 1 and left[8, ""] == 2 and left[9, "only here\n\n"] == 1 and left[9, "\n"] == 1
+    seven = [t for (i, t), n in left.items() if i == 7 for _ in range(n)]
+    assert sorted(len(t) for t in seven) == [0, len("under\nseven " + a)]
+    assert left[None, None] == 2 and left[None, ""] >= 2
+    removed = {x.k: x.n_removed for x in got}
+    assert removed[3] + removed[4] == 2 and removed[10] == removed[12] == removed[13] == 0
