@@ -48,6 +48,23 @@ def test_rows_without_an_id_and_with_one_id(spark):
     assert ngram_join.similar_sets(docs.where("doc_id is null")).links.count() == 1
 
 
+def test_contaminated_rows_go_by_their_own_text(spark, tmp_path):
+    """Without an id as with one, and no other row of the same id with them."""
+    r = random.Random(3)
+    item, clean, more = words(r, 14), "nothing of it is in here", "quite another text that is clean as well"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "so " + item), (5, item + " then"), (5, clean), (6, more), (None, more), (5, clean), (7, None), (None, ""), (5, item + " then")]
+    docs = frame(spark, [(i, text, "en", "a", 0, 1, 1, "x", 0.0) for i, text in rows]).drop("key", "n", "segment", "score")
+    got = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    assert Counter((x.doc_id, x.text) for x in got.collect()) == Counter(x for x in rows if item not in (x[1] or ""))
+
+
+def test_keys_that_meet_are_noticed(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "__key long, text string")
+    assert not corpus_pipeline._clash(rows) and corpus_pipeline._clash(rows.union(spark.createDataFrame([(2, "c")], rows.schema)))
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     frame(spark, []).drop("key", "n", "segment", "score").write.parquet(f"{tmp_path}/documents.parquet")
