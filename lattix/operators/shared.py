@@ -1,10 +1,12 @@
-"""Cutting the lineage of loops by reliable checkpoints in the folder that the cluster shares."""
+"""Cutting the lineage of loops by reliable checkpoints in the folder that the cluster shares, and numbers along a whole order."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +18,24 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='lattix-')}")
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, *order: str, running: str | None = None) -> DataFrame:
+    """The rows with number, 0, 1, 2 and so on in the order of the columns named, and running, the sum of a column up to and with each row, if one is named.
+
+    Rows are dealt by ranges of the order; what comes before a range is added from a count, and a sum, for each partition.
+    """
+    kept = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    amount = F.coalesce(F.sum(running), F.lit(0)).cast("long") if running else F.lit(0).cast("long")
+    sizes = sorted(tuple(r) for r in kept.groupBy(part.alias("part")).agg(F.count("*").alias("n"), amount.alias("amount")).collect())  # a row for each partition
+    first, counted, summed = [], 0, 0
+    for p, n, a in sizes:
+        first.append((p, counted, summed))
+        counted, summed = counted + n, summed + a
+    table = F.broadcast(df.sparkSession.createDataFrame(first, "__part long, __first long, __sum long"))
+    own = kept.withColumn("__part", part).join(table, "__part")
+    out = own.withColumn("number", F.col("__first") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    if running:
+        out = out.withColumn("running", F.col("__sum") + F.sum(running).over(Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0)))
+    return out.drop("__id", "__part", "__first", "__sum")
