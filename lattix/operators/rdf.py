@@ -178,16 +178,23 @@ def lines(triples: DataFrame, base: str, is_literal: Column) -> DataFrame:
     return triples.select(text.alias("line")).distinct()
 
 
-LINE = r'^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)(?: <([^>]*)>)? \.$'
+NODE = r"(?:<([^>]*)>|(_:[^\s<>\"]+))"
+LINE = rf'^\s*{NODE}\s*<([^>]*)>\s*(?:{NODE}|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*(?:{NODE})?\s*\.\s*(?:#.*)?$'
 
 
 def parse_lines(text: DataFrame, column: str = "value") -> DataFrame:
-    """(s, p, o, kind, datatype, lang, g) of N-Triples and N-Quads lines; comments and what doesn't parse are left out."""
+    """(s, p, o, kind, datatype, lang, g) of N-Triples and N-Quads lines; comments and what doesn't parse are left out.
+
+    kind is iri, blank or literal; blank nodes keep their label with its _: and are told apart by it alone.
+    """
     part = lambda i: F.regexp_extract(column, LINE, i)
-    is_iri = F.col(column).rlike(r"^<[^>]*> <[^>]*> <")
+    node = lambda i: F.when(part(i + 1) != "", part(i + 1)).otherwise(unescaped(part(i)))
     empty = lambda c: F.when(c != "", c)
-    kind = F.when(is_iri, "iri").otherwise("literal").alias("kind")
-    return text.where(F.col(column).rlike(LINE)).select(unescaped(part(1)).alias("s"), unescaped(part(2)).alias("p"), unescaped(F.when(is_iri, part(3)).otherwise(part(4))).alias("o"), kind, empty(unescaped(part(5))).alias("datatype"), empty(part(6)).alias("lang"), empty(unescaped(part(7))).alias("g"))
+    # after the predicate comes a quote if the object is a literal
+    literal_ = F.col(column).rlike(rf'^\s*{NODE}\s*<[^>]*>\s*"')
+    kind = F.when(literal_, "literal").when(part(5) != "", "blank").otherwise("iri").alias("kind")
+    o = F.when(literal_, unescaped(part(6))).otherwise(node(4))
+    return text.where(F.col(column).rlike(LINE)).select(node(1).alias("s"), unescaped(part(3)).alias("p"), o.alias("o"), kind, empty(unescaped(part(7))).alias("datatype"), empty(part(8)).alias("lang"), empty(node(9)).alias("g"))
 
 
 def fragment(column: str) -> Column:
