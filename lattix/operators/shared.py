@@ -3,23 +3,51 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint, which survives lost executors; a folder of one's own is set only where none is."""
-    context = df.sparkSession.sparkContext
+def _folder(context) -> str:
+    """The session's checkpoint folder; one of its own is set only where none is."""
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='lattix-')}")
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint, which survives lost executors; a folder of one's own is set only where none is."""
+    _folder(df.sparkSession.sparkContext)
     return df.checkpoint()
 
 
+class Scratch:
+    """Written tables of one operation. Unlike a checkpoint, which hands on an estimate that joins square in each round, a table is read with its true size, so small ones are broadcast."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """The same rows, read back from a table in the folder that the cluster shares."""
+        path = f"{_folder(self.spark.sparkContext)}/tables/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """df as the last table; all others go."""
+        kept, paths = self.cut(df), self.paths[:-1]
+        for path in (self.spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths):
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
+        return kept
+
+
 def numbered(df: DataFrame, *order: str, running: str | None = None) -> DataFrame:
     """The rows with number, 0, 1, 2 and so on in the order of the columns named, and running, the sum of a column up to and with each row, if one is named.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattix.functions import metrics, scalars, text
-from lattix.operators import compose, graph, item_quads, ledger, links, lints, rdf, suggest
+from lattix.operators import compose, graph, item_quads, ledger, links, lints, order, rdf, shapes, suggest
 from lattix.plans.views import Tables, with_views
 from lattix.sources import exchange
 
@@ -1073,3 +1073,91 @@ def thesaurus_import(t: Tables) -> DataFrame:
     labels = t.v_triples.where("p = 'label'")
     part = lambda p, o: labels.select("s", F.lit(p).alias("p"), o.alias("o"))
     return exchange.thesaurus(part("rdf:type", F.lit("skos:Concept")).union(part("skos:prefLabel", F.col("o"))).union(part("skos:broader", F.lit("region-0")).where("s like 'nation-1%'")))
+
+
+# orders, cycles, hierarchies, readings and shapes
+
+#: Orders wait for their customer's one before; of every fifth customer the first waits for the last, which closes a ring.
+RINGS = """o AS (SELECT o_orderkey AS k, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+    m AS (SELECT *, max(k) OVER (PARTITION BY c ORDER BY i) AS top, min(k) OVER (PARTITION BY c) AS least, c % 5 = 0 AND n > 1 AS ring FROM o), l AS (SELECT c, i AS low FROM m WHERE k = least)"""
+
+
+def _rings(t: Tables) -> DataFrame:
+    own = t.orders.where("o_custkey % 5 = 0").groupBy("o_custkey").agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("a"), F.max(F.struct("o_orderdate", "o_orderkey")).alias("b"))
+    return t.v_blocked.union(own.select(F.col("a.o_orderkey").alias("source"), F.col("b.o_orderkey").alias("target")).where("source != target"))
+
+
+@query(f"WITH {RINGS} SELECT k AS node, CAST(row_number() OVER (ORDER BY ring, CASE WHEN ring THEN least ELSE top END, CASE WHEN ring THEN (i - low + n) % n ELSE i END) - 1 AS BIGINT) AS place FROM m JOIN l USING (c)")
+def dependency_places(t: Tables) -> DataFrame:
+    """A place for every order, rings included: the least that waits for nothing left, or else the least that is left."""
+    return order.dependency_order(_rings(t), t.orders.select(F.col("o_orderkey").alias("node")))
+
+
+@query(f"WITH {RINGS} SELECT least AS component, CAST(n AS INTEGER) AS length, string_agg(CAST(k AS VARCHAR), '>' ORDER BY (low - i + n) % n) || '>' || least AS path FROM m JOIN l USING (c) WHERE ring GROUP BY least, n")
+def named_cycles(t: Tables) -> DataFrame:
+    return order.named_cycles(_rings(t)).select("component", "length", F.array_join("path", ">").alias("path"))
+
+
+@query(f"WITH {RINGS}, e AS (SELECT a.k AS source, b.k AS target, a.ring, max(a.k) OVER (PARTITION BY a.c) AS last FROM m a JOIN m b ON a.c = b.c AND (b.i = a.i - 1 OR a.ring AND a.i = 1 AND b.i = b.n)) SELECT source, target, NOT (ring AND source = last) AS accepted FROM e")
+def hierarchy_accepted(t: Tables) -> DataFrame:
+    """Orders under the ones they wait for, taken in order unless one closes a ring."""
+    return order.acyclic_hierarchy(_rings(t), "source", "target")
+
+
+@query("""WITH RECURSIVE e AS (SELECT source, 'requires' AS key, target FROM v_requires UNION ALL SELECT source, 'supersedes', target FROM v_supersedes),
+    r AS (SELECT source, key, target, [source, target] AS path FROM e UNION ALL SELECT r.source, r.key, e.target, list_append(r.path, e.target) FROM r JOIN e ON e.source = r.target AND e.key = r.key),
+    m AS (SELECT p_partkey AS k FROM part WHERE p_size % 2 = 0), w AS (SELECT source, key, target, len(path) - 1 AS depth, path FROM r WHERE len(path) > 2 AND source IN (SELECT k FROM m) AND target IN (SELECT k FROM m)),
+    s AS (SELECT *, sum(depth) OVER (ORDER BY source, key, target) AS steps, row_number() OVER (ORDER BY source, key, target) - 1 AS number, count(*) OVER () AS total FROM w)
+    SELECT CAST(number AS BIGINT) AS number, source, key, target, CAST(depth AS INTEGER) AS depth, array_to_string(path, '>') AS path, CAST(total AS BIGINT) AS total FROM s WHERE steps <= 5000""")
+def readings_bounded(t: Tables) -> DataFrame:
+    """What chains say of parts of even size, as far as 5,000 steps go."""
+    edges = t.v_requires.select("source", F.lit("requires").alias("key"), "target").union(t.v_supersedes.select("source", F.lit("supersedes").alias("key"), "target"))
+    return order.chain_readings(edges, t.part.where("p_size % 2 = 0").select(F.col("p_partkey").alias("node")), 5000).withColumn("path", F.array_join("path", ">"))
+
+
+SHAPES = """Customer targetClass Customer
+Customer property Segment
+Customer property InNation
+Customer property Region
+Segment path segment
+Segment minCount 1
+Segment in AUTOMOBILE
+Segment in BUILDING
+Segment in FURNITURE
+Segment in MACHINERY
+Segment minLength 9
+Segment pattern ^[A-M]
+Segment datatype str
+InNation path inNation
+InNation class Nation
+InNation node Named
+InNation severity Warning
+Named property Label
+Label path label
+Label maxLength 8
+Region path inNation inRegion
+Region hasValue region-1
+NationsOf targetObjectsOf inRegion
+NationsOf path ^inRegion
+NationsOf minCount 6
+RegionOf targetSubjectsOf inRegion
+RegionOf path inRegion
+RegionOf nodeKind Literal
+One targetNode customer-1
+One path segment
+One maxCount 0"""
+
+
+@query("""WITH n AS (SELECT * FROM v_triples WHERE p = 'inNation'), g AS (SELECT * FROM v_triples WHERE p = 'segment'), r AS (SELECT * FROM v_triples WHERE p = 'inRegion')
+    SELECT s AS focus, 'Segment' AS shape, 'segment' AS path, 'in' AS component, o AS value, 'Violation' AS severity FROM g WHERE o NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY')
+    UNION ALL SELECT s, 'Segment', 'segment', 'minLength', o, 'Violation' FROM g WHERE length(o) < 9 UNION ALL SELECT s, 'Segment', 'segment', 'pattern', o, 'Violation' FROM g WHERE NOT regexp_matches(o, '^[A-M]')
+    UNION ALL SELECT n.s, 'InNation', 'inNation', 'node', n.o, 'Warning' FROM n JOIN v_triples l ON l.s = n.o AND l.p = 'label' AND length(l.o) > 8
+    UNION ALL SELECT n.s, 'Region', 'inNation inRegion', 'hasValue', NULL, 'Violation' FROM n JOIN r ON r.s = n.o WHERE r.o <> 'region-1'
+    UNION ALL SELECT o, 'NationsOf', '^inRegion', 'minCount', NULL, 'Violation' FROM r GROUP BY o HAVING count(*) < 6 UNION ALL SELECT s, 'RegionOf', 'inRegion', 'nodeKind', o, 'Violation' FROM r
+    UNION ALL SELECT s, 'One', 'segment', 'maxCount', NULL, 'Violation' FROM g WHERE s = 'customer-1'""")
+def shapes_report(t: Tables) -> DataFrame:
+    """Customers, nations and regions against shapes of all kinds."""
+    literal = F.col("p").isin("label", "segment")
+    data = t.v_triples.select("s", "p", "o", F.when(literal, "literal").otherwise("iri").alias("kind"), F.when(literal, "str").alias("datatype"))
+    table = t.spark.createDataFrame([tuple(x.split(" ", 2)) for x in SHAPES.split("\n")], "shape string, parameter string, value string")
+    return shapes.report(table, data)

@@ -180,3 +180,10 @@ def test_schema_of_items(spark):
     got = {(r.code, r.slug, r.message) for r in lints.schema(items, values, rules).collect()}
     assert got == {("E202", "b", "k"), ("E203", "a", "k: x"), ("E204", "a", "n: 12345"), ("E206", "b", "2"), ("E207", "a", "odd")}
     assert lints.schema(items, values, rules.where("false")).where("code != 'E207'").count() == 1
+
+
+def test_titles_of_any_length_are_found(spark):
+    """A title of nine tokens, one that only begins like it, one of a single token, and one without any."""
+    long = "the long history of salt and pepper in trade"
+    items = spark.createDataFrame([("a", long, "x"), ("b", "other", f"read {long}, then rest"), ("c", "salt", "the long history of salt and sugar"), ("d", "!", None), ("e", None, "")], "slug string, title string, body string")
+    assert {(r.source, r.target, r.score) for r in suggest.by_title(items).collect()} == {("b", "a", 9), ("b", "c", 1)}
