@@ -45,6 +45,10 @@ WIDE = {
 #: Digits of a number that is proposed, at least and at most.
 DIGITS = (7, 19)
 BEFORE, AFTER = 40, 12
+#: Characters that no pattern takes, strict or wide; pieces of a text end at one.
+BETWEEN = r"[\n,;<>|{}?]"
+#: Characters of a piece, at least.
+PIECE = 4000
 CUES = {
     "cue_phone": "phone|tel|call|mobil|fax|dial|whatsapp|sms",
     "cue_email": "mail|contact|write|reach",
@@ -83,8 +87,21 @@ def spans_sql(text: str, pattern: str, kind: str, valid: str, guard: str = "true
     return f"if({guard}, aggregate({pieces}, named_struct('at', 0, 'odd', false, 'out', {none}), (a, p) -> named_struct('at', a.at + length(p), 'odd', not a.odd, 'out', {grown}), a -> a.out), {none})"
 
 
-def with_base(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds __text, the text with null as empty and the mark character replaced by another, and __base, the strict spans."""
+def with_blocks(df: DataFrame, text_col: str, chars: int) -> DataFrame:
+    """Adds __blocks, the text in pieces (at, size, pre, text) that begin at at with size characters; text has pre more before these, and some after.
+
+    A piece ends at the first character after chars ones that no span of any kind can have, so spans lie in one piece each, and what is done for a piece costs the same in a text of any
+    length. The characters around it are those that features look at. Null counts as empty, and the mark character is replaced by another.
+    """
+    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\u0001", "\u0002")
+    df = df.withColumn("__parts", F.regexp_extract_all(text, F.lit(f"(?s).{{{chars},}}?{BETWEEN}|.+"), F.lit(0)))
+    df = df.withColumn("__starts", F.expr("aggregate(__parts, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, p) -> named_struct('at', a.at + length(p), 'out', array_append(a.out, a.at)), a -> a.out)"))
+    before, after = f"if(i = 0, '', right(__parts[i - 1], {BEFORE}))", f"if(i + 1 < size(__parts), left(__parts[i + 1], {AFTER}), '')"
+    return df.withColumn("__blocks", F.expr(f"transform(__parts, (p, i) -> named_struct('at', __starts[i], 'size', length(p), 'pre', length({before}), 'text', concat({before}, p, {after})))"))
+
+
+def base_sql(text: str) -> str:
+    """SQL for the strict spans, in order."""
     n = f"length({_digits('p')})"
     valid = {
         "email": "true",
@@ -92,17 +109,15 @@ def with_base(df: DataFrame, text_col: str) -> DataFrame:
         "card": f"{n} between 12 and 19 and {luhn(_digits('p'))}",
         "phone": f"{n} between 9 and 15",
     }
-    guard = {"email": "instr(__text, '@') > 0", "ip": "true", "card": "true", "phone": "instr(__text, '+') > 0"}
-    found = ", ".join(spans_sql("__text", STRICT[k], str(i), valid[k], guard[k]) for i, k in enumerate(BASE))
-    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\u0001", "\u0002")
-    return df.withColumn("__text", text).withColumn("__base", F.expr(f"array_sort(concat({found}))"))
+    guard = {"email": f"instr({text}, '@') > 0", "ip": "true", "card": "true", "phone": f"instr({text}, '+') > 0"}
+    return f"array_sort(concat({', '.join(spans_sql(text, STRICT[k], str(i), valid[k], guard[k]) for i, k in enumerate(BASE))}))"
 
 
-def with_masked(df: DataFrame) -> DataFrame:
-    """Adds __masked, __text with a character that no candidate has for each character of a base span."""
-    step = "(a, b) -> if(b.past <= a.at, a, named_struct('at', b.past, 'out', concat(a.out, substring(__text, a.at + 1, greatest(b.first - a.at, 0)), repeat('\\u0003', b.past - greatest(b.first, a.at)))))"
-    masked = f"aggregate(__base, named_struct('at', 0, 'out', ''), {step}, a -> concat(a.out, substring(__text, a.at + 1)))"
-    return df.withColumn("__masked", F.expr(f"if(size(__base) = 0, __text, {masked})"))
+def masked_sql(text: str, base: str) -> str:
+    """SQL for the text with a character that no candidate has for each character of a base span."""
+    step = f"(a, b) -> if(b.past <= a.at, a, named_struct('at', b.past, 'out', concat(a.out, substring({text}, a.at + 1, greatest(b.first - a.at, 0)), repeat('\\u0003', b.past - greatest(b.first, a.at)))))"
+    masked = f"aggregate({base}, named_struct('at', 0, 'out', ''), {step}, a -> concat(a.out, substring({text}, a.at + 1)))"
+    return f"if(size({base}) = 0, {text}, {masked})"
 
 
 def groups_sql(r: str) -> str:
@@ -327,20 +342,27 @@ def train(spark: SparkSession) -> Model:
     return _trained(tuple((*tuple(r)[:-3], place[r.text], r.first, r.past) for r in rows))
 
 
-def find_personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+def find_personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, piece: int = PIECE) -> DataFrame:
     """Per row: doc_id, base and added, arrays of (first, kind, past, what) in code points, past exclusive; kind is a place in KINDS.
 
     base has the strict patterns' checked matches; added those candidates that overlap none of these, reach their kind's
     threshold and overlap none with a better score. Null and empty texts have neither. Rows are judged one by one, so repeated rows come out alike.
+    Texts are worked on in pieces of about as many characters as piece says, which changes no result.
     """
     model = model or train(documents.sparkSession)
-    own = with_masked(with_base(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__own")), "__own"))
+    own = with_blocks(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__own")), "__own", max(piece, BEFORE, AFTER))
     score = " + ".join(tree_sql(t, "f") for t in model.trees)
     least = "array(" + ", ".join(f"{t!r}D" for t in model.thresholds) + ")"
-    scored = F.expr(f"filter(transform({candidates_sql('__masked')}, c -> transform(array({features_sql('__text', 'c')}), f -> named_struct('order', -({score}), 'chars', c.first - c.past, 'c', c))[0]), s -> -s.order >= element_at({least}, s.c.kind + 1))")
+    inside = lambda spans: f"filter({spans}, s -> s.first >= __b.pre and s.past <= __b.pre + __b.size)"
+    scored = f"filter(transform({inside(candidates_sql('__masked'))}, c -> transform(array({features_sql('__text', 'c')}), f -> named_struct('order', -({score}), 'chars', c.first - c.past, 'c', c))[0]), s -> -s.order >= element_at({least}, s.c.kind + 1))"
     none = "cast(array() as array<struct<first: int, kind: int, past: int, what: string>>)"
-    chosen = F.expr(f"aggregate(array_sort(__scored), {none}, (a, s) -> if(exists(a, b -> b.first < s.c.past and s.c.first < b.past), a, array_append(a, s.c)))")
-    return own.withColumn("__scored", scored).select("doc_id", F.col("__base").alias("base"), F.array_sort(chosen).alias("added"))
+    chosen = f"array_sort(aggregate(array_sort({scored}), {none}, (a, s) -> if(exists(a, b -> b.first < s.c.past and s.c.first < b.past), a, array_append(a, s.c))))"
+    placed = lambda spans: f"transform({spans}, s -> named_struct('first', s.first - __b.pre + __b.at, 'kind', s.kind, 'past', s.past - __b.pre + __b.at, 'what', s.what))"
+    both = f"named_struct('base', {placed(inside('__base'))}, 'added', {placed(chosen)})"
+    for name, value in (("__masked", masked_sql("__text", "__base")), ("__base", base_sql("__text")), ("__text", "__b.text")):
+        both = f"transform(array({value}), {name} -> {both})[0]"
+    found = own.withColumn("__found", F.expr(f"transform(__blocks, __b -> {both})"))
+    return found.select("doc_id", F.expr("flatten(transform(__found, x -> x.base))").alias("base"), F.expr("flatten(transform(__found, x -> x.added))").alias("added"))
 
 
 def digest(found: DataFrame) -> DataFrame:
