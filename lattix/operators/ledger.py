@@ -162,3 +162,17 @@ def state_of(word: str) -> Column:
     by_word = {w: state for state, words in STATE_WORDS.items() for w in words}
     words = F.create_map(*[F.lit(x) for pair in by_word.items() for x in pair])
     return F.coalesce(F.try_element_at(words, plain), F.lit("TASK_STATE_UNSPECIFIED"))
+
+
+def claimants(log: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(slug, claimant): the author of the last commit that has a task's file; none if that commit names no author.
+
+    log has (at, file, author), a row for each file of a commit, at in the order of commits; tasks has (slug, path). A file is a task's if it is its path or ends with /
+    and its path. Files meet paths by equality on all their tails at slashes, never each with each. Of tasks with one path the greatest slug has it.
+    """
+    parts = F.split("file", "/")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "/"))
+    own = tasks.where("path is not null").groupBy("path").agg(F.max("slug").alias("slug"))
+    met = log.where("file is not null").select("at", "author", F.explode(tails).alias("path")).join(own, "path")
+    last = met.groupBy("slug").agg(F.max_by(F.coalesce("author", F.lit("")), "at").alias("claimant"))
+    return last.where("claimant != ''")

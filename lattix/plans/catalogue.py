@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattix.functions import metrics, scalars, text
-from lattix.operators import compose, graph, item_quads, ledger, links, lints, order, rdf, shapes, suggest
+from lattix.operators import blank_nodes, compose, graph, item_quads, ledger, links, lints, order, rdf, shapes, suggest
 from lattix.plans.views import Tables, with_views
 from lattix.sources import exchange
 
@@ -1161,3 +1161,25 @@ def shapes_report(t: Tables) -> DataFrame:
     data = t.v_triples.select("s", "p", "o", F.when(literal, "literal").otherwise("iri").alias("kind"), F.when(literal, "str").alias("datatype"))
     table = t.spark.createDataFrame([tuple(x.split(" ", 2)) for x in SHAPES.split("\n")], "shape string, parameter string, value string")
     return shapes.report(table, data)
+
+
+@query("""WITH l AS (SELECT 'part-' || l_partkey AS slug, o_orderdate, o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE 'customer-' || o_custkey END AS author FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber % 3 <> 2)
+    SELECT slug, claimant FROM (SELECT slug, arg_max(author, struct_pack(d := o_orderdate, k := o_orderkey)) AS claimant FROM l GROUP BY 1) WHERE claimant <> ''""")
+def claimants_of_files(t: Tables) -> DataFrame:
+    """Orders as commits whose lines are files of parts: some at the root, some in a folder, some of another name's end."""
+    path = F.concat(F.lit("content/tasks/part-"), F.col("l_partkey").cast("string"), F.lit(".md"))
+    file = F.when(F.col("l_linenumber") % 3 == 0, path).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("repo/sub/"), path)).otherwise(F.concat(F.lit("repo/my"), path))
+    author = F.when(F.col("o_orderpriority") != "5-LOW", F.concat(F.lit("customer-"), F.col("o_custkey").cast("string")))
+    log = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.struct("o_orderdate", "o_orderkey").alias("at"), file.alias("file"), author.alias("author"))
+    slug = F.concat(F.lit("part-"), F.col("p_partkey").cast("string"))
+    return ledger.claimants(log, t.part.select(slug.alias("slug"), F.concat(F.lit("content/tasks/"), slug, F.lit(".md")).alias("path")))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY '_:* <inNation> <nation-' || c_nationkey || '>' || chr(10) || '_:* <segment> "' || c_mktsegment || '"@^^str') - 1 AS n FROM customer)
+    SELECT '_:b' || n AS s, 'inNation' AS p, 'nation-' || c_nationkey AS o, 'iri' AS kind FROM r UNION ALL SELECT '_:b' || n, 'segment', c_mktsegment, 'literal' FROM r""")
+def canonical_blanks(t: Tables) -> DataFrame:
+    """Customers without a name of their own, named by what is said of them."""
+    node, none = F.concat(F.lit("_:c"), F.col("c_custkey").cast("string")).alias("s"), F.lit(None).cast("string")
+    nation = t.customer.select(node, F.lit("inNation").alias("p"), F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("o"), F.lit("iri").alias("kind"), none.alias("datatype"), none.alias("lang"))
+    segment = t.customer.select(node, F.lit("segment"), "c_mktsegment", F.lit("literal"), F.lit("str"), none)
+    return blank_nodes.canonical(nation.union(segment)).select("s", "p", "o", "kind")

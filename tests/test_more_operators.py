@@ -187,3 +187,10 @@ def test_titles_of_any_length_are_found(spark):
     long = "the long history of salt and pepper in trade"
     items = spark.createDataFrame([("a", long, "x"), ("b", "other", f"read {long}, then rest"), ("c", "salt", "the long history of salt and sugar"), ("d", "!", None), ("e", None, "")], "slug string, title string, body string")
     assert {(r.source, r.target, r.score) for r in suggest.by_title(items).collect()} == {("b", "a", 9), ("b", "c", 1)}
+
+
+def test_claimants_of_files(spark):
+    log = [(1, "content/a.md", "ann"), (2, "repo/content/a.md", "bob"), (2, "repo/content/b.md", "bob"), (3, "x/mycontent/a.md", "eve"), (4, "content/b.md", None), (5, "content/a.md/more", "eve"), (6, None, "eve"), (7, "deep/er/content/c.md", "cat")]
+    tasks = [("a", "content/a.md"), ("b", "content/b.md"), ("c", "content/c.md"), ("c0", "content/c.md"), ("short", "a.md"), ("none", None)]
+    got = ledger.claimants(spark.createDataFrame(log, "at int, file string, author string"), spark.createDataFrame(tasks, "slug string, path string"))
+    assert {tuple(r) for r in got.collect()} == {("a", "bob"), ("c0", "cat"), ("short", "eve")}
