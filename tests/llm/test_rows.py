@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +205,65 @@ def test_languages_of_nothing(spark):
     assert language_mix.language_proportions(frame(spark, []), language_mix.train(frame(spark, rows))).count() == 0
 
 
+def brute_features(text):
+    """Shares of cells: each word, and each run of 3 to 5 bytes of a word with a blank on both sides, in plain Python."""
+    cells = []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", text.encode()):
+        part = next(iter(subword_classifier.textscan.slices(pa.array([w.decode()]))))
+        cells.append(int(subword_classifier.textscan.words(part, subword_classifier.textscan.NOT_SPACE, lower=False).hash[0]) % subword_classifier.BUCKETS)
+        padded = b" " + w + b" "
+        for n in subword_classifier.ORDERS:
+            for gram in (padded[i : i + n] for i in range(len(padded) - n + 1)):
+                code = sum(c << 8 * k for k, c in enumerate(reversed(gram))) + (n << 56)
+                cells.append(int(subword_classifier.textscan.mix(np.array([code], np.uint64))[0]) % subword_classifier.BUCKETS)
+    many = Counter(cells)
+    return {c: n / len(cells) for c, n in many.items()}
+
+
+def brute_descent(examples, epochs, rate):
+    """Stochastic gradient descent on (label, shares), number by number."""
+    rng = np.random.default_rng(subword_classifier.SEED)
+    size = subword_classifier.DIMENSIONS
+    start = rng.uniform(-1 / size, 1 / size, (subword_classifier.BUCKETS, size))
+    vector = {c: [float(x) for x in start[c]] for _, shares in examples for c in shares}
+    output, bias = [[0.0] * size for _ in range(2)], [0.0, 0.0]
+    step = 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(examples)):
+            label, shares = examples[i]
+            pace = rate * (1 - step / (epochs * len(examples)))
+            step += 1
+            hidden = [sum(s * vector[c][d] for c, s in shares.items()) for d in range(size)]
+            z = [sum(output[k][d] * hidden[d] for d in range(size)) + bias[k] for k in range(2)]
+            e = [math.exp(x - max(z)) for x in z]
+            wrong = [e[k] / sum(e) - (k == label) for k in range(2)]
+            back = [sum(wrong[k] * output[k][d] for k in range(2)) for d in range(size)]
+            for k in range(2):
+                output[k] = [output[k][d] - pace * wrong[k] * hidden[d] for d in range(size)]
+                bias[k] -= pace * 0.1 * wrong[k]
+            for c, s in shares.items():
+                vector[c] = [vector[c][d] - pace * s / max(shares.values()) * back[d] for d in range(size)]
+    return {c: [sum(v[d] * output[k][d] for d in range(size)) for k in range(2)] for c, v in vector.items()}, bias
+
+
+def test_descent_is_that_of_plain_python():
+    r = random.Random(6)
+    texts = [words(r, r.randint(1, 12)) + " é\U0001f600 ab" for _ in range(9)] + ["x"]
+    part = next(iter(subword_classifier.textscan.slices(pa.array(texts))))
+    doc, cell = subword_classifier.feature_cells(part)
+    shares = [brute_features(t) for t in texts]
+    for i, want in enumerate(shares):
+        many = Counter(cell[doc == i].tolist())
+        assert {c: n / sum(many.values()) for c, n in many.items()} == pytest.approx(want)
+    labels = [i % 2 for i in range(len(texts))]
+    examples = [(y, np.array(list(s), np.int32), np.array(list(s.values()), np.float32)) for y, s in zip(labels, shares, strict=True)]
+    for epochs in (1, 3):
+        weight, bias = subword_classifier.descend(examples, epochs=epochs)
+        want, want_bias = brute_descent(list(zip(labels, shares, strict=True)), epochs, subword_classifier.RATE)
+        assert np.allclose(bias, want_bias, atol=1e-5)
+        assert all(np.allclose(weight[c], w, atol=1e-5) for c, w in want.items())
+
+
 def test_classifier_on_held_out_labels(spark):
     r = random.Random(9)
     rows = [(i, words(r, 80) if i % 3 else words(r, 80).upper() + "!!", "en", "a", 0, 1, 1, "x", 0.0) for i in range(240)]
