@@ -85,3 +85,10 @@ def test_escapes_are_read_once_and_in_order(spark):
 <urn:a> <urn:p> "1"^^<urn:int> ."""
     got = rdf.parse_lines(spark.createDataFrame([(x,) for x in foreign.split("\n")], "value string")).collect()
     assert [(r.s, r.o, r.lang, r.g, r.datatype) for r in sorted(got, key=lambda r: r.s == "urn:a")] == [("urn:é", "A😀\\u0041\t\b'\"\\t", "en-GB", "urn:g x", None), ("urn:a", "1", None, None, "urn:int")]
+
+
+def test_sections_of_a_long_document(spark):
+    """40,000 lines, every fourth a heading: each section has its own lines, and time goes with the lines."""
+    lines = [f"## head {i} ##" if i % 4 == 0 else f"line {i}" for i in range(1, 40_001)]
+    got = {r.section: r for r in text.sections(spark.createDataFrame([("d", "\n".join(lines)), ("e", None), ("f", "")], "slug string, body string"), "slug", "body").collect()}
+    assert len(got) == 10_001 and got[0].body == "line 1\nline 2\nline 3" and got[7].title == "head 28" and got[7].body == "line 29\nline 30\nline 31" and got[10_000].body == ""
