@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattix.functions import metrics, scalars, text
-from lattix.operators import blank_nodes, compose, graph, item_quads, ledger, links, lints, order, rdf, shapes, suggest
+from lattix.operators import blank_nodes, brief, compose, graph, item_quads, ledger, links, lints, order, rdf, shapes, suggest
 from lattix.plans.views import Tables, with_views
 from lattix.sources import exchange
 
@@ -1183,3 +1183,20 @@ def canonical_blanks(t: Tables) -> DataFrame:
     nation = t.customer.select(node, F.lit("inNation").alias("p"), F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("o"), F.lit("iri").alias("kind"), none.alias("datatype"), none.alias("lang"))
     segment = t.customer.select(node, F.lit("segment"), "c_mktsegment", F.lit("literal"), F.lit("str"), none)
     return blank_nodes.canonical(nation.union(segment)).select("s", "p", "o", "kind")
+
+
+@query("""WITH p AS (SELECT *, 'part-' || p_partkey AS slug FROM part), m AS (SELECT * FROM p WHERE p_size >= 25), l AS (SELECT DISTINCT * FROM v_links WHERE source IN (SELECT slug FROM p) AND target IN (SELECT slug FROM p))
+    SELECT 'uses-not-selected' AS kind, source AS slug, target FROM l WHERE key = 'uses' AND source IN (SELECT slug FROM m) AND target NOT IN (SELECT slug FROM m)
+    UNION ALL SELECT 'replaced-outside', target, source FROM l WHERE key = 'supersedes' AND target IN (SELECT slug FROM m) AND source NOT IN (SELECT slug FROM m)
+    UNION ALL SELECT 'contradiction', 'part-' || source, 'part-' || target FROM v_excludes WHERE source IN (SELECT p_partkey FROM m) AND target IN (SELECT p_partkey FROM m)
+    UNION ALL SELECT 'no-sources', slug, NULL FROM m WHERE p_retailprice <= 1000 UNION ALL SELECT 'stale', slug, NULL FROM m WHERE p_size = 40 UNION ALL SELECT 'deprecated', slug, NULL FROM m WHERE p_size = 30
+    UNION ALL SELECT 'port-without-producer', slug, p_brand FROM m WHERE p_size = 25""")
+def brief_gaps_in_full(t: Tables) -> DataFrame:
+    """What the parts of size 25 and more lack as a selection; parts that exclude each other are taken to contradict each other, and those of size 25 to want a port named like their brand."""
+    slug = F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("slug")
+    name = lambda c: F.concat(F.lit("part-"), F.col(c).cast("string")).alias(c)
+    authored = t.v_links.union(t.v_excludes.select(name("source"), F.lit("contradicts"), name("target")))
+    own = t.part.where("p_size >= 25")
+    members = own.select(slug, (F.col("p_retailprice") > 1000).alias("sources"), F.when(F.col("p_size") == 40, "2020-01-01").alias("stale_after"), F.when(F.col("p_size") == 30, "deprecated").otherwise("stable").alias("status"))
+    unmet = own.where("p_size = 25").select(slug.alias("source"), F.col("p_brand").alias("target"))
+    return brief.gaps(brief.relations(authored, t.part.select(slug), members), members, unmet, "2026-01-01")
