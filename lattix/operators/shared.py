@@ -32,9 +32,13 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
+    def folder(self) -> str:
+        """The name of a new folder there, for tables and files."""
+        return f"{_folder(self.spark.sparkContext)}/tables/{uuid.uuid4().hex}"
+
     def cut(self, df: DataFrame) -> DataFrame:
         """The same rows, read back from a table in the folder that the cluster shares."""
-        path = f"{_folder(self.spark.sparkContext)}/tables/{uuid.uuid4().hex}"
+        path = self.folder()
         df.write.parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from lattix.functions import metrics, scalars, text
 from lattix.operators import blank_nodes, brief, compose, graph, item_quads, ledger, links, lints, order, rdf, shapes, suggest
+from lattix.operators.shared import Scratch
 from lattix.plans.views import Tables, with_views
-from lattix.sources import exchange
+from lattix.sources import exchange, frontmatter, turtle
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -1200,3 +1201,32 @@ def brief_gaps_in_full(t: Tables) -> DataFrame:
     members = own.select(slug, (F.col("p_retailprice") > 1000).alias("sources"), F.when(F.col("p_size") == 40, "2020-01-01").alias("stale_after"), F.when(F.col("p_size") == 30, "deprecated").otherwise("stable").alias("status"))
     unmet = own.where("p_size = 25").select(slug.alias("source"), F.col("p_brand").alias("target"))
     return brief.gaps(brief.relations(authored, t.part.select(slug), members), members, unmet, "2026-01-01")
+
+
+TURTLE_HEAD = "@prefix d: <http://e/doc/> .\n@prefix : <http://e/> .\n"
+
+
+@query("SELECT 'http://e/doc/' || doc_id AS s, 'http://e/' || p AS p, kind, datatype, length(o) AS n_chars, sha256(o) AS o_sha256 FROM (SELECT doc_id, 'text' AS p, 'literal' AS kind, NULL AS datatype, text AS o FROM documents UNION ALL SELECT doc_id, 'from', 'iri', NULL, 'http://e/' || source FROM documents UNION ALL SELECT doc_id, 'chars', 'literal', 'http://www.w3.org/2001/XMLSchema#integer', CAST(n_chars AS VARCHAR) FROM documents) WHERE o IS NOT NULL")
+def turtle_round_trip(t: Tables) -> DataFrame:
+    """Documents written as Turtle, their texts over many lines, and read back; prefixes are bound anew in each."""
+    text = F.col("text")
+    for c, to in (("\\", "\\\\"), ('"', '\\"'), ("\r", "\\r")):
+        text = F.replace(text, F.lit(c), F.lit(to))
+    parts = F.array_compact(F.array(F.concat(F.lit(':text """'), text, F.lit('"""')), F.concat(F.lit(":from <http://e/"), "source", F.lit(">")), F.concat(F.lit(":chars "), F.col("n_chars").cast("string"))))
+    folder = Scratch(t.spark).folder()
+    t.documents.where(F.size(parts) > 0).select(F.concat(F.lit(f"{TURTLE_HEAD}d:"), F.col("doc_id").cast("string"), F.lit(" "), F.array_join(parts, " ;\n  "), F.lit(" ."))).write.text(folder)
+    return turtle.read_turtle(t.spark, folder).select("s", "p", "kind", "datatype", F.length("o").cast("long").alias("n_chars"), F.sha2("o", 256).alias("o_sha256"))
+
+
+@query("""SELECT 'order-' || o_orderkey AS slug, 'part-' || l_partkey AS part, CAST(l_linenumber AS BIGINT) AS number, l_returnflag || ': it''s ' || l_linestatus AS comment, NULL AS finding, NULL AS line FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority NOT IN ('5-LOW', '4-NOT SPECIFIED')
+    UNION ALL SELECT 'order-' || o_orderkey, NULL, NULL, NULL, CASE o_orderpriority WHEN '5-LOW' THEN 'anchor' ELSE 'duplicate-key' END, 4 FROM orders WHERE o_orderpriority IN ('5-LOW', '4-NOT SPECIFIED') AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def nested_frontmatter(t: Tables) -> DataFrame:
+    """Orders as items whose lines are a nested list; those of low priority have an alias, those without one a key twice."""
+    quoted = F.concat(F.lit("'"), F.replace(F.concat("l_returnflag", F.lit(": it's "), "l_linestatus"), F.lit("'"), F.lit("''")), F.lit("'"))
+    entry = F.concat(F.lit("  - part: part-"), F.col("l_partkey").cast("string"), F.lit("\n    at:\n      number: "), F.col("l_linenumber").cast("string"), F.lit("\n      note: "), quoted)
+    entries = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(entry)), "\n").alias("entries"))  # an order has few lines
+    third = F.when(F.col("o_orderpriority") == "5-LOW", "base: *other").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "slug: again").otherwise("total: [a, 'b']")
+    items = t.orders.join(entries, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("type: task\nslug: order-"), F.col("o_orderkey").cast("string"), F.lit("\n"), third, F.lit("\nlines:\n"), "entries").alias("text"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("slug"))
+    got = frontmatter.parse(items, "text", {"lines[].at.number": "integer"})
+    each = got.select("slug", "finding", "line", F.explode_outer(F.try_variant_get("front", F.lit("$.lines"), "array<variant>")).alias("l"))
+    return each.select("slug", frontmatter.field(F.col("l"), "$.part").alias("part"), frontmatter.field(F.col("l"), "$.at.number", "long").alias("number"), frontmatter.field(F.col("l"), "$.at.note").alias("comment"), "finding", "line")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from lattix.functions.text import ascii_lower, numbered_slugs, slugify
 from lattix.operators.ledger import trailers
-from lattix.operators.rdf import parse_lines
+from lattix.operators.rdf import literal, parse_lines
 from lattix.sources.boards import read_table
 
 
@@ -159,7 +159,7 @@ def citations(urls: DataFrame, peers: DataFrame, url: str = "url") -> DataFrame:
 
 def turtle(triples: DataFrame, is_literal: Column) -> DataFrame:
     """(block) of each subject's triples in Turtle, with full IRIs."""
-    o = F.when(is_literal, F.concat(F.lit('"'), F.replace(F.replace(F.col("o"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(F.concat(F.lit("<"), "o", F.lit(">")))
+    o = F.when(is_literal, literal(F.col("o"))).otherwise(F.concat(F.lit("<"), "o", F.lit(">")))
     lines = triples.select("s", F.concat(F.lit("<"), "p", F.lit("> "), o).alias("line")).distinct()
     return lines.groupBy("s").agg(F.array_join(F.array_sort(F.collect_list("line")), " ;\n    ").alias("l")).select(F.concat(F.lit("<"), "s", F.lit("> "), "l", F.lit(" .")).alias("block"))
 
