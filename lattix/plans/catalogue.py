@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattix.functions import metrics, scalars, text
+from lattix.functions import metrics, resample, scalars, text
 from lattix.operators import blank_nodes, brief, compose, graph, item_quads, ledger, links, lints, order, rdf, shapes, suggest
 from lattix.operators.shared import Scratch
 from lattix.plans.views import Tables, with_views
@@ -1230,3 +1230,20 @@ def nested_frontmatter(t: Tables) -> DataFrame:
     got = frontmatter.parse(items, "text", {"lines[].at.number": "integer"})
     each = got.select("slug", "finding", "line", F.explode_outer(F.try_variant_get("front", F.lit("$.lines"), "array<variant>")).alias("l"))
     return each.select("slug", frontmatter.field(F.col("l"), "$.part").alias("part"), frontmatter.field(F.col("l"), "$.at.number", "long").alias("number"), frontmatter.field(F.col("l"), "$.at.note").alias("comment"), "finding", "line")
+
+
+@query()
+def bootstrap_median(t: Tables) -> DataFrame:
+    """The median price of a line, with its interval from 10,000 resamples."""
+    key = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_extendedprice")
+    return resample.bootstrap_quantile(key, "k", "l_extendedprice")
+
+
+@query()
+def bootstrap_correlation(t: Tables) -> DataFrame:
+    """How far size and price of parts go together, with its interval."""
+    x, y, n = F.col("p_size"), F.col("p_retailprice"), F.col("n")
+    sums = {"x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
+    cov = n * F.col("xy") - F.col("x") * F.col("y")
+    spread = F.sqrt((n * F.col("xx") - F.col("x") * F.col("x")) * (n * F.col("yy") - F.col("y") * F.col("y")))
+    return resample.bootstrap_of(t.part, "p_partkey", sums, F.round(F.try_divide(cov, spread), 9))
