@@ -5,7 +5,8 @@ character more. Leaving out the right character makes such lines equal, so lines
 the hashed variants they emit. Only what can still differ emits them: a line cut into pieces
 must agree with a neighbour on all pieces but one, so lines are first joined on all but
 one of 2 pieces, those that met on all but one of 16, and only the piece left open between
-lines that met there has its characters left out, one by one.
+lines that met there has its characters left out, one by one. Equal lines are one line from
+the start: it carries the hashes of its halves, so its text is read again only if it meets another.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from lattix.llm.scratch import drop_since, made, numbered, written
 MIN_CHARS = 5
 WORD = r"[^\x20\x09-\x0D]"
 PIECES = (2, 16)
+#: Columns with what a line agrees on with others at the first of PIECES.
+SIGS = [f"sig{k}" for k in range(2 * PIECES[0])]
 #: A place is doc_id * TEXTS + number of the text * LINES + line number; texts without an id come after all others.
 TEXTS, LINES = 10**19, 10**10
 LAST = 93 * 10**36
@@ -59,39 +62,36 @@ def _lines(documents: DataFrame, min_chars: int, texts: DataFrame | None) -> Dat
     return lines.select("doc_id", "version", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), whole(F.col("start") + F.col("line_no")).alias("place"))
 
 
-def _agreements(pieces: int) -> Column:
+def _agreements(pieces: int, chars: str = "chars") -> list[tuple[str, str, int]]:
     """(sig, m, piece) of a line of chars characters: a hash of all but one piece, as the longer and as the shorter of two lines.
 
     m is the length of the shorter line of a pair. The pieces of m are cut at j * m / pieces; what precedes the
     piece is taken from the left end and what follows it from the right end, so that the piece may be one longer.
     """
 
-    def of(m: str, j: int) -> str:
+    def sig(m: str, j: int) -> str:
         before, after = f"{j} * {m} div {pieces}", f"({m} - ({j} + 1) * {m} div {pieces})"
-        return f"struct(xxhash64({m}, {j}, substring(line, 1, {before}), '|', substring(line, int(chars + 1 - {after}), chars)) as sig, int({m}) as m, {j} as piece)"
+        ends = [f"substring(line, 1, {before})"] * (j > 0) + [f"substring(line, int({chars} + 1 - {after}), {chars})"] * (j < pieces - 1)
+        return f"xxhash64({', '.join([m, str(j), *ends])})"
 
-    return F.explode(F.expr("array(" + ", ".join(of(m, j) for m in ("chars", "(chars - 1)") for j in range(pieces)) + ")"))
+    return [(sig(m, j), m, j) for m in (chars, f"({chars} - 1)") for j in range(pieces)]
 
 
-def _met(lines: DataFrame, pieces: int) -> DataFrame:
-    """(h1, h2, sig, m, piece) of what two distinct lines or more agree on."""
-    rows = lines.select("h1", "h2", _agreements(pieces).alias("x")).select("h1", "h2", "x.*")
+def _met(rows: DataFrame) -> DataFrame:
+    """Those of rows whose sig another row has too. rows has h1, h2, sig of distinct lines."""
     more = rows.groupBy("sig").count().where("count > 1").select("sig")
     return rows.join(more, "sig", "left_semi")
 
 
 def _near(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Distinct lines that have an earlier line within one edit: h1, h2."""
-    chars = F.length("line").alias("chars")
-    first = lines.select("h1", "h2", "line", chars)
-    for pieces in PIECES[:-1]:
-        keys = _met(first, pieces).select("h1", "h2").distinct()
-        keys = written(keys, "met")
-        keys = F.broadcast(keys) if keys.count() <= BROADCAST_LINES else keys
-        first = written(lines.join(keys, ["h1", "h2"], "left_semi").select("h1", "h2", "line", chars).dropDuplicates(["h1", "h2"]), "met_lines")
-    places = found.join(first.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "place")
-    first = written(first.join(places, ["h1", "h2"]), "met_lines")
-    open_ = _met(first, PIECES[-1]).join(first, ["h1", "h2"])
+    """Distinct lines that have an earlier line within one edit: h1, h2. found has (h1, h2, place, *SIGS) of every distinct line; SIGS are null for those too short."""
+    keys = written(_met(found.select("h1", "h2", F.explode(F.array(*SIGS)).alias("sig")).where("sig is not null")).select("h1", "h2").distinct(), "met")
+    keys = written(found.join(_small(keys), ["h1", "h2"], "left_semi").select("h1", "h2", F.col("place").alias("first")), "met_places")
+    lines = lines.join(_small(keys), ["h1", "h2"]).where("place = first")
+    first = written(lines.select("h1", "h2", "line", F.length("line").alias("chars"), "place"), "met_lines")
+    agreements = ", ".join(f"struct({sig} as sig, int({m}) as m, {j} as piece)" for sig, m, j in _agreements(PIECES[-1]))
+    rows = first.select("h1", "h2", F.explode(F.expr(f"array({agreements})")).alias("x")).select("h1", "h2", "x.*")
+    open_ = _met(rows).join(first, ["h1", "h2"])
     cut = f"int(piece * m div {PIECES[-1]})"
     size = f"int(chars - (m - (piece + 1) * m div {PIECES[-1]}) - {cut})"
     left_out = "transform(sequence(1, length(middle)), p -> struct({0} as role, {1} as at, concat(substring(middle, 1, p - 1), substring(middle, p + 1)) as rest))"
@@ -115,7 +115,9 @@ def _near(found: DataFrame, lines: DataFrame) -> DataFrame:
 def repeated_lines(documents: DataFrame, min_chars: int = MIN_CHARS, texts: DataFrame | None = None) -> DataFrame:
     """(doc_id, version, line_no) of every line to go. documents has (doc_id, version, text), version being a hash of the text, texts what _texts() gives."""
     lines = _lines(documents, min_chars, texts)
-    found = written(lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n")), "lines")
+    sigs = [F.when(F.length("line") >= min_chars, F.expr(sig)).alias(name) for name, (sig, _, _) in zip(SIGS, _agreements(PIECES[0], "length(line)"), strict=True)]
+    hashed = lines.select("h1", "h2", "place", *sigs)  # equal lines have equal sigs, so any of them will do
+    found = written(hashed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"), *[F.min(x).alias(x) for x in SIGS]), "lines")
     near = written(_near(found, lines.where(F.length("line") >= min_chars)), "near").withColumn("near", F.lit(True))
     fate = found.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", F.col("place").alias("first"), "near")
     gone = lines.drop("line").join(fate, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (F.col("place") > F.col("first")))

@@ -218,6 +218,27 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_lines_that_only_repeat_exactly_are_not_joined_in_pieces(spark, monkeypatch):
+    """Only what meets another line goes on to the pieces, once each; a line's own repeats are no such meeting."""
+    sizes = {}
+    write = line_dedup.written
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    lines = [hashlib.sha256(bytes([k])).hexdigest() for k in range(30)]
+    rows = [(i, "\n".join([*lines, *x]), "en", "a", 0, 1, 1, "x", 0.0) for i, x in enumerate([[], [], ["!" + lines[3]]])]
+    for at_most in (line_dedup.BROADCAST_LINES, 0):  # sent to the executors or joined by a shuffle
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", at_most)
+        sizes.clear()
+        got = {x.doc_id: (x.text, x.n_removed) for x in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+        assert got == {0: (rows[0][1], 0), 1: ("", 30), 2: ("", 31)}
+        assert sizes["met"] == [2] and sizes["met_lines"] == [2]
+
+
 def test_short_lines_repeated_exactly_go(spark):
     rows = [(i, text, "en", "a", 0, 1, 1, "x", 0.0) for i, text in enumerate(["Home\n\nNext", "Home\n\nText\n ", "Home \nNext\n "])]
     docs = frame(spark, rows)
