@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +61,30 @@ def test_compose_steps_run_once(spark):
     row = compose.verdict(chosen, e(("a", "b"), ("b", "c")), e(("n", "c")), e(("a", "b"), ("a", "c")), e(("b", "q"), ("c", "w"))).first()
     assert (row.n_selected, row.n_added, row.n_hidden, row.n_members, row.n_conflicts, row.n_warnings, row.valid) == (2, 2, 1, 3, 1, 1, False)
     assert compose.closure(chosen, e(("a", "b"))).where(F.col("added")).first().slug == "b"
+
+
+def test_reach_along_forests_cycles_and_keys(spark, monkeypatch):
+    r = random.Random(5)
+    cases = [
+        [("a", i, i - 1) for i in range(1, 40)] + [("b", i, i // 2) for i in range(1, 20)], [("a", i, (i + 1) % 13) for i in range(13)] + [("a", i + 100, i + 99) for i in range(1, 20)] + [("a", 100, 3)],
+        [(k, r.randrange(25), r.randrange(25)) for k in "aab" for _ in range(30)] + [("a", None, 1)], [("a", 1, None)],
+    ]
+    for edges in cases:
+        want = {}
+        for k, s in {(k, s) for k, s, _ in edges}:
+            frontier, depth, seen = {s}, 0, {}
+            while frontier := {t for a, x, t in edges if a == k and x in frontier and None not in (x, t)} - set(seen):
+                depth += 1
+                seen |= dict.fromkeys(frontier, depth)
+            want |= {(k, s, t): d for t, d in seen.items()}
+        for sent in (graph.SENT, 0):
+            monkeypatch.setattr(graph, "SENT", sent)
+            got = graph.reach(spark.createDataFrame(edges, "k string, source long, target long"), within="k").collect()
+            assert {(x.k, x.source, x.target): x.depth for x in got} == want and len(got) == len(want)
+
+
+def test_reach_joins_no_more_than_it_gives(spark):
+    """Of a long chain each pair is met once; joining all known pairs with all makes more than a billion rows."""
+    n, began = 2000, time.perf_counter()
+    got = graph.reach(spark.range(1, n + 1).selectExpr("id AS source", "id - 1 AS target")).agg(F.count("*"), F.sum(F.abs(F.col("source") - F.col("target") - F.col("depth")))).first()
+    assert tuple(got) == (n * (n + 1) // 2, 0) and time.perf_counter() - began < 60
