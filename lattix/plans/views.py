@@ -119,8 +119,9 @@ def _episodes(t: Tables) -> DataFrame:
 
 def _items(t: Tables) -> DataFrame:
     status = F.when(F.col("l.doc_id").isNull(), "draft").when(F.col("toxic") == 1, "retired").otherwise("stable")
-    joined = t.documents.alias("d").join(t.labels.alias("l"), F.col("d.doc_id") == F.col("l.doc_id"), "left")
-    return joined.select(_name("doc-", "d.doc_id").alias("slug"), F.col("d.doc_id").alias("k"), F.col("text").alias("body"), "lang", F.col("source").alias("cluster"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), status.alias("status"))
+    titled = t.documents.withColumn("title", F.split_part("text", F.lit("\n"), F.lit(1)))  # before the join, where only titles then go if only they are asked for
+    joined = titled.alias("d").join(t.labels.alias("l"), F.col("d.doc_id") == F.col("l.doc_id"), "left")
+    return joined.select(_name("doc-", "d.doc_id").alias("slug"), F.col("d.doc_id").alias("k"), F.col("text").alias("body"), "lang", F.col("source").alias("cluster"), "title", status.alias("status"))
 
 
 def _links(t: Tables) -> DataFrame:
